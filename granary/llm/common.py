@@ -215,3 +215,24 @@ def unpack(fn: Callable[[pa.Table], pa.Table], key: str) -> Callable:
             yield from fn(table).to_batches()
 
     return run
+
+
+HOT_KEYS = 10_000
+
+
+def in_blocks(rows: DataFrame, key: str, unit: str, hot: DataFrame) -> DataFrame:
+    """Columns gkey, own, lo and hi added, for comparing the rows of a key in bounded groups.
+
+    ``hot`` has (key, blocks) for keys too large for one group. Their rows are dealt into
+    blocks by ``unit`` and copied once for each pair of blocks that theirs is part of;
+    other keys are one group with lo = hi. A group compares block lo with block hi.
+    """
+    n = hot.count()
+    if n:
+        rows = rows.join(F.broadcast(hot) if n <= HOT_KEYS else hot, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    else:
+        rows = rows.withColumn("blocks", F.lit(1))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(unit), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return rows.withColumn("gkey", F.when(F.col("blocks") == 1, F.col(key)).otherwise(F.xxhash64(key, "lo", "hi"))).drop("blocks", "other")

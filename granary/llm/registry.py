@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from .jaccard import OP3_SQL, op3_jaccard
 from .mixing import OP1_SQL, op1_mixing
 from .repeats import OP10_SQL, op10_repeats
 from .tokens import op6_token_counts
+from .vectors import OP2_SQL, op2_near_vectors, op4_nearest
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_near_vectors": op2_near_vectors,
+    "op3_jaccard": op3_jaccard,
+    "op4_nearest": op4_nearest,
     "op6_token_counts": op6_token_counts,
     "op10_repeats": op10_repeats,
 }
-SQL = {"op1_mixing": OP1_SQL, "op10_repeats": OP10_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op10_repeats": OP10_SQL}
