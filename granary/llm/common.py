@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 _U = np.uint64
 

@@ -63,7 +63,7 @@ def mix_sources(
     share: float = 1.5,
     most: float = 2.0,
     offset: float = 0.6180339887498949,
-    cell_rows: int = 20_000,
+    cell_rows: int = 2_000,
 ) -> DataFrame:
     """Copies of each document in the mix: (id, size, source_size, target, copies, taken).
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, hash_words, rolling, row_blocks, shuffle_width, text_buffers, text_bytes, window_starts
 
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 16 << 20
 _RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("len", "<i4")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
