@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .jaccard import OP3_SQL, op3_jaccard
 from .mixing import OP1_SQL, op1_mixing
+from .packing import op5_packing
+from .quality import op9_quality
 from .repeats import OP10_SQL, op10_repeats
 from .tokens import op6_token_counts
 from .vectors import OP2_SQL, op2_near_vectors, op4_nearest
@@ -13,7 +15,9 @@ QUERIES = {
     "op2_near_vectors": op2_near_vectors,
     "op3_jaccard": op3_jaccard,
     "op4_nearest": op4_nearest,
+    "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
 }
 SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op10_repeats": OP10_SQL}
