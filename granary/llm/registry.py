@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import OP3_SQL, op3_jaccard
+from .lm import op7_lm_scores
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op5_packing
 from .quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_nearest": op4_nearest,
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_scores": op7_lm_scores,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
 }
