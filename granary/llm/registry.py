@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import OP3_SQL, op3_jaccard
+from .licenses import OP8_SQL, op8_licenses
 from .lm import op7_lm_scores
 from .mixing import OP1_SQL, op1_mixing
 from .packing import op5_packing
@@ -19,7 +20,8 @@ QUERIES = {
     "op5_packing": op5_packing,
     "op6_token_counts": op6_token_counts,
     "op7_lm_scores": op7_lm_scores,
+    "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
 }
-SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op10_repeats": OP10_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op8_licenses": OP8_SQL, "op10_repeats": OP10_SQL}
