@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
@@ -11,7 +11,9 @@ from granary.operators import context as X
 from granary.operators import index as I
 from granary.operators import ingest as G
 from granary.operators import search as S
-from granary.plans.query import expand, match_tokens, parse_filters, phrases, terms_of
+from granary.operators import snippets as N
+from granary.plans import models as M
+from granary.plans.query import match_tokens, parse_filters, phrases
 from granary.sources import vault as V
 
 QUERIES: dict = {}
@@ -20,7 +22,7 @@ NOW = 1_760_000_000
 ASKED = {1: "GNU General Public", 2: "Licensed under the Apache", 3: "Released MIT lic"}
 PHRASED = {1: "BY-NC public", 2: "MIT License."}
 QUESTIONS = {1: "which document mentions the newest invoices", 2: "when was the latest boat receipt paid", 3: "zzyzx qwertzuiop blorptastic", 4: "do i have a paper about licenses released"}
-TOKEN = T.TOKEN.replace("\\", "\\")
+TOKEN = T.TOKEN
 
 
 def query(sql: str | None = None):
@@ -340,12 +342,12 @@ def upsert_actions(spark, sf_dir):
 _FAILS = "fails AS (SELECT event_id AS id, CAST(user_id AS VARCHAR) AS path, epoch(date_trunc('second', ts))::BIGINT AS at_s, props AS error FROM events WHERE event_type = 'error'), lastf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY at_s DESC, id DESC) AS rn FROM fails) WHERE rn = 1)"
 
 
-@query(f"WITH {_FAILS} SELECT id, path, at_s AS "at", error FROM lastf")
+@query(f'WITH {_FAILS} SELECT id, path, at_s AS "at", error FROM lastf')
 def undigested_latest(spark, sf_dir):
     return G.latest_failures(V.failures(spark, sf_dir)[0]).select("id", "path", "at", "error")
 
 
-@query(f"WITH {_FAILS}, ok AS (SELECT CAST(user_id AS VARCHAR) AS path, max(epoch(date_trunc('second', ts))::BIGINT) AS ok_at FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT id, lastf.path, at_s AS "at" FROM lastf LEFT JOIN ok USING (path) WHERE ok_at IS NULL OR ok_at < at_s")
+@query(f'''WITH {_FAILS}, ok AS (SELECT CAST(user_id AS VARCHAR) AS path, max(epoch(date_trunc('second', ts))::BIGINT) AS ok_at FROM events WHERE event_type <> 'error' GROUP BY 1) SELECT id, lastf.path, at_s AS "at" FROM lastf LEFT JOIN ok USING (path) WHERE ok_at IS NULL OR ok_at < at_s''')
 def undigested_cleared(spark, sf_dir):
     return G.still_failed(*V.failures(spark, sf_dir)).select("id", "path", "at")
 
@@ -536,3 +538,64 @@ def harness_bm25(spark, sf_dir):
     units = i.select(F.col("id").alias("chunk_id"), F.col("id").alias("item_id"), T.ascii_tokens(F.col("content")).alias("tokens"), T.ascii_tokens(F.col("title")).alias("title_tokens"))
     asks = spark.createDataFrame([(k, t.split()) for k, t in _HARNESS.items()], "query_id long, terms array<string>")
     return S.unit_bm25(units, asks).select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- queries that SQL can't tell
+
+
+@query()
+def readable_pages(spark, sf_dir):
+    from granary.sources.html import readable
+
+    p = V.table(spark, sf_dir, "pages").withColumn("page", readable(F.col("html")))
+    return p.select("page_id", "page.title", "page.text")
+
+
+@query()
+def page_items(spark, sf_dir):
+    return V.pages(spark, sf_dir).drop("tags")
+
+
+@query()
+def embed_chunks(spark, sf_dir):
+    items = V.benchmark_files(spark, sf_dir)
+    return M.embed_chunks(items, C.with_title_units(items, C.chunks(items)), lambda: M.HashingEmbedder(64))
+
+
+@query()
+def snippet_blocks(spark, sf_dir):
+    items, _, _, ranked = _keyword(spark, sf_dir, {1: ASKED[1]}, 12)
+    return N.blocks(ranked, items, N.query_terms(ASKED[1])).withColumn("lines", F.to_json("lines"))
+
+
+@query()
+def context_blocks(spark, sf_dir):
+    """The context of two questions over notes, by the default embedder and reranker."""
+    items = V.notes(spark, sf_dir)
+    cut = C.with_title_units(items, C.chunks(items)).withColumn("chunk_id", F.col("item_id") * 1000 + F.col("ord") + 1)
+    asked = spark.createDataFrame([(1, "which notes mention the latest released license", ""), (2, "thereha edonre ontiatth", "")], "query_id long, text string, aux string")
+    make = lambda: M.HashingEmbedder(64)
+    vectors = M.embed_chunks(items, cut.drop("chunk_id"), make).select("item_id", "ord", "vec").join(cut.select("chunk_id", "item_id", "ord"), ["item_id", "ord"])
+    found = S.cosines(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
+    occ = I.occurrences(items)
+    terms = X.distinctive_terms(asked, I.document_frequency(occ), items.count())
+    cands = X.candidates(found, cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, occ))
+    top = X.rerank_top(X.rerank_head(cands, M.head_size(8)), M.lexical_reranker, asked)
+    return X.blocks(cands, cut.select("item_id", "ord", "text"), items, top)
+
+
+@query()
+def stream_ingest(spark, sf_dir):
+    """All documents through the stream; the vault it leaves."""
+    import uuid
+
+    from granary.streaming.ingest import start, version
+
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    V.documents(spark, sf_dir).write.parquet(f"{path}/inbox")
+    schema = spark.read.parquet(f"{path}/inbox").schema
+    q = start(spark.readStream.schema(schema).parquet(f"{path}/inbox"), path)
+    q.awaitTermination()
+    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0) if q.recentProgress else -1
+    return version(spark, path, last).select("id", "title", "hash", "added_at")
