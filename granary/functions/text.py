@@ -124,7 +124,7 @@ def truncate_bytes(text: Column, most: int) -> Column:
     """The longest prefix of at most this many bytes, for texts of any script."""
     short = F.substring(text, 1, most)
     fits = F.filter(F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.length(text))), lambda k: F.substring(text, F.lit(1), k)), lambda p: F.octet_length(p) <= most)
-    return F.when(F.octet_length(short) <= most, short).otherwise(F.element_at(fits, -1))
+    return F.when(F.octet_length(short) <= most, short).otherwise(F.try_element_at(fits, F.lit(-1)))
 
 
 def first_line(text: Column) -> Column:
