@@ -243,10 +243,12 @@ def search_shard(k: int, trees: int, leaf: int, share: float, least: int, seed:
                     for i, place in enumerate(met):
                         first = np.argpartition(-place, wanted - 1)[:wanted] if wanted < len(base) else np.arange(len(base))
                         found = first[base_ids[first] != q_ids[lo + i]]
-                        score = base[found] @ q[lo + i]
+                        rough = base[found] @ q[lo + i]
                         if len(found) > k:
-                            bar = np.partition(score, len(score) - k)[len(score) - k]
-                            found, score = found[score >= bar], score[score >= bar]
+                            bar = np.partition(rough, len(rough) - k)[len(rough) - k]
+                            found = found[rough >= bar - 1e-9 * max(1.0, float(np.abs(rough).max()))]
+                        # summed in one order for every row, so that equal vectors tie
+                        score = (base[found] * q[lo + i]).sum(axis=1)
                         best = np.lexsort((base_ids[found], -score))[:k]
                         out.append((np.full(len(best), q_ids[lo + i]), base_ids[found][best], score[best]))
         if not out:
