@@ -120,17 +120,25 @@ def stems(term: Column) -> Column:
     return F.array_distinct(F.filter(options, lambda s: s.isNotNull()))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def truncate_bytes(text: Column, most: int) -> Column:
     """The longest prefix of at most this many bytes, for texts of any script."""
-    short = F.substring(text, 1, most)
-    fits = F.filter(F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.length(text))), lambda k: F.substring(text, F.lit(1), k)), lambda p: F.octet_length(p) <= most)
-    return F.when(F.octet_length(short) <= most, short).otherwise(F.try_element_at(fits, F.lit(-1)))
+
+    def cut(t: Column) -> Column:
+        fits = F.filter(F.transform(F.sequence(F.lit(0), F.length(t)), lambda k: F.substring(t, F.lit(1), k)), lambda p: F.octet_length(p) <= most)
+        return F.when(F.octet_length(t) <= most, t).otherwise(F.try_element_at(fits, F.lit(-1)))
+
+    return let(F.substring(text, 1, most), cut)
 
 
 def first_line(text: Column) -> Column:
     """The first line that isn't blank, trimmed; null if there is none."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
-    return F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1))
+    line = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?U)^\s*(\S[^\r\n]*)", 1)
+    return let(F.regexp_replace(line, r"(?U)\s+$", ""), lambda x: F.when(x != "", x))
 
 
 def text_title(text: Column) -> Column:

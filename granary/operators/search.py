@@ -23,14 +23,17 @@ def phrase_table(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
 
 
 def matched_terms(occ: DataFrame, parts: DataFrame) -> DataFrame:
-    """Occurrences that a phrase's term meets, exactly or as a prefix of the same length."""
-    exact = occ.join(F.broadcast(parts.where("not is_prefix").drop("is_prefix")), "term")
-    found = exact.select("query_id", "pos", "n", "j", "item_id", "field", "place")
+    """Occurrences that a phrase's term meets, exactly or as a prefix.
+
+    One pass: each occurrence is looked up by its term and by its beginnings of the
+    lengths that the queries' prefixes have.
+    """
+    keys = [F.struct(F.lit(False).alias("is_prefix"), F.col("term"))]
     for row in parts.where("is_prefix").select(F.length("term").alias("size")).distinct().collect():
-        some = parts.where(F.col("is_prefix") & (F.length("term") == row.size)).withColumnRenamed("term", "prefix")
-        met = occ.join(F.broadcast(some), F.substring("term", 1, row.size) == F.col("prefix"))
-        found = found.unionByName(met.select("query_id", "pos", "n", "j", "item_id", "field", "place"))
-    return found
+        keys.append(F.struct(F.lit(True).alias("is_prefix"), F.substring("term", 1, row.size).alias("term")))
+    keyed = occ.select("item_id", "field", "place", F.explode(F.array(*keys)).alias("key"))
+    keyed = keyed.select("item_id", "field", "place", "key.is_prefix", "key.term")
+    return keyed.join(F.broadcast(parts), ["is_prefix", "term"]).select("query_id", "pos", "n", "j", "item_id", "field", "place")
 
 
 def phrase_hits(occ: DataFrame, parts: DataFrame, title_weight: float = TITLE_WEIGHT) -> DataFrame:

@@ -70,11 +70,27 @@ bm AS (SELECT query_id, h.item_id, sum(greatest(ln((tot.n - df + 0.5::DOUBLE) /
 RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1"
 
 
+_held: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def held_index(spark, sf_dir):
+    """Items, occurrences and lengths of the documents, kept by the session for its later queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _held:
+        items = V.documents(spark, sf_dir)
+        _held[key] = (items, I.occurrences(items).persist(), I.lengths(items).persist())
+    return _held[key]
+
+
+def _occ(spark, sf_dir):
+    return held_index(spark, sf_dir)[1]
+
+
 def _keyword(spark, sf_dir, texts, limit):
-    items = V.documents(spark, sf_dir)
+    items, occ, lengths = held_index(spark, sf_dir)
     parts = S.phrase_table(spark, texts)
-    hits = S.phrase_hits(I.occurrences(items), parts)
-    scored = S.bm25(hits, I.lengths(items)).withColumn("score", F.round("score", 9))
+    hits = S.phrase_hits(occ, parts)
+    scored = S.bm25(hits, lengths).withColumn("score", F.round("score", 9))
     return items, parts, hits, S.top(scored, limit)
 
 
@@ -106,13 +122,13 @@ def kw_phrase_token(spark, sf_dir):
 
 @query(f"WITH {OCC} SELECT term, count(DISTINCT item_id) AS df FROM occ GROUP BY term")
 def term_df(spark, sf_dir):
-    return I.document_frequency(I.occurrences(V.documents(spark, sf_dir)))
+    return I.document_frequency(_occ(spark, sf_dir))
 
 
 @query(f"WITH {OCC} SELECT p AS prefix, count(DISTINCT item_id) AS df FROM occ JOIN (VALUES ('lic'), ('re'), ('über'), ('zz')) v(p) ON starts_with(term, p) GROUP BY p")
 def prefix_df(spark, sf_dir):
     wanted = spark.createDataFrame([("lic",), ("re",), ("über",), ("zz",)], "prefix string")
-    occ = I.occurrences(V.documents(spark, sf_dir)).select("term", "item_id").distinct()
+    occ = _occ(spark, sf_dir).select("term", "item_id").distinct()
     return occ.join(F.broadcast(wanted), F.col("term").startswith(F.col("prefix"))).groupBy("prefix").agg(F.countDistinct("item_id").alias("df"))
 
 
@@ -151,7 +167,7 @@ _STEMS = "list_distinct(list_filter([CASE WHEN ends_with(term, 'ies') AND strlen
 
 @query(f"WITH {OCC}, w AS (SELECT DISTINCT term FROM occ WHERE ends_with(term, 's')) SELECT term, array_to_string(list_sort({_STEMS}), ' ') AS stems FROM w")
 def stems(spark, sf_dir):
-    w = I.occurrences(V.documents(spark, sf_dir)).select("term").distinct().where(F.col("term").endswith("s"))
+    w = _occ(spark, sf_dir).select("term").distinct().where(F.col("term").endswith("s"))
     return w.select("term", F.array_join(F.array_sort(T.stems(F.col("term"))), " ").alias("stems"))
 
 
@@ -166,7 +182,7 @@ counted AS (SELECT query_id, count(*) AS n_terms, count(*) FILTER (EXISTS (SELEC
 @query(f"WITH {_PRESENT} SELECT q.query_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_present, 0) AS n_present, coalesce(n_terms, 0) >= 2 AND coalesce(n_present, 0) = 0 AS absent FROM q LEFT JOIN counted USING (query_id)")
 def absent_gate(spark, sf_dir):
     none = spark.createDataFrame([], "query_id long, cos double")
-    return S.absent(small(spark, QUESTIONS), I.occurrences(V.documents(spark, sf_dir)), none).drop("best_cosine")
+    return S.absent(small(spark, QUESTIONS), _occ(spark, sf_dir), none).drop("best_cosine")
 
 
 # ---------------------------------------------------------------- vectors
@@ -391,7 +407,7 @@ def doc_score_top3(spark, sf_dir):
 
 
 def _docfreq(spark, sf_dir):
-    return I.document_frequency(I.occurrences(V.documents(spark, sf_dir)))
+    return I.document_frequency(_occ(spark, sf_dir))
 
 
 TERMS = {1: "which released documents mention the estereo public license", 2: "erthwhing licensed under version 3"}
@@ -425,7 +441,7 @@ _DIGITS = "list_distinct(list_transform(list_filter(string_split_regex(txt, '{}'
 
 @query(f"WITH {OCC}, q(query_id, txt) AS (VALUES {values(PINNED.items())}), dt AS (SELECT query_id, unnest({_DIGITS}) AS term FROM q), m AS (SELECT DISTINCT query_id, term, item_id FROM dt JOIN occ USING (term)) SELECT query_id, term, item_id FROM m WHERE (SELECT count(*) FROM m x WHERE x.query_id = m.query_id AND x.term = m.term) <= 2")
 def digit_pins(spark, sf_dir):
-    return X.digit_pins(small(spark, PINNED), I.occurrences(V.documents(spark, sf_dir)))
+    return X.digit_pins(small(spark, PINNED), _occ(spark, sf_dir))
 
 
 @query(f"WITH {_CHUNKS}, hit AS (SELECT item_id, ord FROM ch WHERE contains(lower(txt), 'license')), near AS (SELECT DISTINCT item_id, ord + d AS ord FROM hit, (VALUES (-1), (0), (1)) v(d)) SELECT ch.item_id, ch.ord, sha256(txt) AS sha FROM ch JOIN near USING (item_id, ord)")
@@ -458,7 +474,7 @@ def expand_synonyms(spark, sf_dir):
 
 @query(f"WITH {_SYN} SELECT query_id, synonym, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS place FROM found WHERE synonym IN (SELECT term FROM voc)")
 def expand_synonyms_known(spark, sf_dir):
-    return X.expansions(small(spark, SYNONYM_ASKS), I.occurrences(V.documents(spark, sf_dir)))
+    return X.expansions(small(spark, SYNONYM_ASKS), _occ(spark, sf_dir))
 
 
 @query(f"""WITH {hits_sql(ASKED)}, r AS (SELECT *, {RANKED} AS rank FROM bm), g AS (SELECT r.query_id, min(CASE WHEN quality = 1 THEN rank END) AS first_good FROM r LEFT JOIN labels ON item_id = doc_id WHERE rank < 10 GROUP BY r.query_id)

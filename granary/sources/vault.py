@@ -19,8 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores: its few row groups would keep most of them idle. Large ones stay as they are read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     kind = F.lit("text")
     return d.select(
         F.col("doc_id").alias("id"),
@@ -70,7 +79,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Saved web pages: readable text below the address; the address is the identity."""
     from granary.sources.html import readable
 
-    p = table(spark, sf_dir, "pages").withColumn("page", readable(F.col("html")))
+    p = spread(table(spark, sf_dir, "pages")).withColumn("page", readable(F.col("html")))
     return p.select(
         (F.lit(WEB) + F.col("page_id")).alias("id"),
         F.coalesce("page.title", "url").alias("title"),
