@@ -84,6 +84,12 @@ def test_chunks_cover_all_words(parts):
     assert words == text.split()
 
 
+def test_chunks_by_headings():
+    body = " ".join(f"w{i}" for i in range(60))
+    assert C.chunk_by_headings(f"# One\n{body}\nTWO PARTS\n{body}") == [f"# One {body}", f"TWO PARTS {body}"]
+    assert C.is_heading("Work Experience 2019") and not C.is_heading("He went home.") and not C.is_heading("")
+
+
 def test_closed_form_is_the_rule(spark):
     texts = ["", " a\n\tb  c ", " ".join(f"w{i}" for i in range(333)), "x\n" * 181]
     rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
