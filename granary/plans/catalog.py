@@ -556,6 +556,62 @@ def harness_bm25(spark, sf_dir):
     return S.unit_bm25(units, asks).select("query_id", "item_id", F.round("score", 6).alias("score"))
 
 
+# ---------------------------------------------------------------- titles, parts of texts, derived tables
+
+
+@query(f"WITH {_ALL} SELECT id, title, array_to_string(tags, ',') AS tags FROM every")
+def item_titles(spark, sf_dir):
+    return V.items(spark, sf_dir).select("id", "title", F.array_join("tags", ",").alias("tags"))
+
+
+@query(rf"WITH {ITEMS} SELECT id, sha256(CASE WHEN len({_WORDS % 'content'}) <= 20 THEN '' ELSE regexp_replace(content, '^\s*(?:\S+\s+){{19}}\S+', '') END) AS sha FROM items")
+def skipped_words(spark, sf_dir):
+    return V.documents(spark, sf_dir).select("id", F.sha2(T.skip_words(F.col("content"), 20), 256).alias("sha"))
+
+
+@query(f"WITH {_CHUNKS}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0) SELECT item_id, count(*) AS chunks FROM ch WHERE item_id NOT IN (SELECT doc_id FROM gone WHERE doc_id IS NOT NULL) GROUP BY item_id")
+def delete_cascade(spark, sf_dir):
+    gone = V.table(spark, sf_dir, "labels").where("quality = 0").select(F.col("doc_id").alias("id")).distinct()
+    return G.delete(_chunks(spark, sf_dir), gone).groupBy("item_id").agg(F.count("*").alias("chunks"))
+
+
+@query(f"""WITH {_CHUNKS}, fresh AS (SELECT item_id, 0 AS ord, 'new' AS txt FROM (SELECT DISTINCT item_id FROM ch) WHERE item_id % 7 = 3)
+SELECT item_id, count(*) AS chunks, min(length(txt)) AS shortest FROM (SELECT * FROM ch WHERE item_id NOT IN (SELECT item_id FROM fresh) UNION ALL SELECT item_id, ord, txt FROM fresh) GROUP BY item_id""")
+def replaced_chunks(spark, sf_dir):
+    cut = _chunks(spark, sf_dir)
+    fresh = cut.select("item_id").distinct().where("item_id % 7 = 3").select("item_id", F.lit(0).alias("ord"), F.lit("new").alias("text"))
+    return G.replace_chunks(cut, fresh).groupBy("item_id").agg(F.count("*").alias("chunks"), F.min(F.length("text")).cast("long").alias("shortest"))
+
+
+@query(r"""WITH t AS (SELECT doc_id AS file, unnest(string_split_regex(lower("text"), '\s+')) AS word FROM documents), a AS (SELECT file, word, count(*) AS n FROM t WHERE word <> '' GROUP BY ALL)
+SELECT a.file, round(sum(least(a.n, coalesce(b.n, 0))) / sum(a.n), 6) AS accuracy FROM a LEFT JOIN a b ON b.file = a.file + 1 AND a.word = b.word GROUP BY a.file""")
+def word_accuracy(spark, sf_dir):
+    """Each text read as the next one: the accuracy measure over the whole table."""
+    from granary.sources.layout import word_accuracy as accuracy
+
+    d = V.spread(V.table(spark, sf_dir, "documents"))
+    got = accuracy(d.select(F.col("doc_id").alias("file"), "text"), d.select((F.col("doc_id") - 1).alias("file"), "text"))
+    return got.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH q(query_id, txt) AS (VALUES {values(QUESTIONS.items())}), v AS (SELECT DISTINCT unnest(regexp_extract_all(lower("text"), '[a-z0-9]+')) AS term FROM documents),
+t AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS term FROM q)
+SELECT query_id, count(*) AS n_content_terms, round(avg(CASE WHEN term IN (SELECT term FROM v WHERE term IS NOT NULL) THEN 1.0 ELSE 0 END), 6) AS rare_hit_frac FROM t WHERE length(term) >= 4 GROUP BY query_id""")
+def rare_hit_share(spark, sf_dir):
+    from granary.plans.evaluate import rare_hits
+
+    v = V.documents(spark, sf_dir).select(F.explode(T.ascii_tokens(F.col("content"))).alias("term"))
+    return rare_hits(small(spark, QUESTIONS), v, 4).withColumn("rare_hit_frac", F.round("rare_hit_frac", 6))
+
+
+@query(f"""WITH {hits_sql(ASKED)}, r AS (SELECT *, {RANKED} AS rank FROM bm) SELECT query_id, string_agg(title, ' ' ORDER BY rank) AS feedback FROM r JOIN items ON id = item_id WHERE rank < 3 GROUP BY query_id""")
+def feedback_titles(spark, sf_dir):
+    """Titles of the first three keyword hits, to be appended to the dense query."""
+    items, _, _, ranked = _keyword(spark, sf_dir, ASKED, 3)
+    t = ranked.join(items.select(F.col("id").alias("item_id"), "title"), "item_id").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "title"))).alias("t"))
+    return t.select("query_id", F.array_join(F.transform("t", lambda x: x["title"]), " ").alias("feedback"))
+
+
 # ---------------------------------------------------------------- queries that SQL can't tell
 
 
