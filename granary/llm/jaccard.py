@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import by_key, checkpoint, components, group_edges, hash_words, in_blocks, mix, rolling, row_blocks, seeds, text_buffers, unpack, window_starts
 
-BANDS, ROWS = 16, 2
+BANDS, ROWS = 24, 3
 CLUSTER_BLOCK = 1024
 
 
@@ -217,7 +217,7 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col
     Two documents link when 100 * intersection >= percent * union of their sets of
     ``width``-word n-grams, A-Z lower-cased; component_id is the smallest id that links
     reach. Each link is verified exactly. That sets meet at all has a chance: with s the
-    similarity, a pair is missed with chance (1 - s**ROWS)**BANDS, 2e-9 at 85 % and 8e-8
+    similarity, a pair is missed with chance (1 - s**ROWS)**BANDS, 1e-10 at 85 % and 3e-8
     at 80 %, and a component only if no other links hold it together.
 
     Null and empty texts have no n-grams and no links, and are their own component. A
