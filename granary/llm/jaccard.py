@@ -4,10 +4,9 @@ A document is the set of its word n-grams, held as 64-bit hashes and ordered by
 order for all documents. Equal sets are one class. Sets that may be similar are brought
 together by bands of minwise hashes: each order of a band puts one n-gram of a set first,
 and sets that agree on the first n-grams of a band's orders meet. In each such cluster the
-sets are stored in a trie; a set is joined with those stored before it by one walk that
-counts the overlap of a shared path once, leaves a subtree when the n-grams that remain
-cannot reach the required overlap, and leaves one whose sets are all linked with it
-already. Links are verified exactly.
+sets are stored in a trie; a set is joined with those stored in it by one walk that
+counts the overlap of a shared path once and leaves a subtree when the n-grams that remain
+cannot reach the required overlap. Links are verified exactly and all are counted.
 """
 
 from __future__ import annotations
@@ -76,7 +75,7 @@ def sketch(width: int):
 
 
 def member_sets(width: int):
-    """mapInArrow: (rep, cluster, f1, text) to (rep, cluster, grams)."""
+    """mapInArrow: (rep, cluster, f1, text, copies) to (rep, cluster, f1, copies, grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,164 +85,166 @@ def member_sets(width: int):
                 sets = shingle_sets(data, offsets[a : b + 1], width)
                 keep = [i for i, s in enumerate(sets) if len(s) and int(mix(s).sum().view(np.int64)) == wanted[a + i]]
                 at = pa.array([a + i for i in keep], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["rep", "cluster", "grams"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in (0, 1, 2, 4)), pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["rep", "cluster", "f1", "copies", "grams"])
 
     return run
 
 
 class Node:
-    __slots__ = ("any", "hi", "kids", "lo", "seg", "sets", "whole")
+    __slots__ = ("hi", "kids", "lo", "own", "seg", "table")
 
-    def __init__(self, seg: np.ndarray, which: int, size: int):
+    def __init__(self, seg: np.ndarray, size: int, own: int = -1):
         self.seg = seg
         self.kids: dict[int, Node] = {}
-        self.sets: list[int] = []
+        self.own = own  # the set that ends here
         self.lo = self.hi = size
-        self.any = which
-        self.whole = False  # all sets below are known to be of one component
+        self.table: tuple[list[Node], np.ndarray, np.ndarray, np.ndarray] | None = None
+
+    def below(self) -> tuple[list[Node], np.ndarray, np.ndarray, np.ndarray]:
+        """Kids, their segments end to end, where each begins, and rows (length, last, lo, hi, own, has kids)."""
+        if self.table is None:
+            kids = list(self.kids.values())
+            rows = np.array([(len(k.seg), k.seg[-1], k.lo, k.hi, k.own, len(k.kids) > 0) for k in kids], np.int64).T
+            self.table = kids, np.concatenate([k.seg for k in kids]), np.cumsum(rows[0]) - rows[0], rows
+        return self.table
 
 
 class Trie:
-    """Ordered sets on shared paths, with the components that links have made so far."""
+    """Ordered sets of small numbers on shared paths."""
 
     def __init__(self, percent: int):
         self.percent = percent
-        self.root = Node(np.zeros(0, np.uint64), -1, 0)
-        self.up: list[int] = []
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def add(self) -> int:
-        self.up.append(len(self.up))
-        return len(self.up) - 1
+        self.root = Node(np.zeros(0, np.int32), 0)
 
     def insert(self, x: np.ndarray, which: int) -> None:
         node, i, n = self.root, 0, len(x)
         while True:
+            node.table = None
             if i == n:
-                node.sets.append(which)
+                node.own = which
                 return
             kid = node.kids.get(int(x[i]))
             if kid is None:
-                leaf = Node(x[i:], which, n)
-                leaf.sets.append(which)
-                node.kids[int(x[i])] = leaf
+                node.kids[int(x[i])] = Node(x[i:], n, which)
                 return
             m = min(len(kid.seg), n - i)
             differs = np.flatnonzero(kid.seg[:m] != x[i : i + m])
             same = int(differs[0]) if len(differs) else m
             if same < len(kid.seg):  # the segment is parted where the sets part
-                upper = Node(kid.seg[:same], kid.any, n)
+                upper = Node(kid.seg[:same], n)
                 upper.lo, upper.hi = kid.lo, kid.hi
                 node.kids[int(x[i])] = upper
                 kid.seg = kid.seg[same:]
                 upper.kids[int(kid.seg[0])] = kid
                 kid = upper
-            kid.lo, kid.hi, kid.whole = min(kid.lo, n), max(kid.hi, n), False
+            kid.lo, kid.hi = min(kid.lo, n), max(kid.hi, n)
             node, i = kid, i + same
 
-    def link(self, x: np.ndarray, which: int) -> None:
-        """Joins set ``which`` with every stored set that is similar, by components."""
+    def links(self, x: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """All stored sets that are similar to x; ``mark`` tells which numbers x holds."""
         p, n = self.percent, len(x)
-        stack = [(self.root, 0, 0, 0)]
+        out = []
+        stack = [(self.root, 0, 0)] if self.root.kids else []
         while stack:
-            node, i, overlap, depth = stack.pop()
-            for kid in node.kids.values():
-                if kid.whole and self.find(kid.any) == self.find(which):
-                    continue
-                if 100 * min(n, kid.hi) < p * max(n, kid.lo):
-                    continue
-                seg, rest = kid.seg, x[i:]
-                at = np.searchsorted(rest, seg)
-                met = at < len(rest)
-                o = overlap + int(np.count_nonzero(rest[at[met]] == seg[met]))
-                d = depth + len(seg)
-                j = i + int(np.searchsorted(rest, seg[-1], side="right"))
-                # a set of size m below needs (100 + p) * overlap >= p * (n + m)
-                if (100 + p) * (o + min(n - j, kid.hi - d)) < p * (n + kid.lo):
-                    continue
-                if kid.sets and (100 + p) * o >= p * (n + d):
-                    for s in kid.sets:
-                        a, b = self.find(s), self.find(which)
-                        if a != b:
-                            self.up[max(a, b)] = min(a, b)
-                if kid.kids:
-                    stack.append((kid, j, o, d))
-                if not kid.whole and all(k.whole for k in kid.kids.values()):
-                    roots = {self.find(s) for s in kid.sets} | {self.find(k.any) for k in kid.kids.values()}
-                    kid.whole = len(roots) == 1
+            node, overlap, depth = stack.pop()
+            kids, flat, begin, (size, last, lo, hi, own, inner) = node.below()
+            o = overlap + np.add.reduceat(mark[flat], begin, dtype=np.int64)
+            d = depth + size
+            j = np.searchsorted(x, last, side="right")
+            # a set of size m below needs (100 + p) * overlap >= p * (n + m)
+            near = (100 * np.minimum(n, hi) >= p * np.maximum(n, lo)) & ((100 + p) * (o + np.minimum(n - j, hi - d)) >= p * (n + lo))
+            out.append(own[near & (own >= 0) & ((100 + p) * o >= p * (n + d))])
+            stack.extend((kids[k], int(o[k]), int(d[k])) for k in np.flatnonzero(near & (inner > 0)))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
 def join_cluster(percent: int):
-    """Of whole clusters, rows (u, v): links that span the components found."""
+    """Of whole clusters, rows (u, v, f1, links): each set's links, and the least set that they reach.
+
+    Links are in documents: each counts the copies of the set it leads to.
+    """
 
     def fn(table: pa.Table) -> pa.Table:
-        keys, reps, own, lo, hi, cluster = (table.column(c).to_numpy() for c in ("gkey", "rep", "own", "lo", "hi", "cluster"))
+        keys, reps, own, lo, hi, cluster, f1, copies = (table.column(c).to_numpy() for c in ("gkey", "rep", "own", "lo", "hi", "cluster", "f1", "copies"))
         blobs = table.column("grams")
         edges = group_edges(keys)
-        u: list[int] = []
-        v: list[int] = []
+        out: list[list[np.ndarray]] = [[], [], [], []]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             for c in np.unique(cluster[a:b]):
                 rows = np.arange(a, b)[cluster[a:b] == c]
-                _, first = np.unique(reps[rows], return_index=True)
-                rows = rows[first]  # by id; a repeated row is met once
-                trie = Trie(percent)
+                rows = rows[np.lexsort((f1[rows], reps[rows]))]
+                fresh = np.ones(len(rows), bool)
+                fresh[1:] = (reps[rows[1:]] != reps[rows[:-1]]) | (f1[rows[1:]] != f1[rows[:-1]])
+                rows = rows[fresh]  # by id; a repeated row is met once
                 across = lo[a] != hi[a]
-                order = [r for r in rows if own[r] == lo[a]] + [r for r in rows if across and own[r] == hi[a]]
-                for r in order:
-                    x = np.frombuffer(blobs[int(r)].as_py(), np.uint64)
-                    which = trie.add()
-                    if not across or own[r] == hi[a]:
-                        trie.link(x, which)
+                sets = [np.frombuffer(blobs[int(r)].as_py(), np.uint64) for r in rows]
+                size = np.array([len(x) for x in sets])
+                every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                sets = np.split(flat.astype(np.int32), np.cumsum(size)[:-1])
+                trie, mark = Trie(percent), np.zeros(len(every), bool)
+                for i, r in enumerate(rows):
                     if not across or own[r] == lo[a]:
-                        trie.insert(x, which)
-                for i, r in enumerate(order):
-                    if trie.find(i) != i:
-                        u.append(int(reps[r]))
-                        v.append(int(reps[order[trie.find(i)]]))
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+                        trie.insert(sets[i], i)
+                weight, links, least = copies[rows], np.zeros(len(rows), np.int64), np.arange(len(rows))
+                for i, r in enumerate(rows):
+                    if across and own[r] == lo[a]:
+                        continue
+                    mark[sets[i]] = True
+                    found = trie.links(sets[i], mark)
+                    mark[sets[i]] = False
+                    found = found if across else found[found < i]  # a pair is met once
+                    if len(found):
+                        links[i] += weight[found].sum()
+                        links[found] += weight[i]
+                        joined = np.unique(least[np.append(found, i)])
+                        if len(joined) > 1:
+                            least[np.isin(least, joined)] = joined[0]
+                some = np.flatnonzero(links)
+                for column, values in zip(out, (reps[rows[some]], reps[rows[least[some]]], f1[rows[some]], links[some]), strict=True):
+                    column.append(values)
+        return pa.table({k: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for k, x in zip(("u", "v", "f1", "links"), out, strict=True)})
 
     return fn
 
 
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``.
+    """Rows (doc_id, n_shingles, component_id, n_links), one for each row of ``docs``.
 
     Two documents link when 100 * intersection >= percent * union of their sets of
     ``width``-word n-grams, A-Z lower-cased; component_id is the smallest id that links
-    reach. Each link is verified exactly. That sets meet at all has a chance: with s the
+    reach, and n_links the number of documents that link with one, copies among them. Each link is verified exactly. That sets meet at all has a chance: with s the
     similarity, a pair is missed with chance (1 - s**ROWS)**BANDS, 1e-10 at 85 % and 3e-8
     at 80 %, and a component only if no other links hold it together.
 
     Null and empty texts have no n-grams and no links, and are their own component. A
     null id has a null component and links with nothing. Copies are one class, however
-    many. A cluster over CLUSTER_BLOCK different sets is joined block by block in separate
+    many. Rows that repeat an id with the same text are one document; with another text they
+    are documents apart that share a component. A cluster over CLUSTER_BLOCK different sets is joined block by block in separate
     tasks. Extra columns are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     drawn = checkpoint(rows.mapInArrow(sketch(width), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     sets = drawn.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    sets = checkpoint(sets)
+    copies = drawn.where("n > 0 and doc_id is not null").select("f1", "f2", "doc_id").distinct().groupBy("f1", "f2").agg(F.count("*").alias("copies"))
+    sets = checkpoint(sets.join(copies, ["f1", "f2"]))
     keys = sets.select("rep", F.explode("bands").alias("band"))
     meet = keys.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
     near = components(keys.join(meet, "band").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
-    clusters = checkpoint(near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "f1"), "rep"))
+    clusters = checkpoint(near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "f1", "copies"), "rep"))
     hot = checkpoint(clusters.groupBy("cluster").count().where(F.col("count") > CLUSTER_BLOCK).select("cluster", F.ceil(F.col("count") / CLUSTER_BLOCK).cast("int").alias("blocks")))
-    members = clusters.join(rows, clusters["rep"] == rows["doc_id"]).select("rep", "cluster", "f1", "text")
-    members = members.mapInArrow(member_sets(width), "rep long, cluster long, grams binary")
+    members = clusters.join(rows, clusters["rep"] == rows["doc_id"]).select("rep", "cluster", "f1", "text", "copies")
+    members = members.mapInArrow(member_sets(width), "rep long, cluster long, f1 long, copies long, grams binary")
     blocked = in_blocks(members, "cluster", "rep", hot)
-    links = by_key(blocked, "gkey").mapInArrow(unpack(join_cluster(percent), "gkey"), "u long, v long")
-    roots = components(links).select(F.col("node").alias("rep"), "component")
-    classes = sets.select("f1", "f2", "rep").join(roots, "rep", "left").select("f1", "f2", F.coalesce("component", "rep").alias("component_id"))
+    links = checkpoint(by_key(blocked, "gkey").mapInArrow(unpack(join_cluster(percent), "gkey"), "u long, v long, f1 long, links long"))
+    counted = links.groupBy(F.col("u").alias("rep"), "f1").agg(F.sum("links").alias("links"))
+    roots = components(links.select("u", "v")).select(F.col("node").alias("rep"), "component")
+    classes = sets.select("f1", "f2", "rep", "copies").join(roots, "rep", "left").join(counted, ["rep", "f1"], "left")
+    classes = classes.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     out = drawn.drop("bands").withColumn("own", F.when(F.col("n") > 0, F.col("f1")))
     out = out.join(classes.withColumnsRenamed({"f1": "own", "f2": "_f2"}), ["own"], "left").where(F.col("_f2").isNull() | (F.col("f2") == F.col("_f2")))
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), n_links.alias("n_links"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,7 +263,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
-    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("n_links")
 
 
 OP3_SQL = r"""

@@ -212,6 +212,21 @@ def test_jaccard(spark, corpus, monkeypatch, width, percent, block):
     assert kept.where("doc_id is null").count() == 1
 
 
+@pytest.mark.parametrize("block", [1024, 3])
+def test_jaccard_counts_all_links(spark, corpus, monkeypatch, block):
+    """Groups of near copies and of exact copies: each link is counted, also between sets of one component."""
+    monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", block)
+    rng = random.Random(11)
+    words = corpus[40][1].split() + prose(rng, 120).split()
+    edited = [(500 + k, " ".join(w if rng.random() > 0.015 else f"changed{k}" for w in words), "s0") for k in range(40)]
+    rows = [r for r in corpus if r[0] not in (405,)] + edited + [(600 + k, edited[3][1], "s1") for k in range(5)]
+    sets = {i: grams(t, 4) for i, t, _ in rows if i is not None}
+    want = {i: sum(j != i and linked(sets[i], sets[j], 85) for j in sets) for i in sets}
+    assert max(want.values()) > 8 and len(set(want.values())) > 4
+    got = {(r.doc_id, r.n_links) for r in jaccard.similar_documents(documents(spark, rows)).collect()}
+    assert got == set(want.items()) | {(None, 0)}
+
+
 def test_repeats(spark, corpus):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in repeats.remove_repeats(documents(spark, corpus)).collect()}
     first = {}
