@@ -1,7 +1,10 @@
 """Packing documents into sequences by lexical retrieval.
 
-Documents are dealt into shards. Each shard keeps a BM25 inverted index of its unused
-documents, with document frequencies of the whole corpus. A seed document opens a window;
+Documents are dealt into shards by content: two weighted minwise hashes draw words of each
+text, by the words' weights, and documents that draw the same word first share a shard; a
+word that too many draw is parted by the second draw, and what is still too large by a
+hash of the rows. Each shard keeps a BM25 inverted index of its unused documents, with
+document frequencies of the whole corpus; retrieval stays within it. A seed document opens a window;
 when it ends inside, its best unused neighbours follow, and the one that overflows is cut
 and opens the next window as the new seed. Only the last window of a shard can stay short;
 it is cut into sequences whose lengths are powers of two, which need no padding.
@@ -17,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, row_blocks, text_buffers, unpack
+from .common import HOT_KEYS, checkpoint, hash_words, mix, row_blocks, seeds, text_buffers, unpack
 
 SHARD_DOCS = 1024
 SHARD_BYTES = 16 << 20
+GROUPS = 8
 SLOTS = 1 << 18
 SLICES = 16
 END_ID = 1
@@ -142,6 +146,48 @@ def order_of(index: Index, lengths: np.ndarray, window: int) -> list[int]:
     return out
 
 
+def draws(stats, n: int):
+    """mapInArrow: (doc_id, text) with columns m1 and m2 added: the words that a text draws, 0 where it has none."""
+    salts = seeds(2, 41)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = stats.value
+        weight = np.log1p((n - df + 0.5) / (df + 0.5))
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(1))
+            drawn = np.zeros((2, batch.num_rows), np.float64)
+            for a, b in row_blocks(offsets):
+                h, counts = hash_words(data, offsets[a : b + 1], lower=True)
+                some = np.flatnonzero(counts)
+                if len(some):
+                    begin = (np.cumsum(counts) - counts)[some]
+                    w = weight[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
+                    for k, salt in enumerate(salts):
+                        u = ((mix(h ^ salt) >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53
+                        drawn[k, a + some] = np.minimum.reduceat(-np.log(u) / w, begin)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(m.view(np.int64)) for m in drawn)], ["doc_id", "text", "m1", "m2"])
+
+    return run
+
+
+def deal(rows: DataFrame, stats, n: int, shards: int) -> DataFrame:
+    """Rows (doc_id, text) with a column shard: those that draw the same word share one, unless they are too many.
+
+    A group is too large over one part in GROUPS of a shard's documents or bytes.
+    """
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    drawn = rows.mapInArrow(draws(stats, n), "doc_id long, text string, m1 long, m2 long")
+    counts = checkpoint(drawn.groupBy("m1", "m2").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")))
+    parts = F.ceil(F.greatest(F.col("n") * F.lit(GROUPS / SHARD_DOCS), F.col("bytes") * F.lit(GROUPS / SHARD_BYTES)))
+    first = counts.groupBy("m1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where(parts > 1).select("m1", F.lit(True).alias("hot"))
+    second = counts.where(parts > 1).select("m1", "m2", parts.cast("long").alias("parts"))
+    for keys, table in ((["m1"], checkpoint(first)), (["m1", "m2"], checkpoint(second))):
+        drawn = drawn.join(F.broadcast(table) if table.count() <= HOT_KEYS else table, keys, "left")
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.coalesce("parts", F.lit(1)))
+    group = F.when(F.col("hot"), F.xxhash64("m1", "m2", part)).otherwise(F.xxhash64("m1"))
+    return drawn.select("doc_id", "text", F.pmod(group, F.lit(shards)).cast("long").alias("shard"))
+
+
 def lay(order: list[int], ids: list[np.ndarray], window: int) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of documents laid end to end."""
     total = sum(len(ids[d]) for d in order)
@@ -202,8 +248,7 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k.js
         edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
         return pa.concat_tables([fn(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("long"))
-    dealt = dealt.repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
+    dealt = deal(rows, stats, n, shards).repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(unpack(each, "shard"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 

@@ -282,6 +282,19 @@ def test_packing(spark, corpus):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_deals_by_content(spark, monkeypatch):
+    """Near copies share a shard wherever it can hold them, and a large group of copies is spread."""
+    monkeypatch.setattr(packing, "SHARD_DOCS", 32)
+    rng = random.Random(13)
+    base = [" ".join(f"v{rng.randrange(20_000)}" for _ in range(100)) for _ in range(150)]
+    rows = [(i, t, "s") for i, t in enumerate(base)] + [(1000 + i, f"{t} tail{i}", "s") for i, t in enumerate(base)]
+    rows += [(2000 + i, base[0] + " copied", "s") for i in range(300)] + [(3000, None, "s"), (3001, " ", "s")]
+    shard = {p.doc_id: p.sequence_id >> 32 for p in packing.pack(documents(spark, rows)).collect()}
+    assert len(shard) == len(rows)
+    assert np.mean([shard[i] == shard[1000 + i] for i in range(1, 150)]) > 0.7
+    assert max(collections.Counter(shard.values()).values()) <= 4 * 32
+
+
 def test_packing_takes_the_nearest_first():
     import pyarrow as pa
 
