@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, rolling, row_blocks, shuffle_width, text_buffers, text_bytes, window_starts
+from .common import hash_words, rolling, row_blocks, shuffle_width, text_buffers, text_bytes, window_starts
 
 BUCKET_BYTES = 16 << 20
 _RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("len", "<i4")])
@@ -83,16 +83,6 @@ def seeds_of(doc: np.ndarray, tag: np.ndarray, data: np.ndarray, offsets: np.nda
     return runs, window, known
 
 
-def short(window: np.ndarray) -> bytes:
-    """48 bits of each hash: beside their anchors' 64 they tell windows apart."""
-    return (window >> np.uint64(32)).astype("<u4").tobytes() + ((window >> np.uint64(16)) & np.uint64(0xFFFF)).astype("<u2").tobytes()
-
-
-def long(blob: bytes) -> np.ndarray:
-    n = len(blob) // 6
-    return (np.frombuffer(blob, "<u4", n).astype(np.uint64) << np.uint64(32)) | (np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(16))
-
-
 def ship(width: int, gram: int, buckets: int):
     """mapInArrow: rows (doc_id, tag, text) to rows (bucket, runs, windows, gone)."""
 
@@ -121,7 +111,7 @@ def ship(width: int, gram: int, buckets: int):
                         cell = rows.setdefault(int(k), [b"", b"", b""])
                         cell[slot] = sorted_part[i:j].tobytes()
                         if slot == 0:
-                            cell[1] = short(flat[ends[i] : ends[j]])
+                            cell[1] = flat[ends[i] : ends[j]].tobytes()
                 if rows:
                     cells = list(zip(*rows.values(), strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "runs", "windows", "gone"])
@@ -134,17 +124,17 @@ def meet(width: int):
 
     def settle(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
         runs = np.frombuffer(b"".join(p[0] for p in parts), _RUN)
-        window = np.concatenate([long(p[1]) for p in parts])
+        window = np.frombuffer(b"".join(p[1] for p in parts), "<u8")
         found = [np.frombuffer(b"".join(p[2] for p in parts), _SPAN)]
         parts.clear()
         if len(runs):
             run = np.repeat(np.arange(len(runs), dtype=np.int32), runs["len"])
-            window += mix(runs["anchor"])[run]
             order = np.argsort(window, kind="stable")
             sorted_w, sorted_run = window[order], run[order]
+            anchor = runs["anchor"][sorted_run]
             head = np.empty(len(order), bool)
             head[0] = True
-            head[1:] = sorted_w[1:] != sorted_w[:-1]
+            head[1:] = (sorted_w[1:] != sorted_w[:-1]) | (anchor[1:] != anchor[:-1])
             first = np.flatnonzero(head)
             doc = runs["doc"][sorted_run]
             least = np.minimum.reduceat(doc, first)

@@ -243,6 +243,22 @@ def test_repeats(spark, corpus):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+def test_repeats_compare_all_bits_of_a_window(monkeypatch):
+    """Windows of one anchor whose hashes differ in their last 16 bits alone are told apart."""
+    import pyarrow as pa
+
+    real = repeats.rolling
+    monkeypatch.setattr(repeats, "rolling", lambda h, k, *base: real(h, k, *base) & np.uint64(0xFFFF if k == 50 else 0))
+    rng = random.Random(17)
+    one, two = prose(rng, 55), prose(rng, 55)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 1]), pa.array([one, two, one])], ["id", "tag", "text"])
+    gone = [i for b in repeats.meet(50)(repeats.ship(50, 10, 1)(iter([batch]))) for i in b.column("id").to_pylist()]
+    assert gone == [3]
+    apart = [batch.slice(k, 1) for k in range(3)]
+    gone = [i for b in repeats.meet(50)(repeats.ship(50, 10, 1)(iter(apart))) for i in b.column("id").to_pylist()]
+    assert gone == [3]
+
+
 def test_token_counts(spark, corpus):
     import public_tokenizers
     import sentencepiece
