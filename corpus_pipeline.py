@@ -41,11 +41,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that sources meet their target weights; copies keep their id."""
-    drawn = mix_sources(docs).where("copies > 0 and doc_id is not null").groupBy("doc_id", "source").agg(F.max("copies").alias("copies"))
-    drawn = drawn.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    taken = docs.join(drawn, (docs["doc_id"] == drawn["_id"]) & docs["source"].eqNullSafe(drawn["_source"]))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Repeats or drops documents so that sources meet their target weights; copies keep their id.
+
+    Copies are drawn row by row: documents with a null id take part like any other, and keep it.
+    """
+    drawn = mix_sources(docs, carry=COLUMNS).where("copies > 0")
+    return drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("carried.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

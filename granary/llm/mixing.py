@@ -64,17 +64,20 @@ def mix_sources(
     most: float = 2.0,
     offset: float = 0.6180339887498949,
     cell_rows: int = 2_000,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of each document in the mix: (id, size, source_size, target, copies, taken).
 
     ``offset`` is the one random offset in [0, 1), fixed so that reruns agree. Texts that
     are null or without words have size 0: they may be drawn but take no words. A null
     source is a source of its own, last in order. A null id is sampled like any other.
-    Equal rows are drawn as separate documents. Extra columns of ``docs`` are ignored. An
-    empty table gives an empty result.
+    Equal rows are drawn as separate documents. Extra columns of ``docs`` are ignored,
+    but those named in ``carry`` come along in a last column, the struct ``carried``. An empty
+    table gives an empty result.
     """
+    row = [F.struct(*carry).alias("carried")] if carry else []
     sized = checkpoint(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), *row)
         .withColumn("class", size_class(F.col("size")))
         .withColumn("h", order_hash(F.col("doc_id")))
     )
@@ -88,13 +91,13 @@ def mix_sources(
     up_to = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "class", "slice", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
     cells = look_up(cells, goals, "source")
-    ranked = placed.withColumn("row", F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size")))
+    ranked = placed.withColumn("row", F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))))
     ranked = look_up(ranked, cells, "source", "class", "slice")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("before") + F.col("row")
     copies = F.floor(rank * rate + F.lit(offset)) - F.floor((rank - 1) * rate + F.lit(offset))
     out = ranked.withColumn("copies", copies.cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["carried"] if carry else []))
 
 
 def look_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:

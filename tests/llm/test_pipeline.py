@@ -46,5 +46,19 @@ def test_stages(spark):
     assert all(r["sum(length)"] == tokens[r.doc_id] * copies[r.doc_id] for r in whole) and len(whole) == len(copies)
 
 
+def test_mixture_keeps_rows_without_an_id(spark):
+    rows = [(None if k % 4 == 0 else k // 2, f"{'word ' * (k % 7)}text {k}", "en", f"s{k % 3}" if k % 5 else None, 9) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = P.mixture(spark, docs, DATA)
+    assert mixed.columns == docs.columns
+    got = [tuple(r) for r in mixed.collect()]
+    assert set(got) <= set(rows) and any(r[0] is None for r in got)
+    words = collections.Counter()
+    for r in got:
+        words[r[3]] += len(r[1].split())
+    want = {r.source: r.taken for r in P.mix_sources(docs).groupBy("source").sum("taken").withColumnRenamed("sum(taken)", "taken").collect()}
+    assert dict(words) == want
+
+
 def test_run(spark):
     assert P.run(spark, DATA).count() > 0
