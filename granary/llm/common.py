@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is also wh
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -15,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
+LONG_BYTES = 4 << 20
+LONG_WORDS = 1 << 20
 
 _U = np.uint64
 
@@ -83,8 +86,31 @@ def row_blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[i
         at = to
 
 
+def pieces(data: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Offsets of parts of a long text of about LONG_BYTES, cut after a space; a longer word stays whole."""
+    cuts = [a]
+    while b - cuts[-1] > LONG_BYTES:
+        at = cuts[-1] + LONG_BYTES
+        while at < b:
+            spaces = np.flatnonzero(_SPACE[data[at : min(at + LONG_BYTES, b)]])
+            if len(spaces):
+                at += int(spaces[0]) + 1
+                break
+            at = min(at + LONG_BYTES, b)
+        cuts.append(at)
+    return np.array(cuts if cuts[-1] == b else [*cuts, b], np.int64)
+
+
 def hash_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words of each row."""
+    """Hashes of all words in order, and the number of words of each row.
+
+    Rows of over LONG_BYTES are read in parts, so that memory beside the hashes is bounded.
+    """
+    if len(offsets) == 2 and offsets[1] - offsets[0] > LONG_BYTES:
+        cuts = pieces(data, int(offsets[0]), int(offsets[1]))
+        if len(cuts) > 2:
+            h = np.concatenate([hash_words(data, cuts[k : k + 2], lower)[0] for k in range(len(cuts) - 1)])
+            return h, np.array([len(h)])
     base = offsets[0]
     b = data[base : offsets[-1]]
     rel = offsets - base
@@ -111,6 +137,8 @@ def rolling(h: np.ndarray, k: int, base: int = 0xA24BAED4963EE407) -> np.ndarray
     """Hashes of every k consecutive entries: len(h) - k + 1 of them, over row ends too."""
     if len(h) < k:
         return np.zeros(0, _U)
+    if len(h) > LONG_WORDS + k:  # a hash does not depend on where its entries stand
+        return np.concatenate([rolling(h[a : a + LONG_WORDS + k - 1], k, base) for a in range(0, len(h) - k + 1, LONG_WORDS)])
     up, down = powers(len(h), base)
     total = np.zeros(len(h) + 1, _U)
     np.cumsum(h * up, out=total[1:])
@@ -127,15 +155,43 @@ def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return begin[rows] + within, rows
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage with files in the folder of spark.checkpoint.dir; sets a folder only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, one of this machine's, which only a local master may use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="granary-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def release() -> None:
+    """Gives memory that was freed back to the machine: workers live on, and the next task may need none of it."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that releases its task's memory at the end."""
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return released
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -177,6 +233,25 @@ def group_edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+HUB = 1000
+HUBS = 20_000
+
+
+def with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """Rows (u, v) with m, the least v of each u.
+
+    The rows of a hub, a u with more than HUB rows and more than 2 / HUBS of all, stay
+    where they are: its least comes by a broadcast, of HUBS rows at most.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = checkpoint(least.where(F.col("n") > max(HUB, 2 * rows // HUBS)).select("u", "m"))
+    if hubs.isEmpty():
+        return pairs.join(least.drop("n"), "u")
+    marked = pairs.join(F.broadcast(hubs), "u", "left")
+    rest = marked.where(F.col("m").isNull()).drop("m")
+    return marked.where(F.col("m").isNotNull()).unionByName(rest.join(rest.groupBy("u").agg(F.min("v").alias("m")), "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component) for nodes that have an edge.
 
@@ -193,12 +268,9 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        e = checkpoint(
-            large.join(small, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        )
+        large = with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        small = with_least(checkpoint(large), before[0])
+        e = checkpoint(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         now = state(e)
         if now == before:
             break

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, checkpoint, hash_words, mix, row_blocks, seeds, text_buffers, unpack
+from .common import HOT_KEYS, checkpoint, hash_words, lean, mix, row_blocks, seeds, text_buffers, unpack
 
 SHARD_DOCS = 1024
 SHARD_BYTES = 16 << 20
@@ -85,7 +85,7 @@ def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int, float]:
         summed = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
         return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([summed.tobytes()], pa.binary())})
 
-    rows = docs.select(text).mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()
+    rows = docs.select(text).mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()
     parts = {r.slice: np.frombuffer(bytes(r.counts), np.int64) for r in rows}
     if not parts:
         return np.zeros(SLOTS, np.int64), 0, 0.0
@@ -176,7 +176,7 @@ def deal(rows: DataFrame, stats, n: int, shards: int) -> DataFrame:
     A group is too large over one part in GROUPS of a shard's documents or bytes.
     """
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    drawn = rows.mapInArrow(draws(stats, n), "doc_id long, text string, m1 long, m2 long")
+    drawn = rows.mapInArrow(lean(draws(stats, n)), "doc_id long, text string, m1 long, m2 long")
     counts = checkpoint(drawn.groupBy("m1", "m2").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")))
     parts = F.ceil(F.greatest(F.col("n") * F.lit(GROUPS / SHARD_DOCS), F.col("bytes") * F.lit(GROUPS / SHARD_BYTES)))
     first = counts.groupBy("m1").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where(parts > 1).select("m1", F.lit(True).alias("hot"))
@@ -249,7 +249,7 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k.js
         return pa.concat_tables([fn(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
     dealt = deal(rows, stats, n, shards).repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
-    return dealt.mapInArrow(unpack(each, "shard"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(lean(unpack(each, "shard")), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:

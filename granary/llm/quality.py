@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, row_blocks, text_buffers
+from .common import hash_words, lean, row_blocks, text_buffers
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 2000
@@ -233,7 +233,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *(pa.array(b, pa.binary()) for b in blobs)], ["_id", "y", "x", "size"])
 
     kind = labels.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(measure, f"_id {kind}, y int, x binary, size binary").orderBy("_id", "x").limit(sample_docs).collect()
+    got = rows.mapInArrow(lean(measure), f"_id {kind}, y int, x binary, size binary").orderBy("_id", "x").limit(sample_docs).collect()
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_FEATURES)
     size = np.frombuffer(b"".join(r["size"] for r in got), np.float32)
     return fit(x, size, np.array([len(r["size"]) // 4 for r in got], np.int64), np.array([r.y for r in got]))
@@ -255,7 +255,7 @@ def score(docs: DataFrame, field: Field, text: str = "text", column: str = "scor
             x, size, n = batch_features(batch.column(where))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(field.score(x, size, n))], [*names, "score"])
 
-    return docs.toDF(*names).mapInArrow(run, f"{fields}, score double").toDF(*docs.columns, column)
+    return docs.toDF(*names).mapInArrow(lean(run), f"{fields}, score double").toDF(*docs.columns, column)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

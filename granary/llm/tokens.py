@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 MARK = "▁"
 CACHE = 300_000
 
@@ -126,7 +128,7 @@ def count_tokens(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model",
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), size.alias("n_bytes"))
-    out = rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(lean(run), f"doc_id {kind}, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
 
 
