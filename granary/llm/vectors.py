@@ -6,14 +6,17 @@ either. Components count as doubles.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpoint, components, group_edges, in_blocks, mix, unpack
+from .common import HOT_KEYS, by_key, checkpoint, components, group_edges, in_blocks, lean, mix, unpack
 
 BLOCK_ROWS = 1024
 
@@ -33,15 +36,30 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndar
     return [(rows, flat[(begin[rows][:, None] + np.arange(d))]) for d in np.unique(sizes) for rows in [np.flatnonzero(sizes == d)]]
 
 
-def hyperplane_plan(rows: int, threshold: float, recall: float, bucket: int = 16) -> tuple[int, int]:
+def hyperplane_plan(rows: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
     """Bits a table and tables, for buckets of about ``bucket`` rows and this recall at the threshold."""
     bits = min(max(4, round(math.log2(max(2, rows / bucket)))), 24)
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def sign(bits: int, tables: int, seed: int):
-    """mapInArrow: classes (rep, n, label, vec) to one row a table: (key, grp, tab, rep, n, codes, vec)."""
+def width_of(vectors: DataFrame, vector: str) -> str:
+    """How components travel: four bytes where the column holds floats, else eight."""
+    return "<f4" if "array<float>" in vectors.schema[vector].dataType.simpleString() else "<f8"
+
+
+def planes(dim: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    """The hyperplanes of all tables, table by table, as columns."""
+    return np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+
+
+def codes_of(x: np.ndarray, normals: np.ndarray, bits: int) -> np.ndarray:
+    """The signs of some rows at the hyperplanes, as one number a table."""
+    return ((x @ normals > 0).reshape(len(x), -1, bits) @ (1 << np.arange(bits))).astype(np.uint32)
+
+
+def sign(bits: int, tables: int, seed: int, kind: str):
+    """mapInArrow: classes (rep, n, label, vec) to one row a table: (key, grp, tab, rep, n, vec)."""
 
     def run(batches):
         for batch in batches:
@@ -49,16 +67,14 @@ def sign(bits: int, tables: int, seed: int):
                 continue
             rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for rows, x in matrix(batch.column(3)):
-                planes = np.random.default_rng([seed, x.shape[1]]).standard_normal((x.shape[1], tables * bits))
-                code = ((x @ planes > 0).reshape(len(rows), tables, bits) @ (1 << np.arange(bits))).astype("<u4")
+                code = codes_of(x, planes(x.shape[1], bits, tables, seed), bits)
                 grp = mix(label[rows].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x.shape[1]))
                 key = mix(grp[:, None] + (np.arange(tables, dtype=np.uint64) << np.uint64(32))[None, :] + code.astype(np.uint64)).view(np.int64)
-                codes = pa.array([c.tobytes() for c in code], pa.binary())
-                vecs = pa.array([v.tobytes() for v in x], pa.binary())
+                vecs = pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
                 for t in range(tables):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[:, t]), pa.array(grp.view(np.int64)), pa.array(np.full(len(rows), t, np.int32)), pa.array(rep[rows]), pa.array(n[rows]), codes, vecs],
-                        ["key", "grp", "tab", "rep", "n", "codes", "vec"],
+                        [pa.array(key[:, t]), pa.array(grp.view(np.int64)), pa.array(np.full(len(rows), t, np.int32)), pa.array(rep[rows]), pa.array(n[rows]), vecs],
+                        ["key", "grp", "tab", "rep", "n", "vec"],
                     )
 
     return run
@@ -78,12 +94,15 @@ def flood(near: np.ndarray) -> np.ndarray:
     return label
 
 
-def verify(threshold: float):
-    """Of whole buckets, rows (rep, n, root): links first found here, and a spanning set of them."""
+def verify(threshold: float, bits: int, tables: int, seed: int, kind: str):
+    """Of whole buckets, rows (rep, n, root): links first found here, and a spanning set of them.
+
+    Whether a pair met in an earlier table is told by its signs there, drawn anew for the
+    few rows that have links at all.
+    """
 
     def fn(table: pa.Table) -> pa.Table:
         col = {c: table.column(c).to_numpy() for c in ("gkey", "grp", "tab", "rep", "n", "own", "lo", "hi")}
-        codes = table.column("codes").to_pylist()
         vecs = table.column("vec").to_pylist()
         edges = group_edges(col["gkey"])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -93,7 +112,7 @@ def verify(threshold: float):
             t = int(col["tab"][a])
             for grp in np.unique(col["grp"][a:b]):
                 rows = np.arange(a, b)[col["grp"][a:b] == grp]
-                x = np.frombuffer(b"".join(vecs[i] for i in rows), "<f8").reshape(len(rows), -1)
+                x = np.frombuffer(b"".join(vecs[i] for i in rows), kind).reshape(len(rows), -1).astype(np.float64)
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
                 near = x @ x.T >= threshold * norm[:, None] * norm[None, :]
                 np.fill_diagonal(near, False)
@@ -105,7 +124,7 @@ def verify(threshold: float):
                     continue
                 near = near[np.ix_(linked, linked)]
                 rows = rows[linked]
-                c = np.frombuffer(b"".join(codes[i] for i in rows), "<u4").reshape(len(rows), -1)
+                c = codes_of(x[linked], planes(x.shape[1], bits, tables, seed)[:, : t * bits], bits) if t else None
                 rep, n = col["rep"][rows], col["n"][rows]
                 label = flood(near)
                 least = np.full(len(rows), np.iinfo(np.int64).max)
@@ -141,11 +160,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
     classes = checkpoint(rows.where("ok").groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     bits, tables = hyperplane_plan(most, threshold, recall)
-    schema = "key long, grp long, tab int, rep long, n long, codes binary, vec binary"
-    signed = classes.select("rep", "n", "label", "vec").mapInArrow(sign(bits, tables, seed), schema)
+    kind = width_of(vectors, vector)
+    schema = "key long, grp long, tab int, rep long, n long, vec binary"
+    signed = classes.select("rep", "n", "label", "vec").mapInArrow(lean(sign(bits, tables, seed, kind)), schema)
     hot = checkpoint(signed.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")))
     blocked = in_blocks(signed, "key", "rep", hot).drop("key")
-    met = by_key(blocked, "gkey").mapInArrow(unpack(verify(threshold), "gkey"), "rep long, n long, root long")
+    met = by_key(blocked, "gkey").mapInArrow(lean(unpack(verify(threshold, bits, tables, seed, kind), "gkey")), "rep long, n long, root long")
     met = checkpoint(met.groupBy("rep", "root").agg(F.sum("n").alias("n")))
     links = met.groupBy("rep").agg(F.sum("n").alias("links"))
     roots = components(met.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("rep"), "component")
@@ -157,75 +177,120 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, recall: float =
 
 
 class Forest:
-    """Random-projection trees over the rows of a matrix.
+    """Random-projection trees over the rows of a matrix, searched through one priority queue.
 
     Each inner node draws lines between pairs of its rows and splits at the median along
-    the one on which they spread most. All trees are full and equally deep, so nodes are
-    stored level by level; leaf_of has the leaf of each row in each tree.
+    the one on which they spread most. All trees are full and equally deep: nodes are
+    stored level by level, and leaf i of a tree holds ``order[edge[i] : edge[i + 1]]``.
     """
 
-    def __init__(self, x: np.ndarray, trees: int, leaf: int, rng: np.random.Generator, lines: int = 12):
+    def __init__(self, x: np.ndarray, trees: int, depth: int, rng: np.random.Generator, lines: int = 12):
+        self.depth, self.inner = depth, (1 << depth) - 1
+        self.edge = (len(x) * np.arange((1 << depth) + 1)) >> depth
+        x = x.astype(np.float32)
+        grown = [self.grow(x, rng, lines) for _ in range(trees)]
+        self.normal, self.cut, self.order = (np.stack(part) for part in zip(*grown, strict=True))
+
+    def grow(self, x: np.ndarray, rng: np.random.Generator, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One tree, a level at a time; the nodes of a level differ by one row at most and are split together."""
         n, d = x.shape
-        self.depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
-        inner = (1 << self.depth) - 1
-        self.normal = np.zeros((trees, inner, d), np.float32)
-        self.cut = np.zeros((trees, inner), np.float32)
-        self.leaf_of = np.zeros((trees, n), np.int32)
+        normal, cut = np.zeros((self.inner, d), np.float32), np.zeros(self.inner, np.float32)
+        order = np.arange(n)
+        for level in range(self.depth):
+            m = 1 << level
+            edge = (n * np.arange(m + 1)) >> level
+            size = np.diff(edge)
+            width = max(int(size.max()), 1)
+            rows = order[np.minimum(edge[:-1, None] + np.minimum(np.arange(width), np.maximum(size, 1)[:, None] - 1), n - 1)]
+            node = np.arange(m)[:, None]
+            ends = rng.integers(0, width, (2, m, lines))
+            drawn = x[rows[node, ends[0]]] - x[rows[node, ends[1]]]
+            length = np.linalg.norm(drawn, axis=2, keepdims=True)
+            drawn /= np.where(length > 0, length, 1)
+            some = rows[:, rng.integers(0, width, min(width, 128))]
+            best = drawn[np.arange(m), np.argmax(np.var(x[some] @ drawn.transpose(0, 2, 1), axis=1), axis=1)]
+            along = (x[rows] @ best[:, :, None])[:, :, 0]
+            along[np.arange(width) >= size[:, None]] = np.inf
+            sort = np.argsort(along, axis=1, kind="stable")
+            half = ((n * (2 * np.arange(m) + 1)) >> (level + 1)) - edge[:-1]
+            normal[m - 1 : 2 * m - 1] = best
+            cut[m - 1 : 2 * m - 1] = np.take_along_axis(along, sort, 1)[np.arange(m), np.minimum(half, width - 1)]
+            order = np.take_along_axis(rows, sort, 1)[np.arange(width) < size[:, None]]
+        return normal, cut, order
+
+    def margins(self, q: np.ndarray) -> np.ndarray:
+        """How far each query lies past the split of each node: (queries, trees, nodes)."""
+        return np.einsum("qd,tnd->qtn", q.astype(np.float32), self.normal, optimize=True) - self.cut
+
+    def queue(self, margins: list[list[float]]) -> Iterator[tuple[int, int]]:
+        """Leaves (tree, leaf) in the order in which the one queue of all trees hands them out for a query.
+
+        A node's priority falls by the squared margin of each split on its path that has the
+        query on its other side, as the square of a distance would. No other node is looked at
+        before the one that the queue hands out.
+        """
+        heap = [(0.0, tree, 0) for tree in range(len(margins))]
+        while heap:
+            far, tree, node = heapq.heappop(heap)
+            margin = margins[tree]
+            while node < self.inner:
+                m = margin[node]
+                near = 2 * node + (2 if m >= 0 else 1)
+                heapq.heappush(heap, (far + m * m, tree, 4 * node + 3 - near))
+                node = near
+            yield tree, node - self.inner
+
+    def leaf(self, tree: int, i: int) -> np.ndarray:
+        return self.order[tree, self.edge[i] : self.edge[i + 1]]
+
+    def leaf_of(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of the first tree that each row falls into by its splits."""
+        node = np.zeros(len(x), np.int64)
         x = x.astype(np.float32)
-        for t in range(trees):
-            parts = [np.arange(n)]
-            for level in range(self.depth):
-                split = []
-                for i, rows in enumerate(parts):
-                    if len(rows) > 1:
-                        line, along = self.spread(x, rows, rng, lines)
-                        order = np.argpartition(along, len(rows) // 2)
-                        node = (1 << level) - 1 + i
-                        self.normal[t, node], self.cut[t, node] = line, along[order[len(rows) // 2]]
-                        split += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-                    else:
-                        split += [rows, rows[:0]]
-                parts = split
-            for i, rows in enumerate(parts):
-                self.leaf_of[t, rows] = i
-
-    @staticmethod
-    def spread(x: np.ndarray, rows: np.ndarray, rng: np.random.Generator, lines: int) -> tuple[np.ndarray, np.ndarray]:
-        ends = rows[rng.integers(0, len(rows), (2, lines))]
-        drawn = x[ends[0]] - x[ends[1]]
-        size = np.linalg.norm(drawn, axis=1, keepdims=True)
-        drawn = np.where(size > 0, drawn / np.where(size > 0, size, 1), 0)
-        some = x[rows if len(rows) <= 512 else rows[rng.integers(0, len(rows), 512)]]
-        best = drawn[int(np.argmax(np.var(some @ drawn.T, axis=0)))]
-        return best, x[rows] @ best
-
-    def queue(self, q: np.ndarray) -> np.ndarray:
-        """For each query, the place of every row in the one queue that the trees share: higher comes first.
-
-        A leaf's priority falls by the squared margin of every split on its path that has
-        the query on its other side, as the square of a distance would. The queue hands
-        leaves of all trees out in falling order, so a row is met at the best priority of
-        its leaves.
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.normal[0, node]) >= self.cut[0, node])
+        return node - self.inner
+
+    def leaves_for(self, x: np.ndarray, k: int, recall: float, probes: int, rng: np.random.Generator) -> int:
+        """Leaves to take from the queue so that this share of the k nearest rows is met, as ``probes`` of the rows show.
+
+        The probes' nearest are found by brute force; each counts at the leaf that first holds it.
         """
-        q = q.astype(np.float32)
-        met = np.full((len(q), self.leaf_of.shape[1]), -np.inf, np.float32)
-        for t, leaf_of in enumerate(self.leaf_of):
-            margin = q @ self.normal[t].T - self.cut[t]
-            priority = np.zeros((len(q), 1), np.float32)
-            for level in range(self.depth):
-                m = margin[:, (1 << level) - 1 : (1 << (level + 1)) - 1]
-                below = np.empty((len(q), 2 * m.shape[1]), np.float32)
-                below[:, 0::2] = priority - np.square(np.maximum(m, 0))
-                below[:, 1::2] = priority - np.square(np.minimum(m, 0))
-                priority = below
-            np.maximum(met, np.take(priority, leaf_of, axis=1), out=met)
-        return met
-
-
-def search_shard(k: int, trees: int, leaf: int, share: float, least: int, seed: int):
+        at = rng.permutation(len(x))[:probes]
+        near = x[at] @ x.T
+        near[np.arange(len(at)), at] = -np.inf
+        k = min(k, len(x) - 1)
+        if k < 1 or self.depth == 0:
+            return max(1, len(self.order))
+        wanted = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        home = np.argsort(self.order, axis=1, kind="stable")
+        home = np.searchsorted(self.edge, home, side="right") - 1  # the leaf of each row in each tree
+        met = []
+        for margins, rows in zip(self.margins(x[at]), wanted, strict=True):
+            missing: dict[tuple[int, int], list[int]] = {}
+            for tree, leaves in enumerate(home[:, rows].tolist()):
+                for row, leaf in zip(rows.tolist(), leaves, strict=True):
+                    missing.setdefault((tree, leaf), []).append(row)
+            left = set(rows.tolist())
+            for taken, place in enumerate(self.queue(margins.tolist()), 1):
+                found = left.intersection(missing.get(place, ()))
+                met += [taken] * len(found)
+                left -= found
+                if not left:
+                    break
+        return int(np.quantile(met, recall, method="higher"))
+
+
+def search_cell(k: int, trees: int, leaf: int, recall: float, probes: int, seed: int):
+    """Of whole cells of rows and queries: each query's k nearest among the rows of the leaves it took.
+
+    Rows (query_id, vec_id, score, ranked); ranked is the number of rows that a query met
+    in the cell, on its first row, and 0 on the others.
+    """
+
     def fn(table: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        edges = group_edges(table.column("cell").to_numpy())
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        edges = group_edges(table.column("gkey").to_numpy())
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             part = table.slice(a, b - a)
             ids, asks = part.column("vec_id").to_numpy(), part.column("ask").to_numpy()
@@ -236,13 +301,16 @@ def search_shard(k: int, trees: int, leaf: int, share: float, least: int, seed:
                 base, base_ids, q, q_ids = x[~ask], here[~ask], x[ask], here[ask]
                 if len(base) == 0 or len(q) == 0:
                     continue
-                forest = Forest(base, trees, leaf, np.random.default_rng([seed, x.shape[1]]))
-                wanted = min(len(base), max(least, math.ceil(share * len(base))))
+                rng = np.random.default_rng([seed, x.shape[1]])
+                forest = Forest(base, trees, max(0, math.ceil(math.log2(max(1, len(base) / leaf)))), rng)
+                take = forest.leaves_for(base, k, recall, probes, rng)
                 for lo in range(0, len(q), 64):
-                    met = forest.queue(q[lo : lo + 64])
-                    for i, place in enumerate(met):
-                        first = np.argpartition(-place, wanted - 1)[:wanted] if wanted < len(base) else np.arange(len(base))
-                        found = first[base_ids[first] != q_ids[lo + i]]
+                    for i, margins in enumerate(forest.margins(q[lo : lo + 64])):
+                        seen = np.zeros(len(base), bool)
+                        seen[np.concatenate([forest.leaf(*place) for place in islice(forest.queue(margins.tolist()), take)])] = True
+                        found = np.flatnonzero(seen)
+                        met = len(found)
+                        found = found[base_ids[found] != q_ids[lo + i]]
                         rough = base[found] @ q[lo + i]
                         if len(found) > k:
                             bar = np.partition(rough, len(rough) - k)[len(rough) - k]
@@ -250,55 +318,124 @@ def search_shard(k: int, trees: int, leaf: int, share: float, least: int, seed:
                         # summed in one order for every row, so that equal vectors tie
                         score = (base[found] * q[lo + i]).sum(axis=1)
                         best = np.lexsort((base_ids[found], -score))[:k]
-                        out.append((np.full(len(best), q_ids[lo + i]), base_ids[found][best], score[best]))
+                        ranked = np.zeros(len(best), np.int64)
+                        ranked[:1] = met
+                        out.append((np.full(len(best), q_ids[lo + i]), base_ids[found][best], score[best], ranked))
         if not out:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-        return pa.table({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score"))})
+            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)))
+        return pa.table({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "vec_id", "score", "ranked"))})
 
     return fn
 
 
+def top_trees(base: DataFrame, k: int, shard_rows: int, sample_rows: int, recall: float, seed: int) -> dict[int, tuple[Forest, int]]:
+    """For each length of vector with more rows than a shard: the tree whose leaves are shards, and how many of them a query takes.
+
+    The tree is fitted on the driver, on about ``sample_rows`` rows drawn by a hash of the
+    id, and so is the number of leaves that meets ``recall`` of the nearest rows.
+    """
+    out = {}
+    for dim, n in base.groupBy(F.size("vec")).count().where(F.col("count") > shard_rows).collect():
+        rate = min(1.0, sample_rows / n)
+        drawn = base.where((F.size("vec") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil(rate * (1 << 30)))))
+        drawn = drawn.orderBy("vec_id").select("vec_id", F.col("vec").cast("array<float>").alias("vec")).toPandas()
+        x = np.array(drawn["vec"].tolist(), np.float32).reshape(-1, dim)
+        depth = min(math.ceil(math.log2(n / shard_rows)), int(math.log2(max(1, len(x) / 16))))
+        if depth:
+            rng = np.random.default_rng([seed, dim])
+            tree = Forest(x, 1, depth, rng)
+            out[dim] = tree, tree.leaves_for(x, max(1, math.ceil(k * len(x) / n)), recall, 200, rng)
+    return out
+
+
+def route(tops: dict[int, tuple[Forest, int]], ask: bool):
+    """mapInArrow: (vec_id, vec) with the cells that a row lies in (one) or a query takes (some)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for rows, x in matrix(batch.column(1)):
+                dim = x.shape[1]
+                tree, take = tops.get(dim, (None, 1))
+                if tree is None:
+                    at, cell = rows, np.zeros(len(rows), np.int64)
+                elif ask:
+                    cell = np.array([leaf for m in tree.margins(x) for _, leaf in islice(tree.queue(m.tolist()), take)], np.int64)
+                    at = np.repeat(rows, len(cell) // len(rows))
+                else:
+                    at, cell = rows, tree.leaf_of(x)
+                yield pa.RecordBatch.from_arrays([pa.array(cell + (dim << 32)), *(c.take(pa.array(at)) for c in batch.columns)], ["cell", "vec_id", "vec"])
+
+    return run
+
+
 def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    trees: int = 32,
-    leaf: int = 16,
-    share: float = 0.35,
-    least: int = 2000,
+    trees: int = 16,
+    leaf: int = 32,
+    recall: float = 0.93,
+    probes: int = 64,
     id_col: str = "vec_id",
     vector: str = "embedding",
     shard_rows: int = 16_384,
-    query_rows: int = 8_192,
+    sample_rows: int = 65_536,
+    query_rows: int = 2_048,
     seed: int = 5,
 ) -> DataFrame:
     """The k nearest rows of ``vectors`` found for each row of ``queries``, by inner product.
 
-    Rows are dealt into shards of about ``shard_rows``, each with its own forest of
-    ``trees`` trees. A query takes leaves from the queue that a shard's trees share until
-    it has met ``share`` of the shard's rows (``least`` rows at least), and all that it met are
-    ranked exactly. Every row is indexed. Queries meet the shards in blocks of
-    ``query_rows``.
+    A tree over the whole table, fitted on about ``sample_rows`` of its rows, deals all rows
+    into shards of about ``shard_rows`` (a shard that comes out over twice as large is parted
+    by a hash), and a query takes the shards that its queue hands out first. Each shard has
+    a forest of ``trees`` trees with leaves of ``leaf`` rows; a query takes leaves from the
+    queue that they share, and what those hold is ranked exactly. How many leaves are taken
+    comes from ``probes`` rows of the shard, whose nearest are known by brute force: as many as
+    meet ``recall`` of those. The same is done for shards, at half the loss. Every row is
+    indexed. More than ``query_rows`` queries in a shard are split, each part with the rows.
 
     Result: (query_id, rank, vec_id, score), ties to the smaller id. A row isn't its own
     neighbour. Null ids and unusable vectors take no part; neither do pairs of different
-    lengths. Rows that repeat an id count once for each row. Extra columns are ignored;
-    an empty table on either side gives an empty result.
+    lengths. Rows that repeat an id count once for each row. Of equal vectors the k + 1
+    smallest ids are indexed: no other can be among a query's k nearest. Equal queries
+    are one; different vectors under one id are answered together, with the k best of what
+    any of them finds. Extra columns are ignored; an empty table on either side gives an empty result.
     """
-    base = vectors.where(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
-    asks = queries.where(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
-    shards = max(1, math.ceil(base.count() / shard_rows))
-    blocks = max(1, math.ceil(asks.count() / query_rows))
-    everywhere = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    base = base.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", everywhere(blocks)).withColumn("ask", F.lit(False))
-    asks = asks.withColumn("shard", everywhere(shards)).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("ask", F.lit(True))
-    both = base.unionByName(asks).withColumn("cell", F.col("shard").cast("long") * blocks + F.col("block")).select("cell", "vec_id", "vec", "ask")
-    cells = both.repartition(max(1, min(shards * blocks, 100_000)), "cell").sortWithinPartitions("cell", "ask", "vec_id")
-    found = cells.mapInArrow(unpack(search_shard(k, trees, leaf, share, least, seed), "cell"), "query_id long, vec_id long, score double")
+    found = found_in_cells(vectors, queries, k, trees, leaf, recall, probes, id_col, vector, shard_rows, sample_rows, query_rows, seed)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def found_in_cells(vectors, queries, k, trees, leaf, recall, probes, id_col, vector, shard_rows, sample_rows, query_rows, seed) -> DataFrame:
+    """Rows (query_id, vec_id, score, ranked): the k nearest that each query finds in each cell it takes."""
+
+    def named(df: DataFrame) -> DataFrame:
+        return df.where(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("vec"))
+
+    alike = Window.partitionBy("vec").orderBy("vec_id")
+    base = checkpoint(named(vectors).withColumn("r", F.dense_rank().over(alike)).where(F.col("r") <= k + 1).drop("r"))
+    asks = named(queries).distinct()
+    tops = top_trees(base, k, shard_rows, sample_rows, 1 - (1 - recall) / 2, seed)
+    schema = f"cell long, vec_id long, vec {vectors.schema[vector].dataType.simpleString()}"
+    rows = base.mapInArrow(lean(route(tops, ask=False)), schema)
+    wants = asks.select("vec_id", F.col("vec").cast(vectors.schema[vector].dataType)).mapInArrow(lean(route(tops, ask=True)), schema)
+    # a row for each shard: how many parts its rows make, and how many its queries
+    parts = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(2.0 * shard_rows)).cast("int").alias("parts"))
+    blocks = wants.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(float(query_rows))).cast("int").alias("blocks"))
+    plan = checkpoint(parts.join(blocks, "cell"))
+    cells = plan.agg(F.sum(F.col("parts") * F.col("blocks"))).first()[0] or 1
+    plan = F.broadcast(plan) if plan.count() <= HOT_KEYS else plan
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    rows = rows.join(plan, "cell").withColumn("part", one("parts")).withColumn("block", every("blocks")).withColumn("ask", F.lit(False))
+    wants = wants.join(plan, "cell").withColumn("block", one("blocks")).withColumn("part", every("parts")).withColumn("ask", F.lit(True))
+    both = rows.unionByName(wants).withColumn("gkey", F.xxhash64("cell", "part", "block")).select("gkey", "vec_id", "vec", "ask")
+    dealt = both.repartition(max(1, min(int(cells), 100_000)), "gkey").sortWithinPartitions("gkey", "ask", "vec_id")
+    return dealt.mapInArrow(lean(unpack(search_cell(k, trees, leaf, recall, probes, seed), "gkey")), "query_id long, vec_id long, score double, ranked long")
+
+
 def op2_near_vectors(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
