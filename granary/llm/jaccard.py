@@ -3,14 +3,23 @@
 A document is the set of its word n-grams, held as 64-bit hashes and ordered by them, one
 order for all documents. Equal sets are one class. Sets that may be similar are brought
 together by bands of minwise hashes: each order of a band puts one n-gram of a set first,
-and sets that agree on the first n-grams of a band's orders meet. In each such cluster the
-sets are stored in a trie; a set is joined with those stored in it by one walk that
+and sets that agree on the first n-grams of a band's orders meet. Of those that meet, a
+sketch of all minwise hashes tells which can be similar at all, and these alone make
+clusters: sets that merely share a passage or a form do not run together. In each cluster
+the sets are stored in a trie; a set is joined with those stored in it by one walk that
 counts the overlap of a shared path once and leaves a subtree when the n-grams that remain
 cannot reach the required overlap. Links are verified exactly and all are counted.
+
+Why clusters and not the tries' leading n-grams bring sets together: any two sets that share
+a passage of a few dozen words share a leading n-gram under any order in which that passage
+is not among the commonest of the corpus, and a list of those is bounded while the corpus
+is not. At any size some passage is held by a great many unlike documents just below the
+list, and each of them would be sent, whole, to the trie of that passage.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, checkpoint, components, group_edges, hash_words, in_blocks, mix, rolling, row_blocks, seeds, text_buffers, unpack, window_starts
+from .common import by_key, checkpoint, components, group_edges, hash_words, in_blocks, lean, mix, rolling, row_blocks, seeds, text_buffers, unpack, window_starts
 
 BANDS, ROWS = 24, 3
+SKETCH = BANDS * ROWS
+SKETCH_LOSS = 1e-9
 CLUSTER_BLOCK = 1024
+CLUSTER_GRAMS = 1 << 20
+BUCKET_BLOCK = 1024
+BROADCAST_ROWS = 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -45,7 +59,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
 
 
 def sketch(width: int):
-    """mapInArrow: (doc_id, text) to (doc_id, n, f1, f2, bands)."""
+    """mapInArrow: (doc_id, text) to (doc_id, n, f1, f2, bands, sketch); a sketch has a byte of each minwise hash."""
     odd = seeds(BANDS * ROWS, 31) | np.uint64(1)
     salt = seeds(BANDS, 37)
 
@@ -58,6 +72,7 @@ def sketch(width: int):
                 some = np.flatnonzero(n)
                 f = np.zeros((2, len(sets)), np.uint64)
                 bands = np.zeros((len(sets), BANDS), np.uint64)
+                drawn = np.zeros((len(sets), SKETCH), np.uint8)
                 if len(some):
                     flat = np.concatenate(sets)
                     begin = (np.cumsum(n) - n)[some]
@@ -66,14 +81,62 @@ def sketch(width: int):
                     for band in range(BANDS):
                         key = np.full(len(some), salt[band])
                         for r in range(ROWS):
-                            key = mix(key + np.minimum.reduceat(flat * odd[band * ROWS + r], begin))
+                            least = mix(np.minimum.reduceat(flat * odd[band * ROWS + r], begin))
+                            drawn[some, band * ROWS + r] = least & np.uint64(255)
+                            key = mix(key + least)
                         bands[some, band] = key
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists], ["doc_id", "n", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(f[0].view(np.int64)), pa.array(f[1].view(np.int64)), lists, pa.array([d.tobytes() for d in drawn], pa.binary())], ["doc_id", "n", "f1", "f2", "bands", "sketch"])
 
     return run
 
 
+def least_agreement(percent: int) -> int:
+    """Bytes in which two sketches agree at least: sets at the threshold agree in fewer with chance SKETCH_LOSS at most."""
+    p, below = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        below += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if below > SKETCH_LOSS:
+            return k
+    return SKETCH
+
+
+def near_sketches(bar: int):
+    """Of whole buckets, edges (u, v): members and the least one that agreements of ``bar`` bytes reach.
+
+    Buckets of one size are compared together.
+    """
+
+    def fn(table: pa.Table) -> pa.Table:
+        keys, rep, own, lo, hi = (table.column(c).to_numpy() for c in ("gkey", "rep", "own", "lo", "hi"))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+        edges = group_edges(keys)
+        size = np.diff(edges)
+        found: list[tuple[np.ndarray, np.ndarray]] = [(rep[:0], rep[:0])]
+        for s in np.unique(size[size > 1]).tolist():
+            starts = edges[:-1][size == s]
+            together = max(1, (4 << 20) // (s * s * SKETCH))
+            for part in np.split(starts, np.arange(together, len(starts), together)):
+                rows = part[:, None] + np.arange(s)
+                x = sketch[rows]
+                step = max(1, (4 << 20) // (len(part) * s * SKETCH))
+                near = np.concatenate([(x[:, i : i + step, None, :] == x[:, None, :, :]).sum(axis=3, dtype=np.int16) >= bar for i in range(0, s, step)], axis=1)
+                same = own[rows][:, :, None] == own[rows][:, None, :]
+                near &= ~same | (lo[part] == hi[part])[:, None, None]
+                names = rep[rows]
+                least = names
+                while True:
+                    reached = np.minimum(least, np.where(near, least[:, None, :], np.iinfo(np.int64).max).min(axis=2))
+                    if (reached == least).all():
+                        break
+                    least = reached
+                moved = least != names
+                found.append((names[moved], least[moved]))
+        return pa.table({c: np.concatenate([f[i] for f in found]) for i, c in enumerate("uv")})
+
+    return fn
+
+
 def member_sets(width: int):
     """mapInArrow: (rep, cluster, f1, text, copies) to (rep, cluster, f1, copies, grams)."""
 
@@ -207,40 +270,52 @@ def join_cluster(percent: int):
     return fn
 
 
+def candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (rep, cluster): sets that may have a link, from (rep, bands, sketch)."""
+    keys = sets.select("rep", F.explode("bands").alias("band"))
+    met = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    hot = checkpoint(met.where(F.col("n") > BUCKET_BLOCK).select("band", F.ceil(F.col("n") / F.lit(float(BUCKET_BLOCK))).cast("int").alias("blocks")))
+    buckets = keys.join(met.select("band"), "band").join(sets.select("rep", "sketch"), "rep")
+    edges = by_key(in_blocks(buckets, "band", "rep", hot).drop("band"), "gkey").mapInArrow(lean(unpack(near_sketches(least_agreement(percent)), "gkey")), "u long, v long")
+    return components(edges.distinct()).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+
+
 def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, n_links), one for each row of ``docs``.
 
     Two documents link when 100 * intersection >= percent * union of their sets of
     ``width``-word n-grams, A-Z lower-cased; component_id is the smallest id that links
-    reach, and n_links the number of documents that link with one, copies among them. Each link is verified exactly. That sets meet at all has a chance: with s the
-    similarity, a pair is missed with chance (1 - s**ROWS)**BANDS, 1e-10 at 85 % and 3e-8
-    at 80 %, and a component only if no other links hold it together.
+    reach, and n_links the number of documents that link with one, copies among them. Each
+    link is verified exactly. That sets meet at all has a chance: with s the similarity, a
+    pair is missed with chance (1 - s**ROWS)**BANDS, 1e-10 at 85 % and 3e-8 at 80 %, or
+    SKETCH_LOSS at the threshold, and a component only if no other links hold it together.
 
     Null and empty texts have no n-grams and no links, and are their own component. A
     null id has a null component and links with nothing. Copies are one class, however
     many. Rows that repeat an id with the same text are one document; with another text they
-    are documents apart that share a component. A cluster over CLUSTER_BLOCK different sets is joined block by block in separate
-    tasks. Extra columns are ignored. An empty table gives an empty result.
+    are documents apart that share a component. A cluster over CLUSTER_BLOCK different sets or
+    CLUSTER_GRAMS n-grams is joined block by block in separate tasks. Extra columns are
+    ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    drawn = checkpoint(rows.mapInArrow(sketch(width), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
-    sets = drawn.where("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    copies = drawn.where("n > 0 and doc_id is not null").select("f1", "f2", "doc_id").distinct().groupBy("f1", "f2").agg(F.count("*").alias("copies"))
+    drawn = checkpoint(rows.mapInArrow(lean(sketch(width)), "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch binary"))
+    some = drawn.where("n > 0 and doc_id is not null")
+    sets = some.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    copies = some.select("f1", "f2", "doc_id").distinct().groupBy("f1", "f2").agg(F.count("*").alias("copies"))
     sets = checkpoint(sets.join(copies, ["f1", "f2"]))
-    keys = sets.select("rep", F.explode("bands").alias("band"))
-    meet = keys.groupBy("band").agg(F.min("rep").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(keys.join(meet, "band").where("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v")))
-    clusters = checkpoint(near.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(sets.select("rep", "f1", "copies"), "rep"))
-    hot = checkpoint(clusters.groupBy("cluster").count().where(F.col("count") > CLUSTER_BLOCK).select("cluster", F.ceil(F.col("count") / CLUSTER_BLOCK).cast("int").alias("blocks")))
-    members = clusters.join(rows, clusters["rep"] == rows["doc_id"]).select("rep", "cluster", "f1", "text", "copies")
-    members = members.mapInArrow(member_sets(width), "rep long, cluster long, f1 long, copies long, grams binary")
+    clusters = checkpoint(candidates(sets, percent).join(sets.select("rep", "f1", "copies", "n"), "rep"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(float(CLUSTER_BLOCK)), F.sum("n") / F.lit(float(CLUSTER_GRAMS)))).cast("int")
+    hot = checkpoint(clusters.groupBy("cluster").agg(blocks.alias("blocks")).where("blocks > 1"))
+    few = F.broadcast(clusters) if clusters.count() <= BROADCAST_ROWS else clusters
+    members = rows.join(few, rows["doc_id"] == few["rep"]).select("rep", "cluster", "f1", "text", "copies")
+    members = members.mapInArrow(lean(member_sets(width)), "rep long, cluster long, f1 long, copies long, grams binary")
     blocked = in_blocks(members, "cluster", "rep", hot)
-    links = checkpoint(by_key(blocked, "gkey").mapInArrow(unpack(join_cluster(percent), "gkey"), "u long, v long, f1 long, links long"))
+    links = checkpoint(by_key(blocked, "gkey").mapInArrow(lean(unpack(join_cluster(percent), "gkey")), "u long, v long, f1 long, links long"))
     counted = links.groupBy(F.col("u").alias("rep"), "f1").agg(F.sum("links").alias("links"))
     roots = components(links.select("u", "v")).select(F.col("node").alias("rep"), "component")
     classes = sets.select("f1", "f2", "rep", "copies").join(roots, "rep", "left").join(counted, ["rep", "f1"], "left")
     classes = classes.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    out = drawn.drop("bands").withColumn("own", F.when(F.col("n") > 0, F.col("f1")))
+    out = drawn.drop("bands", "sketch").withColumn("own", F.when(F.col("n") > 0, F.col("f1")))
     out = out.join(classes.withColumnsRenamed({"f1": "own", "f2": "_f2"}), ["own"], "left").where(F.col("_f2").isNull() | (F.col("f2") == F.col("_f2")))
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")))
     n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(F.lit(0))
@@ -252,14 +327,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "
 
     Rows with a null id stay.
     """
-    found = checkpoint(similar_documents(docs, width, percent, id_col, text))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").count()
-    twice = kept.where("count > 1").limit(1).count()
-    key = F.col(id_col).cast("long")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), key == F.col("_kept"), "left_semi")
-    if twice:
-        out = out.dropDuplicates([id_col])
-    return out.unionByName(docs.where(F.col(id_col).isNull()))
+    found = similar_documents(docs, width, percent, id_col, text).where("doc_id is not null")
+    ids = checkpoint(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"))
+    gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    if ids.where("first").isEmpty():
+        return out
+    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:
