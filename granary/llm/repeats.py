@@ -1,31 +1,37 @@
 """Substring dedup: seed and extend.
 
 Seeds are winnowed anchors: of the k-word grams inside every window of ``min_words`` words
-the one with the smallest hash. Equal windows have equal anchors, so documents that share
-a window meet at its anchor. There each match is extended both ways: for every split of
-the threshold into words left and right of the anchor, a hash of the whole span tells
-which documents agree on it, in time that grows with the occurrences and not with their
-pairs. Spans that overlap make up the maximal repeats, and all but the occurrence in the
+the leftmost of the smallest hash. Equal windows have equal anchors, so documents that
+share a window meet at its anchor. Anchors that one document alone holds are dropped
+before any text moves. The others are sent with the words around them, as far as a window
+can reach, and matches are extended both ways on those words: no word goes because hashes
+agree. Matches that touch make up the maximal repeats, and all but the occurrence in the
 smallest document goes.
 
-Before the shuffle each block of rows keeps, of equal windows, those of its smallest
-document; the others are known to go. However many copies of a passage there are, an
-anchor meets it once a block.
+Equal surroundings of an anchor are one: each batch sends those of its smallest document
+alone, and where they meet again the stream passes on the first and marks the others. An
+anchor with over HOT occurrences is parted by the words that follow it and, apart from
+that, by those before it; every window around it has enough of either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, rolling, row_blocks, shuffle_width, text_buffers, text_bytes, window_starts
+from .common import hash_words, lean, mix, rolling, row_blocks, shuffle_width, text_buffers, text_bytes, whole_groups, window_starts
 
 BUCKET_BYTES = 16 << 20
-_RUN = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("len", "<i4")])
+BLOCK = 2 << 20
+CONTEXT_BYTES = 32 << 20
+HOT = 5_000
+_SEED = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4")])
+_MARK = np.dtype([("anchor", "<u8"), ("at", "<i4"), ("n", "<u4")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
 
 
@@ -51,117 +57,255 @@ def spans(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, width: int) -> np
     return out
 
 
-def seeds_of(doc: np.ndarray, tag: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int, gram: int):
-    """Of one block: runs of windows to ship, their hashes, and spans known to go."""
+def seeds_of(doc: np.ndarray, tag: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The anchors of some rows, each once: of every window the leftmost gram of the smallest hash."""
     h, counts = hash_words(data, offsets)
     at, row = window_starts(counts, width)
     if len(at) == 0:
-        return np.zeros(0, _RUN), np.zeros(0, np.uint64), np.zeros(0, _SPAN)
-    window = rolling(h, width)[at]
-    anchor = sliding_min(rolling(h, gram, 0xE7037ED1A0B428DB), width - gram + 1)[at]
-    start = (at - np.concatenate([[0], np.cumsum(counts)])[row]).astype(np.int32)
-    d, t = doc[row], tag[row]
-    order = np.argsort(window, kind="stable")
-    sorted_w = window[order]
-    head = np.empty(len(order), bool)
-    head[0] = True
-    head[1:] = sorted_w[1:] != sorted_w[:-1]
-    first = np.flatnonzero(head)
-    least = np.minimum.reduceat(d[order], first)
-    keep = np.empty(len(order), bool)
-    keep[order] = d[order] == np.repeat(least, np.diff(np.concatenate([first, [len(order)]])))
-    gone = ~keep
-    known = spans(d[gone], t[gone], start[gone], width) if gone.any() else np.zeros(0, _SPAN)
-    at, d, t, start, window, anchor = at[keep], d[keep], t[keep], start[keep], window[keep], anchor[keep]
-    cut = np.empty(len(at), bool)
-    cut[:1] = True
-    cut[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (start[1:] == 0)
-    lead = np.flatnonzero(cut)
-    runs = np.empty(len(lead), _RUN)
-    runs["anchor"], runs["doc"], runs["tag"], runs["start"] = anchor[lead], d[lead], t[lead], start[lead]
-    runs["len"] = np.diff(np.concatenate([lead, [len(at)]]))
-    return runs, window, known
+        return np.zeros(0, _SEED)
+    grams = rolling(h, gram, 0xE7037ED1A0B428DB)
+    reach = width - gram + 1
+    least = sliding_min(grams, reach)[at]
+    # the place of the smallest: the first gram at or after the window's start that equals it
+    order = np.argsort(grams, kind="stable")
+    found = np.searchsorted(grams[order], least, side="left")
+    begin = found.copy()
+    place = order[found]
+    late = np.flatnonzero(place < at)
+    while len(late):  # the same gram stands earlier in the rows too: on to its next place
+        begin[late] += 1
+        place[late] = order[begin[late]]
+        late = late[place[late] < at[late]]
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+    place, row = place[fresh], row[fresh]
+    out = np.empty(len(place), _SEED)
+    out["anchor"], out["doc"], out["tag"] = grams[place], doc[row], tag[row]
+    out["at"] = place - (np.cumsum(counts) - counts)[row]
+    return out
+
+
+def cells(part: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(key, kind="stable")
+    edges = np.searchsorted(key[order], np.arange(buckets + 1))
+    part = part[order]
+    for k in np.flatnonzero(np.diff(edges)):
+        yield int(k), part[edges[k] : edges[k + 1]].tobytes()
 
 
-def ship(width: int, gram: int, buckets: int):
-    """mapInArrow: rows (doc_id, tag, text) to rows (bucket, runs, windows, gone)."""
+def ship_seeds(width: int, gram: int, buckets: int):
+    """mapInArrow: rows (id, tag, text) to cells (bucket, seeds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            tag = batch.column(1).to_numpy(zero_copy_only=False)
+            doc, tag = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             data, offsets = text_buffers(batch.column(2))
-            for a, b in row_blocks(offsets):
-                runs, window, known = seeds_of(doc[a:b], tag[a:b], data, offsets[a : b + 1], width, gram)
-                rows: dict[int, list[bytes]] = {}
-                for part, key, slot in ((runs, runs["anchor"] % np.uint64(buckets), 0), (known, known["doc"].view("<u8") % np.uint64(buckets), 2)):
-                    key = key.astype(np.int64)
-                    order = np.argsort(key, kind="stable")
-                    edges = np.searchsorted(key[order], np.arange(buckets + 1))
-                    sorted_part = part[order]
-                    if slot == 0:
-                        size = runs["len"].astype(np.int64)
-                        begin = (np.cumsum(size) - size)[order]
-                        size = size[order]
-                        ends = np.cumsum(size)
-                        flat = window[np.repeat(begin - (ends - size), size) + np.arange(len(window))] if len(window) else window
-                        ends = np.concatenate([[0], ends])
-                    for k in np.flatnonzero(np.diff(edges)):
-                        i, j = edges[k], edges[k + 1]
-                        cell = rows.setdefault(int(k), [b"", b"", b""])
-                        cell[slot] = sorted_part[i:j].tobytes()
-                        if slot == 0:
-                            cell[1] = flat[ends[i] : ends[j]].tobytes()
-                if rows:
-                    cells = list(zip(*rows.values(), strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in cells)], ["bucket", "runs", "windows", "gone"])
+            for a, b in row_blocks(offsets, BLOCK):
+                found = seeds_of(doc[a:b], tag[a:b], data, offsets[a : b + 1], width, gram)
+                dealt = list(cells(found, (found["anchor"] % np.uint64(buckets)).astype(np.int64), buckets))
+                if dealt:
+                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in dealt], pa.int32()), pa.array([c[1] for c in dealt], pa.binary())], ["bucket", "seeds"])
 
     return run
 
 
-def meet(width: int):
-    """mapInArrow over rows sorted by bucket: spans (doc_id, tag, starts and ends) that go."""
-
-    def settle(parts: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        runs = np.frombuffer(b"".join(p[0] for p in parts), _RUN)
-        window = np.frombuffer(b"".join(p[1] for p in parts), "<u8")
-        found = [np.frombuffer(b"".join(p[2] for p in parts), _SPAN)]
-        parts.clear()
-        if len(runs):
-            run = np.repeat(np.arange(len(runs), dtype=np.int32), runs["len"])
-            order = np.argsort(window, kind="stable")
-            sorted_w, sorted_run = window[order], run[order]
-            anchor = runs["anchor"][sorted_run]
-            head = np.empty(len(order), bool)
-            head[0] = True
-            head[1:] = (sorted_w[1:] != sorted_w[:-1]) | (anchor[1:] != anchor[:-1])
-            first = np.flatnonzero(head)
-            doc = runs["doc"][sorted_run]
-            least = np.minimum.reduceat(doc, first)
-            gone = order[doc > np.repeat(least, np.diff(np.concatenate([first, [len(order)]])))]
-            if len(gone):
-                begin = np.cumsum(runs["len"]) - runs["len"]
-                r = run[gone]
-                found.append(spans(runs["doc"][r], runs["tag"][r], (runs["start"][r] + (gone - begin[r])).astype(np.int32), width))
-        every = np.concatenate(found)
-        every = every[np.lexsort((every["tag"], every["doc"]))]
-        cut = np.flatnonzero(np.concatenate([[True], (every["doc"][1:] != every["doc"][:-1]) | (every["tag"][1:] != every["tag"][:-1])]))[: len(every)]
-        pairs = np.empty((len(every), 2), "<i4")
-        pairs[:, 0], pairs[:, 1] = every["start"], every["end"]
-        ends = np.concatenate([cut[1:], [len(every)]])
-        blobs = [pairs[i:j].tobytes() for i, j in zip(cut, ends, strict=True)] if len(every) else []
-        return pa.RecordBatch.from_arrays([pa.array(every["doc"][cut]), pa.array(every["tag"][cut]), pa.array(blobs, pa.binary())], ["id", "tag", "spans"])
+def shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow over cells sorted by bucket: marks (id, tag, marks) of the anchors that two documents hold."""
+    for table in whole_groups(batches, "bucket"):
+        seeds = np.frombuffer(b"".join(table.column("seeds").to_pylist()), _SEED)
+        order = np.argsort(seeds["anchor"], kind="stable")
+        anchor, doc = seeds["anchor"][order], seeds["doc"][order]
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        n = np.diff(np.append(first, len(order)))
+        shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        kept = np.repeat(shared, n)
+        seeds, n = seeds[order[kept]], np.repeat(n, n)[kept]
+        order = np.lexsort((seeds["tag"], seeds["doc"]))
+        seeds, n = seeds[order], n[order]
+        marks = np.empty(len(seeds), _MARK)
+        marks["anchor"], marks["at"], marks["n"] = seeds["anchor"], seeds["at"], np.minimum(n, (1 << 32) - 1)
+        first = np.flatnonzero((seeds["doc"] != np.roll(seeds["doc"], 1)) | (seeds["tag"] != np.roll(seeds["tag"], 1)) | (np.arange(len(seeds)) == 0))
+        ends = np.append(first[1:], len(seeds))
+        yield pa.RecordBatch.from_arrays([pa.array(seeds["doc"][first]), pa.array(seeds["tag"][first]), pa.array([marks[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "marks"])
+
+
+def parts_of(anchor: int, n: int, words: list[bytes], at: int, width: int, gram: int) -> list[int]:
+    """The groups in which an occurrence meets others: its anchor's, or two by the words after and before a hot one."""
+    if n <= HOT:
+        return [anchor]
+    half = (width - gram) // 2
+    sides = []
+    if len(words) - at >= width - half:
+        sides.append(b"after " + b" ".join(words[at : at + width - half]))
+    if at >= half:
+        sides.append(b"before " + b" ".join(words[at - half : at + gram]))
+    return [int.from_bytes(blake2b(side, digest_size=8).digest(), "little", signed=True) for side in sides]
+
+
+_SENT = "gkey long, left int, context binary, id long, tag long, places binary"
+
+
+def send_contexts(width: int, gram: int, where: int):
+    """mapInArrow: documents with their marks to contexts, the words around shared anchors.
+
+    Rows (gkey, left, context, id, tag, places): left is the number of words before the
+    anchor. Of equal contexts in a batch those of the smallest document are sent. Of the
+    others all windows are known to go: such rows have no context, and places holds spans.
+    """
+    reach = width - gram
+
+    def flush(held: dict[tuple[int, int, bytes], dict[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+        rows = []
+        for (key, left, context), docs in held.items():
+            least = min(docs)
+            size = context.count(b" ") + 1
+            for doc, found in docs.items():
+                tags: dict[int, list[int]] = {}
+                for tag, at in found:
+                    tags.setdefault(tag, []).append(at)
+                for tag, places in tags.items():
+                    at = np.array(places, "<i4")
+                    if doc == least:
+                        rows.append((key, left, context, doc, tag, at.tobytes()))
+                    elif size >= width:
+                        rows.append((doc, 0, None, doc, tag, np.stack([at - left, at - left + size], axis=1).astype("<i4").tobytes()))
+        held.clear()
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary())
+        columns = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gkey", "left", "context", "id", "tag", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts = None, []
+        held: dict[tuple[int, int, bytes], dict[int, list[tuple[int, int]]]] = {}
+        size = 0
         for batch in batches:
-            for bucket, *cells in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != at and parts:
-                    yield settle(parts)
-                at = bucket
-                parts.append(tuple(cells))
-        if parts:
-            yield settle(parts)
+            ids, tags, lists = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
+            for i in range(batch.num_rows):
+                doc, tag = ids[i].as_py(), tags[i].as_py()
+                words = (batch.column(where)[i].as_py() or "").encode("utf-8", "surrogatepass").split()
+                for anchor, at, n in np.frombuffer(b"".join(lists[i].as_py()), _MARK).tolist():
+                    left = min(at, reach)
+                    context = b" ".join(words[at - left : at + width])
+                    for key in parts_of(anchor - (1 << 64) if anchor >> 63 else anchor, n, words, at, width, gram):
+                        held.setdefault((key, left, context), {}).setdefault(doc, []).append((tag, at))
+                        size += len(context) + 100
+                if size > CONTEXT_BYTES:
+                    yield flush(held)
+                    size = 0
+        yield flush(held)
+
+    return run
+
+
+def one_of_each(batches: Iterator[pa.RecordBatch], known: list[np.ndarray], width: int) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (gkey, left, context, id): the first of each equal context; spans of other documents go to ``known``."""
+    last: tuple = ()
+    for batch in batches:
+        keep = []
+        for i, (key, left, context, doc, tag, places) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+            if context is None:
+                known.append(as_spans(doc, tag, np.frombuffer(places, "<i4").reshape(-1, 2)))
+            elif last[:3] != (key, left, context):
+                last = (key, left, context, doc)
+                keep.append(i)
+            elif doc == last[3]:  # the same document again, with another text
+                keep.append(i)
+            elif (size := context.count(b" ") + 1) >= width:
+                at = np.frombuffer(places, "<i4")
+                known.append(as_spans(doc, tag, np.stack([at - left, at - left + size], axis=1)))
+        yield batch.take(pa.array(keep, pa.int32()))
+
+
+def as_spans(doc: int, tag: int, pairs: np.ndarray) -> np.ndarray:
+    out = np.empty(len(pairs), _SPAN)
+    out["doc"], out["tag"], out["start"], out["end"] = doc, tag, pairs[:, 0], pairs[:, 1]
+    return out
+
+
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    """How many words two lists have in common from their beginnings on."""
+    for k, (x, y) in enumerate(zip(a, b, strict=False)):
+        if x != y:
+            return k
+    return min(len(a), len(b))
+
+
+def extend(table: pa.Table, width: int) -> np.ndarray:
+    """Of whole groups of contexts: spans of words that a smaller document has around the same anchor.
+
+    Hashes of all windows of a group tell which occurrence each window may match; the match
+    is then extended word by word, left and right of the anchor, and windows beyond it stay.
+    """
+    key, left, doc, tag = (table.column(c).to_numpy().astype(np.int64) for c in ("gkey", "left", "id", "tag"))
+    texts = table.column("context").to_pylist()
+    data, offsets = text_buffers(pa.array(texts, pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
+    h, counts = hash_words(data, offsets)
+    at, row = window_starts(counts, width)
+    if len(at) == 0:
+        return np.zeros(0, _SPAN)
+    begin = (at - (np.cumsum(counts) - counts)[row]).astype(np.int64)
+    told = mix(rolling(h, width)[at] ^ mix(key.view(np.uint64)[row] * np.uint64(0x9E3779B97F4A7C15) + (begin - left[row] + width).astype(np.uint64)))
+    order = np.lexsort((doc[row], told))
+    head = np.concatenate([[True], told[order][1:] != told[order][:-1]])
+    first = np.flatnonzero(head)
+    lead = order[np.repeat(first, np.diff(np.append(first, len(order))))]  # the window of the smallest document that hashes alike
+    later = doc[row[order]] > doc[row[lead]]
+    mine, other = order[later], lead[later]
+    pairs, which = np.unique(row[mine] * len(texts) + row[other], return_inverse=True)
+    words: dict[int, list[bytes]] = {}
+    reach = np.empty((len(pairs), 2), np.int64)
+    for k, (i, j) in enumerate(zip(*divmod(pairs, len(texts)), strict=True)):
+        if left[i] == left[j] and texts[i] == texts[j]:
+            reach[k] = left[i], counts[i] - left[i]
+        else:
+            a, b = (words.setdefault(x, texts[x].split()) for x in (int(i), int(j)))
+            reach[k] = common_words(a[: left[i]][::-1], b[: left[j]][::-1]), common_words(a[left[i] :], b[left[j] :])
+    before = left[row[mine]] - begin[mine]
+    sure = (before <= reach[which, 0]) & (width - before <= reach[which, 1])
+    gone = [mine[sure]]
+    if not sure.all():  # windows that only hash alike: among those, equal words decide
+        odd = np.unique(told[mine[~sure]])
+        some = order[np.isin(told[order], odd)]  # by hash, and then by document
+        least: dict[tuple, int] = {}
+        again = []
+        for w in some.tolist():
+            i = int(row[w])
+            cut = words.setdefault(i, texts[i].split())[begin[w] : begin[w] + width]
+            smallest = least.setdefault((int(key[i]), int(begin[w] - left[i]), *cut), int(doc[i]))
+            if doc[i] > smallest:
+                again.append(w)
+        gone.append(np.array(again, np.int64))
+    gone = np.unique(np.concatenate(gone))
+    if len(gone) == 0:
+        return np.zeros(0, _SPAN)
+    found = spans(row[gone], np.zeros(len(gone), np.int64), begin[gone], width)
+    places = [np.frombuffer(table.column("places")[int(i)].as_py(), "<i4") for i in found["doc"]]
+    n = np.array([len(p) for p in places])
+    shift = np.concatenate(places) - np.repeat(left[found["doc"]], n)
+    out = np.empty(len(shift), _SPAN)
+    out["doc"], out["tag"] = doc[np.repeat(found["doc"], n)], tag[np.repeat(found["doc"], n)]
+    out["start"], out["end"] = np.repeat(found["start"], n) + shift, np.repeat(found["end"], n) + shift
+    return out
+
+
+def repeats(width: int):
+    """mapInArrow over contexts sorted by (gkey, left, context, id): spans (id, tag, spans) that go."""
+
+    def by_document(found: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate([np.zeros(0, _SPAN), *found])
+        every = every[np.lexsort((every["tag"], every["doc"]))]
+        first = np.flatnonzero((every["doc"] != np.roll(every["doc"], 1)) | (every["tag"] != np.roll(every["tag"], 1)) | (np.arange(len(every)) == 0))
+        ends = np.append(first[1:], len(every))
+        pairs = np.stack([every["start"], every["end"]], axis=1).astype("<i4")
+        return pa.RecordBatch.from_arrays([pa.array(every["doc"][first]), pa.array(every["tag"][first]), pa.array([pairs[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "spans"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: list[np.ndarray] = []
+        for table in whole_groups(one_of_each(batches, known, width), "gkey"):
+            known.append(extend(table, width))
+            if sum(map(len, known)) > 1 << 16:
+                yield by_document(known)
+                known.clear()
+        yield by_document(known)
 
     return run
 
@@ -184,29 +328,33 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col:
     """``docs`` with columns n_words, n_removed and kept_text added.
 
     A word goes when a window of ``min_words`` words around it also starts in a document
-    with a smaller id; windows are judged on the input. Texts with fewer words lose none.
-    Null texts have no words and an empty kept_text. Rows with a null id lose nothing and
-    are nobody's earlier copy. Rows that repeat an id with the same text share its result,
-    with another text they are judged apart. Extra columns are kept; columns named
-    n_words, n_removed or kept_text are replaced. An empty table gives an empty result.
+    with a smaller id; windows are judged on the input, on their words. Texts with fewer
+    words lose none. Null texts have no words and an empty kept_text. Rows with a null id
+    lose nothing and are nobody's earlier copy. Rows that repeat an id with the same text
+    share its result, with another text they are judged apart, and neither is the other's
+    earlier copy. Extra columns are kept; columns named n_words, n_removed or kept_text are
+    replaced. An empty table gives an empty result.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("tag"), F.col(text).alias("text"))
-    buckets = max(shuffle_width(docs.sparkSession), -(-10 * text_bytes(docs, text) // (6 * BUCKET_BYTES)))
-    met = (
-        keyed.where("id is not null and text is not null")
-        .mapInArrow(ship(min_words, gram, buckets), "bucket int, runs binary, windows binary, gone binary")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    where = names.index(at[text])
+    # the texts are dealt by id once, for both joins below
+    wide = docs.toDF(*names).withColumn("id", F.col(at[id_col]).cast("long")).withColumn("tag", F.xxhash64(F.col(at[text])))
+    buckets = max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, text) // (4 * BUCKET_BYTES)))
+    marks = (
+        wide.where("id is not null").select("id", "tag", at[text]).where(F.col(at[text]).isNotNull())
+        .mapInArrow(lean(ship_seeds(min_words, gram, buckets)), "bucket int, seeds binary")
         .repartition(buckets, "bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(meet(min_words), "id long, tag long, spans binary")
+        .mapInArrow(lean(shared_seeds), "id long, tag long, marks binary")
     )
+    marks = marks.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))
+    marked = wide.join(marks, ["id", "tag"]).select(*names, "id", "tag", "marks")
+    sent = marked.mapInArrow(lean(send_contexts(min_words, gram, where)), _SENT)
+    met = sent.repartition(buckets, "gkey").sortWithinPartitions("gkey", "left", "context", "id").mapInArrow(lean(repeats(min_words)), "id long, tag long, spans binary")
     gone = met.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    wide = docs.toDF(*names)
-    at = dict(zip(docs.columns, names, strict=True))
-    wide = wide.withColumn("tag", F.xxhash64(F.col(at[text])))
-    joined = wide.join(gone, (wide[at[id_col]].cast("long") == gone["id"]) & (wide["tag"] == gone["tag"]), "left").select(*names, "spans")
-    where = names.index(at[text])
+    joined = wide.join(gone, ["id", "tag"], "left").select(*names, "spans")
     fields = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +364,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col:
             more = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), kept]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *more], [*names, "n_words", "n_removed", "kept_text"])
 
-    out = joined.mapInArrow(apply, f"{fields}, n_words long, n_removed long, kept_text string")
+    out = joined.mapInArrow(lean(apply), f"{fields}, n_words long, n_removed long, kept_text string")
     return out.toDF(*docs.columns, "n_words", "n_removed", "kept_text")
 
 
