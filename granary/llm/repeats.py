@@ -10,8 +10,7 @@ smallest document goes.
 
 Equal surroundings of an anchor are one: each batch sends those of its smallest document
 alone, and where they meet again the stream passes on the first and marks the others. An
-anchor with over HOT occurrences is parted by the words that follow it and, apart from
-that, by those before it; every window around it has enough of either.
+anchor with over HOT occurrences is parted by some forty words around it.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from .common import hash_words, lean, mix, rolling, row_blocks, shuffle_width, t
 BUCKET_BYTES = 16 << 20
 BLOCK = 2 << 20
 CONTEXT_BYTES = 32 << 20
-HOT = 5_000
+HOT, PART = 1_000, 10
 _SEED = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4")])
 _MARK = np.dtype([("anchor", "<u8"), ("at", "<i4"), ("n", "<u4")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -125,21 +124,29 @@ def shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.empty(len(seeds), _MARK)
         marks["anchor"], marks["at"], marks["n"] = seeds["anchor"], seeds["at"], np.minimum(n, (1 << 32) - 1)
         first = np.flatnonzero((seeds["doc"] != np.roll(seeds["doc"], 1)) | (seeds["tag"] != np.roll(seeds["tag"], 1)) | (np.arange(len(seeds)) == 0))
-        ends = np.append(first[1:], len(seeds))
+        ends = np.append(first, len(seeds))[1:]
         yield pa.RecordBatch.from_arrays([pa.array(seeds["doc"][first]), pa.array(seeds["tag"][first]), pa.array([marks[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "marks"])
 
 
-def parts_of(anchor: int, n: int, words: list[bytes], at: int, width: int, gram: int) -> list[int]:
-    """The groups in which an occurrence meets others: its anchor's, or two by the words after and before a hot one."""
+def contexts(anchor: int, n: int, words: list[bytes], at: int, width: int, gram: int) -> list[tuple[int, int, bytes]]:
+    """The groups in which an occurrence meets others, with the words it brings: (key, words before the anchor, words).
+
+    That is its anchor and all that windows around it reach. Around a hot anchor windows are
+    parted by how many words they have before it, PART numbers together: each part is keyed
+    by the words that all its windows share, and brings no more than those reach.
+    """
+    reach = width - gram
     if n <= HOT:
-        return [anchor]
-    half = (width - gram) // 2
-    sides = []
-    if len(words) - at >= width - half:
-        sides.append(b"after " + b" ".join(words[at : at + width - half]))
-    if at >= half:
-        sides.append(b"before " + b" ".join(words[at - half : at + gram]))
-    return [int.from_bytes(blake2b(side, digest_size=8).digest(), "little", signed=True) for side in sides]
+        left = min(at, reach)
+        return [(anchor, left, b" ".join(words[at - left : at + width]))]
+    out = []
+    for first in range(0, reach + 1, PART):
+        last = min(first + PART - 1, reach)
+        if first <= at and at + width - last <= len(words):
+            key = blake2b(b"%d " % first + b" ".join(words[at - first : at + width - last]), digest_size=8).digest()
+            left = min(at, last)
+            out.append((int.from_bytes(key, "little", signed=True), left, b" ".join(words[at - left : at + width - first])))
+    return out
 
 
 _SENT = "gkey long, left int, context binary, id long, tag long, places binary"
@@ -152,8 +159,6 @@ def send_contexts(width: int, gram: int, where: int):
     anchor. Of equal contexts in a batch those of the smallest document are sent. Of the
     others all windows are known to go: such rows have no context, and places holds spans.
     """
-    reach = width - gram
-
     def flush(held: dict[tuple[int, int, bytes], dict[int, list[tuple[int, int]]]]) -> pa.RecordBatch:
         rows = []
         for (key, left, context), docs in held.items():
@@ -179,15 +184,13 @@ def send_contexts(width: int, gram: int, where: int):
         size = 0
         for batch in batches:
             ids, tags, lists = (batch.column(batch.num_columns - k) for k in (3, 2, 1))
-            for i in range(batch.num_rows):
+            for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 doc, tag = ids[i].as_py(), tags[i].as_py()
                 words = (batch.column(where)[i].as_py() or "").encode("utf-8", "surrogatepass").split()
                 for anchor, at, n in np.frombuffer(b"".join(lists[i].as_py()), _MARK).tolist():
-                    left = min(at, reach)
-                    context = b" ".join(words[at - left : at + width])
-                    for key in parts_of(anchor - (1 << 64) if anchor >> 63 else anchor, n, words, at, width, gram):
-                        held.setdefault((key, left, context), {}).setdefault(doc, []).append((tag, at))
-                        size += len(context) + 100
+                    for found in contexts(anchor - (1 << 64) if anchor >> 63 else anchor, n, words, at, width, gram):
+                        held.setdefault(found, {}).setdefault(doc, []).append((tag, at))
+                        size += len(found[2]) + 100
                 if size > CONTEXT_BYTES:
                     yield flush(held)
                     size = 0
@@ -294,7 +297,7 @@ def repeats(width: int):
         every = np.concatenate([np.zeros(0, _SPAN), *found])
         every = every[np.lexsort((every["tag"], every["doc"]))]
         first = np.flatnonzero((every["doc"] != np.roll(every["doc"], 1)) | (every["tag"] != np.roll(every["tag"], 1)) | (np.arange(len(every)) == 0))
-        ends = np.append(first[1:], len(every))
+        ends = np.append(first, len(every))[1:]
         pairs = np.stack([every["start"], every["end"]], axis=1).astype("<i4")
         return pa.RecordBatch.from_arrays([pa.array(every["doc"][first]), pa.array(every["tag"][first]), pa.array([pairs[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "spans"])
 
@@ -350,7 +353,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col:
         .mapInArrow(lean(shared_seeds), "id long, tag long, marks binary")
     )
     marks = marks.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))
-    marked = wide.join(marks, ["id", "tag"]).select(*names, "id", "tag", "marks")
+    # a left join, as below, so that one exchange serves both; documents without marks are passed over
+    marked = wide.join(marks, ["id", "tag"], "left").select(*names, "id", "tag", "marks")
     sent = marked.mapInArrow(lean(send_contexts(min_words, gram, where)), _SENT)
     met = sent.repartition(buckets, "gkey").sortWithinPartitions("gkey", "left", "context", "id").mapInArrow(lean(repeats(min_words)), "id long, tag long, spans binary")
     gone = met.groupBy("id", "tag").agg(F.collect_list("spans").alias("spans"))
