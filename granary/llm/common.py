@@ -289,6 +289,39 @@ def unpack(fn: Callable[[pa.Table], pa.Table], key: str) -> Callable:
     return run
 
 
+def add_slices(finish: Callable[[int, np.ndarray], np.ndarray]) -> Callable:
+    """mapInArrow over rows (slice, counts) sorted by slice: the sums of each slice, one at a time.
+
+    Counts are unsigned numbers of 32 bits, those of slices under 0 doubles; sums go
+    through ``finish``. Whatever the number of rows, one sum and one batch are held.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([finish(at, total).tobytes()], pa.binary())], ["slice", "counts"])
+
+        for batch in batches:
+            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                part = np.frombuffer(blob.as_buffer(), np.float64 if key < 0 else np.uint32)
+                if key == at:
+                    total += part
+                    continue
+                if at is not None:
+                    yield done()
+                at, total = key, part.astype(np.float64 if key < 0 else np.int64)
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def summed_slices(sent: DataFrame, finish: Callable[[int, np.ndarray], np.ndarray]) -> DataFrame:
+    """The sums of rows (slice long, counts binary) by slice."""
+    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(lean(add_slices(finish)), "slice long, counts binary")
+
+
 HOT_KEYS = 10_000
 
 
