@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, checkpoint, hash_words, lean, mix, row_blocks, seeds, text_buffers, unpack
+from .common import HOT_KEYS, checkpoint, hash_words, lean, mix, row_blocks, seeds, shuffle_width, summed_slices, text_buffers, unpack
 
 SHARD_DOCS = 1024
 SHARD_BYTES = 16 << 20
 GROUPS = 8
 SLOTS = 1 << 18
-SLICES = 16
+SLICES = 256
 END_ID = 1
 _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
 _encoders: dict[str, object] = {}
@@ -59,6 +59,13 @@ def word_slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (h & np.uint64(SLOTS - 1)).astype(np.int64), np.concatenate([p[1] for p in parts])
 
 
+def parts_of(texts: pa.Array) -> Iterator[pa.Array]:
+    """Runs of texts of a block each; a longer text stands alone."""
+    _, offsets = text_buffers(texts)
+    for a, b in row_blocks(offsets):
+        yield texts.slice(a, b - a)
+
+
 def doc_terms(slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (document, slot, frequency), ordered by document and slot."""
     doc = np.repeat(np.arange(len(counts), dtype=np.int64), counts)
@@ -69,28 +76,26 @@ def doc_terms(slots: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
 def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int, float]:
     """Documents that hold each slot, documents, and their mean number of words, over the whole corpus.
 
-    Each task sends one table of SLOTS counts, whatever it reads; the driver gets one.
+    Each task sends one table of SLOTS counts in slices, whatever it reads; the slices are
+    summed apart, and the driver gets one table.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n, words = np.zeros(SLOTS, np.int64), 0, 0
+        df, n, words = np.zeros(SLOTS, np.uint32), 0, 0
         for batch in batches:
-            slots, counts = word_slots(batch.column(0))
-            df += np.bincount(doc_terms(slots, counts)[1], minlength=SLOTS)
-            n, words = n + len(counts), words + int(counts.sum())
-        cells = [c.tobytes() for c in np.split(df, SLICES)] + [np.array([n, words], np.int64).tobytes()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES + 1, dtype=np.int32)), pa.array(cells, pa.binary())], ["slice", "counts"])
-
-    def total(table: pa.Table) -> pa.Table:
-        summed = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
-        return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([summed.tobytes()], pa.binary())})
-
-    rows = docs.select(text).mapInArrow(lean(count), "slice int, counts binary").groupBy("slice").applyInArrow(total, "slice int, counts binary").collect()
-    parts = {r.slice: np.frombuffer(bytes(r.counts), np.int64) for r in rows}
+            for texts in parts_of(batch.column(0)):
+                slots, counts = word_slots(texts)
+                df += np.bincount(doc_terms(slots, counts)[1], minlength=SLOTS).astype(np.uint32)
+                n, words = n + len(counts), words + int(counts.sum())
+        cells = [c.tobytes() for c in np.split(df, SLICES)] + [np.array([n, words], np.float64).tobytes()]
+        yield pa.RecordBatch.from_arrays([pa.array([*range(SLICES), -1], pa.int64()), pa.array(cells, pa.binary())], ["slice", "counts"])
+
+    sent = docs.select(text).mapInArrow(lean(count), "slice long, counts binary")
+    parts = {r.slice: bytes(r.counts) for r in summed_slices(sent, lambda _, total: total).collect()}
     if not parts:
         return np.zeros(SLOTS, np.int64), 0, 0.0
-    n, words = parts[SLICES].tolist()
-    return np.concatenate([parts[i] for i in range(SLICES)]), n, words / max(n, 1)
+    n, words = np.frombuffer(parts[-1], np.float64).tolist()
+    return np.frombuffer(b"".join(parts[i] for i in range(SLICES)), np.int64), int(n), words / max(n, 1)
 
 
 class Index:
@@ -248,7 +253,8 @@ def pack(docs: DataFrame, window: int = 2048, vocabulary: str = "byte_bpe_50k.js
         edges = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
         return pa.concat_tables([fn(table.slice(a, b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)])
 
-    dealt = deal(rows, stats, n, shards).repartition("shard").sortWithinPartitions("shard", "doc_id", "text")
+    parts = max(shuffle_width(docs.sparkSession), -(-size // SHARD_BYTES))
+    dealt = deal(rows, stats, n, shards).repartition(parts, "shard").sortWithinPartitions("shard", "doc_id", "text")
     return dealt.mapInArrow(lean(unpack(each, "shard")), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
