@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import lean
 
 MARK = "▁"
-CACHE = 300_000
+CACHE, CACHE_WORD = 300_000, 64
 
 
 class PieceCounter(dict):
-    """Maps a segment to its number of tokens; keeps at most CACHE segments."""
+    """Maps a segment to its number of tokens; keeps segments of at most CACHE_WORD characters, CACHE of them."""
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -32,61 +33,63 @@ class PieceCounter(dict):
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
         n = sp.get_piece_size()
         plain = [i for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
-        self.score = {sp.id_to_piece(i): sp.get_score(i) for i in plain}
+        order = {s: k for k, s in enumerate(sorted({sp.get_score(i) for i in plain}, reverse=True))}
+        self.pieces = [sp.id_to_piece(i) for i in plain]
+        #: what a heap entry begins with: the piece's rank, room for a place, and the piece
+        self.entry = {p: order[sp.get_score(i)] << 64 | k for k, (i, p) in enumerate(zip(plain, self.pieces, strict=True))}
         self.falls_back = any(sp.is_byte(i) for i in range(n))
-        if sp.normalize("ﬁ Å  x ") != f"{MARK}ﬁ{MARK}Å{MARK}{MARK}x{MARK}":
+        if sp.normalize("ﬁ Å  x ") != f"{MARK}ﬁ{MARK}Å{MARK}{MARK}x{MARK}":
             raise ValueError("only vocabularies that keep texts as they are, with a mark before them, can be counted")
-        self.splits = not any(MARK in p.lstrip(MARK) for p in self.score)
+        self.splits = not any(MARK in p.lstrip(MARK) for p in self.pieces)
         self.segments = re.compile(f"{MARK}+[^{MARK}]*").findall
 
     def __missing__(self, segment: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        n = self[segment] = self.merge(segment)
+        n = self.merge(segment)
+        if len(segment) <= CACHE_WORD:
+            if len(self) >= CACHE:
+                self.clear()
+            self[segment] = n
         return n
 
     def cost(self, char: str) -> int:
         """Tokens of a character that nothing merges: its bytes where it is no piece."""
-        return 1 if char in self.score or not self.falls_back else len(char.encode("utf-8", "surrogatepass"))
+        return 1 if char in self.entry or not self.falls_back else len(char.encode("utf-8", "surrogatepass"))
 
     def merge(self, segment: str) -> int:
-        score = self.score
+        """Tokens of a segment. A heap entry is one number (rank, place, piece): long segments take some 60 bytes a character."""
+        entry, pieces = self.entry, self.pieces
         n = len(segment)
         part: list[str | None] = list(segment)
-        cost = [self.cost(c) for c in segment]
-        total = sum(cost)
-        heap = []
-        for i in range(n - 1):
-            s = score.get(segment[i : i + 2])
-            if s is not None:
-                heap.append((-s, i, segment[i : i + 2]))
+        costs = {c: self.cost(c) for c in set(segment)}
+        total = sum(map(costs.__getitem__, segment))
+        heap = [e | i << 20 for i in range(n - 1) if (e := entry.get(segment[i : i + 2])) is not None]
         if not heap:
             return total
         heapq.heapify(heap)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
+        after = array("q", range(1, n + 1))
+        before = array("q", range(-1, n - 1))
         while heap:
-            _, i, piece = heapq.heappop(heap)
+            least = heapq.heappop(heap)
+            i, piece = least >> 20 & 0xFFFFFFFFFFF, pieces[least & 0xFFFFF]
             left = part[i]
             if left is None:
                 continue
             j = after[i]
             if j >= n or len(left) + len(part[j]) != len(piece) or left + part[j] != piece:
                 continue
-            total -= cost[i] + cost[j] - 1
-            cost[i] = 1
+            total -= (costs[left] if len(left) == 1 else 1) + (costs[part[j]] if len(part[j]) == 1 else 1) - 1
             part[i], part[j] = piece, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                s = score.get(piece + part[k])
-                if s is not None:
-                    heapq.heappush(heap, (-s, i, piece + part[k]))
+                e = entry.get(piece + part[k])
+                if e is not None:
+                    heapq.heappush(heap, e | i << 20)
             h = before[i]
             if h >= 0:
-                s = score.get(part[h] + piece)
-                if s is not None:
-                    heapq.heappush(heap, (-s, h, part[h] + piece))
+                e = entry.get(part[h] + piece)
+                if e is not None:
+                    heapq.heappush(heap, e | h << 20)
         return total
 
     def count(self, text: str) -> int:
@@ -116,7 +119,8 @@ def count_tokens(docs: DataFrame, vocabulary_file: str = "piece_bpe_32k.model",
 
     ``vocabulary_file`` is a file name that each worker finds among its public tokenizers,
     or a path. Null and empty texts have no bytes and no tokens. Texts of any length are
-    counted whole. Repeated rows, null ids and extra columns don't matter.
+    counted whole. Repeated rows and null ids are counted each; extra columns are ignored. An
+    empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
