@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, lean, row_blocks, text_buffers
+from .common import checkpoint, hash_words, lean, row_blocks, text_buffers
 
 SAMPLE_DOCS = 4000
 SAMPLE_LINES = 2000
+SAMPLE_TOTAL = 200_000
 
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b".,;:?'\"()-", b"!", b"|", bytes(range(128, 256)), bytes(range(0, 9)) + bytes(range(14, 32))]
 _PACKED = np.zeros((5, 256), np.int64)
@@ -211,10 +212,11 @@ def fold(key: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(key).cast("string")), F.lit(folds))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
+def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_lines: int = SAMPLE_LINES, sample_total: int = SAMPLE_TOTAL, id_col: str = "doc_id", text: str = "text", label: str = "quality") -> Field:
     """The field fitted on at most ``sample_docs`` labelled documents, taken in the order of a hash.
 
-    Documents of more than ``sample_lines`` lines are left out of the sample. Null ids,
+    Documents of more than ``sample_lines`` lines are left out of the sample, and so are
+    those after the first ``sample_total`` lines of all: the driver gets no more. Null ids,
     labels other than 0 and 1, and labels without a document teach nothing; of several
     labels of one document one is used.
     """
@@ -229,11 +231,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
             at = np.cumsum(n) - n
             keep = np.flatnonzero(n <= sample_lines)
             blobs = [[a[at[i] : at[i] + n[i]].astype(np.float32).tobytes() for i in keep] for a in (x, size)]
+            lines = pa.array(n[keep].astype(np.int64))
             keep = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), *(pa.array(b, pa.binary()) for b in blobs)], ["_id", "y", "x", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), lines, *(pa.array(b, pa.binary()) for b in blobs)], ["_id", "y", "n", "x", "size"])
 
     kind = labels.schema[id_col].dataType.simpleString()
-    got = rows.mapInArrow(lean(measure), f"_id {kind}, y int, x binary, size binary").orderBy("_id", "x").limit(sample_docs).collect()
+    measured = checkpoint(rows.mapInArrow(lean(measure), f"_id {kind}, y int, n long, x binary, size binary").withColumn("at", F.concat(F.md5(F.col("_id").cast("string")), F.md5("x"))))
+    so_far = F.sum("n").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    # over sizes alone, of sample_docs documents
+    last = measured.select("at", so_far.alias("lines")).where(F.col("lines") <= sample_total).agg(F.max("at")).first()[0]
+    got = measured.where(F.col("at") <= F.lit(last)).orderBy("at").limit(sample_docs).collect() if last is not None else []
     x = np.frombuffer(b"".join(r.x for r in got), np.float32).reshape(-1, N_FEATURES)
     size = np.frombuffer(b"".join(r["size"] for r in got), np.float32)
     return fit(x, size, np.array([len(r["size"]) // 4 for r in got], np.int64), np.array([r.y for r in got]))
