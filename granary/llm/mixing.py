@@ -27,31 +27,38 @@ def sizes(docs: DataFrame, text: str = "text") -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(docs[text], F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 
 
+def in_turn(per_source: DataFrame) -> DataFrame:
+    """Sources with their place, from 0, by code point with null last; no task sees more than a range of them."""
+    placed = per_source.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    # the lower 33 bits of this number count the rows of a partition
+    placed = checkpoint(placed.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    so_far = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(so_far), F.lit(0)).alias("before"))
+    return placed.join(F.broadcast(parts), "part").withColumn("turn", F.col("before") + F.col("i")).drop("part", "i", "before")
+
+
 def targets(per_source: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of sources (source, source_size): column target added.
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``share`` times
     all words; no target is over ``most`` times its source's size, and the excess is
-    reshared by weight. Sources that reach their cap form a prefix in the order of size
-    over weight, so one running sum finds the last of them. One row a source.
+    reshared by weight: words a unit of weight rise, round by round, as sources reach their
+    cap, until no more do. Each round is one sum over all sources.
     """
-    in_order = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", "turn")
-    below = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     turns = F.array(*[F.lit(float(w)) for w in weights])
-    s = per_source.withColumn("turn", F.row_number().over(in_order))
-    s = s.withColumn("weight", F.element_at(turns, F.pmod(F.col("turn") - 1, F.lit(len(weights))).cast("int") + 1))
-    s = s.withColumn("cap", F.col("source_size") * F.lit(float(most))).withColumn("ratio", F.col("cap") / F.col("weight"))
-    s = s.withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-    s = s.withColumn("capped", F.coalesce(F.sum("cap").over(below), F.lit(0.0)))
-    s = s.withColumn("open", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0)))
-    # a source is at its cap when the share left for it and those after it would exceed the cap
-    s = s.withColumn("full", (F.col("budget") - F.col("capped")) * F.col("weight") >= F.col("cap") * F.col("open"))
-    left = F.col("budget") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)
-    free = F.sum(F.when(F.col("full"), F.lit(0.0)).otherwise(F.col("weight"))).over(everything)
-    s = s.withColumn("left", left).withColumn("free", free)
-    return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(F.col("weight") * F.col("left") / F.col("free"))).select("source", "source_size", "target")
+    s = in_turn(per_source)
+    s = s.withColumn("weight", F.element_at(turns, F.pmod(F.col("turn"), F.lit(len(weights))).cast("int") + 1))
+    s = checkpoint(s.withColumn("cap", F.col("source_size") * F.lit(float(most))))
+    budget = (s.agg(F.sum("source_size")).first()[0] or 0) * float(share)
+    left, free, full = 0.0, 1.0, -1
+    while True:
+        capped = F.col("cap") * F.lit(free) <= F.col("weight") * F.lit(left) if full >= 0 else F.lit(False)
+        n, taken, open_ = s.agg(F.count(F.when(capped, 1)), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))).first()
+        if n == full:
+            break
+        full, left, free = n, budget - (taken or 0.0), open_ or 0.0
+    target = F.when(F.col("cap") * F.lit(free) <= F.col("weight") * F.lit(left), F.col("cap")).otherwise(F.col("weight") * F.lit(left) / F.lit(free or 1.0))
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def mix_sources(
@@ -62,24 +69,25 @@ def mix_sources(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = 1.5,
     most: float = 2.0,
-    offset: float = 0.6180339887498949,
+    seed: int = 17,
     cell_rows: int = 2_000,
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Copies of each document in the mix: (id, size, source_size, target, copies, taken).
 
-    ``offset`` is the one random offset in [0, 1), fixed so that reruns agree. Texts that
+    Each source has one random offset in [0, 1), drawn from ``seed``, so that reruns agree. Texts that
     are null or without words have size 0: they may be drawn but take no words. A null
-    source is a source of its own, last in order. A null id is sampled like any other.
+    source is a source of its own, last in order. A null id is sampled like any other, its
+    place within its class by its text.
     Equal rows are drawn as separate documents. Extra columns of ``docs`` are ignored,
     but those named in ``carry`` come along in a last column, the struct ``carried``. An empty
     table gives an empty result.
     """
     row = [F.struct(*carry).alias("carried")] if carry else []
     sized = checkpoint(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), *row)
+        docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), sizes(docs, text).alias("size"), F.when(F.col(id_col).isNull(), F.col(text)).alias("text"), *row)
         .withColumn("class", size_class(F.col("size")))
-        .withColumn("h", order_hash(F.col("doc_id")))
+        .withColumn("h", order_hash(F.coalesce(F.col("doc_id").cast("string"), "text"))).drop("text")
     )
     classes = sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     classes = checkpoint(classes)
@@ -95,7 +103,8 @@ def mix_sources(
     ranked = look_up(ranked, cells, "source", "class", "slice")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("before") + F.col("row")
-    copies = F.floor(rank * rate + F.lit(offset)) - F.floor((rank - 1) * rate + F.lit(offset))
+    offset = order_hash(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))) / F.lit(float(1 << 32))
+    copies = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
     out = ranked.withColumn("copies", copies.cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["carried"] if carry else []))
 
@@ -124,10 +133,11 @@ def op1_mixing(spark, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+  SELECT doc_id, source, "text" AS txt, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
 ), ordered AS (
   SELECT *, CAST(floor(log2(size + 1.0) * 8.0) AS INT) AS class,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM sized
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), txt, '')), 1, 8) AS BIGINT) AS h,
+    CAST('0x' || substr(md5('17:' || coalesce(source, '')), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS shift FROM sized
 ), per_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS turn
   FROM sized GROUP BY source
@@ -146,10 +156,10 @@ goals AS (
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY class, h, doc_id, size) AS place FROM ordered
 ), drawn AS (
-  SELECT r.doc_id, r.size, g.source_size, g.target, r.place, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
+  SELECT r.doc_id, r.size, r.shift, g.source_size, g.target, r.place, CASE WHEN g.source_size > 0 THEN g.target / g.source_size ELSE 0 END AS rate
   FROM ranked r JOIN goals g ON r.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST((floor(place * rate + 0.6180339887498949::DOUBLE) - floor((place - 1) * rate + 0.6180339887498949::DOUBLE)) AS BIGINT) * CAST(size AS BIGINT) AS taken
+  CAST((floor(place * rate + shift) - floor((place - 1) * rate + shift)) AS BIGINT) * CAST(size AS BIGINT) AS taken
 FROM drawn
 """
