@@ -233,34 +233,22 @@ def group_edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-HUB = 1000
-HUBS = 20_000
-
-
-def with_least(pairs: DataFrame, rows: int) -> DataFrame:
+def with_least(pairs: DataFrame) -> DataFrame:
     """Rows (u, v) with m, the least v of each u.
 
-    The rows of a hub, a u with more than HUB rows and more than 2 / HUBS of all, stay
-    where they are: its least comes by a broadcast, of HUBS rows at most.
+    The least ones are read back from files, so that both sides of the join are dealt for
+    it alone: then the rows of a hub, a u with very many, can be split between tasks.
     """
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = checkpoint(least.where(F.col("n") > max(HUB, 2 * rows // HUBS)).select("u", "m"))
-    if hubs.isEmpty():
-        return pairs.join(least.drop("n"), "u")
-    marked = pairs.join(F.broadcast(hubs), "u", "left")
-    rest = marked.where(F.col("m").isNull()).drop("m")
-    return marked.where(F.col("m").isNotNull()).unionByName(rest.join(rest.groupBy("u").agg(F.min("v").alias("m")), "u"))
+    return pairs.join(checkpoint(pairs.groupBy("u").agg(F.min("v").alias("m"))), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, component) for nodes that have an edge.
 
     The component is its smallest node. Large-star and small-star steps alternate, each
-    over aggregates and joins, with a checkpoint after each round, until nothing changes.
+    over aggregates and joins, with a checkpoint after each, until nothing changes.
     """
-    e = checkpoint(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    )
+    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -268,8 +256,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        small = with_least(checkpoint(large), before[0])
+        large = checkpoint(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
+        small = with_least(large)
         e = checkpoint(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
         now = state(e)
         if now == before:
