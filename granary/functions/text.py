@@ -15,6 +15,11 @@ NOT_ALNUM = r"[^\p{L}\p{N}\p{M}]+"
 SPACES = r"(?U)\s+"
 CODE_EXTENSIONS = "rs py js mjs ts tsx jsx go c h cpp cc hpp cs java kt rb php swift lua sh bash ps1 bat sql json toml yaml yml xml html css vim".split()
 
+#: The marks around hits in a snippet, what stands for left-out text, and a snippet's tokens.
+HIT_OPEN, HIT_CLOSE, LEFT_OUT, SNIPPET_TOKENS = "\x01", "\x02", " … ", 14
+#: Numbers of kinds in lists.
+KIND_NUMBERS = {1: "pdf", 2: "image", 3: "note", 5: "file", 6: "docx", 7: "xlsx", 8: "pptx", 9: "web"}
+
 #: Words that carry no content.
 STOPWORDS = (
     "about actually after again also another anything around back because been before being below best between both "
@@ -265,3 +270,50 @@ def item_hash(kind: Column, source: Column, content: Column, bytes_hash: Column
     if bytes_hash is None:
         return F.sha2(plain, 256)
     return F.sha2(F.when(bytes_hash.isNotNull(), F.concat(kind, zero, bytes_hash)).otherwise(plain), 256)
+
+
+def failure_title(path: Column, message: Column) -> Column:
+    """Name of a failed ingest: the file's, or what its message says before the colon."""
+    name = F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/\\]+)[/\\]*$", 1)
+    return F.when(name != "", name).otherwise(F.trim(F.element_at(F.split(message, ":"), 1)))
+
+
+def strip_title(message: Column, title: Column) -> Column:
+    """A message without the name that it begins with."""
+    rest = F.substring(message, F.length(title) + 1, F.length(message))
+    return F.when(message.startswith(title), F.trim(F.regexp_replace(rest, "^:+", ""))).otherwise(message)
+
+
+def tag_line(text: Column) -> Column:
+    """Tags as typed, as a line: #a #b."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)[,\s]+"), lambda t: F.regexp_replace(t, "^#+", ""))
+    return F.array_join(F.transform(F.filter(parts, lambda t: t != ""), lambda t: F.concat(F.lit("#"), F.lower(t))), " ")
+
+
+def windows_path(path: Column) -> Column:
+    """A path below /mnt/<drive> as Windows names it; others as they are."""
+    drive, rest = (F.regexp_extract(path, r"(?s)^/mnt/([^/])/(.*)$", k) for k in (1, 2))
+    return F.when(drive != "", F.concat(F.upper(drive), F.lit(":\\"), F.translate(rest, "/", "\\"))).otherwise(path)
+
+
+def short_path(path: Column, most: int) -> Column:
+    """As many last folders of a long path as fit, after an ellipsis."""
+
+    def cut(parts: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "\\"))
+        return F.concat(F.lit("…\\"), F.element_at(F.filter(ends, lambda e: (e == "") | (F.length(e) + 2 <= most)), -1))
+
+    return F.when(F.length(path) <= most, path).otherwise(let(F.split(path, r"\\"), cut))
+
+
+def plain_snippet(snippet: Column) -> Column:
+    """A snippet without the marks around its hits."""
+    return F.translate(snippet, HIT_OPEN + HIT_CLOSE, "")
+
+
+def kind_index(kind: Column, source: Column, title: Column) -> Column:
+    """The number of a hit's kind as lists show it; code files count as code, unknown kinds as 0."""
+    out = F.when((kind != "web") & is_code_name(F.coalesce(source, title)), 4)
+    for number, name in KIND_NUMBERS.items():
+        out = out.when(kind == name, number)
+    return out.otherwise(0)

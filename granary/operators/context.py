@@ -107,6 +107,12 @@ def rerank_head(scored: DataFrame, k: int, extra: int = EXTRA) -> DataFrame:
     return c.where(kept).drop("place", "late", "taken", "n")
 
 
+def rerank_texts(head: DataFrame, items: DataFrame) -> DataFrame:
+    """A reranker's passages: title units show the title and the first UNIT_WORDS words of their item."""
+    titles = head.where("ord < 0").select("item_id").distinct().join(items.select(F.col("id").alias("item_id"), F.concat("title", F.lit(": "), F.array_join(F.slice(words(F.col("content")), 1, UNIT_WORDS), " ")).alias("shown")), "item_id")
+    return head.join(titles, "item_id", "left").withColumn("text", F.when(F.col("ord") < 0, F.coalesce("shown", "text")).otherwise(F.col("text"))).drop("shown")
+
+
 def rerank_top(head: DataFrame, score: Callable[[Column, Column], Column], queries: DataFrame) -> DataFrame:
     """Rows (query_id, top_item): the item of the best reranked passage; literal passages get a bonus."""
     seen = head.join(F.broadcast(queries.select("query_id", F.col("text").alias("question"))), "query_id")

@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.functions.text import content_terms, is_code_name, stems
+from granary.functions.text import HIT_CLOSE, HIT_OPEN, LEFT_OUT, SNIPPET_TOKENS, TOKEN, ascii_tokens, content_terms, is_code_name, stems
 from granary.plans.query import Filters, phrases
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 3.0
 MIN_COSINE, COSINE_WINDOW, SEMANTIC_FLOOR, KEYWORD_WEIGHT = 0.45, 0.12, 0.40, 0.60
 ABSENT_TERMS, ABSENT_COSINE = 2, 0.70
+NO_TOKEN = TOKEN.replace("[", "[^")[:-1] + "*"
 PHRASE = "query_id long, pos int, n int, j int, term string, is_prefix boolean"
 
 
@@ -22,28 +23,72 @@ def phrase_table(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
     return spark.createDataFrame(phrases(queries), PHRASE)
 
 
-def matched_terms(occ: DataFrame, parts: DataFrame) -> DataFrame:
-    """Occurrences that a phrase's term meets, exactly or as a prefix.
+#: As many forms of what was typed go to all tasks; more are joined like any table.
+FORMS, PUSHED = 100_000, 2_000
 
-    One pass: each occurrence is looked up by its term and by its beginnings of the
-    lengths that the queries' prefixes have.
+
+def typed_forms(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows (query_id, pos, n, j, term): the index's terms that each typed term meets, exactly or as a prefix.
+
+    One pass over the vocabulary (term): each term is looked up by itself and by its
+    beginnings of the lengths that the typed prefixes have.
     """
-    keys = [F.struct(F.lit(False).alias("is_prefix"), F.col("term"))]
+    keys = [F.struct(F.lit(False).alias("is_prefix"), F.col("term").alias("typed"))]
     for row in parts.where("is_prefix").select(F.length("term").alias("size")).distinct().collect():
-        keys.append(F.struct(F.lit(True).alias("is_prefix"), F.substring("term", 1, row.size).alias("term")))
-    keyed = occ.select("item_id", "field", "place", F.explode(F.array(*keys)).alias("key"))
-    keyed = keyed.select("item_id", "field", "place", "key.is_prefix", "key.term")
-    return keyed.join(F.broadcast(parts), ["is_prefix", "term"]).select("query_id", "pos", "n", "j", "item_id", "field", "place")
+        keys.append(F.struct(F.lit(True).alias("is_prefix"), F.substring("term", 1, row.size).alias("typed")))
+    keyed = vocabulary.select("term", F.explode(F.array(*keys)).alias("key")).select("term", "key.is_prefix", "key.typed")
+    return keyed.join(F.broadcast(parts.withColumnRenamed("term", "typed")), ["is_prefix", "typed"]).select("query_id", "pos", "n", "j", "term")
+
+
+def matched_terms(occ: DataFrame, parts: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """Occurrences of the terms that a query's phrases meet. Few terms become a filter of the index's scan."""
+    forms = typed_forms(parts, occ.select("term").distinct() if vocabulary is None else vocabulary)
+    few = forms.limit(FORMS + 1).collect()
+    if len(few) <= FORMS:
+        forms = F.broadcast(occ.sparkSession.createDataFrame(few, forms.schema))
+        terms = sorted({r.term for r in few})
+        if len(terms) <= PUSHED:
+            occ = occ.where(F.col("term").isin(terms))
+    return occ.join(forms, "term").select("query_id", "pos", "n", "j", "item_id", "field", "place")
+
 
+def whole_phrases(met: DataFrame) -> DataFrame:
+    """Rows (query_id, pos, n, item_id, field, start): places where all terms of a query word adjoin."""
+    placed = met.withColumn("start", F.col("place") - F.col("j"))
+    return placed.groupBy("query_id", "pos", "n", "item_id", "field", "start").agg(F.countDistinct("j").alias("have")).where("have = n").drop("have")
 
-def phrase_hits(occ: DataFrame, parts: DataFrame, title_weight: float = TITLE_WEIGHT) -> DataFrame:
+
+def phrase_hits(occ: DataFrame, parts: DataFrame, title_weight: float = TITLE_WEIGHT, vocabulary: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, pos, item_id, tf): weighted occurrences of each query word; of several terms only where they adjoin."""
-    met = matched_terms(occ, parts).withColumn("start", F.col("place") - F.col("j"))
-    whole = met.groupBy("query_id", "pos", "n", "item_id", "field", "start").agg(F.countDistinct("j").alias("have")).where("have = n")
+    whole = whole_phrases(matched_terms(occ, parts, vocabulary))
     weight = F.when(F.col("field") == "t", F.lit(title_weight)).otherwise(F.lit(1.0))
     return whole.groupBy("query_id", "pos", "item_id").agg(F.sum(weight).alias("tf"))
 
 
+def match_snippets(ranked: DataFrame, items: DataFrame, whole: DataFrame, size: int = SNIPPET_TOKENS) -> DataFrame:
+    """``ranked`` with a snippet of each item's content: ``size`` tokens from the hit on after which the most query words follow.
+
+    Hits stand between marks; left-out text is shown as such. Items met by their title
+    alone show their beginning. ``whole`` has the hits of ``whole_phrases``.
+    """
+    keys = ["query_id", "item_id"]
+    hits = whole.where("field = 'c'").join(ranked.select(*keys), keys)
+    later = hits.select(*keys, F.col("pos").alias("other"), F.col("start").alias("at"))
+    seen = hits.select(*keys, "start").distinct().join(later, keys).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("start") + size))
+    best = seen.groupBy(*keys, "start").agg(F.countDistinct("other").alias("words")).groupBy(*keys).agg((-F.max(F.struct("words", -F.col("start"))).getItem("col2")).alias("begin"))
+    lit = hits.select(*keys, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("place")).groupBy(*keys).agg(F.collect_set("place").alias("lit"))
+    shown = ranked.join(best, keys, "left").join(lit, keys, "left").join(items.select(F.col("id").alias("item_id"), "content"), "item_id")
+    pieces = F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(f"({TOKEN}{NO_TOKEN})"), F.lit(1))
+    shown = shown.withColumn("pieces", pieces).withColumn("begin", F.coalesce("begin", F.lit(0))).withColumn("lit", F.coalesce("lit", F.array().cast("array<int>")))
+    token = lambda p: F.regexp_extract(p, TOKEN, 0)
+    marked = lambda p, i: F.when(F.array_contains("lit", F.col("begin") + i), F.concat(F.lit(HIT_OPEN), token(p), F.lit(HIT_CLOSE), F.regexp_replace(p, f"^{TOKEN}", ""))).otherwise(p)
+    text = F.array_join(F.transform(F.slice("pieces", F.col("begin") + 1, F.lit(size)), marked), "")
+    text = F.regexp_replace(text, f"[^\\p{{L}}\\p{{N}}\\p{{Co}}{HIT_CLOSE}]+$", "")
+    more = F.size("pieces") > F.col("begin") + size
+    snippet = F.concat(F.when(F.col("begin") > 0, LEFT_OUT).otherwise(""), text, F.when(more, LEFT_OUT).otherwise(""))
+    return shown.select(*ranked.columns, snippet.alias("snippet"))
+
+
 def bm25(hits: DataFrame, lengths: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """Rows (query_id, item_id, score): any word may match; idf never under 1e-6."""
     totals = lengths.agg(F.count("*").alias("items"), F.avg("length").alias("mean"))
@@ -182,19 +227,75 @@ def best_cosine(found: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.greatest(F.lit(0.0), F.max("cos")).alias("cos"))
 
 
-def unit_bm25(units: DataFrame, queries: DataFrame, title_weight: float = 3.0, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def any_term_present(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Rows (query_id, present): whether any content term of a text is a term of the index, exactly."""
+    terms = queries.select("query_id", F.explode(content_terms(F.col("text"))).alias("term"))
+    met = terms.join(vocabulary, "term", "left_semi").select("query_id").distinct().withColumn("present", F.lit(True))
+    return queries.select("query_id").join(met, "query_id", "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def unit_bm25(
+    units: DataFrame,
+    queries: DataFrame,
+    title_weight: float = 3.0,
+    k1: float = 1.5,
+    b: float = 0.75,
+    every: bool = False,
+    prefix: bool = False,
+    stopwords: list[str] | tuple[str, ...] = (),
+    extra: DataFrame | None = None,
+    extra_weight: float = 0.5,
+) -> DataFrame:
     """Okapi scores (query_id, chunk_id, item_id, score) of units with their titles, for the evaluation harness.
 
     ``units`` has (chunk_id, item_id, tokens, title_tokens); ``queries`` (query_id, terms)
-    of lower-case ASCII tokens. Any term may match; repeated terms count again.
+    of lower-case ASCII tokens. Any term may match, with ``every`` all must; repeated terms
+    count again. ``stopwords`` go unless nothing else is left. With ``prefix`` the last term
+    counts the terms that begin with it in units that lack it, under its own df. ``extra``
+    (query_id, term) are expansions of half weight, which no unit must have.
     """
+    kept = F.filter("terms", lambda t: ~t.isin(list(stopwords))) if stopwords else F.col("terms")
+    asked = queries.withColumn("terms", F.when(F.size(kept) > 0, kept).otherwise(F.col("terms"))).select("query_id", F.size("terms").alias("n"), F.posexplode("terms").alias("j", "term"))
+    asked = asked.select("query_id", "n", "j", "term", F.lit(1.0).alias("weight"), (F.col("j") == F.col("n") - 1).alias("last"))
+    if extra is not None:
+        more = extra.select("query_id", F.lit(0).alias("n"), (-1 - F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).alias("j"), "term", F.lit(float(extra_weight)).alias("weight"), F.lit(False).alias("last"))
+        asked = asked.unionByName(more)
     terms = units.select("chunk_id", "item_id", F.explode("tokens").alias("term"), F.lit(1.0).alias("w")).unionByName(units.select("chunk_id", "item_id", F.explode("title_tokens").alias("term"), F.lit(title_weight).alias("w")))
-    tf = terms.groupBy("chunk_id", "item_id", "term").agg(F.sum("w").alias("tf"))
     size = units.select("chunk_id", (F.size("tokens") + title_weight * F.size("title_tokens")).alias("length"))
     totals = size.agg(F.count("*").alias("units"), F.avg("length").alias("mean"))
+    # only what was asked for is counted
+    tf = terms.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("chunk_id", "item_id", "term").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = queries.select("query_id", F.explode("terms").alias("term"))
-    met = tf.join(F.broadcast(asked), "term").join(df, "term").join(size, "chunk_id").crossJoin(F.broadcast(totals))
+    met = tf.join(F.broadcast(asked), "term").select("query_id", "n", "j", "term", "weight", "chunk_id", "item_id", "tf")
+    if prefix:
+        lasts = asked.where("last").select("query_id", "n", "j", F.col("term").alias("typed"), "weight")
+        begun = terms.join(F.broadcast(lasts), F.col("term").startswith(F.col("typed")) & (F.col("term") != F.col("typed"))).groupBy("query_id", "n", "j", "typed", "weight", "chunk_id", "item_id").agg(F.sum("w").alias("tf"))
+        met = met.unionByName(begun.withColumnRenamed("typed", "term").join(met.select("query_id", "j", "chunk_id"), ["query_id", "j", "chunk_id"], "left_anti"))
+    met = met.join(df, "term", "left").join(size, "chunk_id").crossJoin(F.broadcast(totals)).withColumn("f", F.col("tf") * F.col("weight")).withColumn("df", F.coalesce("df", F.lit(0)))
     idf = F.log(1 + (F.col("units") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    return met.groupBy("query_id", "chunk_id", "item_id").agg(F.sum(part).alias("score"))
+    part = idf * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    scored = met.groupBy("query_id", "chunk_id", "item_id").agg(F.sum(part).alias("score"), F.count_if(F.col("j") >= 0).alias("have"), F.max("n").alias("n"))
+    return (scored.where("have = n") if every else scored).select("query_id", "chunk_id", "item_id", "score")
+
+
+def boost_terms(questions: DataFrame, units: DataFrame, weight: float = 0.08, least: int = 4, most_share: float = 0.34, stopwords: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Rows (query_id, term, weight): longer terms of questions that few items hold, the rarer the heavier."""
+    asked = questions.select("query_id", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("term")).where((F.length("term") >= least) & ~F.col("term").isin(list(stopwords) or [""]))
+    said = units.select("item_id", F.explode(F.array_union("tokens", "title_tokens")).alias("term"))
+    df = said.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("item_id").alias("df"))
+    items = units.agg(F.greatest(F.countDistinct("item_id"), F.lit(1)).alias("items"))
+    share = F.coalesce("df", F.lit(0)) / F.col("items")
+    return asked.join(df, "term", "left").crossJoin(F.broadcast(items)).where(share <= most_share).select("query_id", "term", (F.lit(weight) * (1 - share)).alias("weight"))
+
+
+def boosted(found: DataFrame, texts: DataFrame, boosts: DataFrame) -> DataFrame:
+    """Cosines (query_id, chunk_id, item_id, cos) with column dense: the cosine and the weights of boost terms in a unit's text (chunk_id, text)."""
+    met = texts.join(F.broadcast(boosts), F.lower("text").contains(F.col("term"))).groupBy("query_id", "chunk_id").agg(F.sum("weight").alias("boost"))
+    return found.join(met, ["query_id", "chunk_id"], "left").withColumn("dense", F.col("cos") + F.coalesce("boost", F.lit(0.0))).drop("boost")
+
+
+def rerank_items(fused: DataFrame, reranked: DataFrame) -> DataFrame:
+    """Items (query_id, item_id, score) with their rank by best reranked unit (query_id, item_id, logit), unseen ones last, then by score."""
+    best = reranked.groupBy("query_id", "item_id").agg(F.max("logit").alias("logit"))
+    by = Window.partitionBy("query_id").orderBy(F.col("logit").desc_nulls_last(), F.col("score").desc(), F.col("item_id"))
+    return fused.join(best, ["query_id", "item_id"], "left").withColumn("rank", F.row_number().over(by) - 1).drop("logit")

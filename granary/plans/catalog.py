@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import chunks as C
 from granary.operators import context as X
+from granary.operators import edits as D
 from granary.operators import index as I
 from granary.operators import ingest as G
 from granary.operators import search as S
@@ -21,7 +24,7 @@ SQL: dict[str, str] = {}
 NOW = 1_760_000_000
 ASKED = {1: "GNU General Public", 2: "Licensed under the Apache", 3: "Released MIT lic"}
 PHRASED = {1: "BY-NC public", 2: "MIT License."}
-QUESTIONS = {1: "which document mentions the newest invoices", 2: "when was the latest boat receipt paid", 3: "zzyzx qwertzuiop blorptastic", 4: "do i have a paper about licenses released"}
+QUESTIONS = {1: "which document mentions the newest invoices", 2: "when was the latest boat receipt paid", 3: "zzyzx qwertzuiop blorptastic", 4: "do i have a paper about licenses released", 5: "xqzzt vbnmmq"}
 TOKEN = T.TOKEN
 
 
@@ -70,26 +73,33 @@ bm AS (SELECT query_id, h.item_id, sum(greatest(ln((tot.n - df + 0.5::DOUBLE) /
 RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1"
 
 
-_held: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame]] = {}
+_written: dict[tuple[str, str], str] = {}
 
 
-def held_index(spark, sf_dir):
-    """Items, occurrences and lengths of the documents, kept by the session for its later queries."""
+def index_of(spark, sf_dir):
+    """Occurrences, vocabulary and lengths of the documents: an index written once a session, in the folder that the cluster shares."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _held:
-        items = V.documents(spark, sf_dir)
-        _held[key] = (items, I.occurrences(items).persist(), I.lengths(items).persist())
-    return _held[key]
+    if key not in _written:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        path = f"{folder}/index-{uuid.uuid4().hex}"
+        I.write(V.documents(spark, sf_dir), path)
+        _written[key] = path
+    return I.read(spark, _written[key])
 
 
 def _occ(spark, sf_dir):
-    return held_index(spark, sf_dir)[1]
+    return index_of(spark, sf_dir)[0]
+
+
+def _vocabulary(spark, sf_dir):
+    return index_of(spark, sf_dir)[1]
 
 
 def _keyword(spark, sf_dir, texts, limit):
-    items, occ, lengths = held_index(spark, sf_dir)
+    items = V.documents(spark, sf_dir)
+    occ, vocabulary, lengths = index_of(spark, sf_dir)
     parts = S.phrase_table(spark, texts)
-    hits = S.phrase_hits(occ, parts)
+    hits = S.phrase_hits(occ, parts, vocabulary=vocabulary)
     scored = S.bm25(hits, lengths).withColumn("score", F.round("score", 9))
     return items, parts, hits, S.top(scored, limit)
 
@@ -122,14 +132,14 @@ def kw_phrase_token(spark, sf_dir):
 
 @query(f"WITH {OCC} SELECT term, count(DISTINCT item_id) AS df FROM occ GROUP BY term")
 def term_df(spark, sf_dir):
-    return I.document_frequency(_occ(spark, sf_dir))
+    return _vocabulary(spark, sf_dir)
 
 
 @query(f"WITH {OCC} SELECT p AS prefix, count(DISTINCT item_id) AS df FROM occ JOIN (VALUES ('lic'), ('re'), ('über'), ('zz')) v(p) ON starts_with(term, p) GROUP BY p")
 def prefix_df(spark, sf_dir):
     wanted = spark.createDataFrame([("lic",), ("re",), ("über",), ("zz",)], "prefix string")
-    occ = _occ(spark, sf_dir).select("term", "item_id").distinct()
-    return occ.join(F.broadcast(wanted), F.col("term").startswith(F.col("prefix"))).groupBy("prefix").agg(F.countDistinct("item_id").alias("df"))
+    met = _vocabulary(spark, sf_dir).join(F.broadcast(wanted), F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
+    return _occ(spark, sf_dir).join(F.broadcast(met), "term").groupBy("prefix").agg(F.countDistinct("item_id").alias("df"))
 
 
 def _n_words(spark, texts):
@@ -167,7 +177,7 @@ _STEMS = "list_distinct(list_filter([CASE WHEN ends_with(term, 'ies') AND strlen
 
 @query(f"WITH {OCC}, w AS (SELECT DISTINCT term FROM occ WHERE ends_with(term, 's')) SELECT term, array_to_string(list_sort({_STEMS}), ' ') AS stems FROM w")
 def stems(spark, sf_dir):
-    w = _occ(spark, sf_dir).select("term").distinct().where(F.col("term").endswith("s"))
+    w = _vocabulary(spark, sf_dir).select("term").where(F.col("term").endswith("s"))
     return w.select("term", F.array_join(F.array_sort(T.stems(F.col("term"))), " ").alias("stems"))
 
 
@@ -179,15 +189,9 @@ present AS (SELECT query_id, term FROM forms WHERE form IN (SELECT term FROM voc
 counted AS (SELECT query_id, count(*) AS n_terms, count(*) FILTER (EXISTS (SELECT 1 FROM present p WHERE p.query_id = qt.query_id AND p.term = qt.term)) AS n_present FROM qt GROUP BY query_id)"""
 
 
-@query(f"WITH {_PRESENT} SELECT q.query_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_present, 0) AS n_present, coalesce(n_terms, 0) >= 2 AND coalesce(n_present, 0) = 0 AS absent FROM q LEFT JOIN counted USING (query_id)")
-def absent_gate(spark, sf_dir):
-    none = spark.createDataFrame([], "query_id long, cos double")
-    return S.absent(small(spark, QUESTIONS), _occ(spark, sf_dir), none).drop("best_cosine")
-
-
 # ---------------------------------------------------------------- vectors
 
-FOLDED = {1: (0, 1, 2), 2: (3, 4)}
+FOLDED = {1: (0, 1, 2), 2: (3, 4), 5: (10, 11)}
 _FOLD = f"""vv AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 roles(query_id, role, vec_id) AS (VALUES {values((q, r, v) for q, vs in FOLDED.items() for r, v in enumerate(vs))}),
 comp AS (SELECT query_id, i, sum(CASE WHEN role = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END * e[i]) AS x FROM roles JOIN vv USING (vec_id), range(1, 65) r(i) GROUP BY query_id, i),
@@ -241,6 +245,20 @@ def best_cosine(spark, sf_dir):
     return best.select("query_id", F.round("cos", 6).alias("cos"), F.round(S.semantic_score(F.col("cos")), 6).alias("score"))
 
 
+@query(f"""WITH {_PRESENT}, {_FOLD}, bestq AS (SELECT query_id, greatest(0.0, max(cos)) AS cos FROM cosq GROUP BY query_id)
+SELECT q.query_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_present, 0) AS n_present, round(cos, 6) AS best_cosine, coalesce(n_terms, 0) >= 2 AND coalesce(n_present, 0) = 0 AND coalesce(cos, 0) < 0.7 AS absent
+FROM q LEFT JOIN counted USING (query_id) LEFT JOIN bestq USING (query_id)""")
+def absent_gate(spark, sf_dir):
+    """Questions with and without a vector; one of them has no known word but a near chunk."""
+    best = S.best_cosine(_cosines(spark, sf_dir))
+    return S.absent(small(spark, QUESTIONS), _vocabulary(spark, sf_dir), best).withColumn("best_cosine", F.round("best_cosine", 6))
+
+
+@query(f"WITH {_PRESENT} SELECT q.query_id, EXISTS (SELECT 1 FROM qt JOIN voc USING (term) WHERE qt.query_id = q.query_id) AS present FROM q")
+def any_term_present(spark, sf_dir):
+    return S.any_term_present(small(spark, QUESTIONS), _vocabulary(spark, sf_dir).select("term"))
+
+
 @query(f"""WITH {hits_sql(ASKED)}, {cover_sql(ASKED)}, {_FOLD}, {_SEM},
 kw AS (SELECT query_id, item_id, rank, coalesce(coverage, 0) AS coverage, 0.6::DOUBLE * coalesce(coverage, 0) * coalesce(coverage, 0) / (1 + rank) AS kw FROM (SELECT *, {RANKED} AS rank FROM bm) b LEFT JOIN cover USING (query_id, item_id) WHERE rank < 40),
 se AS (SELECT query_id, item_id, greatest(0, least(1, (cos - 0.4::DOUBLE) / 0.6::DOUBLE)) AS sem FROM sem WHERE rank < 40),
@@ -253,27 +271,27 @@ def hybrid_fusion(spark, sf_dir):
 
 
 def _unit_lists(spark, sf_dir):
-    """Two rankings of units: by cosine, and by label overlap of the next query's cosine."""
-    found = _cosines(spark, sf_dir)
-    dense = S.top(found.select("query_id", "chunk_id", "item_id", "cos"), 40, "cos", "chunk_id")
-    sparse = S.top(found.select("query_id", "chunk_id", "item_id", (-F.col("ord")).alias("late")), 40, "late", "chunk_id")
-    return dense, sparse
+    """Two rankings of units, the vectors: by cosine, and by the keyword score of the document of the same number."""
+    units = V.chunk_vectors(spark, sf_dir).select("chunk_id", "item_id")
+    dense = S.top(_cosines(spark, sf_dir).select("query_id", "chunk_id", "item_id", "cos"), 40, "cos", "chunk_id")
+    words = _keyword(spark, sf_dir, ASKED, 10**9)[3].select("query_id", F.col("item_id").alias("chunk_id"), "score")
+    return dense, S.top(words.join(units, "chunk_id"), 40, "score", "chunk_id")
 
 
 _UNITS = """dense AS (SELECT * FROM (SELECT query_id, chunk_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id) - 1 AS rank FROM cosq) WHERE rank < 40),
-sparse AS (SELECT * FROM (SELECT query_id, chunk_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY -ord DESC, chunk_id) - 1 AS rank FROM cosq) WHERE rank < 40)"""
+sparse AS (SELECT * FROM (SELECT query_id, chunk_id, ch.item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM bm JOIN ch ON ch.chunk_id = bm.item_id) WHERE rank < 40)"""
 
 
-@query(f"""WITH {_FOLD}, {_UNITS}, u AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS s FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY ALL)
+@query(f"""WITH {hits_sql(ASKED)}, {_FOLD}, {_UNITS}, u AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank + 1)) AS s FROM (SELECT * FROM dense UNION ALL SELECT * FROM sparse) GROUP BY ALL)
 SELECT query_id, label::BIGINT AS item_id, round(max(s), 9) AS score FROM u JOIN embeddings ON vec_id = chunk_id GROUP BY ALL""")
 def rrf_units(spark, sf_dir):
     dense, sparse = _unit_lists(spark, sf_dir)
-    units = dense.select("chunk_id", "item_id").unionByName(sparse.select("chunk_id", "item_id")).distinct()
+    units = V.chunk_vectors(spark, sf_dir).select("chunk_id", "item_id")
     fused = S.reciprocal_ranks([dense, sparse], "chunk_id").join(units, "chunk_id")
     return fused.groupBy("query_id", "item_id").agg(F.round(F.max("score"), 9).alias("score"))
 
 
-@query(f"""WITH {_FOLD}, {_UNITS},
+@query(f"""WITH {hits_sql(ASKED)}, {_FOLD}, {_UNITS},
 d AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) - 1 AS rank FROM dense GROUP BY query_id, item_id),
 s AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) - 1 AS rank FROM sparse GROUP BY query_id, item_id)
 SELECT query_id, item_id, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS score FROM (SELECT * FROM d UNION ALL SELECT * FROM s) GROUP BY ALL""")
@@ -407,7 +425,7 @@ def doc_score_top3(spark, sf_dir):
 
 
 def _docfreq(spark, sf_dir):
-    return I.document_frequency(_occ(spark, sf_dir))
+    return _vocabulary(spark, sf_dir)
 
 
 TERMS = {1: "which released documents mention the estereo public license", 2: "erthwhing licensed under version 3"}
@@ -474,7 +492,7 @@ def expand_synonyms(spark, sf_dir):
 
 @query(f"WITH {_SYN} SELECT query_id, synonym, row_number() OVER (PARTITION BY query_id ORDER BY spot) AS place FROM found WHERE synonym IN (SELECT term FROM voc)")
 def expand_synonyms_known(spark, sf_dir):
-    return X.expansions(small(spark, SYNONYM_ASKS), _occ(spark, sf_dir))
+    return X.expansions(small(spark, SYNONYM_ASKS), _vocabulary(spark, sf_dir))
 
 
 @query(f"""WITH {hits_sql(ASKED)}, r AS (SELECT *, {RANKED} AS rank FROM bm), g AS (SELECT r.query_id, min(CASE WHEN quality = 1 THEN rank END) AS first_good FROM r LEFT JOIN labels ON item_id = doc_id WHERE rank < 10 GROUP BY r.query_id)
@@ -612,6 +630,251 @@ def feedback_titles(spark, sf_dir):
     return t.select("query_id", F.array_join(F.transform("t", lambda x: x["title"]), " ").alias("feedback"))
 
 
+# ---------------------------------------------------------------- snippets, edits, lists, failures
+
+_PIECE = T.TOKEN + T.TOKEN.replace("[", "[^")[:-1] + "*"
+
+
+@query(rf"""WITH {hits_sql(ASKED)}, r AS (SELECT * FROM (SELECT *, {RANKED} AS rank FROM bm) WHERE rank < 10),
+h AS (SELECT whole.query_id, whole.pos, whole.item_id, whole.start, max(ph.n) AS n FROM whole JOIN ph USING (query_id, pos) JOIN r USING (query_id, item_id) WHERE field = 'c' GROUP BY ALL),
+w AS (SELECT a.query_id, a.item_id, a.start, count(DISTINCT b.pos) AS words FROM h a JOIN h b ON a.query_id = b.query_id AND a.item_id = b.item_id AND b.start >= a.start AND b.start < a.start + {T.SNIPPET_TOKENS} GROUP BY ALL),
+beg AS (SELECT query_id, item_id, arg_min(start, -words * 1000000000 + start) AS begin_ FROM w GROUP BY ALL),
+lit AS (SELECT query_id, item_id, list(DISTINCT p) AS lit FROM (SELECT query_id, item_id, unnest(range(start, start + n)) AS p FROM h) GROUP BY ALL),
+x AS (SELECT r.*, coalesce(begin_, 0) AS b, coalesce(lit, []) AS lit, regexp_extract_all(content, '{_PIECE}') AS p FROM r LEFT JOIN beg USING (query_id, item_id) LEFT JOIN lit USING (query_id, item_id) JOIN items ON items.id = r.item_id),
+y AS (SELECT *, array_to_string(list_transform(range(0, least({T.SNIPPET_TOKENS}, len(p) - b)), lambda i: CASE WHEN list_contains(lit, b + i) THEN chr(1) || regexp_extract(p[b + i + 1], '{T.TOKEN}') || chr(2) || regexp_replace(p[b + i + 1], '^{T.TOKEN}', '') ELSE p[b + i + 1] END), '') AS t FROM x)
+SELECT query_id, item_id, rank, CASE WHEN b > 0 THEN ' … ' ELSE '' END || regexp_replace(t, '[^\p{{L}}\p{{N}}\p{{Co}}' || chr(2) || ']+$', '') || CASE WHEN len(p) > b + {T.SNIPPET_TOKENS} THEN ' … ' ELSE '' END AS snippet FROM y""")
+def match_snippets(spark, sf_dir):
+    items, parts, _, ranked = _keyword(spark, sf_dir, ASKED, 10)
+    occ, vocabulary, _ = index_of(spark, sf_dir)
+    whole = S.whole_phrases(S.matched_terms(occ, parts, vocabulary))
+    return S.match_snippets(ranked.select("query_id", "item_id", "rank"), items, whole)
+
+
+NOTE_QUERY = "#chat the"
+
+
+@query(f"WITH {_ALL} SELECT id, title FROM every WHERE kind = 'note' AND list_contains(tags, 'chat') AND (contains(lower(title), 'the') OR contains(lower(translate(substr(content, 1, 160), chr(13) || chr(10), '  ')), 'the'))")
+def notes_filter(spark, sf_dir):
+    return D.filter_notes(V.items(spark, sf_dir).where("kind = 'note'"), NOTE_QUERY).select("id", "title")
+
+
+SHOWN = [7, 3, 11, 5]
+
+
+@query(f"WITH {hits_sql(ASKED)}, r AS (SELECT query_id, item_id, {RANKED} AS rank FROM bm WHERE query_id = 2) SELECT item_id, row_number() OVER (ORDER BY CASE WHEN list_contains({SHOWN}, item_id) THEN list_position({SHOWN}, item_id) ELSE 1000 END, rank) - 1 AS rank FROM r WHERE rank < 20")
+def kept_order(spark, sf_dir):
+    ranked = _keyword(spark, sf_dir, ASKED, 20)[3].where("query_id = 2").select("item_id", "rank")
+    return D.keep_order(ranked, SHOWN)
+
+
+def _note_edits(n: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names for every third note, a blank one for every ninth; then edits of every second."""
+    names = n.where("id % 3 = 0").select("id", F.when(F.col("id") % 9 == 0, " ").otherwise(F.concat(F.lit(" Named "), F.col("id").cast("string"))).alias("title"))
+    edits = n.where("id % 2 = 0").select("id", F.lit("From the text").alias("title"), F.concat(F.col("content"), F.lit("!")).alias("content"), (F.col("added_at") + 60).alias("at"))
+    return names, edits
+
+
+@query(f"""WITH {_ALL}, n AS (SELECT *, id % 3 = 0 AND id % 9 <> 0 AS custom FROM every WHERE kind = 'note')
+SELECT id, CASE WHEN custom THEN 'Named ' || id WHEN id % 2 = 0 THEN 'From the text' ELSE title END AS title, sha256(content || CASE WHEN id % 2 = 0 THEN '!' ELSE '' END) AS sha, added_at + CASE WHEN id % 2 = 0 THEN 60 ELSE 0 END AS added_at, custom AS custom_title FROM n""")
+def note_edits(spark, sf_dir):
+    n = V.notes(spark, sf_dir)
+    names, edits = _note_edits(n)
+    done = D.update_notes(D.name_notes(n, names), edits)
+    return done.select("id", "title", F.sha2("content", 256).alias("sha"), "added_at", "custom_title")
+
+
+@query(f"""WITH {_ALL} SELECT id, CASE WHEN id % 5 = 0 THEN (id % 70) || ',' || (id % 9) END AS "cursor", CASE WHEN id % 5 = 0 THEN id % 70 END AS "row", CASE WHEN id % 5 = 0 THEN id % 9 END AS col, CASE WHEN id % 4 = 0 THEN 'files/' || id END AS stored FROM every WHERE kind = 'note'""")
+def note_cursors(spark, sf_dir):
+    n = V.notes(spark, sf_dir)
+    placed = D.set_cursors(n, n.where("id % 5 = 0").select("id", (F.col("id") % 70).alias("row"), (F.col("id") % 9).alias("col")))
+    placed = D.set_stored(placed, n.where("id % 4 = 0").select("id", F.concat(F.lit("files/"), F.col("id").cast("string")).alias("stored")))
+    return placed.withColumn("at", D.cursor_of(F.col("cursor"))).select("id", "cursor", F.col("at.row").alias("row"), F.col("at.col").alias("col"), "stored")
+
+
+@query(f"""WITH {_FAILS}, more AS (SELECT id + 1000000000 AS id, path, at_s + 5 AS at_s FROM lastf WHERE id % 2 = 0), every_ AS (SELECT id, path, at_s FROM lastf UNION ALL SELECT * FROM more),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY at_s DESC, id DESC) AS rn FROM every_) WHERE rn = 1 AND id % 3 <> 0)
+SELECT id, path, at_s AS "at" FROM l ORDER BY at_s DESC, id DESC LIMIT 50""")
+def undigested_list(spark, sf_dir):
+    """Failures recorded, failed again, dismissed, and listed newest first."""
+    bad = G.latest_failures(V.failures(spark, sf_dir)[0])
+    again = bad.where("id % 2 = 0").withColumn("id", F.col("id") + 1_000_000_000).withColumn("at", F.col("at") + 5)
+    kept = D.record_failures(bad, again)
+    return D.newest_failures(D.dismiss(kept, kept.where("id % 3 = 0")), 50).select("id", "path", "at")
+
+
+@query(f"WITH {_FAILS} SELECT DISTINCT path FROM lastf WHERE path <> ''")
+def undigested_retry(spark, sf_dir):
+    return D.retried(G.latest_failures(V.failures(spark, sf_dir)[0]))
+
+
+@query("""SELECT event_id, CASE WHEN regexp_extract(props, '([^/\\\\]+)[/\\\\]*$', 1) <> '' THEN regexp_extract(props, '([^/\\\\]+)[/\\\\]*$', 1) ELSE trim(split_part(event_type || ': ' || user_id, ':', 1)) END AS title, CAST(user_id AS VARCHAR) AS error FROM events""".replace("props", "(CASE WHEN event_id % 2 = 0 THEN 'C:/in/' || user_id || '.pdf' ELSE '' END)"))
+def failure_names(spark, sf_dir):
+    """Names of failures from paths, or messages where there is none; and messages without their names."""
+    e = V.table(spark, sf_dir, "events")
+    path = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("C:/in/"), F.col("user_id").cast("string"), F.lit(".pdf"))).otherwise("")
+    message = F.concat(F.col("event_type"), F.lit(": "), F.col("user_id").cast("string"))
+    return e.select("event_id", T.failure_title(path, message).alias("title"), T.strip_title(message, F.col("event_type")).alias("error"))
+
+
+@query(r"""WITH t AS (SELECT doc_id, coalesce(lang, '') || ', #' || coalesce(source, '') || ' ##X' AS raw, '/mnt/c/' || coalesce(source, '') || '/a b/' || doc_id || '.txt' AS p FROM documents),
+c AS (SELECT *, 'C:\' || coalesce(regexp_extract(p, '^/mnt/c/(.*)$', 1).replace('/', '\'), '') AS w FROM t)
+SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split_regex(raw, '[,\s]+'), lambda x: regexp_replace(x, '^#+', '')), lambda x: x <> ''), lambda x: '#' || lower(x)), ' ') AS tags, w AS path,
+ CASE WHEN length(w) <= 18 THEN w WHEN length(split_part(w, '\', -1)) + 2 > 18 THEN '…\' WHEN length('a b\' || split_part(w, '\', -1)) + 2 <= 18 THEN
+   CASE WHEN length(split_part(w, '\', -3) || '\a b\' || split_part(w, '\', -1)) + 2 <= 18 THEN '…\' || split_part(w, '\', -3) || '\a b\' || split_part(w, '\', -1) ELSE '…\a b\' || split_part(w, '\', -1) END ELSE '…\' || split_part(w, '\', -1) END AS short FROM c""")
+def shown_names(spark, sf_dir):
+    """Tag lines, paths as another system names them, and paths shortened to 18 characters."""
+    d = V.table(spark, sf_dir, "documents")
+    raw = F.concat(F.coalesce("lang", F.lit("")), F.lit(", #"), F.coalesce("source", F.lit("")), F.lit(" ##X"))
+    path = F.concat(F.lit("/mnt/c/"), F.coalesce("source", F.lit("")), F.lit("/a b/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    d = d.select("doc_id", T.tag_line(raw).alias("tags"), T.windows_path(path).alias("path"))
+    return d.withColumn("short", T.short_path(F.col("path"), 18))
+
+
+@query(f"WITH {_ALL} SELECT kind, CASE WHEN kind <> 'web' AND regexp_matches(lower(coalesce(source, title)), '^.+\\.({'|'.join(T.CODE_EXTENSIONS)})$') THEN 4 WHEN kind = 'note' THEN 3 WHEN kind = 'file' THEN 5 ELSE 0 END AS number, count(*) AS n FROM every GROUP BY ALL")
+def kind_numbers(spark, sf_dir):
+    i = V.items(spark, sf_dir)
+    return i.groupBy("kind", T.kind_index(F.col("kind"), F.col("source"), F.col("title")).alias("number")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ALL} SELECT id, title, array_to_string(tags, ' ') AS tags, sha256(CASE WHEN strlen(content) <= 2000 THEN content END) AS sha FROM every""")
+def lookups(spark, sf_dir):
+    return D.look_up(V.items(spark, sf_dir), 2000).select("id", "title", F.array_join("tags", " ").alias("tags"), F.sha2("content", 256).alias("sha"))
+
+
+@query(f"WITH {_ALL} SELECT id, CASE WHEN id % 4 = 1 THEN sha256(content || ' read again') ELSE sha256(content) END AS sha FROM every")
+def reread_texts(spark, sf_dir):
+    """Texts of stale items read again; of every second the file is gone."""
+    i = V.items(spark, sf_dir).withColumn("kind", F.when(F.col("id") % 2 == 1, "pdf").otherwise(F.col("kind"))).withColumn("source", F.concat(F.lit("in/"), F.col("id").cast("string")))
+    stale = D.stale_items(i, 1, 2)
+    read = i.where("id % 4 = 1").select(F.col("source").alias("path"), F.concat("content", F.lit(" read again")).alias("content"), F.lit(None).cast("string").alias("error"))
+    return D.reread(i, stale, read).select("id", F.sha2("content", 256).alias("sha"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'files' WHEN doc_id % 3 = 1 THEN 'url' ELSE 'text' END AS what FROM documents WHERE trim(coalesce(\"text\", '')) <> ''")
+def taken_first(spark, sf_dir):
+    from granary.sources.files import taken_first as taken
+
+    d = V.table(spark, sf_dir, "documents").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    files = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("a.txt"))).otherwise(F.array().cast("array<string>"))
+    url = F.when(F.col("doc_id") % 3 == 1, F.lit("https://a.b")).otherwise(F.lit(" "))
+    return d.select(F.col("doc_id").alias("id"), taken(files, url, F.col("text")).getField("what").alias("what"))
+
+
+# ---------------------------------------------------------------- chunks of several paragraphs
+
+
+@query(rf"""WITH RECURSIVE {_NOTES.replace("notes0 AS", "notes0 AS", 1)},
+par AS (SELECT id, i, len({_WORDS % 'p'}) AS size FROM (SELECT id, unnest(string_split(content, chr(10) || chr(10))) AS p, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS i FROM notes)),
+parts AS (SELECT id, size, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM par WHERE size > 0),
+st AS (SELECT DISTINCT id, 0::BIGINT AS k, 0::BIGINT AS beg, 0::BIGINT AS "at", 0::BIGINT AS closed, 0::BIGINT AS b1, 0::BIGINT AS full_ FROM parts
+  UNION ALL SELECT id, k, b1 + 80 * full_, "at", closed, b1, full_ FROM (SELECT s.id, p.k, s."at" + p.size AS "at", CASE WHEN s.beg < s."at" AND s."at" + p.size - s.beg > 100 THEN s."at" ELSE -1 END AS closed,
+    CASE WHEN s.beg < s."at" AND s."at" + p.size - s.beg > 100 THEN greatest(s.beg, s."at" - 20) ELSE s.beg END AS b1,
+    greatest(0, (s."at" + p.size - CASE WHEN s.beg < s."at" AND s."at" + p.size - s.beg > 100 THEN greatest(s.beg, s."at" - 20) ELSE s.beg END - 100) // 80 + CASE WHEN s."at" + p.size - CASE WHEN s.beg < s."at" AND s."at" + p.size - s.beg > 100 THEN greatest(s.beg, s."at" - 20) ELSE s.beg END >= 100 THEN 1 ELSE 0 END) AS full_
+    FROM st s JOIN parts p ON p.id = s.id AND p.k = s.k + 1)),
+prev AS (SELECT *, lag(beg) OVER (PARTITION BY id ORDER BY k) AS before FROM st),
+spans AS (SELECT id, before AS a, closed AS b FROM prev WHERE k > 0 AND closed >= 0 UNION ALL SELECT id, b1 + 80 * j, b1 + 80 * j + 100 FROM (SELECT id, b1, unnest(range(0, full_)) AS j FROM prev WHERE k > 0)),
+fin AS (SELECT id, arg_max(beg, k) AS a, max("at") AS b FROM st GROUP BY id),
+allspans AS (SELECT * FROM spans UNION ALL SELECT id, a, b FROM fin WHERE b - a > 20 OR (b > a AND id NOT IN (SELECT id FROM spans))),
+wds AS (SELECT id, {_WORDS % 'content'} AS w FROM notes)
+SELECT id AS item_id, row_number() OVER (PARTITION BY id ORDER BY b, a) - 1 AS ord, b - a AS n, sha256(array_to_string(w[a + 1 : b], ' ')) AS sha FROM allspans JOIN wds USING (id)""")
+def chunk_paragraphs(spark, sf_dir):
+    """Chunks of notes, texts of several paragraphs; their words without their breaks."""
+    w = C.chunks(V.notes(spark, sf_dir)).withColumn("w", T.words(F.col("text")))
+    return w.select("item_id", F.col("ord").cast("long").alias("ord"), F.size("w").cast("long").alias("n"), F.sha2(F.array_join("w", " "), 256).alias("sha"))
+
+
+# ---------------------------------------------------------------- harness
+
+
+_HUNITS = f"""{ITEMS}, toks AS (SELECT id, regexp_extract_all(lower(title), '[a-z0-9]+') AS tt, regexp_extract_all(lower(content), '[a-z0-9]+') AS ct FROM items)"""
+BOOSTED = {1: "which general public license text mentions kobe", 2: "apache commons version three"}
+
+
+def _harness_units(spark, sf_dir):
+    i = V.documents(spark, sf_dir)
+    return i.select(F.col("id").alias("chunk_id"), F.col("id").alias("item_id"), T.ascii_tokens(F.col("content")).alias("tokens"), T.ascii_tokens(F.col("title")).alias("title_tokens"))
+
+
+_HBOOST = f"""q(query_id, txt) AS (VALUES {values(BOOSTED.items())}), qt AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(txt), '[a-z0-9]+')) AS term FROM q),
+idf AS (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(list_concat(tt, ct)) AS term FROM toks) GROUP BY term), nn AS (SELECT count(*) AS n FROM toks),
+boosts AS (SELECT query_id, term, 0.08::DOUBLE * (1 - coalesce(df, 0) / n) AS weight FROM qt LEFT JOIN idf USING (term), nn WHERE length(term) >= 4 AND coalesce(df, 0) / n <= 0.34)"""
+
+
+@query(f"WITH {_HUNITS}, {_HBOOST} SELECT query_id, term, round(weight, 6) AS weight FROM boosts")
+def harness_boosts(spark, sf_dir):
+    return S.boost_terms(small(spark, BOOSTED), _harness_units(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"""WITH {_HUNITS}, {_HBOOST}, {_FOLD}, lit AS (SELECT query_id, id, sum(weight) AS boost FROM items JOIN boosts ON contains(lower(title || ' ' || content), term) GROUP BY ALL)
+SELECT query_id, chunk_id, round(dense, 6) AS dense, rank FROM (SELECT query_id, chunk_id, dense, row_number() OVER (PARTITION BY query_id ORDER BY round(dense, 9) DESC, chunk_id) - 1 AS rank FROM (SELECT c.query_id, c.chunk_id, cos + coalesce(boost, 0) AS dense FROM cosq c LEFT JOIN lit ON lit.query_id = c.query_id AND lit.id = c.chunk_id)) WHERE rank < 40""")
+def harness_dense(spark, sf_dir):
+    """Cosines lifted by rare words of the question in the document of the same number."""
+    boosts = S.boost_terms(small(spark, BOOSTED), _harness_units(spark, sf_dir))
+    texts = V.documents(spark, sf_dir).select(F.col("id").alias("chunk_id"), F.concat_ws(" ", "title", "content").alias("text"))
+    found = S.boosted(_cosines(spark, sf_dir), texts, boosts).withColumn("dense", F.round("dense", 9))
+    return S.top(found, 40, "dense", "chunk_id").select("query_id", "chunk_id", F.round("dense", 6).alias("dense"), "rank")
+
+
+EXTRA = {1: "copyleft foundation", 2: "notice"}
+HARNESS_STOPS = ["the", "under", "version"]
+
+
+@query(f"""WITH {_HUNITS}, w AS (SELECT id, unnest(ct) AS term, 1.0::DOUBLE AS w FROM toks UNION ALL SELECT id, unnest(tt), 3.0::DOUBLE FROM toks),
+tf AS (SELECT id, term, sum(w) AS tf FROM w GROUP BY ALL), sz AS (SELECT id, len(ct) + 3.0::DOUBLE * len(tt) AS length FROM toks), tot AS (SELECT count(*) AS n, avg(length) AS mean FROM sz),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q(query_id, j, term, weight, last) AS (VALUES (1, 0, 'gnu', 1.0, FALSE), (1, 1, 'public', 1.0, FALSE), (1, 2, 'lic', 1.0, TRUE), (1, -2, 'copyleft', 0.5, FALSE), (1, -3, 'foundation', 0.5, FALSE), (2, 0, 'apache', 1.0, FALSE), (2, 1, 'licen', 1.0, TRUE), (2, -2, 'notice', 0.5, FALSE)),
+ex AS (SELECT query_id, j, q.term, weight, id, tf FROM q JOIN tf USING (term)),
+pre AS (SELECT query_id, j, q.term, weight, id, sum(tf) AS tf FROM q JOIN tf ON starts_with(tf.term, q.term) AND tf.term <> q.term WHERE last AND NOT EXISTS (SELECT 1 FROM ex e WHERE e.query_id = q.query_id AND e.j = q.j AND e.id = tf.id) GROUP BY ALL),
+m AS (SELECT query_id, j, id, tf * weight AS f, coalesce(df, 0) AS df FROM (SELECT * FROM ex UNION ALL SELECT * FROM pre) x LEFT JOIN df USING (term))
+SELECT query_id, id AS item_id, round(sum(ln(1 + (tot.n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6) AS score
+FROM m JOIN sz USING (id) CROSS JOIN tot GROUP BY query_id, id HAVING count(*) FILTER (j >= 0) = CASE query_id WHEN 1 THEN 3 ELSE 2 END""")
+def harness_every_term(spark, sf_dir):
+    """All words must match, the last as a beginning; stopwords go, and expansions weigh half."""
+    asks = spark.createDataFrame([(1, "the gnu public lic".split()), (2, "under apache licen".split())], "query_id long, terms array<string>")
+    extra = spark.createDataFrame([(q, w) for q, t in EXTRA.items() for w in t.split()], "query_id long, term string")
+    found = S.unit_bm25(_harness_units(spark, sf_dir), asks, every=True, prefix=True, stopwords=HARNESS_STOPS, extra=extra)
+    return found.select("query_id", "item_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {hits_sql(ASKED)}, r AS (SELECT query_id, item_id, round(score, 9) AS score, {RANKED} AS rank FROM bm), s AS (SELECT * FROM r WHERE rank < 30),
+l AS (SELECT query_id, item_id, max(logit) AS logit FROM (SELECT query_id, item_id, (item_id % 7)::DOUBLE AS logit FROM s WHERE rank < 12 UNION ALL SELECT query_id, item_id, (item_id % 5)::DOUBLE FROM s WHERE rank < 12) GROUP BY ALL)
+SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY logit DESC NULLS LAST, score DESC, item_id) - 1 AS rank FROM s LEFT JOIN l USING (query_id, item_id)""")
+def rerank_order(spark, sf_dir):
+    """The first twelve hits reordered by made-up scores of two units each, the others behind them."""
+    ranked = _keyword(spark, sf_dir, ASKED, 30)[3]
+    head = ranked.where("rank < 12")
+    units = head.select("query_id", "item_id", (F.col("item_id") % 7).cast("double").alias("logit")).unionByName(head.select("query_id", "item_id", (F.col("item_id") % 5).cast("double").alias("logit")))
+    return S.rerank_items(ranked.select("query_id", "item_id", "score"), units).select("query_id", "item_id", "rank")
+
+
+# ---------------------------------------------------------------- an agent's calls
+
+
+@query(f"WITH {_ALL} SELECT id, title, kind, translate(substr(content, 1, 120), chr(13) || chr(10), '  ') AS snippet FROM every ORDER BY added_at DESC, id DESC LIMIT 20")
+def call_recent(spark, sf_dir):
+    from granary.plans.api import Vault
+
+    rows = Vault(spark, V.items(spark, sf_dir)).list_recent(20)
+    return spark.createDataFrame([(r["id"], r["title"], r["kind"], r["snippet"]) for r in rows], "id long, title string, kind string, snippet string")
+
+
+@query(f"WITH {_ALL} SELECT id, title, kind, length(content) AS chars, length(content) > 300 AS truncated, substr(content, 1, 300) AS content FROM every WHERE id IN (1, 20000001, 30000001)")
+def call_get(spark, sf_dir):
+    from granary.plans.api import Vault
+
+    vault = Vault(spark, V.items(spark, sf_dir))
+    rows = [r for r in (vault.get(i, 300) for i in (1, V.NOTE + 1, V.FILE + 1, -1)) if r]
+    return spark.createDataFrame([(r["id"], r["title"], r["kind"], r["chars"], r["truncated"], r["content"]) for r in rows], "id long, title string, kind string, chars long, truncated boolean, content string")
+
+
+@query(f"WITH {_ALL} SELECT 'item:' || id AS uri, title AS name, kind || ' · ' || substr(translate(substr(content, 1, 120), chr(13) || chr(10), '  '), 1, 80) AS description FROM every ORDER BY added_at DESC, id DESC LIMIT 100")
+def call_resources(spark, sf_dir):
+    from granary.plans.api import Vault
+
+    rows = Vault(spark, V.items(spark, sf_dir)).resources()
+    return spark.createDataFrame([(r["uri"], r["name"], r["description"]) for r in rows], "uri string, name string, description string")
+
+
 # ---------------------------------------------------------------- queries that SQL can't tell
 
 
@@ -630,20 +893,24 @@ def page_items(spark, sf_dir):
 
 @query()
 def embed_chunks(spark, sf_dir):
-    items = V.benchmark_files(spark, sf_dir)
+    items = V.items(spark, sf_dir)
     return M.embed_chunks(items, C.with_title_units(items, C.chunks(items)), lambda: M.HashingEmbedder(64))
 
 
 @query()
 def snippet_blocks(spark, sf_dir):
-    items, _, _, ranked = _keyword(spark, sf_dir, {1: ASKED[1]}, 12)
-    return N.blocks(ranked, items, N.query_terms(ASKED[1])).withColumn("lines", F.to_json("lines"))
+    items, _, _, ranked = _keyword(spark, sf_dir, ASKED, 12)
+    every = [N.blocks(ranked.where(F.col("query_id") == q), items, N.query_terms(text)) for q, text in ASKED.items()]
+    out = every[0].withColumn("query_id", F.lit(min(ASKED)).cast("long"))
+    for q, more in zip(list(ASKED)[1:], every[1:], strict=True):
+        out = out.unionByName(more.withColumn("query_id", F.lit(q).cast("long")))
+    return out.withColumn("lines", F.to_json("lines"))
 
 
 @query()
 def context_blocks(spark, sf_dir):
-    """The context of two questions over notes, by the default embedder and reranker."""
-    items = V.notes(spark, sf_dir)
+    """The context of two questions over all items, by the default embedder and reranker."""
+    items = V.items(spark, sf_dir)
     cut = C.with_title_units(items, C.chunks(items)).withColumn("chunk_id", F.col("item_id") * 1000 + F.col("ord") + 1)
     asked = spark.createDataFrame([(1, "which notes mention the latest released license", ""), (2, "thereha edonre ontiatth", "")], "query_id long, text string, aux string")
     make = lambda: M.HashingEmbedder(64)
@@ -652,15 +919,13 @@ def context_blocks(spark, sf_dir):
     occ = I.occurrences(items)
     terms = X.distinctive_terms(asked, I.document_frequency(occ), items.count())
     cands = X.candidates(found, cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, occ))
-    top = X.rerank_top(X.rerank_head(cands, M.head_size(8)), M.lexical_reranker, asked)
+    top = X.rerank_top(X.rerank_texts(X.rerank_head(cands, M.head_size(8)), items), M.lexical_reranker, asked)
     return X.blocks(cands, cut.select("item_id", "ord", "text"), items, top)
 
 
 @query()
 def stream_ingest(spark, sf_dir):
     """All documents through the stream; the vault it leaves."""
-    import uuid
-
     from granary.streaming.ingest import start, version
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators import chunks as C
+from granary.operators import context as X
 from granary.operators import search as S
 
+#: Words left out of keyword queries where stopwords are.
+KEYWORD_STOPWORDS = (
+    "a an and are as at be been being but by can did do does for from had has have how i if in into is it its me my of "
+    "on or our so than that the their them then there these they this to was we were what when where which who whom why "
+    "will with you your"
+).split()
+
 
 @dataclass(frozen=True)
 class Config:
@@ -24,7 +35,38 @@ class Config:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     bm25_title_weight: float = 3.0
+    bm25_doc_units: bool = True
+    kw_stopwords: bool = False
+    typo_or: bool = True
+    prefix_last: bool = True
+    idf_boost: bool = True
+    idf_boost_weight: float = 0.08
     idf_min_len: int = 4
+    idf_max_frac: float = 0.34
+    idf_stopwords: bool = False
+    query_expansion: str = "off"
+    expansion_max: int = 12
+    expansion_weight: float = 0.5
+    prf: bool = False
+    prf_k: int = 3
+    prf_text: str = "title"
+    prf_opening_words: int = 12
+    rerank: bool = False
+    rerank_k: int = 20
+    rerank_doc_words: int = 60
+    rerank_fusion: str = "off"
+    chunk_mode: str = "words"
+    chunk_min_words: int = 0
+    chunk_words: int = 100
+    chunk_overlap: int = 20
+    max_chunks: int = 600
+    unit_text: str = "title_chunk"
+    doc_units: bool = False
+    doc_unit_text: str = "title"
+    doc_opening_words: int = 60
+    pooling: str = "cls"
+    query_prefix: str = ""
+    passage_prefix: str = ""
     kw_weight: float = S.KEYWORD_WEIGHT
     fusion: str = "score"
     rrf_k: int = 60
@@ -99,18 +141,60 @@ def absent_signal(cfg: Config) -> Column:
     raise ValueError(f"unknown absent metric: {cfg.absent_metric}")
 
 
-def run(cfg: Config, questions: DataFrame, units: DataFrame, dense: DataFrame) -> DataFrame:
+def units_of(cfg: Config, items: DataFrame) -> DataFrame:
+    """Rows (chunk_id, item_id, ord, title, text) of items, cut and headed as configured; document units stand at ord -1."""
+    cut = C.chunk_by_headings if cfg.chunk_mode == "para_heading" else C.chunk_text
+    more = {"least": cfg.chunk_min_words} if cfg.chunk_mode == "para_heading" else {}
+    sizes = {"target": cfg.chunk_words, "overlap": cfg.chunk_overlap, "most": cfg.max_chunks}
+
+    def parts(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda t: cut(t or "", **sizes, **more))
+
+    texts = F.pandas_udf(parts, "array<string>")("content")
+    made = items.select(F.col("id").alias("item_id"), "title", F.posexplode(texts).alias("ord", "text"))
+    if cfg.doc_units:
+        opening = F.array_join(F.slice(T.words(F.col("content")), 1, cfg.doc_opening_words), " ")
+        made = made.unionByName(items.select(F.col("id").alias("item_id"), "title", F.lit(-1).alias("ord"), (opening if cfg.doc_unit_text == "title_opening" else F.lit("")).alias("text")))
+    return made.withColumn("chunk_id", F.xxhash64("item_id", "ord"))
+
+
+def feedback(cfg: Config, kw: DataFrame, units: DataFrame) -> DataFrame:
+    """Rows (query_id, feedback): titles of the first items by keywords, or titles with their unit's opening."""
+    first = S.best_per_item(S.top(kw, 10**9, "score", "chunk_id")).where(F.col("rank") < cfg.prf_k)
+    by = Window.partitionBy("query_id", "item_id").orderBy(F.col("score").desc(), "chunk_id")
+    best = kw.withColumn("rn", F.row_number().over(by)).where("rn = 1").select("query_id", "item_id", "chunk_id")
+    said = F.col("title") if cfg.prf_text == "title" else F.concat_ws(" ", "title", F.array_join(F.slice(T.words(F.col("text")), 1, cfg.prf_opening_words), " "))
+    told = first.join(best, ["query_id", "item_id"]).join(units.select("chunk_id", said.alias("said")), "chunk_id")
+    return told.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "said"))), lambda x: x["said"]), " ").alias("feedback"))
+
+
+def run(cfg: Config, questions: DataFrame, units: DataFrame, dense: DataFrame, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Rows (query_id, top_items, absent) for questions (query_id, text).
 
-    ``units`` has (chunk_id, item_id, tokens, title_tokens); ``dense`` the cosines of all
-    units for all questions.
+    ``units`` has (chunk_id, item_id, tokens, title_tokens), and (ord, title, text) where
+    boosts, document units or a reranker are wanted; ``dense`` the cosines of all units for
+    all questions; ``rerank`` scores a question and a passage.
     """
     asked = questions.select("query_id", T.ascii_tokens(F.col("text")).alias("terms"))
-    kw = S.unit_bm25(units, asked, cfg.bm25_title_weight, cfg.bm25_k1, cfg.bm25_b)
+    scored = units if cfg.bm25_doc_units or "ord" not in units.columns else units.where("ord >= 0")
+    extra = X.expansions(questions, most=cfg.expansion_max, terms=1).select("query_id", F.col("synonym").alias("term")) if cfg.query_expansion in ("keyword", "both") else None
+    stopwords = KEYWORD_STOPWORDS if cfg.kw_stopwords else ()
+    kw = S.unit_bm25(scored, asked, cfg.bm25_title_weight, cfg.bm25_k1, cfg.bm25_b, not cfg.typo_or, cfg.typo_or and cfg.prefix_last, stopwords, extra, cfg.expansion_weight)
+    if cfg.idf_boost and "text" in units.columns:
+        boosts = S.boost_terms(questions, units, cfg.idf_boost_weight, cfg.idf_min_len, cfg.idf_max_frac, T.STOPWORDS if cfg.idf_stopwords else ())
+        texts = units.select("chunk_id", F.concat_ws(" ", "title", "text").alias("text"))
+        dense = S.boosted(dense, texts, boosts).withColumn("cos", F.col("dense")).drop("dense")
     vocabulary = units.select("item_id", F.explode(F.array_union("tokens", "title_tokens")).alias("term")).distinct()
     terms = asked.select("query_id", F.size("terms").alias("n"), F.explode("terms").alias("term"))
     cover = terms.join(vocabulary, "term").groupBy("query_id", "item_id").agg((F.count("*") / F.first("n")).alias("coverage"))
     fused = fuse(cfg, dense, kw, cover)
+    if cfg.rerank_fusion == "docs" and rerank is not None:
+        heads = S.top(dense, cfg.dense_top, "cos", "chunk_id").select("query_id", "chunk_id", "item_id", (2 * F.col("rank")).alias("place")).unionByName(S.top(kw, cfg.rerank_k, "score", "chunk_id").select("query_id", "chunk_id", "item_id", (10**6 + F.col("rank")).alias("place")))
+        heads = heads.groupBy("query_id", "chunk_id", "item_id").agg(F.min("place").alias("place"))
+        some = heads.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "chunk_id"))).where(F.col("rn") <= cfg.rerank_k)
+        shown = some.join(units.select("chunk_id", F.concat_ws(": ", "title", F.array_join(F.slice(T.words(F.col("text")), 1, cfg.rerank_doc_words), " ")).alias("passage")), "chunk_id").join(F.broadcast(questions), "query_id")
+        order = S.rerank_items(fused, shown.select("query_id", "item_id", rerank(F.col("text"), F.col("passage")).alias("logit")))
+        fused = order.select("query_id", "item_id", (-F.col("rank")).cast("double").alias("score"))
     best = S.top(fused, cfg.topk).groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda r: r["item_id"]).alias("top_items"))
     by_item = dense.groupBy("query_id", "item_id").agg(F.max("cos").alias("cos"))
     signals = questions.select("query_id")

@@ -61,6 +61,67 @@ def embed_chunks(items: DataFrame, chunks: DataFrame, make: Callable[[], Embedde
     return chunks.join(titles, "item_id").select("item_id", "ord", "text", embed(said, make).alias("vec"))
 
 
+def to_blob(vectors: Column) -> Column:
+    """Vectors as little-endian floats, four bytes each."""
+
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+
+    return F.pandas_udf(run, "binary")(vectors)
+
+
+def from_blob(blobs: Column) -> Column:
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.frombuffer(x[: len(x) // 4 * 4], "<f4"))
+
+    return F.pandas_udf(run, "array<float>")(blobs)
+
+
+class Pooled:
+    """An embedder over a model that gives a vector a token: pools and scales to unit length, in batches of like lengths.
+
+    ``model`` takes padded ids and a mask and gives hidden states; ``encode`` gives the ids of a
+    text. Pooling is "cls", "mean" or "output" (the model pools itself). Lengths go up to the
+    next of BUCKETS, so that few shapes occur. Queries and passages may have a prefix.
+    """
+
+    BUCKETS = (32, 64, 128, 256)
+
+    def __init__(self, name: str, dim: int, encode: Callable[[str], list[int]], model: Callable[[np.ndarray, np.ndarray], np.ndarray], pooling: str = "cls", prefix: str = ""):
+        self.name, self.dim, self.encode, self.model, self.pooling, self.prefix = name, dim, encode, model, pooling, prefix
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        ids = [self.encode(self.prefix + t)[: self.BUCKETS[-1]] for t in texts]
+        width = np.array([next(b for b in self.BUCKETS if b >= len(x)) for x in ids], int)
+        out = np.zeros((len(texts), self.dim))
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            padded, mask = np.zeros((len(rows), w), np.int64), np.zeros((len(rows), w), np.int64)
+            for k, i in enumerate(rows):
+                padded[k, : len(ids[i])] = ids[i]
+                mask[k, : len(ids[i])] = 1
+            hidden = self.model(padded, mask)
+            if self.pooling == "cls":
+                hidden = hidden[:, 0]
+            elif self.pooling == "mean":
+                hidden = (hidden * mask[:, :, None]).sum(axis=1) / np.maximum(mask.sum(axis=1), 1)[:, None]
+            out[rows] = hidden
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return np.divide(out, norm, out=out, where=norm > 0)
+
+
+def cache_key(name: str, text: Column) -> Column:
+    """What a text's vector is kept under: a digest of the model's name and the text."""
+    return F.sha1(F.concat(F.lit(f"{name}\0"), F.coalesce(text, F.lit(""))))
+
+
+def embed_cached(texts: DataFrame, kept: DataFrame, make: Callable[[], Embedder]) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, text) with vectors, and the rows (key, vec) that are new to a table of kept vectors; each text is embedded once."""
+    keyed = texts.withColumn("key", cache_key(make().name, F.col("text")))
+    fresh = keyed.join(kept.select("key"), "key", "left_anti").groupBy("key").agg(F.first("text").alias("text")).select("key", embed(F.col("text"), make).alias("vec"))
+    return keyed.join(kept.unionByName(fresh), "key").drop("key"), fresh
+
+
 def lexical_reranker(question: Column, passage: Column) -> Column:
     """A reranker without a model: the share of the question's words that a passage has."""
     parts = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))

@@ -1,7 +1,8 @@
 """Ingest as a stream: micro-batches are upserted into the vault's folders.
 
-The vault is a folder of Parquet versions, one a batch; a batch reads the version before
-it, so a batch that is run again after a failure writes the same version.
+The vault is a folder of Parquet buckets by hash and a manifest a batch; a batch reads the
+version before it, so a batch that is run again after a failure writes the same version,
+and what it reads and writes grows with the batch.
 """
 
 from __future__ import annotations
@@ -15,24 +16,45 @@ from granary.operators.ingest import actions, merge, report
 ITEMS = "id long, title string, kind string, source string, content string, hash string, added_at long, tags array<string>"
 
 
+BUCKETS = 64
+
+
+def _manifest(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
+    """For each bucket of the vault after a batch the batch that wrote it last."""
+    return {r.bucket: r.written for r in spark.read.parquet(f"{path}/manifests/{batch}").collect()} if batch >= 0 else {}
+
+
+def _read(spark: SparkSession, path: str, parts: dict[int, int]) -> DataFrame:
+    folders = [f"{path}/items/{written}/bucket={bucket}" for bucket, written in sorted(parts.items())]
+    return spark.read.schema(ITEMS).parquet(*folders) if folders else spark.createDataFrame([], ITEMS)
+
+
 def version(spark: SparkSession, path: str, batch: int) -> DataFrame:
     """The vault after a batch; empty before the first."""
-    if batch < 0:
-        return spark.createDataFrame([], ITEMS)
-    return spark.read.schema(ITEMS).parquet(f"{path}/items/{batch}")
+    return _read(spark, path, _manifest(spark, path, batch))
+
 
+def upsert(path: str, buckets: int = BUCKETS):
+    """A foreachBatch function that writes what each batch touches of the vault, and its report.
 
-def upsert(path: str):
-    """A foreachBatch function that writes the vault and the report of each batch."""
+    The vault is dealt into buckets by hash; a batch reads and writes those of its own rows
+    alone, and a manifest says where each bucket was written last.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        vault = version(spark, path, number - 1)
         fresh = batch if "error" in batch.columns else batch.withColumn("error", F.lit(None).cast("string"))
+        bucket = F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")
+        parts = _manifest(spark, path, number - 1)
+        touched = {r.bucket for r in fresh.select(bucket.alias("bucket")).distinct().collect()}
+        vault = _read(spark, path, {b: w for b, w in parts.items() if b in touched})
         done = actions(fresh.select("id", "hash", "content", "error"), vault.select("id", "hash", "content"))
         report(done).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/reports/{number}")
         good = fresh.where("error is null").select(*[c.split()[0] for c in ITEMS.split(", ")])
-        merge(good, vault).write.mode("overwrite").parquet(f"{path}/items/{number}")
+        merge(good, vault).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/items/{number}")
+        written = {r.bucket for r in good.select(bucket.alias("bucket")).distinct().collect()}
+        now = parts | dict.fromkeys(written | (touched & set(parts)), number)
+        spark.createDataFrame(sorted(now.items()), "bucket int, written int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{number}")
 
     return run
 

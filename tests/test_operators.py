@@ -58,7 +58,7 @@ def test_absent_gate(spark):
     v = items(spark, (1, "Invoice", "total 5"), (2, "Resume", "engineer"))
     asked = spark.createDataFrame([(1, "invoices totals"), (2, "zebra crossing"), (3, "zebra"), (4, "zebra crossing")], "query_id long, text string")
     best = spark.createDataFrame([(4, 0.8)], "query_id long, cos double")
-    got = {r.query_id: r.absent for r in S.absent(asked, I.occurrences(v), best).collect()}
+    got = {r.query_id: r.absent for r in S.absent(asked, I.document_frequency(I.occurrences(v)), best).collect()}
     assert got == {1: False, 2: True, 3: False, 4: False}
 
 
@@ -160,3 +160,73 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination()
     got = version(spark, str(tmp_path / "vault"), 0)
     assert sorted(r.id for r in got.collect()) == sorted(r.id for r in G.first_of_batch(rows).collect()) == [1, 2]
+
+
+def test_index_reads_what_a_query_asks(spark, tmp_path):
+    v = items(spark, (1, "invoice", "total due"), (2, "note", "invoices paid"), (3, "other", "nothing here"))
+    I.write(v, str(tmp_path / "index"))
+    occ, vocabulary, lengths = I.read(spark, str(tmp_path / "index"))
+    parts = S.phrase_table(spark, {1: "paid invo"})
+    hits = S.phrase_hits(occ, parts, vocabulary=vocabulary)
+    assert {(r.pos, r.item_id) for r in hits.collect()} == {(0, 2), (1, 1), (1, 2)}
+    plan = hits._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), In(term" in plan
+    assert sorted(tuple(r) for r in hits.collect()) == sorted(tuple(r) for r in S.phrase_hits(I.occurrences(v), parts).collect())
+    assert {r.item_id: r.length for r in lengths.collect()} == {1: 3, 2: 3, 3: 3}
+
+
+def test_match_snippets(spark):
+    words = [f"w{i}" for i in range(40)]
+    words[20], words[25], words[38] = "Corvane-225", "ünïts", "corvane"
+    v = items(spark, (1, "a", " ".join(words)), (2, "corvane", "short text."), (3, "a", "x corvane, 225 units!"))
+    parts = S.phrase_table(spark, {1: "corvane-22 units"})
+    occ = I.occurrences(v)
+    whole = S.whole_phrases(S.matched_terms(occ, S.phrase_table(spark, {1: "corvane uni"})))
+    got = {r.item_id: r.snippet for r in S.match_snippets(spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, item_id long"), v, whole).collect()}
+    assert got[1] == " … \x01Corvane\x02-225 w21 w22 w23 w24 \x01ünïts\x02 w26 w27 w28 w29 w30 w31 w32 … "
+    assert got[2] == "short text"
+    assert got[3] == " … \x01corvane\x02, 225 \x01units\x02"
+    assert parts.count() == 3
+
+
+def test_note_edits(spark):
+    from granary.operators import edits as D
+
+    v = items(spark, (1, "one", "a"), (2, "two", "b"))
+    named = D.name_notes(v, spark.createDataFrame([(1, " Mine ")], "id long, title string"))
+    done = D.update_notes(named, spark.createDataFrame([(1, "auto", "a2", 9), (2, "auto", "b2", 9)], "id long, title string, content string, at long"))
+    assert {(r.id, r.title, r.content, r.added_at) for r in done.collect()} == {(1, "Mine", "a2", 9), (2, "auto", "b2", 9)}
+    again = D.update_notes(D.name_notes(done, spark.createDataFrame([(1, " ")], "id long, title string")), spark.createDataFrame([(1, "auto", "a3", 10)], "id long, title string, content string, at long"))
+    assert again.where("id = 1").first().title == "auto"
+    made = D.new_notes(v, spark.createDataFrame([(7, 5), (8, 5)], "id long, at long"))
+    assert made.count() == 4 and made.select("hash").distinct().count() == 4
+    bad = spark.createDataFrame([("3,4",), ("x",), (None,)], "c string").select(D.cursor_of(F.col("c")).alias("at")).collect()
+    assert [r["at"] and tuple(r["at"]) for r in bad] == [(3, 4), None, None]
+
+
+def test_unit_bm25_by_hand(spark):
+    from granary.functions import text as T
+
+    rows = [(1, "gnu", "public licence"), (2, "x", "gnu public licences and more"), (3, "y", "gnu only")]
+    units = items(spark, *rows).select(F.col("id").alias("chunk_id"), F.col("id").alias("item_id"), T.ascii_tokens(F.col("content")).alias("tokens"), T.ascii_tokens(F.col("title")).alias("title_tokens"))
+    asks = spark.createDataFrame([(1, ["the", "gnu", "licen"])], "query_id long, terms array<string>")
+    got = {r.item_id: r.score for r in S.unit_bm25(units, asks, every=True, prefix=True, stopwords=["the"], extra=spark.createDataFrame([(1, "more")], "query_id long, term string")).collect()}
+    size = {1: 3 + 2, 2: 3 + 5, 3: 3 + 2}
+    mean = sum(size.values()) / 3
+    part = lambda f, df, n: math.log(1 + (3 - df + 0.5) / (df + 0.5)) * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * n / mean))
+    assert got == pytest.approx({1: part(3, 3, 5) + part(1, 0, 5), 2: part(1, 3, 8) + part(1, 0, 8) + part(0.5, 1, 8)})
+
+
+def test_stream_writes_what_it_touches(spark, tmp_path):
+    from granary.streaming.ingest import upsert, version
+
+    path = str(tmp_path / "vault")
+    first = items(spark, *[(i, f"t{i}", f"c{i}") for i in range(40)])
+    run = upsert(path, 8)
+    run(first, 0)
+    run(first.where("id = 3").withColumn("content", F.lit("new")), 1)
+    run(first.where("id = 3").withColumn("content", F.lit("new")), 1)  # again after a failure
+    got = {r.id: r.content for r in version(spark, path, 1).collect()}
+    assert got == {i: "new" if i == 3 else f"c{i}" for i in range(40)}
+    assert len(list((tmp_path / "vault" / "items" / "1").glob("bucket=*"))) == 1
+    assert {r.id: r.content for r in version(spark, path, 0).collect()}[3] == "c3"

@@ -62,3 +62,71 @@ def test_models():
     pieces = M.WordPieces(["[UNK]", "[CLS]", "[SEP]", "un", "##able", "able"])
     assert pieces.encode("unable able xyz") == [1, 3, 4, 5, 0, 2]
     assert [M.head_size(c) for c in (2, 8)] == [10, 10] and M.head_size(2, budget_ms=200) == 7
+
+
+def test_pooled_embedder_and_cache(spark):
+    import numpy as np
+
+    from granary.plans import models as M
+
+    table = np.random.default_rng(0).normal(size=(50, 4))
+    seen = []
+
+    def model(ids, mask):
+        seen.append(ids.shape)
+        return table[ids]
+
+    encode = lambda t: [1 + len(w) for w in t.split()] or [0]
+    texts = ["a bb", "ccc " * 40, ""]
+    mean = M.Pooled("m", 4, encode, model, "mean").embed(texts)
+    want = np.stack([table[encode(t)].mean(axis=0) for t in texts])
+    assert np.allclose(mean, want / np.linalg.norm(want, axis=1, keepdims=True))
+    assert {s[1] for s in seen} == {32, 64}
+    make = lambda: M.HashingEmbedder(8)
+    none = spark.createDataFrame([], "key string, vec array<float>")
+    asked = spark.createDataFrame([(1, "x y"), (2, "z"), (3, "z")], "id long, text string")
+    made, fresh = M.embed_cached(asked, none, make)
+    assert made.count() == 3 and fresh.count() == 2
+    kept = spark.createDataFrame(fresh.collect(), fresh.schema)
+    assert M.embed_cached(asked, kept, make)[1].count() == 0
+    back = made.select(F.col("vec"), M.from_blob(M.to_blob(F.col("vec"))).alias("same")).collect()
+    assert all(r.vec == r.same for r in back)
+
+
+def test_vault_adds_and_answers(spark, tmp_path):
+    from granary.plans import api as A
+
+    vault, asked = A.sanity_vault(spark)
+    passed = vault.self_check(asked)
+    assert A.summary(passed, "built-in questions", 1.0) == f"Self-check: {sum(passed)}/3 — built-in questions (retrieval only, 1.0s)" and sum(passed) >= 2
+    (tmp_path / "n.txt").write_text("a note of Orla")
+    more, done = vault.add(5, path=str(tmp_path / "n.txt"), tags="#Mine")
+    assert done == {"action": "added", "title": "n.txt", "kind": "file", "words": 4}
+    assert more.add(6, path=str(tmp_path / "n.txt"))[1]["action"] == "duplicate"
+    (tmp_path / "b.docx").write_bytes(b"broken")
+    assert vault.add(5, path=str(tmp_path / "b.docx"))[1]["title"] == "b.docx"
+    page, done = vault.add(5, url="http://a.b", fetch=lambda u: (u, "text/html", b"<title>T</title>page"))
+    assert done["kind"] == "web" and page.read_resource(f"item:{3}").startswith("http://a.b")
+    assert vault.ask_about(2, "how hot?")[1] == "Quillon oven card" and vault.ask_about(99, "x")[0] == A.MISSING
+    (tmp_path / "q.json").write_text('[{"q": "a?", "expect": ["b"]}, {"q": " ", "expect": ["b"]}, {"q": "c"}]')
+    assert A.load_questions(spark, str(tmp_path / "q.json")) == [("a?", ["b"])]
+    assert vault.templates()[0]["uriTemplate"] == "item:{id}"
+
+
+def test_evaluation_knobs(spark):
+    from granary.operators import search as S
+    from granary.plans import evaluate as E
+    from granary.plans import models as M
+
+    items, asked = E.synthetic_vault(spark, 40)
+    cfg = E.Config.of(doc_units=True, doc_unit_text="title_opening", rerank=True, rerank_fusion="docs", query_expansion="keyword", kw_stopwords=True, chunk_mode="para_heading")
+    units = E.units_of(cfg, items).withColumn("tokens", E.T.ascii_tokens(F.col("text"))).withColumn("title_tokens", E.T.ascii_tokens(F.col("title"))).cache()
+    assert units.where("ord = -1").count() == 40
+    make = lambda: M.HashingEmbedder(32)
+    vectors = units.select("chunk_id", "item_id", "ord", M.embed(F.concat_ws(" ", "title", "text"), make).alias("vec"))
+    dense = S.cosines(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
+    found = E.run(cfg, asked.select("query_id", "text"), units, dense, M.lexical_reranker)
+    rates = E.report(found, asked.select("query_id", "items")).first()
+    assert rates.questions == 4 and rates.hit1 == 4
+    kw = S.unit_bm25(units, asked.select("query_id", E.T.ascii_tokens(F.col("text")).alias("terms")))
+    assert E.feedback(cfg, kw, units).count() == 4

@@ -106,3 +106,35 @@ def test_read_folder(spark, tmp_path):
     got = {r.title: r for r in files.extract(files.read_folder(spark, str(tmp_path))).collect()}
     assert got["a.txt"].content == "hello" and got["a.txt"].error is None
     assert got["b.docx"].error.startswith("b.docx: not a readable")
+
+
+def test_fetched_pages(spark):
+    def fetch(url):
+        if "bad" in url:
+            raise ValueError("no answer")
+        if "pic" in url:
+            return url, "image/png", b"\x89PNG"
+        return url.replace("http:", "https:"), "text/html; charset=utf-8" if "page" in url else "application/json", b"<title>T</title><p>hi</p>" if "page" in url else b"{}"
+
+    texts = [(1, " http://a.b/page "), (2, "http://bad.c/x"), (3, "see http://a.b/page"), (4, "http://a.b/data"), (5, "http://a.b/pic")]
+    got = {r.id: tuple(r)[1:] for r in files.text_items(spark.createDataFrame(texts, "id long, text string"), fetch).collect()}
+    assert got[1] == ("T", "web", "https://a.b/page", "https://a.b/page\n\nhi\n")
+    assert got[2] == ("http://bad.c/x", "text", None, "http://bad.c/x")
+    assert got[3][1] == "text" and got[4] == ("https://a.b/data", "web", "https://a.b/data", "https://a.b/data\n\n{}") and got[5][1] == "text"
+
+
+def test_text_extensions_and_page_bytes():
+    for name in ("a.bib", "a.cmd", "a.m", "a.markdown", "a.srt", "a.vtt"):
+        assert files.read_file(name, b"said")[2] == "said"
+    assert files.read_file("a.env", b"said")[2] == "a.env (4 bytes)"
+    assert files.capped("éé", 3) == "é"
+
+
+def test_copies_and_names(spark):
+    made = spark.createDataFrame([("d/a.PDF", bytearray(b"x")), ("d/b.txt", bytearray(b"y" * 40))], "path string, content binary")
+    kept = files.kept_copies(made, "always").collect()
+    assert all(r.stored.startswith("files/") and len(r.stored.split("/")[1].split(".")[0]) == 24 for r in kept) and kept[0].stored.endswith(".pdf")
+    assert files.kept_copies(made, "never").count() == 0 and files.kept_copies(made, "small").count() == 2
+    names = spark.createDataFrame([(1, "shot", "png"), (2, "shot", "png"), (3, "new", "png")], "id long, stem string, extension string")
+    taken = spark.createDataFrame([("shot.png",), ("shot (4).png",)], "name string")
+    assert {r.id: r.name for r in files.free_names(names, taken).collect()} == {1: "shot (5).png", 2: "shot (6).png", 3: "new.png"}
