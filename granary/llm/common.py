@@ -233,13 +233,21 @@ def group_edges(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
-def with_least(pairs: DataFrame) -> DataFrame:
+ROWS_A_PART = 50_000
+
+
+def kept(df: DataFrame, rows: int) -> DataFrame:
+    """A checkpoint in no more parts than about ``rows`` rows need: rounds over few edges are many small jobs."""
+    return checkpoint(df.coalesce(max(8, rows // ROWS_A_PART)))
+
+
+def with_least(pairs: DataFrame, rows: int) -> DataFrame:
     """Rows (u, v) with m, the least v of each u.
 
     The least ones are read back from files, so that both sides of the join are dealt for
     it alone: then the rows of a hub, a u with very many, can be split between tasks.
     """
-    return pairs.join(checkpoint(pairs.groupBy("u").agg(F.min("v").alias("m"))), "u")
+    return pairs.join(kept(pairs.groupBy("u").agg(F.min("v").alias("m")), rows), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,10 +263,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     before = state(e)
     while before[0]:
+        n = before[0]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = checkpoint(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")))
-        small = with_least(large)
-        e = checkpoint(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
+        large = kept(with_least(both, 2 * n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")), n)
+        small = with_least(large, n)
+        e = kept(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct(), n)
         now = state(e)
         if now == before:
             break

@@ -60,5 +60,40 @@ def test_mixture_keeps_rows_without_an_id(spark):
     assert dict(words) == want
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, tag string, shard long, score double, size string, _copy int"
+
+
+def odd_documents(spark):
+    passage = " ".join(f"p{k}" for k in range(70))
+    prose = " ".join(f"w{k * 7 % 61}" for k in range(90))
+    rows = [(1, prose, "en", "a", 9), (2, prose + " more", "en", "a", 9), (3, None, None, None, None), (4, "", "en", "b", 0), (5, " \n", None, "b", None), (None, prose, "en", None, 9), (None, None, None, None, None)]
+    rows += [(10 + k, f"{' '.join(f'x{k}{j}' for j in range(40))} {passage}", "de", "c", 5) for k in range(4)]
+    rows += [(20, "same text here", "en", "a", 3), (20, "same text here", "en", "a", 3), (21, "tie", "en", "b", 3), (21, "another", "en", "b", 3), (30, " ".join(f"long{k % 997}" for k in range(60_000)), "en", "c", None)]
+    return spark.createDataFrame([(*r, 1, "t", 2, 0.5, "s", 3) for r in rows], SCHEMA), rows
+
+
+def test_stages_take_any_rows(spark):
+    docs, rows = odd_documents(spark)
+    as_rows = lambda df: collections.Counter(tuple(r) for r in df.collect())
+    every = collections.Counter(rows)
+    assert as_rows(P.quality(spark, docs, DATA)) <= every
+    one = as_rows(P.near_duplicates(spark, docs, DATA))
+    assert one <= every and one == every - collections.Counter([rows[1], rows[-4], next(r for r in rows if r[0] == 21 and r not in one)])
+    cut = {(r.doc_id, r.text) for r in P.repeats(spark, docs, DATA).collect()}
+    assert {r[:2] for r in rows if r[0] not in (2, 11, 12, 13)} <= cut and len(cut) == len({r[:2] for r in rows})
+    assert {t for i, t in cut if i in (2, 11, 12, 13)} == {"more", *(" ".join(f"x{k}{j}" for j in range(40)) for k in (1, 2, 3))}
+    assert set(as_rows(P.mixture(spark, docs, DATA))) <= set(rows)
+    packed = P.packing(spark, docs, DATA).groupBy("doc_id").sum("length").collect()
+    tokens = {r.doc_id: r[1] for r in packed}
+    assert set(tokens) == {r[0] for r in rows} and tokens[3] == tokens[4] == 1
+    assert sum(tokens.values()) == P.packing(spark, docs, DATA).agg({"length": "sum"}).first()[0]
+
+
+def test_stages_of_an_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    for name, stage in P.STAGES:
+        assert stage(spark, none, DATA).count() == 0, name
+
+
 def test_run(spark):
     assert P.run(spark, DATA).count() > 0
