@@ -196,6 +196,27 @@ def test_nearest_ranks_little_where_vectors_cluster(spark):
         assert recall >= 0.9 and share < 0.1
 
 
+def test_near_vectors_of_odd_ids(spark):
+    """Null ids link with nothing; an id that repeats is two vectors that share a component; columns may clash."""
+    v, w = [1.0, 0.0, 0.2], [0.0, 1.0, 0.0]
+    rows = [(None, v, 0), (None, v, 0), (5, v, 0), (5, v, 0), (7, v, 0), (9, w, 0), (9, w, 1), (11, w, 1)]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in rows], "vec_id long, embedding array<float>, label int, rep long, n long, key long, component_id string")
+    got = collections.Counter((r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect())
+    assert got == collections.Counter({(None, 0, None): 2, (5, 2, 5): 2, (7, 2, 5): 1, (9, 0, 9): 1, (9, 1, 9): 1, (11, 1, 9): 1})
+
+
+def test_bounded_words_of_long_texts(monkeypatch):
+    """Texts read in parts have the words and windows that they have whole."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = [" ".join(prose(rng, 5) for _ in range(300)), "x" * 700 + " y", "  "]
+    whole = [(h.tolist(), n.tolist(), common.rolling(h, 7).tolist()) for t in texts for h, n in [common.hash_words(*common.text_buffers(pa.array([t])))]]
+    monkeypatch.setattr(common, "LONG_BYTES", 100)
+    monkeypatch.setattr(common, "LONG_WORDS", 50)
+    assert whole == [(h.tolist(), n.tolist(), common.rolling(h, 7).tolist()) for t in texts for h, n in [common.hash_words(*common.text_buffers(pa.array([t])))]]
+
+
 def test_vectors_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert vectors.near_duplicates(none).count() == 0 and vectors.nearest(none, none).count() == 0
@@ -219,7 +240,8 @@ def test_jaccard(spark, corpus, monkeypatch, width, percent, block):
     monkeypatch.setattr(jaccard, "CLUSTER_BLOCK", block)
     rng = random.Random(9)
     edited = [(500 + k, " ".join(w if rng.random() > 0.02 else "changed" for w in corpus[40][1].split()), "s0") for k in range(12)]
-    rows = [r for r in corpus if r[0] != 405] + edited
+    rows = corpus + edited
+    assert jaccard.similar_documents(empty(spark)).count() == 0 and jaccard.keep_one(empty(spark)).count() == 0
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_documents(documents(spark, rows), width, percent).collect()}
     sets = {i: grams(t, width) for i, t, _ in rows if i is not None}
     root = {i: i for i in sets}
@@ -263,6 +285,9 @@ def test_repeats(spark, corpus):
         gone = {q for p in range(len(w) - 49) if i is not None and first[tuple(w[p : p + 50])] < i for q in range(p, p + 50)}
         assert got[i] == (len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode())
     assert any(n for _, n, _ in got.values())
+    apart = documents(spark, [(1, corpus[8][1] + " " + corpus[4][1], "s"), (1, corpus[4][1], "s"), (2, corpus[4][1], "s")])
+    assert len(split(corpus[4][1])) >= 50
+    assert sorted((r.doc_id, r.n_removed) for r in repeats.remove_repeats(apart).collect()) == [(1, 0), (1, 0), (2, len(split(corpus[4][1])))]
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
@@ -314,6 +339,7 @@ def test_token_counts(spark, corpus):
     odd = [(600, "  two  spaces \n<s>日本 𝔘▁x", "s"), (601, "a" * 3000, "s"), (602, "\U0001f600‍", "s")]
     rows = corpus + odd
     got = collections.Counter(tuple(r) for r in tokens.count_tokens(documents(spark, rows)).collect())
+    assert tokens.count_tokens(empty(spark)).count() == 0
     size = lambda t: len((t or "").encode())
     count = lambda t: len(sp.encode(t or ""))
     assert got == collections.Counter((i, size(t), count(t), count(t) > 4096) for i, t, _ in rows)
@@ -526,15 +552,24 @@ def test_lm_edges(spark, corpus):
     assert lm.score_texts(empty(spark).withColumn("training", F.lit(True))).count() == 0
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("literal", [20_000, 10])
+def test_licenses(spark, monkeypatch, literal):
+    monkeypatch.setattr(licenses, "LITERAL_SHINGLES", literal)
     mit, isc = licenses.TEMPLATES["mit"], licenses.TEMPLATES["isc"]
     words = mit.split()
     rng = random.Random(5)
     worn = " ".join(words[:20] + ["edited"] + words[21:])
     half = " ".join(words[: len(words) // 2])
-    rows = [(1, f"{prose(rng, 90)} {worn} {prose(rng, 50)}", "s"), (2, half, "s"), (3, f"{isc.upper()} Released under the MIT License.", "s"), (4, None, "s"), (5, "", "s"), (6, prose(rng, 500), "s"), (None, isc, "s"), (7, "released under the", "s")]
+    rows = [(1, f"{prose(rng, 90)} {worn} {prose(rng, 50)}", "s"), (2, half, "s"), (3, f"{isc.upper()} Released under the MIT License.", "s"), (4, None, "s"), (5, "", "s"), (6, prose(rng, 500), "s"), (None, licenses.TEMPLATES["zlib"], "s"), (7, "released under the", "s"), (8, f"{prose(rng, 20_000)} {licenses.TEMPLATES['bsd-3']} {prose(rng, 20_000)}", "s")]
+    named = {r: set() for r in (1, 2, 3, 4, 5, 6, 7, 8, None)}
+    for i, t, _ in rows:  # brute force: containment of each template's shingles
+        for name, text in licenses.TEMPLATES.items():
+            want = grams(text, 5)
+            if len(want & grams(t, 5)) >= 0.8 * len(want):
+                named[i].add(name)
+    assert named[1] >= {"mit"} and named[3] >= {"isc", "mit-notice"} and named[8] >= {"bsd-2", "bsd-3"} and named[None] == {"zlib"} and not named[2]
     got = {r.doc_id: r.licenses for r in licenses.scan(documents(spark, rows + rows[:1])).collect()}
-    assert got == {1: ["mit"], 2: [], 3: ["isc", "mit-notice"], 4: [], 5: [], 6: [], None: ["isc"], 7: []}
+    assert got == {i: sorted(x) for i, x in named.items()}
     assert licenses.scan(empty(spark)).count() == 0
     assert licenses.scan(documents(spark, rows), {}).where("n_licenses > 0").count() == 0
 
