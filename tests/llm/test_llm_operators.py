@@ -422,11 +422,7 @@ def bits_by_hand(coder, codes, h):
     symbols = coder.place(np.array(h, np.uint64)).tolist()
     for t, symbol in enumerate(symbols):
         one, two = lone[t - 1] if t > 0 else 1, lone[t - 2] if t > 1 else 2
-        before = [j for j in range(t) if symbols[j] < min(lm.FREQUENT, coder.k)]
-        kept = lone[before[-1]] if before else 3
-        earlier = [j for j in range(before[-1]) if symbols[j] < min(lm.FREQUENT, coder.k)] if before else []
-        kept2 = (lone[earlier[-1]] if earlier else 3) if before else 4
-        contexts = [one32(one + 0x51ED270B), one32(one * 0x85EBCA6B + two), one32(kept * 0xC2B2AE35 + kept2)]
+        contexts = [one32(one + 0x51ED270B), one32(one * 0x85EBCA6B + two)]
         rare = symbol > coder.k
         path = list(codes[coder.k + 1 if rare else symbol])
         if rare:
@@ -447,8 +443,8 @@ def small_model(spark):
     df = spark.createDataFrame([(i, t, i % 5 != 2) for i, t in enumerate(texts)], "doc_id long, text string, training boolean")
     told = [hashes([t])[0] for t in texts]
     count = collections.Counter(x for i, h in enumerate(told) if i % 5 != 2 for x in h[:-1])
-    old = lm.KNOWN
-    lm.KNOWN = 20
+    old = lm.KNOWN, lm.NEAR
+    lm.KNOWN, lm.NEAR = 20, 35
     try:
         counts = lm.word_counts(df.where("training"), "text", 3)
         keys, n = lm.most_frequent(counts, lm.KNOWN)
@@ -457,14 +453,14 @@ def small_model(spark):
         model = lm.train(df.where("training").select("text"), coder, 2)
         scored = {r.doc_id: r for r in lm.score_texts(df).collect()}
     finally:
-        lm.KNOWN = old
+        lm.KNOWN, lm.NEAR = old
     weights = np.concatenate([n, [32], [sum(count.values()) - int(n.sum())]])
     return df, told, count, coder, lm.huffman(weights), model, scored
 
 
 def test_lm_tables_hold_what_was_seen(small_model):
     _, told, _, coder, codes, model, _ = small_model
-    seen = [collections.Counter() for _ in range(4)]
+    seen = [collections.Counter() for _ in range(3)]
     for i, h in enumerate(told):
         if i % 5 != 2:
             for _, node, bit, _, slots in bits_by_hand(coder, codes, h):
@@ -494,9 +490,9 @@ def test_lm_scores_by_hand(small_model):
     for i, h in enumerate(told):
         cost = [0.0] * len(h)
         for t, node, bit, level, slots in bits_by_hand(coder, codes, h):
-            codes4 = [int(table[at]) for table, at in zip(model.tables, [node, *slots], strict=True)]
-            g = (min(level, lm.LEVELS - 1) * lm.GRADES_OF_EVIDENCE + (codes4[2] >> 8)) * lm.GRADES_OF_EVIDENCE + (codes4[1] >> 8)
-            z = float(model.w[4][g]) + sum(float(model.w[k][g]) * ((c & 255) - 128) * lm.ODDS_STEP for k, c in enumerate(codes4))
+            told3 = [int(table[at]) for table, at in zip(model.tables, [node, *slots], strict=True)]
+            g = (min(level, lm.LEVELS - 1) * lm.GRADES_OF_EVIDENCE + (told3[2] >> 8)) * lm.GRADES_OF_EVIDENCE + (told3[1] >> 8)
+            z = float(model.w[3][g]) + sum(float(model.w[k][g]) * ((c & 255) - 128) * lm.ODDS_STEP for k, c in enumerate(told3))
             step = math.floor((min(max(z, -12), 12) + 12) * lm.FINE + 0.5)
             cost[t] += float(model.cost[(min(level, lm.MAP_LEVELS - 1) * (24 * lm.FINE + 1) + step) * 2 + bit])
         total = 0.0
