@@ -338,8 +338,8 @@ def top_trees(base: DataFrame, k: int, shard_rows: int, sample_rows: int, recall
     for dim, n in base.groupBy(F.size("vec")).count().where(F.col("count") > shard_rows).collect():
         rate = min(1.0, sample_rows / n)
         drawn = base.where((F.size("vec") == dim) & (F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < F.lit(math.ceil(rate * (1 << 30)))))
-        drawn = drawn.orderBy("vec_id").select("vec_id", F.col("vec").cast("array<float>").alias("vec")).toPandas()
-        x = np.array(drawn["vec"].tolist(), np.float32).reshape(-1, dim)
+        drawn = drawn.select("vec_id", F.col("vec").cast("array<float>").alias("vec")).toArrow().combine_chunks().sort_by("vec_id")
+        x = drawn.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         depth = min(math.ceil(math.log2(n / shard_rows)), int(math.log2(max(1, len(x) / 16))))
         if depth:
             rng = np.random.default_rng([seed, dim])
@@ -381,7 +381,7 @@ def nearest(
     id_col: str = "vec_id",
     vector: str = "embedding",
     shard_rows: int = 16_384,
-    sample_rows: int = 65_536,
+    sample_rows: int = 32_768,
     query_rows: int = 2_048,
     seed: int = 5,
 ) -> DataFrame:
