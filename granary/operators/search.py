@@ -53,14 +53,16 @@ def matched_terms(occ: DataFrame, parts: DataFrame, vocabulary: DataFrame | None
 
 
 def whole_phrases(met: DataFrame) -> DataFrame:
-    """Rows (query_id, pos, n, item_id, field, start): places where all terms of a query word adjoin."""
-    placed = met.withColumn("start", F.col("place") - F.col("j"))
-    return placed.groupBy("query_id", "pos", "n", "item_id", "field", "start").agg(F.countDistinct("j").alias("have")).where("have = n").drop("have")
+    """Rows (query_id, pos, n, item_id, field, start): places where all terms of a query word adjoin. A word of one term is met as it stands."""
+    placed = met.select("query_id", "pos", "n", "item_id", "field", (F.col("place") - F.col("j")).alias("start"), "j")
+    several = placed.where("n > 1").groupBy("query_id", "pos", "n", "item_id", "field", "start").agg(F.countDistinct("j").alias("have")).where("have = n").drop("have")
+    return placed.where("n = 1").drop("j").unionByName(several)
 
 
 def phrase_hits(occ: DataFrame, parts: DataFrame, title_weight: float = TITLE_WEIGHT, vocabulary: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, pos, item_id, tf): weighted occurrences of each query word; of several terms only where they adjoin."""
-    whole = whole_phrases(matched_terms(occ, parts, vocabulary))
+    met = matched_terms(occ, parts, vocabulary)
+    whole = met if parts.where("n > 1").isEmpty() else whole_phrases(met)
     weight = F.when(F.col("field") == "t", F.lit(title_weight)).otherwise(F.lit(1.0))
     return whole.groupBy("query_id", "pos", "item_id").agg(F.sum(weight).alias("tf"))
 
