@@ -760,6 +760,58 @@ def taken_first(spark, sf_dir):
     return d.select(F.col("doc_id").alias("id"), taken(files, url, F.col("text")).getField("what").alias("what"))
 
 
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 2 = 0 THEN 'in/' || doc_id WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN 'files/' || doc_id ELSE 'in/' || doc_id END AS path FROM documents""")
+def opened_paths(spark, sf_dir):
+    """Where items open: originals that are there, else copies that are kept and there, else the original's name."""
+    from granary.sources.files import open_path
+
+    i = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    name = F.col("id").cast("string")
+    stored = F.when(F.col("id") % 3 == 0, F.concat(F.lit("files/"), name)).otherwise("")
+    return i.select("id", open_path(F.concat(F.lit("in/"), name), F.col("id") % 2 == 0, stored, F.col("id") % 9 != 0).alias("path"))
+
+
+@query("SELECT doc_id AS id, 'Screenshot s' || doc_id || ' ' || (doc_id + 100) || '×' || (doc_id + 50) AS title FROM documents")
+def capture_titles(spark, sf_dir):
+    """Titles of screenshots from headers made of each id."""
+    from granary.sources.files import capture_title
+
+    i = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    number = lambda n: F.lpad(F.hex(F.col("id") + n), 8, "0")
+    png = F.unhex(F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), number(100), number(50)))
+    return i.select("id", capture_title(F.concat(F.lit("s"), F.col("id").cast("string")), png).alias("title"))
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, coalesce("text", '') AS plain, array_to_string({_WORDS % 'coalesce("text", $$$$)'}[1:doc_id % 30], ' ') AS layout FROM documents),
+n AS (SELECT *, len({_WORDS % 'layout'}) AS a, len({_WORDS % 'plain'}) AS b FROM t)
+SELECT id, sha256(CASE WHEN a >= 20 THEN layout WHEN b >= 20 THEN plain WHEN trim(layout) <> '' THEN layout WHEN trim(plain) <> '' THEN plain END) AS sha FROM n WHERE regexp_matches(plain, '^[!-~ ]*$')""")
+def first_readings(spark, sf_dir):
+    """Of three readings of a text, the layout's first words, all of it and none, the one that is kept."""
+    from granary.sources.files import first_text
+
+    d = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("plain")).where(F.col("plain").rlike("^[!-~ ]*$"))
+    layout = F.array_join(F.slice(T.words(F.col("plain")), 1, (F.col("id") % 30).cast("int")), " ")
+    return d.select("id", F.sha2(first_text(layout, F.col("plain"), F.lit("")), 256).alias("sha"))
+
+
+@query('SELECT conv_id AS note, arg_max("text", turn) AS content, max(turn) AS ts FROM conversations WHERE "text" IS NOT NULL GROUP BY conv_id')
+def last_note_edits(spark, sf_dir):
+    from granary.streaming.ingest import last_edits
+
+    c = V.table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
+    return last_edits(c.select(F.col("conv_id").alias("note"), F.col("turn").alias("ts"), F.col("text").alias("content")))
+
+
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || chr(10) || chr(10) || 'readable' WHEN 1 THEN url || chr(10) || chr(10) || html WHEN 2 THEN url || chr(10) || chr(10) || html END AS content FROM pages""".replace("'readable'", "('readable ' || page_id)"))
+def routed_pages(spark, sf_dir):
+    """What is kept of a page by its content type: readable text, the body as it is, or nothing."""
+    from granary.sources.files import route_page
+
+    p = V.table(spark, sf_dir, "pages")
+    kinds = F.array(F.lit("Text/HTML; charset=utf-8"), F.lit("text/plain"), F.lit("application/json"), F.lit("image/png"))
+    return p.select("page_id", route_page(F.col("url"), F.element_at(kinds, (F.col("page_id") % 4).cast("int") + 1), F.concat(F.lit("readable "), F.col("page_id").cast("string")), F.col("html")).alias("content"))
+
+
 # ---------------------------------------------------------------- chunks of several paragraphs
 
 
