@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint
 
 WEIGHTS = (3.0, 1.0, 2.0)
+BROADCAST_ROWS = 100_000
 
 
 def sizes(docs: DataFrame, text: str = "text") -> Column:
@@ -91,14 +92,14 @@ def mix_sources(
     )
     classes = sized.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     classes = checkpoint(classes)
-    goals = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
+    goals = checkpoint(targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most))
     slices = classes.select("source", "class", F.ceil(F.col("n") / F.lit(float(cell_rows))).cast("long").alias("slices"))
     placed = look_up(sized, slices, "source", "class")
     placed = placed.withColumn("slice", F.floor(F.col("h") * F.col("slices") / F.lit(float(1 << 32))).cast("long"))
     cells = placed.groupBy("source", "class", "slice").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "class", "slice", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
-    cells = look_up(cells, goals, "source")
+    cells = checkpoint(look_up(cells, goals, "source"))
     ranked = placed.withColumn("row", F.row_number().over(Window.partitionBy("source", "class", "slice").orderBy("h", "doc_id", "size", *([F.xxhash64("carried")] if carry else []))))
     ranked = look_up(ranked, cells, "source", "class", "slice")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -110,7 +111,8 @@ def mix_sources(
 
 
 def look_up(rows: DataFrame, table: DataFrame, *keys: str) -> DataFrame:
-    """Inner join on keys of which null is a value."""
+    """Inner join of rows with a checkpointed table on keys of which null is a value; a table of BROADCAST_ROWS or less goes to all tasks."""
+    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
     table = table.withColumnsRenamed({k: f"_{k}" for k in keys})
     on = [rows[k].eqNullSafe(table[f"_{k}"]) for k in keys]
     return rows.join(table, on, "inner").drop(*[f"_{k}" for k in keys])
