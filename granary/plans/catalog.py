@@ -80,8 +80,7 @@ def index_of(spark, sf_dir):
     """Occurrences, vocabulary and lengths of the documents: an index written once a session, in the folder that the cluster shares."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{folder}/index-{uuid.uuid4().hex}"
+        path = f"{V.scratch(spark)}/index-{uuid.uuid4().hex}"
         I.write(V.documents(spark, sf_dir), path)
         _written[key] = path
     return I.read(spark, _written[key])
@@ -980,8 +979,7 @@ def stream_ingest(spark, sf_dir):
     """All documents through the stream; the vault it leaves."""
     from granary.streaming.ingest import start, version
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder}/stream-{uuid.uuid4().hex}"
+    path = f"{V.scratch(spark)}/stream-{uuid.uuid4().hex}"
     V.documents(spark, sf_dir).write.parquet(f"{path}/inbox")
     schema = spark.read.parquet(f"{path}/inbox").schema
     q = start(spark.readStream.schema(schema).parquet(f"{path}/inbox"), path)

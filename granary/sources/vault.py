@@ -5,6 +5,8 @@ Ids of the kinds are set apart by fixed offsets; times are synthetic and follow
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share: spark.checkpoint.dir, else the warehouse; with a local master one of this machine's."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local["):
+        return tempfile.mkdtemp(prefix="granary-")
+    return folder or spark.conf.get("spark.sql.warehouse.dir")
+
+
 SMALL_BYTES = 1 << 30
 
 
