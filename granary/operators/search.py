@@ -43,10 +43,10 @@ def typed_forms(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def matched_terms(occ: DataFrame, parts: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
     """Occurrences of the terms that a query's phrases meet. Few terms become a filter of the index's scan."""
     forms = typed_forms(parts, occ.select("term").distinct() if vocabulary is None else vocabulary)
-    few = forms.limit(FORMS + 1).collect()
-    if len(few) <= FORMS:
-        forms = F.broadcast(occ.sparkSession.createDataFrame(few, forms.schema))
-        terms = sorted({r.term for r in few})
+    few = forms.limit(FORMS + 1).toArrow()
+    if few.num_rows <= FORMS:
+        forms = F.broadcast(occ.sparkSession.createDataFrame(few))
+        terms = few.column("term").unique().to_pylist()
         if len(terms) <= PUSHED:
             occ = occ.where(F.col("term").isin(terms))
     return occ.join(forms, "term").select("query_id", "pos", "n", "j", "item_id", "field", "place")
