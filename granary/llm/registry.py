@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .fingerprints import op13_fingerprints
+from .infill import OP11_SQL, op11_infill
 from .jaccard import OP3_SQL, op3_jaccard
 from .licenses import OP8_SQL, op8_licenses
 from .lm import op7_lm_scores
@@ -11,6 +13,7 @@ from .quality import op9_quality
 from .repeats import OP10_SQL, op10_repeats
 from .tokens import op6_token_counts
 from .vectors import OP2_SQL, op2_near_vectors, op4_nearest
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_mixing": op1_mixing,
@@ -23,5 +26,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_quality": op9_quality,
     "op10_repeats": op10_repeats,
+    "op11_infill": op11_infill,
+    "op12_whitening": op12_whitening,
+    "op13_fingerprints": op13_fingerprints,
 }
-SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op8_licenses": OP8_SQL, "op10_repeats": OP10_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op2_near_vectors": OP2_SQL, "op3_jaccard": OP3_SQL, "op8_licenses": OP8_SQL, "op10_repeats": OP10_SQL, "op11_infill": OP11_SQL}
