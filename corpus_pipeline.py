@@ -36,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group: five-word shingles, similarity of 0.8 or more.
 
-    Texts without words are like nothing and stay. Of rows with one id one stays; rows with
-    a null id all stay.
+    Texts without words are like nothing and stay. Unlike texts of one id stay each; of rows
+    equal in id and text one stays. Rows with a null id all stay.
     """
     return keep_one(docs, width=5, percent=80).select(*COLUMNS)
 

@@ -322,19 +322,42 @@ def similar_documents(docs: DataFrame, width: int = 4, percent: int = 85, id_col
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), n_links.alias("n_links"))
 
 
+def with_keys(docs: DataFrame, id_col: str, text: str) -> tuple[DataFrame, bool]:
+    """``docs`` with column _key, the id; rows of an id that has several texts get one of their own for each text. And whether there are such."""
+    own = F.xxhash64(F.col(text), F.col(id_col), F.col(text).isNull())
+    several = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(own).alias("_a"), F.max(own).alias("_b")).where("_a <> _b")
+    several = checkpoint(several.select("_id"))
+    n = several.count()
+    if n == 0:
+        return docs.withColumn("_key", F.col(id_col).cast("long")), False
+    marked = docs.join(F.broadcast(several) if n <= BROADCAST_ROWS else several, F.col(id_col) == F.col("_id"), "left")
+    return marked.withColumn("_key", F.when(F.col("_id").isNotNull(), own).otherwise(F.col(id_col).cast("long"))).drop("_id"), True
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the document of the smallest id of each component; of rows with one id, one.
+    """``docs`` with one row of each group of similar texts, that of the smallest id.
 
-    Rows with a null id stay.
+    An id may have several texts: each is judged apart, and goes only for a text that it is
+    similar or equal to. Of rows equal in id and text one stays, the least by its other
+    columns (maps aside). Texts without words are similar to nothing. Rows with a null id all stay.
     """
-    found = similar_documents(docs, width, percent, id_col, text).where("doc_id is not null")
-    ids = checkpoint(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"))
-    gone = ids.where("not first").select(F.col("doc_id").alias("_gone"))
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    if ids.where("first").isEmpty():
-        return out
-    return out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+    keyed, several = with_keys(docs, id_col, text)
+    known = keyed.where(F.col("_key").isNotNull())
+    found = similar_documents(known, width, percent, "_key", text).groupBy(F.col("doc_id").alias("_k"), "component_id").agg(F.count("*").alias("n"))
+    if several:  # keys are no ids here: the first of a component goes by id
+        found = checkpoint(found.join(known.select(F.col("_key").alias("_k"), F.col(id_col).alias("_own")).distinct(), "_k"))
+        firsts = found.groupBy("component_id").agg(F.min(F.struct("_own", "_k")).alias("first")).select("component_id", F.col("first._k").alias("_first"))
+        found = found.join(firsts, "component_id")
+    else:
+        found = found.withColumn("_first", F.col("component_id"))
+    marked = checkpoint(found.where("_k <> _first or n > 1").select("_k", (F.col("_k") == F.col("_first")).alias("_stays")))
+    marked = F.broadcast(marked) if marked.count() <= BROADCAST_ROWS else marked
+    out = keyed.join(marked, F.col("_key") == F.col("_k"), "left").where("_k is null or _stays")
+    if marked.where("_stays").isEmpty():
+        return out.select(*docs.columns)
+    ordered = [f.name for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]
+    least = out.where("_stays").groupBy("_k").agg(F.min_by(F.struct(*docs.columns), F.struct(*ordered)).alias("row"))
+    return out.where("_k is null").select(*docs.columns).unionByName(least.select("row.*"))
 
 
 def op3_jaccard(spark, sf_dir: str) -> DataFrame:

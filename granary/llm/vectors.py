@@ -36,6 +36,11 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> list[tuple[np.ndarray, np.ndar
     return [(rows, flat[(begin[rows][:, None] + np.arange(d))]) for d in np.unique(sizes) for rows in [np.flatnonzero(sizes == d)]]
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, so that the largest component of each is about 1 and no product of two overflows or vanishes; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
 def hyperplane_plan(rows: int, threshold: float, recall: float, bucket: int = 64) -> tuple[int, int]:
     """Bits a table and tables, for buckets of about ``bucket`` rows and this recall at the threshold."""
     bits = min(max(4, round(math.log2(max(2, rows / bucket)))), 24)
@@ -44,7 +49,7 @@ def hyperplane_plan(rows: int, threshold: float, recall: float, bucket: int = 64
 
 
 def width_of(vectors: DataFrame, vector: str) -> str:
-    """How components travel: four bytes where the column holds floats, else eight."""
+    """How components travel: four bytes where the column holds floats, which a scale of their own does not hurt, else eight."""
     return "<f4" if "array<float>" in vectors.schema[vector].dataType.simpleString() else "<f8"
 
 
@@ -67,6 +72,7 @@ def sign(bits: int, tables: int, seed: int, kind: str):
                 continue
             rep, n, label = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             for rows, x in matrix(batch.column(3)):
+                x = scaled(x)
                 code = codes_of(x, planes(x.shape[1], bits, tables, seed), bits)
                 grp = mix(label[rows].astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(x.shape[1]))
                 key = mix(grp[:, None] + (np.arange(tables, dtype=np.uint64) << np.uint64(32))[None, :] + code.astype(np.uint64)).view(np.int64)
@@ -112,7 +118,7 @@ def verify(threshold: float, bits: int, tables: int, seed: int, kind: str):
             t = int(col["tab"][a])
             for grp in np.unique(col["grp"][a:b]):
                 rows = np.arange(a, b)[col["grp"][a:b] == grp]
-                x = np.frombuffer(b"".join(vecs[i] for i in rows), kind).reshape(len(rows), -1).astype(np.float64)
+                x = scaled(np.frombuffer(b"".join(vecs[i] for i in rows), kind).reshape(len(rows), -1).astype(np.float64))
                 norm = np.sqrt(np.einsum("ij,ij->i", x, x))
                 near = x @ x.T >= threshold * norm[:, None] * norm[None, :]
                 np.fill_diagonal(near, False)

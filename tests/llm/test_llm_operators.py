@@ -205,6 +205,14 @@ def test_near_vectors_of_odd_ids(spark):
     assert got == collections.Counter({(None, 0, None): 2, (5, 2, 5): 2, (7, 2, 5): 1, (9, 0, 9): 1, (9, 1, 9): 1, (11, 1, 9): 1})
 
 
+def test_near_vectors_of_any_magnitude(spark):
+    """Products of components neither vanish nor overflow; cosines are 0, 1 and 0.71."""
+    rows = [(1, [1e-200, 0.0]), (2, [0.0, 1e-200]), (3, [3e-200, 0.0]), (4, [1e200, 1e200]), (5, [1e200, -1e190]), (6, [5e-324, 0.0]), (7, [1.7e308, 1.7e308])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df, recall=1 - 1e-9).collect()}
+    assert got == {1: (3, 1), 3: (3, 1), 5: (3, 1), 6: (3, 1), 2: (0, 2), 4: (1, 4), 7: (1, 4)}
+
+
 def test_bounded_words_of_long_texts(monkeypatch):
     """Texts read in parts have the words and windows that they have whole."""
     import pyarrow as pa
