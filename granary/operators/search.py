@@ -6,11 +6,13 @@ what was typed, never by the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import HIT_CLOSE, HIT_OPEN, LEFT_OUT, SNIPPET_TOKENS, TOKEN, ascii_tokens, content_terms, is_code_name, stems
+from granary.operators import index as I
 from granary.plans.query import Filters, phrases
+from granary.sources.vault import checkpoint
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 3.0
 MIN_COSINE, COSINE_WINDOW, SEMANTIC_FLOOR, KEYWORD_WEIGHT = 0.45, 0.12, 0.40, 0.60
@@ -28,43 +30,62 @@ FORMS, PUSHED = 100_000, 2_000
 
 
 def typed_forms(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Rows (query_id, pos, n, j, term): the index's terms that each typed term meets, exactly or as a prefix.
+    """Rows (query_id, pos, n, j, term, df): the index's terms that each typed term meets, exactly or as a prefix.
 
-    One pass over the vocabulary (term): each term is looked up by itself and by its
-    beginnings of the lengths that the typed prefixes have.
+    One pass over the vocabulary (term, df): each term is looked up by itself and by its
+    beginnings of the lengths that the typed prefixes have, if it is as long.
     """
     keys = [F.struct(F.lit(False).alias("is_prefix"), F.col("term").alias("typed"))]
     for row in parts.where("is_prefix").select(F.length("term").alias("size")).distinct().collect():
-        keys.append(F.struct(F.lit(True).alias("is_prefix"), F.substring("term", 1, row.size).alias("typed")))
-    keyed = vocabulary.select("term", F.explode(F.array(*keys)).alias("key")).select("term", "key.is_prefix", "key.typed")
-    return keyed.join(F.broadcast(parts.withColumnRenamed("term", "typed")), ["is_prefix", "typed"]).select("query_id", "pos", "n", "j", "term")
+        keys.append(F.when(F.length("term") >= row.size, F.struct(F.lit(True).alias("is_prefix"), F.substring("term", 1, row.size).alias("typed"))))
+    keyed = vocabulary.select("term", "df", F.explode(F.array_compact(F.array(*keys))).alias("key")).select("term", "df", "key.is_prefix", "key.typed")
+    return keyed.join(F.broadcast(parts.withColumnRenamed("term", "typed")), ["is_prefix", "typed"]).select("query_id", "pos", "n", "j", "term", "df")
 
 
-def matched_terms(occ: DataFrame, parts: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Occurrences of the terms that a query's phrases meet. Few terms become a filter of the index's scan."""
-    forms = typed_forms(parts, occ.select("term").distinct() if vocabulary is None else vocabulary)
+def narrowed(posted: DataFrame, terms: list[str]) -> DataFrame:
+    """Postings of some terms: few of them become filters of the scan, by bucket and by term."""
+    if len(terms) > PUSHED:
+        return posted
+    buckets = [r.b for r in posted.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(I.bucket(F.col("term")).alias("b")).distinct().collect()] if terms else []
+    return posted.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+
+
+def matched_terms(posted: DataFrame, forms: DataFrame) -> DataFrame:
+    """Postings of the terms that a query's words meet. Few terms become a filter of the index's scan."""
     few = forms.limit(FORMS + 1).toArrow()
     if few.num_rows <= FORMS:
-        forms = F.broadcast(occ.sparkSession.createDataFrame(few))
-        terms = few.column("term").unique().to_pylist()
-        if len(terms) <= PUSHED:
-            occ = occ.where(F.col("term").isin(terms))
-    return occ.join(forms, "term").select("query_id", "pos", "n", "j", "item_id", "field", "place")
+        posted = narrowed(posted, few.column("term").unique().to_pylist())
+        forms = F.broadcast(posted.sparkSession.createDataFrame(few))
+    return posted.join(forms.drop("df"), "term")
 
 
 def whole_phrases(met: DataFrame) -> DataFrame:
     """Rows (query_id, pos, n, item_id, field, start): places where all terms of a query word adjoin. A word of one term is met as it stands."""
-    placed = met.select("query_id", "pos", "n", "item_id", "field", (F.col("place") - F.col("j")).alias("start"), "j")
-    several = placed.where("n > 1").groupBy("query_id", "pos", "n", "item_id", "field", "start").agg(F.countDistinct("j").alias("have")).where("have = n").drop("have")
+    keys = ["query_id", "pos", "n", "item_id", "field", "start"]
+    placed = I.places(met).select("query_id", "pos", "n", "item_id", "field", (F.col("place") - F.col("j")).alias("start"), "j")
+    several = placed.where("n > 1").groupBy(*keys).agg(F.countDistinct("j").alias("have")).where("have = n").drop("have")
     return placed.where("n = 1").drop("j").unionByName(several)
 
 
-def phrase_hits(occ: DataFrame, parts: DataFrame, title_weight: float = TITLE_WEIGHT, vocabulary: DataFrame | None = None) -> DataFrame:
-    """Rows (query_id, pos, item_id, tf): weighted occurrences of each query word; of several terms only where they adjoin."""
-    met = matched_terms(occ, parts, vocabulary)
-    whole = met if parts.where("n > 1").isEmpty() else whole_phrases(met)
+def frequency(title_weight: float) -> Column:
+    return (F.col("n_title") * F.lit(float(title_weight)) + F.col("n_content")).cast("double")
+
+
+def phrase_hits(posted: DataFrame, forms: DataFrame, title_weight: float = TITLE_WEIGHT) -> DataFrame:
+    """Rows (query_id, pos, item_id, length, block, tf): weighted occurrences of each query word; of several terms only where they adjoin.
+
+    ``forms`` are those of typed_forms. Words of one term need no places.
+    """
+    met = matched_terms(posted, forms)
+    item = ["query_id", "pos", "item_id"]
+    counted = met.where("n = 1").groupBy(*item).agg(F.max("length").alias("length"), F.max("block").alias("block"), F.sum(frequency(title_weight)).alias("tf"))
+    if forms.where("n > 1").isEmpty():
+        return counted
     weight = F.when(F.col("field") == "t", F.lit(title_weight)).otherwise(F.lit(1.0))
-    return whole.groupBy("query_id", "pos", "item_id").agg(F.sum(weight).alias("tf"))
+    several = met.where("n > 1")
+    whole = whole_phrases(several).groupBy(*item).agg(F.sum(weight).alias("tf"))
+    sizes = several.groupBy(*item).agg(F.max("length").alias("length"), F.max("block").alias("block"))
+    return counted.unionByName(whole.join(sizes, item).select(*counted.columns))
 
 
 def match_snippets(ranked: DataFrame, items: DataFrame, whole: DataFrame, size: int = SNIPPET_TOKENS) -> DataFrame:
@@ -91,14 +112,103 @@ def match_snippets(ranked: DataFrame, items: DataFrame, whole: DataFrame, size:
     return shown.select(*ranked.columns, snippet.alias("snippet"))
 
 
-def bm25(hits: DataFrame, lengths: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """Rows (query_id, item_id, score): any word may match; idf never under 1e-6."""
-    totals = lengths.agg(F.count("*").alias("items"), F.avg("length").alias("mean"))
+def idf(items: Column, df: Column) -> Column:
+    return F.greatest(F.log((items - df + 0.5) / (df + 0.5)), F.lit(1e-6))
+
+
+def impact(tf: Column, length: Column, mean: Column, k1: float = K1, b: float = B) -> Column:
+    """What a word adds to an item's score, but for its idf: more with tf, less with length."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+
+
+def word_scores(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """Hits with column part: what each word adds to each item's score. A word's df counts its hits."""
     df = hits.groupBy("query_id", "pos").agg(F.count("*").alias("df"))
-    idf = F.greatest(F.log((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean"))
-    scored = hits.join(F.broadcast(df), ["query_id", "pos"]).join(lengths, "item_id").crossJoin(F.broadcast(totals))
-    return scored.groupBy("query_id", "item_id").agg(F.sum(idf * F.col("tf") * (k1 + 1) / norm).alias("score"))
+    part = idf(F.col("items"), F.col("df")) * impact(F.col("tf"), F.col("length"), F.col("mean"))
+    return hits.join(F.broadcast(df), ["query_id", "pos"]).crossJoin(F.broadcast(totals)).withColumn("part", part).drop("df", "items", "mean")
+
+
+def bm25(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """Rows (query_id, item_id, score) of all items that have some word; idf never under 1e-6."""
+    return word_scores(hits, totals).groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
+
+
+#: Blocks, and items for each wanted one, that are scored first to learn how high the wanted ones score at least.
+SEED_BLOCKS, SEED_ITEMS = 8, 4
+#: Scores this close may tie once they are rounded.
+ROUNDED = 1e-8
+
+
+def frequent_words(forms: DataFrame) -> list[Row]:
+    """Query words (query_id, pos, term, df) that meet one frequent term alone, whose blocks have bounds; no more than were typed."""
+    words = forms.groupBy("query_id", "pos").agg(F.count("*").alias("forms"), F.max("n").alias("n"), F.min("term").alias("term"), F.max("df").alias("df"))
+    return words.where((F.col("forms") == 1) & (F.col("n") == 1) & (F.col("df") > I.FREQUENT)).drop("forms", "n").collect()
+
+
+class Pruned:
+    """Keyword search that reads of frequent terms only the blocks whose bounds reach the wanted ranks.
+
+    Words that are rare, begun or of several terms are scored whole. A block's bound for a
+    query is the sum of what its frequent terms can add at most and of what its other words
+    do add at most. The best blocks are scored first; the score of the last wanted rank
+    there is reached by all that is wanted, so blocks bounded under it are left out. What
+    is found, ties too, is what scoring everything finds.
+    """
+
+    def __init__(self, index: I.Index, forms: DataFrame, frequent: list[Row], limit: int, title_weight: float = TITLE_WEIGHT):
+        spark, self.limit, self.title_weight = index.postings.sparkSession, limit, title_weight
+        total = index.totals.first()
+        items, self.mean = F.lit(total["items"]), F.lit(float(total["mean"]) or 1.0)
+        self.posted = narrowed(index.postings, sorted({f.term for f in frequent}))
+        words = spark.createDataFrame(frequent, "query_id long, pos int, term string, df long")
+        self.words = words.select("query_id", "pos", "term", idf(items, F.col("df")).alias("idf"))
+        others = forms.join(F.broadcast(words.select("query_id", "pos")), ["query_id", "pos"], "left_anti")
+        hits = checkpoint(phrase_hits(index.postings, others, title_weight))
+        self.whole = word_scores(hits, index.totals).select("query_id", "pos", "item_id", "block", "part")
+        most = impact(F.col("most_title") * F.lit(float(title_weight)) + F.col("most_content"), F.col("least_length"), self.mean)
+        bounded = index.blocks.join(F.broadcast(self.words), "term").select("query_id", "block", (F.col("idf") * most).alias("bound"), "n")
+        added = self.whole.groupBy("query_id", "pos", "block").agg(F.max("part").alias("bound"), F.lit(0).cast("long").alias("n"))
+        self.bounds = checkpoint(bounded.unionByName(added.drop("pos")).groupBy("query_id", "block").agg(F.sum("bound").alias("bound"), F.sum("n").alias("n")))
+
+    def scores(self, blocks: DataFrame) -> DataFrame:
+        """Scores (query_id, item_id, score) of all items of some blocks (query_id, block)."""
+        asked = blocks.join(F.broadcast(self.words), "query_id")
+        part = F.col("idf") * impact(frequency(self.title_weight), F.col("length"), self.mean)
+        frequent = self.posted.join(asked, ["term", "block"]).select("query_id", "item_id", part.alias("part"))
+        whole = self.whole.join(blocks.select("query_id", "block"), ["query_id", "block"]).select("query_id", "item_id", "part")
+        return frequent.unionByName(whole).groupBy("query_id", "item_id").agg(F.sum("part").alias("score"))
+
+    def needed(self) -> DataFrame:
+        """Blocks (query_id, block, bound, n) that may hold wanted items."""
+        by = Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "block")
+        before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        seeds = self.bounds.withColumns({"turn": F.row_number().over(by), "before": before}).where((F.col("turn") <= SEED_BLOCKS) | (F.col("before") < SEED_ITEMS * self.limit))
+        ranked = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+        reached = self.scores(seeds.select("query_id", "block")).withColumn("turn", F.row_number().over(ranked)).where(F.col("turn") == self.limit).select("query_id", F.col("score").alias("reached"))
+        known = self.bounds.join(F.broadcast(reached), "query_id", "left")
+        return known.where(F.col("bound") * (1 + 1e-9) + ROUNDED >= F.coalesce("reached", F.lit(0.0))).drop("reached")
+
+    def best(self) -> DataFrame:
+        return self.scores(checkpoint(self.needed().select("query_id", "block")))
+
+    def reading(self) -> DataFrame:
+        """Rows (query_id, needed, held): postings of frequent terms that a query scores, of those that there are."""
+        held = self.bounds.groupBy("query_id").agg(F.sum("n").alias("held"))
+        return held.join(self.needed().groupBy("query_id").agg(F.sum("n").alias("needed")), "query_id", "left").select("query_id", F.coalesce("needed", F.lit(0)).alias("needed"), "held")
+
+
+def pruned(index: I.Index, forms: DataFrame, limit: int, title_weight: float = TITLE_WEIGHT) -> Pruned | None:
+    """The pruned search for some words; None where none of them is frequent."""
+    frequent = frequent_words(forms)
+    return Pruned(index, forms, frequent, limit, title_weight) if frequent else None
+
+
+def keyword(index: I.Index, parts: DataFrame, limit: int, title_weight: float = TITLE_WEIGHT, digits: int = 9) -> DataFrame:
+    """The best items (query_id, item_id, score, rank) by BM25; scores are rounded, ties go to the smaller id."""
+    forms = checkpoint(typed_forms(parts, index.vocabulary))
+    found = pruned(index, forms, limit, title_weight)
+    scored = found.best() if found else bm25(phrase_hits(index.postings, forms, title_weight), index.totals)
+    return top(scored.withColumn("score", F.round("score", digits)), limit)
 
 
 def top(scored: DataFrame, limit: int, score: str = "score", key: str = "item_id") -> DataFrame:

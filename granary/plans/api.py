@@ -34,7 +34,7 @@ class Vault:
     items: DataFrame
     make: Callable[[], M.Embedder] = M.HashingEmbedder
     rerank: Callable = M.lexical_reranker
-    _derived: dict = field(default_factory=dict, repr=False)
+    _derived: dict[str, DataFrame | I.Index] = field(default_factory=dict, repr=False)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._derived:
@@ -42,16 +42,14 @@ class Vault:
         return self._derived[name]
 
     @property
-    def occurrences(self) -> DataFrame:
-        return self._get("occurrences", lambda: I.occurrences(self.items))
+    def index(self) -> I.Index:
+        if "index" not in self._derived:
+            self._derived["index"] = I.of(self.items)
+        return self._derived["index"]
 
     @property
     def vocabulary(self) -> DataFrame:
-        return self._get("vocabulary", lambda: I.document_frequency(self.occurrences))
-
-    @property
-    def lengths(self) -> DataFrame:
-        return self._get("lengths", lambda: I.lengths(self.items))
+        return self.index.vocabulary
 
     @property
     def chunks(self) -> DataFrame:
@@ -69,16 +67,15 @@ class Vault:
     # ------------------------------------------------------------ search
 
     def keyword(self, texts: dict[int, str], limit: int) -> DataFrame:
-        parts = S.phrase_table(self.spark, texts)
-        return S.top(S.bm25(S.phrase_hits(self.occurrences, parts, vocabulary=self.vocabulary), self.lengths), limit)
+        return S.keyword(self.index, S.phrase_table(self.spark, texts), limit)
 
     def semantic(self, texts: dict[int, str], limit: int) -> DataFrame:
         return S.semantic(S.cosines(self.vectors, self.query_vectors(texts)), limit)
 
     def hybrid(self, texts: dict[int, str], limit: int) -> DataFrame:
         parts = S.phrase_table(self.spark, texts)
-        hits = S.phrase_hits(self.occurrences, parts, vocabulary=self.vocabulary)
-        kw = S.top(S.bm25(hits, self.lengths), 2 * limit)
+        hits = S.phrase_hits(self.index.postings, S.typed_forms(parts, self.vocabulary))
+        kw = S.top(S.bm25(hits, self.index.totals), 2 * limit)
         n = self.spark.createDataFrame([(q, max(1, len(match_tokens(t)))) for q, t in texts.items()], "query_id long, n_words int")
         return S.fuse(kw, S.coverage(hits, parts, n), self.semantic(texts, 2 * limit), limit)
 
@@ -124,7 +121,7 @@ class Vault:
             hits = hits.where(F.col("kind") == kind)
         best = S.best_chunks(S.cosines(self.vectors, self.query_vectors({0: query}))).where("ord >= 0").select("item_id", F.col("text").alias("passage"))
         rows = hits.join(best, "item_id", "left").orderBy("rank").limit(limit)
-        whole = S.whole_phrases(S.matched_terms(self.occurrences, S.phrase_table(self.spark, {0: query}), self.vocabulary))
+        whole = S.whole_phrases(S.matched_terms(self.index.postings, S.typed_forms(S.phrase_table(self.spark, {0: query}), self.vocabulary)))
         marked = S.match_snippets(rows.select(F.lit(0).cast("long").alias("query_id"), "item_id"), self.items, whole.where("field = 'c'"))
         met = marked.join(whole.where("field = 'c'").select("item_id").distinct(), "item_id").select("item_id", T.plain_snippet(F.col("snippet")).alias("around"))
         rows = rows.join(met, "item_id", "left").orderBy("rank")
@@ -221,7 +218,7 @@ class Vault:
         found = S.cosines(self.vectors.drop("text"), self.query_vectors({0: text}))
         terms = X.distinctive_terms(asked, self.vocabulary, self.items.count())
         cut = self.chunks.select("item_id", "ord", "text")
-        cands = X.candidates(found, cut, terms, X.digit_pins(asked, self.occurrences))
+        cands = X.candidates(found, cut, terms, X.digit_pins(asked, self.index.postings))
         top = X.rerank_top(X.rerank_texts(X.rerank_head(cands, M.head_size(cores)), self.items), self.rerank, asked)
         return [(r.title, r.text) for r in X.blocks(cands, cut, self.items, top, budget).orderBy("place").collect()]
 

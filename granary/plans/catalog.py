@@ -77,7 +77,7 @@ _written: dict[tuple[str, str], str] = {}
 
 
 def index_of(spark, sf_dir):
-    """Occurrences, vocabulary and lengths of the documents: an index written once a session, in the folder that the cluster shares."""
+    """The index of the documents, written once a session, in the folder that the cluster shares."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = f"{V.scratch(spark)}/index-{uuid.uuid4().hex}"
@@ -86,20 +86,17 @@ def index_of(spark, sf_dir):
     return I.read(spark, _written[key])
 
 
-def _occ(spark, sf_dir):
-    return index_of(spark, sf_dir)[0]
-
-
 def _vocabulary(spark, sf_dir):
-    return index_of(spark, sf_dir)[1]
+    return index_of(spark, sf_dir).vocabulary
 
 
 def _keyword(spark, sf_dir, texts, limit):
+    """All items that the words meet, scored whole, and the best of them."""
     items = V.documents(spark, sf_dir)
-    occ, vocabulary, lengths = index_of(spark, sf_dir)
+    index = index_of(spark, sf_dir)
     parts = S.phrase_table(spark, texts)
-    hits = S.phrase_hits(occ, parts, vocabulary=vocabulary)
-    scored = S.bm25(hits, lengths).withColumn("score", F.round("score", 9))
+    hits = S.phrase_hits(index.postings, S.typed_forms(parts, index.vocabulary))
+    scored = S.bm25(hits, index.totals).withColumn("score", F.round("score", 9))
     return items, parts, hits, S.top(scored, limit)
 
 
@@ -129,6 +126,16 @@ def kw_phrase_token(spark, sf_dir):
     return _kw(spark, sf_dir, PHRASED, 20)
 
 
+FREQUENT = {k: t for k, t in enumerate(("the and of", "public license of the software", "de la und", "on re", "Que the", "is", "zzzz the", "a b c d e f", "the the"))}
+
+
+@query(_kw_sql(FREQUENT, 12))
+def kw_pruned_topk(spark, sf_dir):
+    """Frequent words: only the blocks whose bounds reach the wanted ranks are scored."""
+    index = index_of(spark, sf_dir)
+    return S.keyword(index, S.phrase_table(spark, FREQUENT), 12).withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH {OCC} SELECT term, count(DISTINCT item_id) AS df FROM occ GROUP BY term")
 def term_df(spark, sf_dir):
     return _vocabulary(spark, sf_dir)
@@ -137,8 +144,9 @@ def term_df(spark, sf_dir):
 @query(f"WITH {OCC} SELECT p AS prefix, count(DISTINCT item_id) AS df FROM occ JOIN (VALUES ('lic'), ('re'), ('über'), ('zz')) v(p) ON starts_with(term, p) GROUP BY p")
 def prefix_df(spark, sf_dir):
     wanted = spark.createDataFrame([("lic",), ("re",), ("über",), ("zz",)], "prefix string")
-    met = _vocabulary(spark, sf_dir).join(F.broadcast(wanted), F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
-    return _occ(spark, sf_dir).join(F.broadcast(met), "term").groupBy("prefix").agg(F.countDistinct("item_id").alias("df"))
+    index = index_of(spark, sf_dir)
+    met = index.vocabulary.join(F.broadcast(wanted), F.col("term").startswith(F.col("prefix"))).select("prefix", "term")
+    return index.postings.join(F.broadcast(met), "term").groupBy("prefix").agg(F.countDistinct("item_id").alias("df"))
 
 
 def _n_words(spark, texts):
@@ -458,7 +466,7 @@ _DIGITS = "list_distinct(list_transform(list_filter(string_split_regex(txt, '{}'
 
 @query(f"WITH {OCC}, q(query_id, txt) AS (VALUES {values(PINNED.items())}), dt AS (SELECT query_id, unnest({_DIGITS}) AS term FROM q), m AS (SELECT DISTINCT query_id, term, item_id FROM dt JOIN occ USING (term)) SELECT query_id, term, item_id FROM m WHERE (SELECT count(*) FROM m x WHERE x.query_id = m.query_id AND x.term = m.term) <= 2")
 def digit_pins(spark, sf_dir):
-    return X.digit_pins(small(spark, PINNED), _occ(spark, sf_dir))
+    return X.digit_pins(small(spark, PINNED), index_of(spark, sf_dir).postings)
 
 
 @query(f"WITH {_CHUNKS}, hit AS (SELECT item_id, ord FROM ch WHERE contains(lower(txt), 'license')), near AS (SELECT DISTINCT item_id, ord + d AS ord FROM hit, (VALUES (-1), (0), (1)) v(d)) SELECT ch.item_id, ch.ord, sha256(txt) AS sha FROM ch JOIN near USING (item_id, ord)")
@@ -644,8 +652,8 @@ y AS (SELECT *, array_to_string(list_transform(range(0, least({T.SNIPPET_TOKENS}
 SELECT query_id, item_id, rank, CASE WHEN b > 0 THEN ' … ' ELSE '' END || regexp_replace(t, '[^\p{{L}}\p{{N}}\p{{Co}}' || chr(2) || ']+$', '') || CASE WHEN len(p) > b + {T.SNIPPET_TOKENS} THEN ' … ' ELSE '' END AS snippet FROM y""")
 def match_snippets(spark, sf_dir):
     items, parts, _, ranked = _keyword(spark, sf_dir, ASKED, 10)
-    occ, vocabulary, _ = index_of(spark, sf_dir)
-    whole = S.whole_phrases(S.matched_terms(occ, parts, vocabulary))
+    index = index_of(spark, sf_dir)
+    whole = S.whole_phrases(S.matched_terms(index.postings, S.typed_forms(parts, index.vocabulary)))
     return S.match_snippets(ranked.select("query_id", "item_id", "rank"), items, whole)
 
 
@@ -967,9 +975,9 @@ def context_blocks(spark, sf_dir):
     make = lambda: M.HashingEmbedder(64)
     vectors = M.embed_chunks(items, cut.drop("chunk_id"), make).select("item_id", "ord", "vec").join(cut.select("chunk_id", "item_id", "ord"), ["item_id", "ord"])
     found = S.cosines(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
-    occ = I.occurrences(items)
-    terms = X.distinctive_terms(asked, I.document_frequency(occ), items.count())
-    cands = X.candidates(found, cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, occ))
+    index = I.of(items)
+    terms = X.distinctive_terms(asked, index.vocabulary, items.count())
+    cands = X.candidates(found, cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, index.postings))
     top = X.rerank_top(X.rerank_texts(X.rerank_head(cands, M.head_size(8)), items), M.lexical_reranker, asked)
     return X.blocks(cands, cut.select("item_id", "ord", "text"), items, top)
 

@@ -22,11 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that the driver and all executors share: spark.checkpoint.dir, else the warehouse; with a local master one of this machine's."""
+    """A folder that the driver and all executors share: that of spark.checkpoint.dir. Where it is unset, one of this machine's, which only a local master may use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local["):
-        return tempfile.mkdtemp(prefix="granary-")
-    return folder or spark.conf.get("spark.sql.warehouse.dir")
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="granary-")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage with files in the shared folder: for what a query reads several times."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(scratch(df.sparkSession))
+    return df.checkpoint()
 
 
 SMALL_BYTES = 1 << 30

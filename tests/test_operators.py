@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import pytest
 from hypothesis import given
@@ -24,7 +25,7 @@ def items(spark, *rows):
 def test_bm25_by_hand(spark):
     v = items(spark, (1, "invoice", "total due"), (2, "note", "invoice invoice paid"), (3, "other", "nothing here at all"))
     parts = S.phrase_table(spark, {1: "invoice x"})
-    got = {r.item_id: r.score for r in S.bm25(S.phrase_hits(I.occurrences(v), parts), I.lengths(v)).collect()}
+    got = {r.item_id: r.score for r in S.keyword(I.of(v), parts, 10, digits=12).collect()}
     idf = max(math.log((3 - 2 + 0.5) / 2.5), 1e-6)
     mean = (3 + 4 + 5) / 3
     want = lambda tf, n: idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
@@ -34,7 +35,7 @@ def test_bm25_by_hand(spark):
 def test_phrases_must_adjoin(spark):
     v = items(spark, (1, "x", "corvane 225 here"), (2, "x", "225 corvane"), (3, "x", "corvane a 225"))
     parts = S.phrase_table(spark, {1: "Corvane-22"})
-    assert {r.item_id for r in S.phrase_hits(I.occurrences(v), parts).collect()} == {1}
+    assert {r.item_id for r in S.keyword(I.of(v), parts, 10).collect()} == {1}
 
 
 def axis(i, dim=8):
@@ -58,7 +59,7 @@ def test_absent_gate(spark):
     v = items(spark, (1, "Invoice", "total 5"), (2, "Resume", "engineer"))
     asked = spark.createDataFrame([(1, "invoices totals"), (2, "zebra crossing"), (3, "zebra"), (4, "zebra crossing")], "query_id long, text string")
     best = spark.createDataFrame([(4, 0.8)], "query_id long, cos double")
-    got = {r.query_id: r.absent for r in S.absent(asked, I.document_frequency(I.occurrences(v)), best).collect()}
+    got = {r.query_id: r.absent for r in S.absent(asked, I.of(v).vocabulary, best).collect()}
     assert got == {1: False, 2: True, 3: False, 4: False}
 
 
@@ -163,16 +164,59 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_index_reads_what_a_query_asks(spark, tmp_path):
-    v = items(spark, (1, "invoice", "total due"), (2, "note", "invoices paid"), (3, "other", "nothing here"))
+    v = items(spark, (1, "invoice", "total due"), (2, "note", "invoices paid"), (3, "other", "nothing here"), (4, "", ""))
     I.write(v, str(tmp_path / "index"))
-    occ, vocabulary, lengths = I.read(spark, str(tmp_path / "index"))
+    index = I.read(spark, str(tmp_path / "index"))
     parts = S.phrase_table(spark, {1: "paid invo"})
-    hits = S.phrase_hits(occ, parts, vocabulary=vocabulary)
+    hits = S.phrase_hits(index.postings, S.typed_forms(parts, index.vocabulary))
     assert {(r.pos, r.item_id) for r in hits.collect()} == {(0, 2), (1, 1), (1, 2)}
     plan = hits._jdf.queryExecution().toString()
-    assert "PushedFilters: [In(term" in plan or "PushedFilters: [IsNotNull(term), In(term" in plan
-    assert sorted(tuple(r) for r in hits.collect()) == sorted(tuple(r) for r in S.phrase_hits(I.occurrences(v), parts).collect())
-    assert {r.item_id: r.length for r in lengths.collect()} == {1: 3, 2: 3, 3: 3}
+    assert "PartitionFilters: [bucket" in plan and "In(term" in plan
+    columns = hits.columns
+    made = I.of(v)
+    assert sorted(tuple(r) for r in hits.collect()) == sorted(tuple(r) for r in S.phrase_hits(made.postings, S.typed_forms(parts, made.vocabulary)).select(columns).collect())
+    assert {r.item_id: r.length for r in index.postings.collect()} == {1: 3, 2: 3, 3: 3}
+    assert tuple(index.totals.first()) == tuple(made.totals.first()) == (4, 9 / 4)
+
+
+def test_short_terms_count_once_under_long_prefixes(spark):
+    """A term that is shorter than another typed prefix is no match of its own beginning twice."""
+    v = items(spark, (1, "a", "pub public publican"), (2, "b", "license lic"), (3, "c", "lice licensed publ pub"))
+    texts = {1: "lic", 2: "x publ", 3: "y license", 4: "pub"}
+    forms = S.typed_forms(S.phrase_table(spark, texts), I.of(v).vocabulary).collect()
+    assert len(forms) == len(set(forms))
+    assert {q: sorted(r.term for r in forms if r.query_id == q) for q in texts} == {1: ["lic", "lice", "license", "licensed"], 2: ["publ", "public", "publican"], 3: ["license", "licensed"], 4: ["pub", "publ", "public", "publican"]}
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Items of many lengths with words of all frequencies; some words stand in titles, many items tie."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        body = [words[min(int(rng.expovariate(0.12)), 59)] for _ in range(rng.choice([2, 5, 20, 20, 90, 400]))]
+        rows.append((i, " ".join(rng.choices(words[:6], k=rng.choice([0, 0, 1]))), " ".join(body)))
+    return items(spark, *rows, *[(2000 + i, "", "w1 w2 w3") for i in range(200)])
+
+
+@pytest.mark.parametrize("limit", [1, 8, 5000])
+def test_pruned_search_equals_scoring_all(spark, many, monkeypatch, limit):
+    monkeypatch.setattr(I, "FREQUENT", 100)
+    monkeypatch.setattr(I, "BLOCK_ITEMS", 8)
+    index = I.of(many)
+    texts = {1: "w1 ", 2: "w1 w2 w3 ", 3: "w0 w59 ", 4: "w1-w2 w0 ", 5: "w4 w1", 6: "w1 w1 w5 ", 7: "absent w2 ", 8: "absent ", 9: "w3 w2 w1 w0 w7 w9 "}
+    parts = S.phrase_table(spark, texts)
+    whole = S.bm25(S.phrase_hits(index.postings, S.typed_forms(parts, index.vocabulary)), index.totals)
+    want = S.top(whole.withColumn("score", F.round("score", 9)), limit)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.item_id, round(r.score, 6)) for r in df.collect())
+    assert rows(S.keyword(index, parts, limit)) == rows(want)
+    reading = {r.query_id: r for r in S.pruned(index, S.typed_forms(parts, index.vocabulary), limit).reading().collect()}
+    assert all(r.needed <= r.held for r in reading.values())
+    if limit == 1:
+        assert sum(r.needed for r in reading.values()) < 0.3 * sum(r.held for r in reading.values())
+    if limit == 5000:
+        assert all(r.needed == r.held for r in reading.values())
 
 
 def test_match_snippets(spark):
@@ -180,8 +224,8 @@ def test_match_snippets(spark):
     words[20], words[25], words[38] = "Corvane-225", "ünïts", "corvane"
     v = items(spark, (1, "a", " ".join(words)), (2, "corvane", "short text."), (3, "a", "x corvane, 225 units!"))
     parts = S.phrase_table(spark, {1: "corvane-22 units"})
-    occ = I.occurrences(v)
-    whole = S.whole_phrases(S.matched_terms(occ, S.phrase_table(spark, {1: "corvane uni"})))
+    index = I.of(v)
+    whole = S.whole_phrases(S.matched_terms(index.postings, S.typed_forms(S.phrase_table(spark, {1: "corvane uni"}), index.vocabulary)))
     got = {r.item_id: r.snippet for r in S.match_snippets(spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "query_id long, item_id long"), v, whole).collect()}
     assert got[1] == " … \x01Corvane\x02-225 w21 w22 w23 w24 \x01ünïts\x02 w26 w27 w28 w29 w30 w31 w32 … "
     assert got[2] == "short text"
