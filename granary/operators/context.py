@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions.text import NOT_ALNUM, SYNONYMS, content_terms, words
+from granary.operators import grams, nearest
 from granary.operators.chunks import OVERLAP
+from granary.sources.vault import checkpoint
 
 OWN, AUX, MAX_SHARE = 0.08, 0.04, 0.34
 POOL, EXTRA, BONUS, DECAY = 40, 3, 0.5, (1.0, 0.5, 0.25)
@@ -38,10 +40,13 @@ def distinctive_terms(queries: DataFrame, df: DataFrame, n_items: int) -> DataFr
     return found.select("query_id", "term", (F.when(F.col("own"), OWN).otherwise(AUX) * (1 - share)).alias("weight"), "df", "own")
 
 
-def literal_candidates(chunks: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (query_id, item_id, ord, boost): chunks that contain distinctive terms, with their weights."""
-    met = chunks.join(F.broadcast(terms.select("query_id", "term", "weight")), F.lower("text").contains(F.col("term")))
-    return met.groupBy("query_id", "item_id", "ord").agg(F.sum("weight").alias("boost"))
+def literal_candidates(chunks: DataFrame, terms: DataFrame, index: grams.Grams | None = None) -> DataFrame:
+    """Rows (query_id, item_id, ord, boost): chunks that contain distinctive terms, with their weights.
+
+    ``index`` has the trigrams of the chunks; without one all texts are read.
+    """
+    met = grams.containing(index, chunks, terms) if index else grams.scanned(chunks, terms)
+    return met.join(F.broadcast(terms.select("query_id", "term", "weight")), "term").groupBy("query_id", "item_id", "ord").agg(F.sum("weight").alias("boost"))
 
 
 def digit_pins(queries: DataFrame, occ: DataFrame, most: int = 2) -> DataFrame:
@@ -72,14 +77,21 @@ def item_scores(scored: DataFrame) -> DataFrame:
     return best.groupBy("query_id", "item_id").agg(F.sum(F.col("score") * F.element_at(weights, F.col("rn"))).alias("score"))
 
 
-def candidates(found: DataFrame, chunks: DataFrame, terms: DataFrame, pins: DataFrame, pool: int = POOL) -> DataFrame:
+def candidates(vectors: DataFrame, queries: DataFrame, chunks: DataFrame, terms: DataFrame, pins: DataFrame, pool: int = POOL, index: grams.Grams | None = None) -> DataFrame:
     """Rows (query_id, chunk_id, item_id, ord, text, score, literal): the nearest chunks and those with distinctive terms.
 
-    ``found`` has cosines (query_id, chunk_id, item_id, ord, cos) of all chunks.
+    ``vectors`` has (chunk_id, item_id, ord, vec) of all chunks, ``queries`` (query_id, vec).
+    The pool comes from blocked products; chunks with literal terms beside it are few, and
+    only they are compared row by row.
     """
-    by = Window.partitionBy("query_id").orderBy(F.col("cos").desc(), F.col("chunk_id"))
-    ranked = found.withColumn("place", F.row_number().over(by))
-    c = ranked.join(literal_candidates(chunks, terms), ["query_id", "item_id", "ord"], "left").where((F.col("place") <= pool) | F.col("boost").isNotNull())
+    keys = ["query_id", "chunk_id", "item_id", "ord"]
+    literal = checkpoint(literal_candidates(chunks, terms, index))
+    near = checkpoint(nearest.nearest(vectors, queries, pool).select(*keys, "cos"))
+    asked = queries.select("query_id", F.col("vec").cast("array<double>").alias("q"))
+    cos = F.aggregate(F.zip_with("vec", "q", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)
+    others = literal.join(vectors.select("chunk_id", "item_id", "ord", "vec"), ["item_id", "ord"]).join(F.broadcast(asked), "query_id").where(F.size("vec") == F.size("q"))
+    others = others.select(*keys, F.round(cos, nearest.DIGITS).alias("cos")).join(near, keys, "left_anti")
+    c = near.unionByName(others).join(literal, ["query_id", "item_id", "ord"], "left")
     c = c.join(chunks.select("item_id", "ord", "text"), ["item_id", "ord"])
     rare = terms.where("own and df between 1 and 2").groupBy("query_id").agg(F.collect_set("term").alias("rare"))
     c = c.join(F.broadcast(rare), "query_id", "left")

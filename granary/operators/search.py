@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from granary.functions.text import HIT_CLOSE, HIT_OPEN, LEFT_OUT, SNIPPET_TOKENS, TOKEN, ascii_tokens, content_terms, is_code_name, stems
 from granary.operators import index as I
+from granary.operators import nearest as K
 from granary.plans.query import Filters, phrases
 from granary.sources.vault import checkpoint
 
@@ -223,20 +224,16 @@ def coverage(hits: DataFrame, parts: DataFrame, words: DataFrame) -> DataFrame:
     return met.join(F.broadcast(words), "query_id").select("query_id", "item_id", (F.col("met") / F.col("n_words")).alias("coverage"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosines(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows (query_id, chunk_id, item_id, ord, cos) of unit vectors; pairs of different lengths have none."""
-    pairs = chunks.crossJoin(F.broadcast(queries.select("query_id", F.col("vec").alias("q"))))
-    return pairs.where(F.size("vec") == F.size("q")).withColumn("cos", dot(F.col("vec"), F.col("q"))).drop("vec", "q")
+def best_chunks(found: DataFrame) -> DataFrame:
+    """The nearest chunk (query_id, item_id, cos, chunk_id, ord) of each item; ties to the smaller chunk id."""
+    best = found.groupBy("query_id", "item_id").agg(F.max(F.struct("cos", (-F.col("chunk_id")).alias("behind"), "ord")).alias("best"))
+    return best.select("query_id", "item_id", "best.cos", (-F.col("best.behind")).alias("chunk_id"), "best.ord")
 
 
-def best_chunks(found: DataFrame) -> DataFrame:
-    """The nearest chunk of each item; ties to the smaller chunk id."""
-    by = Window.partitionBy("query_id", "item_id").orderBy(F.col("cos").desc(), F.col("chunk_id"))
-    return found.withColumn("rn", F.row_number().over(by)).where("rn = 1").drop("rn")
+def semantic_nearest(chunks: DataFrame, queries: DataFrame, limit: int, floor: float = MIN_COSINE, window: float = COSINE_WINDOW) -> DataFrame:
+    """Items over the floor and near the best one, by cosine, with no more than ``limit`` kept of any partition."""
+    best = K.nearest_items(chunks, queries, limit, floor)
+    return best.withColumn("top", F.max("cos").over(Window.partitionBy("query_id"))).where(F.col("cos") >= F.col("top") - window).drop("top")
 
 
 def semantic(found: DataFrame, limit: int, floor: float = MIN_COSINE, window: float = COSINE_WINDOW) -> DataFrame:
@@ -336,6 +333,7 @@ def absent(queries: DataFrame, occ: DataFrame, best: DataFrame) -> DataFrame:
 
 
 def best_cosine(found: DataFrame) -> DataFrame:
+    """Rows (query_id, cos): the largest cosine, 0 at least."""
     return found.groupBy("query_id").agg(F.greatest(F.lit(0.0), F.max("cos")).alias("cos"))
 
 

@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators import chunks as C
 from granary.operators import context as X
+from granary.operators import grams as R
 from granary.operators import index as I
 from granary.operators import ingest as G
+from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.plans import models as M
 from granary.plans.query import dense_query, expand, match_tokens, parse_filters, split_tags, strip_question
@@ -34,7 +36,7 @@ class Vault:
     items: DataFrame
     make: Callable[[], M.Embedder] = M.HashingEmbedder
     rerank: Callable = M.lexical_reranker
-    _derived: dict[str, DataFrame | I.Index] = field(default_factory=dict, repr=False)
+    _derived: dict[str, DataFrame | I.Index | R.Grams] = field(default_factory=dict, repr=False)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._derived:
@@ -51,6 +53,14 @@ class Vault:
     def vocabulary(self) -> DataFrame:
         return self.index.vocabulary
 
+    @property
+    def grams(self) -> R.Grams:
+        """Trigrams of the chunks: once they are there, questions look their terms up instead of reading all texts."""
+        if "grams" not in self._derived:
+            made = R.of(self.chunks)
+            self._derived["grams"] = R.Grams(made.postings.persist(), made.counts.persist())
+        return self._derived["grams"]
+
     @property
     def chunks(self) -> DataFrame:
         return self._get("chunks", lambda: C.with_title_units(self.items, C.chunks(self.items)).withColumn("chunk_id", F.xxhash64("item_id", "ord")))
@@ -70,7 +80,7 @@ class Vault:
         return S.keyword(self.index, S.phrase_table(self.spark, texts), limit)
 
     def semantic(self, texts: dict[int, str], limit: int) -> DataFrame:
-        return S.semantic(S.cosines(self.vectors, self.query_vectors(texts)), limit)
+        return S.semantic_nearest(self.vectors, self.query_vectors(texts), limit)
 
     def hybrid(self, texts: dict[int, str], limit: int) -> DataFrame:
         parts = S.phrase_table(self.spark, texts)
@@ -98,7 +108,7 @@ class Vault:
         return ranked.where(keep).orderBy("rank").limit(limit).select("item_id", "title", "kind", "source", "added_at", "tags", "score", "via")
 
     def absent(self, texts: dict[int, str]) -> DataFrame:
-        best = S.best_cosine(S.cosines(self.vectors, self.query_vectors(texts)))
+        best = S.best_cosine(K.nearest(self.vectors, self.query_vectors(texts), 1))
         return S.absent(self.spark.createDataFrame(sorted(texts.items()), "query_id long, text string"), self.vocabulary, best)
 
     def live(self, query: str, now: int = 0, limit: int = 40) -> DataFrame:
@@ -119,7 +129,8 @@ class Vault:
         hits = ranked.select("item_id", "rank").join(self.items.withColumnRenamed("id", "item_id"), "item_id").where(S.has_tags([t.lstrip("#").lower() for t in wanted]))
         if kind:
             hits = hits.where(F.col("kind") == kind)
-        best = S.best_chunks(S.cosines(self.vectors, self.query_vectors({0: query}))).where("ord >= 0").select("item_id", F.col("text").alias("passage"))
+        best = S.best_chunks(K.all_pairs(self.vectors.join(hits.select("item_id"), "item_id", "left_semi"), self.query_vectors({0: query}))).where("ord >= 0")
+        best = best.join(self.chunks.select("item_id", "ord", F.col("text").alias("passage")), ["item_id", "ord"]).select("item_id", "passage")
         rows = hits.join(best, "item_id", "left").orderBy("rank").limit(limit)
         whole = S.whole_phrases(S.matched_terms(self.index.postings, S.typed_forms(S.phrase_table(self.spark, {0: query}), self.vocabulary)))
         marked = S.match_snippets(rows.select(F.lit(0).cast("long").alias("query_id"), "item_id"), self.items, whole.where("field = 'c'"))
@@ -215,10 +226,9 @@ class Vault:
         text = dense_query(question, expand(words, known))
         if self.absent({0: question}).first().absent:
             return []
-        found = S.cosines(self.vectors.drop("text"), self.query_vectors({0: text}))
         terms = X.distinctive_terms(asked, self.vocabulary, self.items.count())
         cut = self.chunks.select("item_id", "ord", "text")
-        cands = X.candidates(found, cut, terms, X.digit_pins(asked, self.index.postings))
+        cands = X.candidates(self.vectors, self.query_vectors({0: text}), cut, terms, X.digit_pins(asked, self.index.postings), index=self._derived.get("grams"))
         top = X.rerank_top(X.rerank_texts(X.rerank_head(cands, M.head_size(cores)), self.items), self.rerank, asked)
         return [(r.title, r.text) for r in X.blocks(cands, cut, self.items, top, budget).orderBy("place").collect()]
 

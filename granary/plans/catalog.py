@@ -11,8 +11,10 @@ from granary.functions import text as T
 from granary.operators import chunks as C
 from granary.operators import context as X
 from granary.operators import edits as D
+from granary.operators import grams as R
 from granary.operators import index as I
 from granary.operators import ingest as G
+from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.operators import snippets as N
 from granary.plans import models as M
@@ -73,7 +75,7 @@ bm AS (SELECT query_id, h.item_id, sum(greatest(ln((tot.n - df + 0.5::DOUBLE) /
 RANKED = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id) - 1"
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, ...], str] = {}
 
 
 def index_of(spark, sf_dir):
@@ -217,12 +219,12 @@ def folded(spark, sf_dir):
 
 
 def _cosines(spark, sf_dir):
-    return S.cosines(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir)).withColumn("cos", F.round("cos", 9))
+    return K.all_pairs(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir))
 
 
 @query(f"WITH {_FOLD} SELECT query_id, chunk_id, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, chunk_id) - 1 AS rank FROM cosq) WHERE rank < 40")
 def vec_topk(spark, sf_dir):
-    return S.top(_cosines(spark, sf_dir), 40, "cos", "chunk_id").select("query_id", "chunk_id", F.round("cos", 6).alias("cos"), "rank")
+    return K.nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 40).select("query_id", "chunk_id", F.round("cos", 6).alias("cos"), "rank")
 
 
 @query(f"WITH {_FOLD} SELECT query_id, item_id, chunk_id, round(cos, 6) AS cos, CASE WHEN ord >= 0 THEN ord END AS passage_ord FROM best")
@@ -236,7 +238,7 @@ _SEM = "sem AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos
 
 @query(f"WITH {_FOLD}, {_SEM} SELECT query_id, item_id, chunk_id, round(cos, 6) AS cos, rank FROM sem")
 def vec_window(spark, sf_dir):
-    return S.semantic(_cosines(spark, sf_dir), 40).select("query_id", "item_id", "chunk_id", F.round("cos", 6).alias("cos"), "rank")
+    return S.semantic_nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 40).select("query_id", "item_id", "chunk_id", F.round("cos", 6).alias("cos"), "rank")
 
 
 @query(f"WITH {_FOLD} SELECT query_id, round(max(CASE WHEN i = 1 THEN q[i] END), 6) AS first_x, round(sum(q[i] * q[i]), 6) AS norm, round(sum(abs(q[i])), 6) AS total FROM qv, range(1, 65) r(i) GROUP BY query_id")
@@ -248,7 +250,7 @@ def vec_fold(spark, sf_dir):
 
 @query(f"WITH {_FOLD} SELECT query_id, round(greatest(0.0, max(cos)), 6) AS cos, round(greatest(0, least(1, (max(cos) - 0.4) / 0.6)), 6) AS score FROM cosq GROUP BY query_id")
 def best_cosine(spark, sf_dir):
-    best = S.best_cosine(_cosines(spark, sf_dir))
+    best = S.best_cosine(K.nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 1))
     return best.select("query_id", F.round("cos", 6).alias("cos"), F.round(S.semantic_score(F.col("cos")), 6).alias("score"))
 
 
@@ -257,7 +259,7 @@ SELECT q.query_id, coalesce(n_terms, 0) AS n_terms, coalesce(n_present, 0) AS n_
 FROM q LEFT JOIN counted USING (query_id) LEFT JOIN bestq USING (query_id)""")
 def absent_gate(spark, sf_dir):
     """Questions with and without a vector; one of them has no known word but a near chunk."""
-    best = S.best_cosine(_cosines(spark, sf_dir))
+    best = S.best_cosine(K.nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 1))
     return S.absent(small(spark, QUESTIONS), _vocabulary(spark, sf_dir), best).withColumn("best_cosine", F.round("best_cosine", 6))
 
 
@@ -273,14 +275,14 @@ f AS (SELECT query_id, item_id, coalesce(kw, 0) + coalesce(sem, 0) AS score, CAS
 SELECT query_id, item_id, round(score, 6) AS score, via, rank FROM (SELECT *, {RANKED} AS rank FROM f) WHERE rank < 20""")
 def hybrid_fusion(spark, sf_dir):
     _, parts, hits, kw = _keyword(spark, sf_dir, ASKED, 40)
-    fused = S.fuse(kw, S.coverage(hits, parts, _n_words(spark, ASKED)), S.semantic(_cosines(spark, sf_dir), 40), 10**9).drop("rank")
+    fused = S.fuse(kw, S.coverage(hits, parts, _n_words(spark, ASKED)), S.semantic_nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 40), 10**9).drop("rank")
     return S.top(fused.withColumn("score", F.round("score", 9)), 20).withColumn("score", F.round("score", 6))
 
 
 def _unit_lists(spark, sf_dir):
     """Two rankings of units, the vectors: by cosine, and by the keyword score of the document of the same number."""
     units = V.chunk_vectors(spark, sf_dir).select("chunk_id", "item_id")
-    dense = S.top(_cosines(spark, sf_dir).select("query_id", "chunk_id", "item_id", "cos"), 40, "cos", "chunk_id")
+    dense = K.nearest(V.chunk_vectors(spark, sf_dir), folded(spark, sf_dir), 40).drop("ord")
     words = _keyword(spark, sf_dir, ASKED, 10**9)[3].select("query_id", F.col("item_id").alias("chunk_id"), "score")
     return dense, S.top(words.join(units, "chunk_id"), 40, "score", "chunk_id")
 
@@ -410,6 +412,16 @@ def _chunks(spark, sf_dir):
     return C.chunks(V.documents(spark, sf_dir))
 
 
+def grams_of(spark, sf_dir):
+    """The trigrams of the documents' chunks, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "grams")
+    if key not in _written:
+        path = f"{V.scratch(spark)}/grams-{uuid.uuid4().hex}"
+        R.write(_chunks(spark, sf_dir), path)
+        _written[key] = path
+    return R.read(spark, _written[key])
+
+
 @query(f"WITH {_CHUNKS} SELECT item_id, ord, sha256(txt) AS sha, length(txt) AS size FROM ch")
 def chunk_windows(spark, sf_dir):
     return _chunks(spark, sf_dir).select("item_id", "ord", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("size"))
@@ -457,7 +469,8 @@ def distinctive_terms(spark, sf_dir):
 
 @query(f"WITH {_DIST}, {_CHUNKS.replace(ITEMS + ', ', '')} SELECT query_id, item_id, ord, round(sum(weight), 6) AS boost FROM dist JOIN ch ON contains(lower(txt), term) GROUP BY ALL".replace("{ITEMS}", ""))
 def literal_candidates(spark, sf_dir):
-    return X.literal_candidates(_chunks(spark, sf_dir), _distinctive(spark, sf_dir)).withColumn("boost", F.round("boost", 6))
+    found = X.literal_candidates(_chunks(spark, sf_dir), _distinctive(spark, sf_dir), grams_of(spark, sf_dir))
+    return found.withColumn("boost", F.round("boost", 6))
 
 
 PINNED = {1: "invoice 555 and 3138 erthwhing", 2: "4644348398010899 or 706", 3: "nothing here"}
@@ -973,11 +986,10 @@ def context_blocks(spark, sf_dir):
     cut = C.with_title_units(items, C.chunks(items)).withColumn("chunk_id", F.col("item_id") * 1000 + F.col("ord") + 1)
     asked = spark.createDataFrame([(1, "which notes mention the latest released license", ""), (2, "thereha edonre ontiatth", "")], "query_id long, text string, aux string")
     make = lambda: M.HashingEmbedder(64)
-    vectors = M.embed_chunks(items, cut.drop("chunk_id"), make).select("item_id", "ord", "vec").join(cut.select("chunk_id", "item_id", "ord"), ["item_id", "ord"])
-    found = S.cosines(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
+    vectors = V.checkpoint(M.embed_chunks(items, cut.drop("chunk_id"), make).select((F.col("item_id") * 1000 + F.col("ord") + 1).alias("chunk_id"), "item_id", "ord", "vec"))
     index = I.of(items)
     terms = X.distinctive_terms(asked, index.vocabulary, items.count())
-    cands = X.candidates(found, cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, index.postings))
+    cands = X.candidates(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")), cut.select("item_id", "ord", "text"), terms, X.digit_pins(asked, index.postings))
     top = X.rerank_top(X.rerank_texts(X.rerank_head(cands, M.head_size(8)), items), M.lexical_reranker, asked)
     return X.blocks(cands, cut.select("item_id", "ord", "text"), items, top)
 

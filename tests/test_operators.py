@@ -12,6 +12,7 @@ from granary.operators import chunks as C
 from granary.operators import context as X
 from granary.operators import index as I
 from granary.operators import ingest as G
+from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.operators import snippets as N
 
@@ -52,7 +53,7 @@ def test_semantic_floor_and_window(spark):
     rows = [(1, 1, 0, near(0, 0.95)), (2, 2, 0, near(0, 0.5)), (3, 3, 0, near(0, 0.3)), (4, 4, 0, near(0, 0.9))]
     vectors = spark.createDataFrame(rows, "chunk_id long, item_id long, ord int, vec array<double>")
     q = spark.createDataFrame([(1, axis(0))], "query_id long, vec array<double>")
-    assert [r.item_id for r in S.semantic(S.cosines(vectors, q), 10).orderBy("rank").collect()] == [1, 4]
+    assert [r.item_id for r in S.semantic(K.all_pairs(vectors, q), 10).orderBy("rank").collect()] == [1, 4]
 
 
 def test_absent_gate(spark):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as T
 from granary.operators import chunks as C
+from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.plans import evaluate as E
 from granary.plans import models as M
@@ -48,7 +49,7 @@ def test_evaluation(spark):
     items, questions = E.synthetic_vault(spark, 60)
     make = lambda: M.HashingEmbedder(64)
     cut = C.chunks(items).withColumn("chunk_id", F.xxhash64("item_id", "ord"))
-    dense = S.cosines(M.embed_chunks(items, cut.drop("chunk_id"), make).drop("text").withColumn("chunk_id", F.xxhash64("item_id", "ord")), questions.select("query_id", M.embed(F.col("text"), make).alias("vec")))
+    dense = K.all_pairs(M.embed_chunks(items, cut.drop("chunk_id"), make).drop("text").withColumn("chunk_id", F.xxhash64("item_id", "ord")), questions.select("query_id", M.embed(F.col("text"), make).alias("vec")))
     units = cut.join(items.select(F.col("id").alias("item_id"), "title"), "item_id").select("chunk_id", "item_id", T.ascii_tokens(F.col("text")).alias("tokens"), T.ascii_tokens(F.col("title")).alias("title_tokens"))
     for fusion in ("score", "rrf_units", "rrf_docs"):
         got = E.report(E.run(E.Config.of(fusion=fusion, absent_metric="bm25_zero"), questions, units, dense), questions).first()
@@ -124,7 +125,7 @@ def test_evaluation_knobs(spark):
     assert units.where("ord = -1").count() == 40
     make = lambda: M.HashingEmbedder(32)
     vectors = units.select("chunk_id", "item_id", "ord", M.embed(F.concat_ws(" ", "title", "text"), make).alias("vec"))
-    dense = S.cosines(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
+    dense = K.all_pairs(vectors, asked.select("query_id", M.embed(F.col("text"), make).alias("vec")))
     found = E.run(cfg, asked.select("query_id", "text"), units, dense, M.lexical_reranker)
     rates = E.report(found, asked.select("query_id", "items")).first()
     assert rates.questions == 4 and rates.hit1 == 4
