@@ -816,7 +816,7 @@ def first_readings(spark, sf_dir):
 
 @query('SELECT conv_id AS note, arg_max("text", turn) AS content, max(turn) AS ts FROM conversations WHERE "text" IS NOT NULL GROUP BY conv_id')
 def last_note_edits(spark, sf_dir):
-    from granary.streaming.ingest import last_edits
+    from granary.streaming.notes import last_edits
 
     c = V.table(spark, sf_dir, "conversations").where(F.col("text").isNotNull())
     return last_edits(c.select(F.col("conv_id").alias("note"), F.col("turn").alias("ts"), F.col("text").alias("content")))
@@ -994,15 +994,82 @@ def context_blocks(spark, sf_dir):
     return X.blocks(cands, cut.select("item_id", "ord", "text"), items, top)
 
 
-@query()
+_EVENTS = """it AS (SELECT doc_id AS id, coalesce("text", '') AS content, 1700000000 + doc_id AS added_at, sha256('text' || chr(0) || coalesce(source, '') || chr(0) || coalesce("text", '')) AS hash FROM documents),
+ev AS (SELECT 1 AS b, * FROM it WHERE id % 2 = 0 UNION ALL SELECT 2, * FROM it WHERE id % 2 = 1 UNION ALL SELECT 2, id, content || ' edited', added_at + 1000000, hash FROM it WHERE id % 10 = 0 UNION ALL SELECT 3, id, content, added_at + 2000000, hash FROM it WHERE id % 3 = 0),
+o AS (SELECT *, lag(content) OVER w AS prev, row_number() OVER w AS n, first_value(id) OVER w AS first_id FROM ev WINDOW w AS (PARTITION BY hash ORDER BY b, id, added_at))"""
+
+
+def _sent(spark, folder, batches, run):
+    """Writes batches into a folder one after the other and lets a stream take in each."""
+    for batch in batches:
+        batch.write.mode("append").parquet(folder)
+        run(spark.readStream.schema(batch.schema).parquet(folder)).awaitTermination()
+
+
+@query(f"WITH {_EVENTS} SELECT any_value(first_id) AS id, hash, sha256(arg_max(content, n)) AS sha, arg_max(added_at, n) AS added_at, count(*) AS version FROM o WHERE n = 1 OR content <> prev GROUP BY hash")
 def stream_ingest(spark, sf_dir):
-    """All documents through the stream; the vault it leaves."""
-    from granary.streaming.ingest import start, version
+    """All documents through the stream in three batches: some are edited, and some sent again; the vault that this leaves."""
+    from granary.streaming import ingest as stream
 
     path = f"{V.scratch(spark)}/stream-{uuid.uuid4().hex}"
-    V.documents(spark, sf_dir).write.parquet(f"{path}/inbox")
-    schema = spark.read.parquet(f"{path}/inbox").schema
-    q = start(spark.readStream.schema(schema).parquet(f"{path}/inbox"), path)
-    q.awaitTermination()
-    last = max(p["batchId"] for p in q.recentProgress if p["numInputRows"] > 0) if q.recentProgress else -1
-    return version(spark, path, last).select("id", "title", "hash", "added_at")
+    d = V.documents(spark, sf_dir)
+    edited = d.where("id % 10 = 0").withColumns({"content": F.concat("content", F.lit(" edited")), "added_at": F.col("added_at") + 1_000_000})
+    again = d.where("id % 3 = 0").withColumn("added_at", F.col("added_at") + 2_000_000)
+    _sent(spark, f"{path}/inbox", [d.where("id % 2 = 0"), d.where("id % 2 = 1").unionByName(edited), again], lambda rows: stream.start(rows, path))
+    return stream.current(spark, path).select("id", "hash", F.sha2("content", 256).alias("sha"), "added_at", "version")
+
+
+@query("""WITH e AS (SELECT conv_id AS note, 1700000000000 + turn * 500 + (conv_id * 7 + turn * 13) % 5 * 100 AS ms, max(coalesce("text", '')) AS content FROM conversations GROUP BY ALL),
+n AS (SELECT *, lead(ms) OVER (PARTITION BY note ORDER BY ms) AS later FROM e)
+SELECT note, ms AS "at", sha256(content) AS sha FROM n WHERE later IS NULL OR later - ms > 600""")
+def settled_edits(spark, sf_dir):
+    """Turns of conversations as edits of a note each, in two batches; a last edit of another note moves the clock on."""
+    from granary.streaming import notes
+
+    path = f"{V.scratch(spark)}/edits-{uuid.uuid4().hex}"
+    c = V.table(spark, sf_dir, "conversations")
+    at = F.lit(1_700_000_000_000) + F.col("turn") * 500 + (F.col("conv_id") * 7 + F.col("turn") * 13) % 5 * 100
+    edits = c.select(F.col("conv_id").alias("note"), F.timestamp_millis(at).alias("ts"), F.coalesce("text", F.lit("")).alias("content"), "turn")
+    clock = spark.range(1).select(F.lit(-1).cast("long").alias("note"), F.timestamp_millis(F.lit(1_800_000_000_000)).alias("ts"), F.lit("").alias("content"))
+
+    def run(rows):
+        out = notes.settled(rows).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress")
+        return out.trigger(availableNow=True).start()
+
+    _sent(spark, f"{path}/inbox", [edits.where("turn < 2").drop("turn"), edits.where("turn >= 2").drop("turn"), clock], run)
+    return spark.read.schema(notes.SETTLED).parquet(f"{path}/out").select("note", "at", F.sha2("content", 256).alias("sha"))
+
+
+_NAMES = "list_extract(list_value('txt', 'md', 'py', 'json', 'URL', 'bin', 'csv'), CAST(doc_id % 7 + 1 AS INT))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS id, coalesce("text", '') AS t, {_NAMES} AS ext FROM documents),
+n AS (SELECT 'doc' || id || '.' || ext AS title, t, ext, sha256(t) AS bytes_hash FROM d),
+k AS (SELECT *, CASE ext WHEN 'URL' THEN NULL WHEN 'bin' THEN title || ' (' || octet_length(encode(t)) || ' bytes)' ELSE t END AS c FROM n)
+SELECT title, CASE WHEN c IS NOT NULL THEN 'file' END AS kind, bytes_hash, CASE WHEN c IS NOT NULL THEN sha256(CASE WHEN regexp_matches(c, '[^\s\p{{Z}}]') THEN c ELSE title END) END AS sha,
+  CASE WHEN c IS NULL THEN title || ': no web address in this shortcut' END AS error FROM k""")
+def written_files(spark, sf_dir):
+    """Documents written as files of several kinds by the sink, and read again as items."""
+    from granary.sources import copies, files
+
+    folder = f"{V.scratch(spark)}/files-{uuid.uuid4().hex}"
+    ext = F.element_at(F.array(*[F.lit(e) for e in ("txt", "md", "py", "json", "URL", "bin", "csv")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    d = V.spread(V.table(spark, sf_dir, "documents"))
+    copies.write(d.select(F.concat(F.lit("doc"), "doc_id", F.lit("."), ext).alias("name"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content")), folder)
+    found = files.extract(files.read_folder(spark, folder))
+    return found.select("title", "kind", "bytes_hash", F.sha2("content", 256).alias("sha"), "error")
+
+
+@query("""WITH d AS (SELECT octet_length(encode("text")) AS size, sha256("text") AS h FROM documents WHERE "text" IS NOT NULL)
+SELECT DISTINCT 'files/' || substr(h, 1, 24) || '.txt' AS stored, h AS sha FROM d WHERE size <= 26214400""")
+def stored_copies(spark, sf_dir):
+    """Copies of the documents in the vault's folder, kept twice over: one for equal bytes."""
+    from granary.sources import copies, files
+
+    folder = f"{V.scratch(spark)}/kept-{uuid.uuid4().hex}"
+    d = V.spread(V.table(spark, sf_dir, "documents")).where(F.col("text").isNotNull())
+    kept = files.kept_copies(d.select(F.concat(F.lit("/in/"), "doc_id", F.lit(".txt")).alias("path"), F.encode("text", "UTF-8").alias("content")), "small files")
+    for _ in range(2):
+        copies.keep(kept, folder)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return found.select(F.regexp_extract("path", r"(files/[^/]+)$", 1).alias("stored"), F.sha2("content", 256).alias("sha"))

@@ -1,75 +1,108 @@
-"""Ingest as a stream: micro-batches are upserted into the vault's folders.
+"""Ingest as a stream with keyed state.
 
-The vault is a folder of Parquet buckets by hash and a manifest a batch; a batch reads the
-version before it, so a batch that is run again after a failure writes the same version,
-and what it reads and writes grows with the batch.
+Each identity (hash) has one small state: the item that came first, a digest of its
+content, and how often it changed. A batch judges its rows against the states of their own
+keys alone and appends what changed, so its work follows its rows, whatever the vault
+holds. The vault is the last change of each identity; compacting writes that as a table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql import functions as F
+import hashlib
+from collections.abc import Iterator
+from typing import Any
 
-from granary.operators.ingest import actions, merge, report
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 ITEMS = "id long, title string, kind string, source string, content string, hash string, added_at long, tags array<string>"
+CHANGES = f"{ITEMS}, action string, version long"
+FIELDS = [c.split()[0] for c in ITEMS.split(", ")]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Judge(StatefulProcessor):
+    """Rows of one identity, by id and time: added, updated, duplicate or failed."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", "id long, digest string, version long")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        kept = self.kept.get()
+        before = kept
+        for r in sorted(rows, key=lambda r: (r.id is None, r.id or 0, r.added_at or 0)):
+            if r.error is not None:
+                yield self.change(r, r.id, "failed", None)
+                continue
+            digest = hashlib.sha256((r.content or "").encode()).hexdigest()
+            if kept is None:
+                kept = (r.id, digest, 1)
+                yield self.change(r, r.id, "added", 1)
+            elif kept[1] != digest:
+                kept = (kept[0], digest, kept[2] + 1)
+                yield self.change(r, kept[0], "updated", kept[2])
+            else:
+                yield self.change(r, r.id, "duplicate", None)
+        if kept is not before:
+            self.kept.update(kept)
+
+    @staticmethod
+    def change(r: Row, item: int, action: str, version: int | None) -> Row:
+        """What the vault takes over: all of a row that changed it, of another its names alone."""
+        content, tags = (r.content, r.tags) if version else (None, None)
+        return Row(id=item, title=r.title, kind=r.kind, source=r.source, content=content, hash=r.hash, added_at=r.added_at, tags=tags, action=action, version=version)
+
+    def close(self) -> None:
+        pass
+
+
+def changes(items: DataFrame) -> DataFrame:
+    """A stream of items (and their error, if any) as a stream of changes: the rows of ``CHANGES``."""
+    rows = items.select(*FIELDS, (F.col("error") if "error" in items.columns else F.lit(None).cast("string")).alias("error"))
+    return rows.groupBy("hash").transformWithState(Judge(), CHANGES, "Append", "None")
 
 
-BUCKETS = 64
-
-
-def _manifest(spark: SparkSession, path: str, batch: int) -> dict[int, int]:
-    """For each bucket of the vault after a batch the batch that wrote it last."""
-    return {r.bucket: r.written for r in spark.read.parquet(f"{path}/manifests/{batch}").collect()} if batch >= 0 else {}
+def start(items: DataFrame, path: str, once: bool = True) -> StreamingQuery:
+    """Starts the ingest of a stream of items; with ``once`` it ends when all that is there is in.
 
+    Changes are appended to a folder of Parquet that Spark's file sink keeps exactly once;
+    states are in RocksDB, with their checkpoints beside. Rows without a hash share one state.
+    """
+    items.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    writer = changes(items).writeStream.format("parquet").option("path", f"{path}/changes").option("checkpointLocation", f"{path}/progress").outputMode("append")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
-def _read(spark: SparkSession, path: str, parts: dict[int, int]) -> DataFrame:
-    folders = [f"{path}/items/{written}/bucket={bucket}" for bucket, written in sorted(parts.items())]
-    return spark.read.schema(ITEMS).parquet(*folders) if folders else spark.createDataFrame([], ITEMS)
 
+def all_changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(CHANGES).parquet(f"{path}/changes")
 
-def version(spark: SparkSession, path: str, batch: int) -> DataFrame:
-    """The vault after a batch; empty before the first."""
-    return _read(spark, path, _manifest(spark, path, batch))
 
+def last_versions(changed: DataFrame) -> DataFrame:
+    """One row for each identity: its last version."""
+    rest = [f for f in [*FIELDS, "version"] if f != "hash"]
+    last = changed.where("version is not null").groupBy("hash").agg(F.max_by(F.struct(*rest), "version").alias("last"))
+    return last.select("hash", "last.*").select(*FIELDS, "version")
 
-def upsert(path: str, buckets: int = BUCKETS):
-    """A foreachBatch function that writes what each batch touches of the vault, and its report.
 
-    The vault is dealt into buckets by hash; a batch reads and writes those of its own rows
-    alone, and a manifest says where each bucket was written last.
-    """
+def current(spark: SparkSession, path: str, compacted: str | None = None) -> DataFrame:
+    """The vault: the items of ``ITEMS`` with their version. ``compacted`` is a table that ``compact`` wrote earlier."""
+    changed = all_changes(spark, path).drop("action")
+    if compacted is not None:
+        changed = changed.unionByName(spark.read.parquet(compacted))
+    return last_versions(changed)
 
-    def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch if "error" in batch.columns else batch.withColumn("error", F.lit(None).cast("string"))
-        bucket = F.pmod(F.xxhash64("hash"), F.lit(buckets)).cast("int")
-        parts = _manifest(spark, path, number - 1)
-        touched = {r.bucket for r in fresh.select(bucket.alias("bucket")).distinct().collect()}
-        vault = _read(spark, path, {b: w for b, w in parts.items() if b in touched})
-        done = actions(fresh.select("id", "hash", "content", "error"), vault.select("id", "hash", "content"))
-        report(done).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/reports/{number}")
-        good = fresh.where("error is null").select(*[c.split()[0] for c in ITEMS.split(", ")])
-        merge(good, vault).withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/items/{number}")
-        written = {r.bucket for r in good.select(bucket.alias("bucket")).distinct().collect()}
-        now = parts | dict.fromkeys(written | (touched & set(parts)), number)
-        spark.createDataFrame(sorted(now.items()), "bucket int, written int").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifests/{number}")
 
-    return run
+def compact(spark: SparkSession, path: str, to: str, compacted: str | None = None) -> None:
+    """Writes the vault as one table. It may be read with later changes, or with the same ones again: versions tell them apart."""
+    current(spark, path, compacted).write.mode("overwrite").parquet(to)
 
 
-def start(items: DataFrame, path: str, once: bool = True) -> StreamingQuery:
-    """Starts the ingest of a stream of items; with ``once`` it ends when all that is there is in."""
-    writer = items.writeStream.foreachBatch(upsert(path)).option("checkpointLocation", f"{path}/progress")
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """How many rows were added, updated, duplicates or failed."""
+    return all_changes(spark, path).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def new_items(items: DataFrame) -> DataFrame:
     """A stream with each hash once."""
     return items.dropDuplicates(["hash"])
-
-
-def last_edits(edits: DataFrame) -> DataFrame:
-    """Note edits (note, ts, content) with the last content of each note."""
-    return edits.groupBy("note").agg(F.max_by("content", "ts").alias("content"), F.max("ts").alias("ts"))
