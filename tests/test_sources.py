@@ -4,6 +4,7 @@ import io
 import zipfile
 from collections import namedtuple
 
+import pandas as pd
 import pytest
 
 from granary.sources import files, html, layout, markup, office
@@ -69,11 +70,15 @@ def test_pptx():
     assert office.extract("pptx", packed(parts)) == "Slide 1\nTitle\nNotes: say\n\nSlide 2\nTen"
 
 
+def page(glyphs, rules=()):
+    return layout.page_text(pd.DataFrame(glyphs, columns=Glyph._fields), pd.DataFrame(rules, columns=Rule._fields))
+
+
 def test_page_layout():
     word = lambda x, y, text, size=10: [Glyph(x + 5 * i, y, x + 5 * i + 5, size, c) for i, c in enumerate(text)]
     glyphs = word(0, 10, "left") + word(100, 10, "right") + word(0, 22, "next") + word(0, 80, "far")
-    assert layout.page_text(glyphs + word(0, 10, "l"), []) == "left | right\nnext\n\nfar"
-    assert layout.page_text([], []) == ""
+    assert page(glyphs + word(0, 10, "l")) == "left | right\nnext\n\nfar"
+    assert page([]) == ""
 
 
 def test_form_cells():
@@ -81,12 +86,23 @@ def test_form_cells():
     tall = [Rule(x, 0, x, 80) for x in (0, 100, 200)] * 2
     word = lambda x, y, text: [Glyph(x + 5 * i, y, x + 5 * i + 5, 8, c) for i, c in enumerate(text)]
     glyphs = [g for x in (10, 110) for y in (10, 50) for g in word(x, y, "NAME") + word(x, y + 20, "bob")]
-    assert layout.page_text(glyphs, flat + tall) == "NAME: bob | NAME: bob\nNAME: bob | NAME: bob"
+    assert page(glyphs, flat + tall) == "NAME: bob | NAME: bob\nNAME: bob | NAME: bob"
+
+
+def test_pages_and_images_as_tables(spark):
+    word = lambda d, p, x, y, text: [(d, p, float(x + 5 * i), float(y), float(x + 5 * i + 5), 10.0, c) for i, c in enumerate(text)]
+    glyphs = word("a", 2, 0, 10, "second") + word("a", 1, 0, 10, "ab") + word("a", 1, 12, 10, "cd") + word("a", 1, 0, 40, "--") + word("b", 1, 0, 10, "12")
+    g = spark.createDataFrame(glyphs, "doc string, page int, x double, y double, end double, size double, text string")
+    rules = spark.createDataFrame([("c", 1, 0.0, 0.0, 1.0, 1.0)], "doc string, page int, x0 double, y0 double, x1 double, y1 double")
+    found = layout.lay_out_pages(g, rules)
+    assert {(r.doc, r.text) for r in layout.join_pages(found).collect()} == {("a", "ab cd\n\nsecond"), ("b", "12")}
 
 
-def test_image_layout():
+def test_image_layout(spark):
     boxes = [Box(0, 0, 40, 10, "a"), Box(100, 1, 140, 11, "b"), Box(0, 14, 30, 24, "c"), Box(0, 60, 30, 70, "d")]
-    assert layout.image_text(boxes) == "a | b\nc\n\nd"
+    rows = [(i, *(float(v) for v in b[:4]), b.text) for i in (1, 2) for b in boxes] + [(3, 0.0, 0.0, 9.0, 9.0, " alone ")]
+    found = layout.lay_out_images(spark.createDataFrame(rows, "img int, x0 double, y0 double, x1 double, y1 double, text string"))
+    assert {r.img: r.text for r in found.collect()} == {1: "a | b\nc\n\nd", 2: "a | b\nc\n\nd", 3: "alone"}
     assert layout.ctc_collapse([0, 1, 1, 0, 1, 2, 2]) == [1, 1, 2]
 
 
