@@ -19,6 +19,8 @@ from granary.operators import search as S
 from granary.operators import snippets as N
 from granary.plans import models as M
 from granary.plans.query import match_tokens, parse_filters, phrases
+from granary.sources import detect as O
+from granary.sources import stamps as Z
 from granary.sources import vault as V
 
 QUERIES: dict = {}
@@ -1073,3 +1075,45 @@ def stored_copies(spark, sf_dir):
         copies.keep(kept, folder)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     return found.select(F.regexp_extract("path", r"(files/[^/]+)$", 1).alias("stored"), F.sha2("content", 256).alias("sha"))
+
+
+_AGAIN = _CHUNKS.replace(", norm AS", ", again AS (SELECT id, CASE WHEN id % 4 < 2 AND id % 8 <> 1 AND id % 3 <> 0 THEN 'text of /in/' || id ELSE content END AS content FROM items), norm AS").replace("AS p FROM items)", "AS p FROM again)")
+
+
+@query(f"""WITH {_AGAIN}, c AS (SELECT item_id, count(*) AS chunks, sum(length(txt)) AS chars FROM ch GROUP BY item_id)
+SELECT id, sha256(content) AS sha, coalesce(chunks, 0) AS chunks, coalesce(chars, 0)::BIGINT AS chars, 0 AS tags, FALSE AS custom_title, '' AS "cursor", '' AS stored FROM again LEFT JOIN c ON c.item_id = again.id""")
+def settled_vault(spark, sf_dir):
+    """A vault of an older schema, text version and model, written, opened and brought up to date: of its stale files every third is gone."""
+    path = f"{V.scratch(spark)}/vault-{uuid.uuid4().hex}"
+    kind = F.when(F.col("id") % 4 == 0, "pdf").when(F.col("id") % 4 == 1, "image").otherwise("text")
+    old = V.documents(spark, sf_dir).withColumns({"kind": kind, "source": F.when(F.col("id") % 8 != 1, F.concat(F.lit("/in/"), "id"))}).drop("tags")
+    Z.write(path, old, C.chunks, "model-1", "1")
+
+    def extract(sources):
+        gone = F.regexp_extract("source", r"(\d+)$", 1).cast("long") % 3 == 0
+        return sources.select(F.col("source").alias("path"), F.concat(F.lit("text of "), "source").alias("content"), F.when(gone, "gone").alias("error"))
+
+    Z.settle(Z.open_vault(spark, path, "model-2", "2"), extract, C.chunks)
+    now = Z.open_vault(spark, path, "model-2", "2")
+    cut = now.chunks.groupBy(F.col("item_id").alias("id")).agg(F.count("*").alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return now.items.join(cut, "id", "left").select("id", F.sha2("content", 256).alias("sha"), zero("chunks"), zero("chars"), F.size("tags").alias("tags"), "custom_title", "cursor", "stored")
+
+
+@query("""WITH RECURSIVE px AS (SELECT vec_id // 4 AS img, vec_id % 4 * 64 + i - 1 AS p, 0.3::DOUBLE + 3.0::DOUBLE * embedding[i]::DOUBLE AS v FROM embeddings CROSS JOIN range(1, 65) r(i)),
+lit AS (SELECT img, p, p % 16 AS x, p // 16 AS y, v FROM px WHERE v > 0.3::DOUBLE),
+edge AS (SELECT a.img, a.p AS a, b.p AS b FROM lit a JOIN lit b ON a.img = b.img AND abs(a.x - b.x) + abs(a.y - b.y) = 1),
+reach AS (SELECT img, p AS a, p AS b FROM lit UNION SELECT r.img, r.a, e.b FROM reach r JOIN edge e ON e.img = r.img AND e.a = r.b),
+part AS (SELECT img, b AS p, min(a) AS part FROM reach GROUP BY img, b),
+box AS (SELECT img, part, min(x)::DOUBLE AS x0, min(y)::DOUBLE AS y0, max(x) + 1.0::DOUBLE AS x1, max(y) + 1.0::DOUBLE AS y1, avg(v) AS score FROM part JOIN lit USING (img, p) GROUP BY img, part HAVING count(*) >= 10 AND avg(v) >= 0.5),
+wide AS (SELECT *, (x1 - x0) * (y1 - y0) * 0.8::DOUBLE / (x1 - x0 + y1 - y0) AS d FROM box)
+SELECT img, round(greatest(x0 - d, 0) * 2, 4) AS x0, round(greatest(y0 - d, 0) * 3, 4) AS y0, round(least(x1 + d, 16) * 2, 4) AS x1, round(least(y1 + d, 16) * 3, 4) AS y1, round(score, 6) AS score FROM wide""")
+def detected_boxes(spark, sf_dir):
+    """Boxes of maps of 16 x 16 pixels, each of four vectors, for images of 32 x 48."""
+    e = V.table(spark, sf_dir, "embeddings")
+    blank = F.array_repeat(F.lit(0.0).cast("float"), 64)
+    rows = [F.coalesce(F.max(F.when(F.col("vec_id") % 4 == k, F.col("embedding"))), blank) for k in range(4)]
+    maps = e.groupBy(F.floor(F.col("vec_id") / 4).alias("img")).agg(F.transform(F.concat(*rows), lambda c: F.lit(0.3) + F.lit(3.0) * c.cast("double")).alias("prob"))
+    maps = maps.select("img", F.lit(16).alias("w"), F.lit(32.0).alias("width"), F.lit(48.0).alias("height"), "prob")
+    places = {"x0": 4, "y0": 4, "x1": 4, "y1": 4, "score": 6}
+    return O.find_boxes(maps).select("img", *[F.round(c, n).alias(c) for c, n in places.items()])
