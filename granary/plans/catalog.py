@@ -18,6 +18,7 @@ from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.operators import snippets as N
 from granary.plans import models as M
+from granary.plans import scale as A
 from granary.plans.query import match_tokens, parse_filters, phrases
 from granary.sources import detect as O
 from granary.sources import stamps as Z
@@ -1117,3 +1118,17 @@ def detected_boxes(spark, sf_dir):
     maps = maps.select("img", F.lit(16).alias("w"), F.lit(32.0).alias("width"), F.lit(48.0).alias("height"), "prob")
     places = {"x0": 4, "y0": 4, "x1": 4, "y1": 4, "score": 6}
     return O.find_boxes(maps).select("img", *[F.round(c, n).alias(c) for c, n in places.items()])
+
+
+@query("""SELECT id * 4 + shape AS query_id, shape, id AS item_id, TRUE AS answered FROM (SELECT min(doc_id) AS id FROM documents GROUP BY source), (VALUES (0), (1), (2), (3)) s(shape)""")
+def scale_questions(spark, sf_dir):
+    """Facts planted into all documents, and four questions about the first document of each source: what a keyword search finds first, and whether it holds the answer."""
+    items = A.planted(V.documents(spark, sf_dir))
+    path = f"{V.scratch(spark)}/index-{uuid.uuid4().hex}"
+    I.write(items, path)
+    asked = A.questions(items.join(items.groupBy("source").agg(F.min("id").alias("id")).select("id"), "id"))
+    typed = asked.select("query_id", "text", "shape", "answer").collect()  # four a source
+    found = S.keyword(I.read(spark, path), S.phrase_table(spark, {r.query_id: r.text for r in typed}), 1)
+    told = spark.createDataFrame([(r.query_id, r.shape, r.answer) for r in typed], "query_id long, shape int, answer string")
+    first = found.join(told, "query_id").join(items.select(F.col("id").alias("item_id"), "content"), "item_id")
+    return first.select("query_id", "shape", "item_id", F.contains("content", F.col("answer")).alias("answered"))
