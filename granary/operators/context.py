@@ -211,14 +211,16 @@ def catalog(items: DataFrame, most: int) -> DataFrame:
     return new.select("id", F.concat(F.lit("- "), "title", F.lit(" ["), "kind", F.lit("]"), F.when(same, "").otherwise(F.concat(F.lit(": "), opening, F.lit("…")))).alias("line"))
 
 
-def expansions(queries: DataFrame, occ: DataFrame | None = None, table: dict[str, str] | None = None, terms: int = 3, most: int = 12) -> DataFrame:
-    """Rows (query_id, synonym, place) for queries of ``terms`` words or more; only words that occur, where ``occ`` is given."""
+def expansions(queries: DataFrame, occ: DataFrame | None = None, table: dict[str, str] | DataFrame | None = None, terms: int = 3, most: int = 12) -> DataFrame:
+    """Rows (query_id, synonym, place) for queries of ``terms`` words or more; only words that occur, where ``occ`` is given. ``table`` has synonyms by word, or rows (word, j, synonym)."""
     spark = queries.sparkSession
-    rows = [(w, j, s) for w, t in (table or SYNONYMS).items() for j, s in enumerate(t.split())]
-    synonyms = spark.createDataFrame(rows, "word string, j int, synonym string")
+    synonyms = table
+    if not isinstance(table, DataFrame):
+        rows = [(w, j, s) for w, t in (table or SYNONYMS).items() for j, s in enumerate(t.split())]
+        synonyms = F.broadcast(spark.createDataFrame(rows, "word string, j int, synonym string"))
     parts = F.filter(F.split(F.lower("text"), NOT_ALNUM), lambda w: w != "")
     asked = queries.select("query_id", parts.alias("words")).where(F.size("words") >= terms)
-    found = asked.select("query_id", "words", F.posexplode("words").alias("i", "word")).join(F.broadcast(synonyms), "word").where(~F.array_contains("words", F.col("synonym")))
+    found = asked.select("query_id", "words", F.posexplode("words").alias("i", "word")).join(synonyms, "word").where(~F.array_contains("words", F.col("synonym")))
     found = found.groupBy("query_id", "synonym").agg(F.min(F.col("i") * 1000 + F.col("j")).alias("at"))
     if occ is not None:
         found = found.join(occ.select(F.col("term").alias("synonym")).distinct(), "synonym", "left_semi")

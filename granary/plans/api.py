@@ -22,6 +22,7 @@ from granary.operators import ingest as G
 from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.plans import models as M
+from granary.plans.prompts import prompt
 from granary.plans.query import dense_query, expand, match_tokens, parse_filters, split_tags, strip_question
 from granary.sources import files
 
@@ -36,6 +37,8 @@ class Vault:
     items: DataFrame
     make: Callable[[], M.Embedder] = M.HashingEmbedder
     rerank: Callable = M.lexical_reranker
+    family: str = "chatml"
+    thinking: bool | None = None
     _derived: dict[str, DataFrame | I.Index | R.Grams] = field(default_factory=dict, repr=False)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -238,7 +241,7 @@ class Vault:
         if not sources:
             return MISSING, []
         titles = list(dict.fromkeys(t for t, _ in sources))
-        said = "\n\n".join(t for _, t in sources) if generate is None else generate(M.prompt(question, sources, "Answer from the excerpts; name files by their titles."))
+        said = "\n\n".join(t for _, t in sources) if generate is None else generate(prompt(question, sources, family=self.family, thinking=self.thinking))
         return said, titles
 
     def ask_about(self, item_id: int, question: str, generate: Callable[[str], str] | None = None, most: int = X.BUDGET) -> tuple[str, str]:
@@ -247,7 +250,7 @@ class Vault:
         row = self.items.where(F.col("id") == int(item_id)).select("title", cut.alias("text")).first()
         if row is None:
             return MISSING, ""
-        return (row.text if generate is None else generate(M.prompt(question, [(row.title, row.text)], "Answer from the excerpt.")), row.title)
+        return (row.text if generate is None else generate(prompt(question, [(row.title, row.text)], family=self.family, thinking=self.thinking)), row.title)
 
     def trace(self, question: str, path: str) -> None:
         """Writes the context of a question, as an answer would see it."""

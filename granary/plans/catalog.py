@@ -18,6 +18,7 @@ from granary.operators import nearest as K
 from granary.operators import search as S
 from granary.operators import snippets as N
 from granary.plans import models as M
+from granary.plans import prompts as P
 from granary.plans import scale as A
 from granary.plans.query import match_tokens, parse_filters, phrases
 from granary.sources import detect as O
@@ -1132,3 +1133,43 @@ def scale_questions(spark, sf_dir):
     told = spark.createDataFrame([(r.query_id, r.shape, r.answer) for r in typed], "query_id long, shape int, answer string")
     first = found.join(told, "query_id").join(items.select(F.col("id").alias("item_id"), "content"), "item_id")
     return first.select("query_id", "shape", "item_id", F.contains("content", F.col("answer")).alias("answered"))
+
+
+_CHATS = (("chatml", False), ("llama3", None), ("phi", None), ("gemma", True))
+_SPACES = P.SPACES
+
+
+def _marked(family: str, thinking: bool | None) -> str:
+    """SQL for a family's prompts from p (query_id, by_time, said)."""
+    said = lambda x: "'" + x.replace("'", "''") + "'"
+    by_time = "FALSE" if thinking else "by_time"
+    before, rest = P.FAMILIES[family].split("{system}")
+    between, after = rest.split("{user}")
+    either = lambda yes, no: f"CASE WHEN {by_time} THEN {said(yes)} ELSE {said(no)} END"
+    parts = [said(before), either(P.BY_TIME, P.DIRECT), said(between), "said", said(after + P.THINKING[thinking]), either(P.TIMELINE, "")]
+    return f"SELECT query_id, '{family}' AS family, {by_time} AS temporal, {' || '.join(parts)} AS prompt FROM p"
+
+
+@query(rf"""WITH c AS (SELECT conv_id * 10000 + turn AS query_id, role, coalesce("text", '') AS x, "text" FROM conversations),
+s AS (SELECT q.query_id, string_agg('Excerpt ' || n || ' (from ' || role || '):' || chr(10) || regexp_replace(x, '{_SPACES}', '', 'g') || chr(10) || chr(10), '' ORDER BY n) AS told FROM
+  (SELECT q.query_id, s.role, s.x, row_number() OVER (PARTITION BY q.query_id ORDER BY s.query_id) AS n FROM c q JOIN c s ON s.query_id BETWEEN q.query_id - 3 AND q.query_id - 1 AND q.role = 'user') q GROUP BY q.query_id),
+p AS (SELECT query_id, list_has_any({_ALNUM}, {_LIST(T.TIME_WORDS)}) AS by_time, coalesce(told, '') || 'Question: ' || regexp_replace(x, '{_SPACES}', '', 'g') AS said FROM c LEFT JOIN s USING (query_id) WHERE role = 'user')
+SELECT query_id, family, temporal, sha256(prompt) AS sha FROM ({' UNION ALL '.join(_marked(*c) for c in _CHATS)})""")
+def answer_prompts(spark, sf_dir):
+    """What a generator of each family is asked by users' turns, with the three turns before as excerpts."""
+    c = V.table(spark, sf_dir, "conversations").withColumn("query_id", F.col("conv_id") * 10_000 + F.col("turn"))
+    asked = c.where("role = 'user'").select("query_id", "text")
+    before = asked.select("query_id", F.explode(F.array(*[F.col("query_id") - k for k in (1, 2, 3)])).alias("place"))
+    told = before.join(c.select(F.col("query_id").alias("place"), F.col("role").alias("title"), "text"), "place")
+    made = [P.prompts(asked, told, f, t).withColumn("family", F.lit(f)) for f, t in _CHATS]
+    return made[0].unionByName(made[1]).unionByName(made[2]).unionByName(made[3]).select("query_id", "family", "temporal", F.sha2("prompt", 256).alias("sha"))
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split("text", chr(10))[:-2]) AS x, generate_subscripts(string_split("text", chr(10))[:-2], 1) - 1 AS place FROM documents WHERE "text" IS NOT NULL),
+t AS (SELECT doc_id, place, regexp_replace(x, '{_SPACES}', '', 'g') AS line FROM l), r AS (SELECT doc_id, place, row_number() OVER (PARTITION BY doc_id, line ORDER BY place) AS nth FROM t WHERE octet_length(encode(line)) > 12),
+f AS (SELECT doc_id, min(place)::INT AS place FROM r WHERE nth = 2 GROUP BY doc_id)
+SELECT d.doc_id AS id, coalesce(place, -1) AS place, sha256(CASE WHEN place IS NULL THEN "text" ELSE array_to_string(string_split("text", chr(10))[1:place], chr(10)) || chr(10) END) AS sha FROM documents d LEFT JOIN f USING (doc_id)""")
+def cut_loops(spark, sf_dir):
+    """Documents up to the first line that each has for the second time."""
+    d = V.spread(V.table(spark, sf_dir, "documents"))
+    return P.without_loops(d.select(F.col("doc_id").alias("id"), "text")).select("id", F.coalesce("place", F.lit(-1)).alias("place"), F.sha2("text", 256).alias("sha"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from granary.functions import text as T
 from granary.operators import chunks as C
 from granary.operators import context as X
 from granary.operators import search as S
+from granary.plans import models as M
 
 #: Words left out of keyword queries where stopwords are.
 KEYWORD_STOPWORDS = (
@@ -25,8 +27,24 @@ KEYWORD_STOPWORDS = (
 
 @dataclass(frozen=True)
 class Config:
-    """What a run may vary; the values are those of the live search."""
+    """What a run may vary; the values are those of the live search. The names, which configuration files use.
 
+    Paths are empty where nothing is read from them. The names of models and what concerns their
+    running go to the caller's factory, see ``embedders``.
+    """
+
+    db: str = ""
+    rechunk: bool = True
+    doc_descriptions: str = ""
+    chunk_contexts: str = ""
+    embed_model: str = ""
+    embed_model_file: str = "model.onnx"
+    max_len: int = 512
+    batch_size: int = 16
+    query_instruction: str = ""
+    cache_dir: str = ""
+    query_cache: bool = True
+    threads: int = 0
     dense_top: int = 40
     min_cosine: float = S.MIN_COSINE
     cosine_window: float = S.COSINE_WINDOW
@@ -45,6 +63,7 @@ class Config:
     idf_max_frac: float = 0.34
     idf_stopwords: bool = False
     query_expansion: str = "off"
+    expansion_table: str = ""
     expansion_max: int = 12
     expansion_weight: float = 0.5
     prf: bool = False
@@ -52,6 +71,11 @@ class Config:
     prf_text: str = "title"
     prf_opening_words: int = 12
     rerank: bool = False
+    rerank_model: str = ""
+    rerank_model_file: str = "model.onnx"
+    rerank_max_len: int = 320
+    rerank_batch_size: int = 0
+    rerank_threads: int = 0
     rerank_k: int = 20
     rerank_doc_words: int = 60
     rerank_fusion: str = "off"
@@ -141,23 +165,80 @@ def absent_signal(cfg: Config) -> Column:
     raise ValueError(f"unknown absent metric: {cfg.absent_metric}")
 
 
-def units_of(cfg: Config, items: DataFrame) -> DataFrame:
-    """Rows (chunk_id, item_id, ord, title, text) of items, cut and headed as configured; document units stand at ord -1."""
-    cut = C.chunk_by_headings if cfg.chunk_mode == "para_heading" else C.chunk_text
-    more = {"least": cfg.chunk_min_words} if cfg.chunk_mode == "para_heading" else {}
-    sizes = {"target": cfg.chunk_words, "overlap": cfg.chunk_overlap, "most": cfg.max_chunks}
+def json_table(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """Rows (key, value) of a JSON file of one object, whose values are of the type ``value``."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {value}>").alias("m"))
+    return rows.select(F.explode("m").alias("key", "value"))
+
+
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (word, j, synonym) of a JSON file {"word": ["synonym", ...]}, all in lower case."""
+    rows = json_table(spark, path, "array<string>").select(F.lower("key").alias("word"), F.posexplode("value").alias("j", "synonym"))
+    return rows.select("word", "j", F.lower("synonym").alias("synonym"))
+
 
-    def parts(contents: pd.Series) -> pd.Series:
-        return contents.map(lambda t: cut(t or "", **sizes, **more))
+def units_of(cfg: Config, items: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Rows (chunk_id, item_id, ord, title, text, embed_text) of items, cut and headed as configured; document units stand at ord -1.
 
-    texts = F.pandas_udf(parts, "array<string>")("content")
-    made = items.select(F.col("id").alias("item_id"), "title", F.posexplode(texts).alias("ord", "text"))
+    Without ``rechunk`` the chunks are those ``stored`` (item_id, ord, text), in the order of their ord. ``embed_text`` is what is
+    embedded: the title where configured, a chunk's context ("item:ord") and its text. A document unit may hold the item's title, its opening or its description.
+    """
+    spark, titles = items.sparkSession, items.select(F.col("id").alias("item_id"), "title")
+    if cfg.rechunk:
+        cut = C.chunk_by_headings if cfg.chunk_mode == "para_heading" else C.chunk_text
+        more = {"least": cfg.chunk_min_words} if cfg.chunk_mode == "para_heading" else {}
+        sizes = {"target": cfg.chunk_words, "overlap": cfg.chunk_overlap, "most": cfg.max_chunks}
+
+        def parts(contents: pd.Series) -> pd.Series:
+            return contents.map(lambda t: cut(t or "", **sizes, **more))
+
+        texts = F.pandas_udf(parts, "array<string>")("content")
+        made = items.select(F.col("id").alias("item_id"), "title", F.posexplode(texts).alias("ord", "text"))
+    else:
+        if stored is None:
+            raise ValueError("without rechunk the stored chunks are wanted")
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy("ord", "text")) - 1
+        made = stored.where("ord >= 0").withColumn("ord", place).join(titles, "item_id").select("item_id", "title", "ord", "text")
+    made = made.withColumn("embed_text", F.col("text"))
+    if cfg.chunk_contexts:
+        said = json_table(spark, cfg.chunk_contexts, "string").select("key", F.nullif("value", F.lit("")).alias("context"))
+        keyed = made.withColumn("key", F.concat_ws(":", "item_id", "ord")).join(said, "key", "left")
+        made = keyed.withColumn("embed_text", F.concat_ws("\n", "context", "text")).select(*made.columns)
+    if cfg.unit_text == "title_chunk":
+        made = made.withColumn("embed_text", F.concat_ws("\n", "title", "embed_text"))
     if cfg.doc_units:
-        opening = F.array_join(F.slice(T.words(F.col("content")), 1, cfg.doc_opening_words), " ")
-        made = made.unionByName(items.select(F.col("id").alias("item_id"), "title", F.lit(-1).alias("ord"), (opening if cfg.doc_unit_text == "title_opening" else F.lit("")).alias("text")))
+        whole = items.select(F.col("id").alias("item_id"), "title", F.lit(-1).alias("ord"), F.array_join(F.slice(T.words(F.col("content")), 1, cfg.doc_opening_words), " ").alias("opening"))
+        if cfg.doc_unit_text == "description":
+            told = json_table(spark, cfg.doc_descriptions, "string").select(F.col("key").cast("long").alias("item_id"), F.col("value").alias("description")) if cfg.doc_descriptions else None
+            whole = whole.join(told, "item_id", "left") if told is not None else whole.withColumn("description", F.lit(None).cast("string"))
+        text = {"title": F.lit(""), "title_opening": F.col("opening"), "description": F.coalesce("description", F.lit(""))}[cfg.doc_unit_text]
+        shown = F.col("title") if cfg.doc_unit_text == "title" else F.concat_ws("\n", "title", text)
+        made = made.unionByName(whole.select("item_id", "title", "ord", text.alias("text"), shown.alias("embed_text")))
     return made.withColumn("chunk_id", F.xxhash64("item_id", "ord"))
 
 
+def embedders(cfg: Config, make: Callable[[Config, str], M.Embedder]) -> tuple[Callable[[], M.Embedder], Callable[[], M.Embedder]]:
+    """What makes the embedder of passages and that of questions: ``make`` is given the settings and what comes before each text."""
+    return lambda: make(cfg, cfg.passage_prefix), lambda: make(cfg, cfg.query_prefix + cfg.query_instruction)
+
+
+def embedded(cfg: Config, texts: DataFrame, make: Callable[[], M.Embedder], kind: str = "passages") -> DataFrame:
+    """Texts (id, text) with vectors. With ``cache_dir`` those kept there are taken, and new ones are kept there; questions are, where ``query_cache`` is set."""
+    if not cfg.cache_dir or (kind == "questions" and not cfg.query_cache):
+        return texts.withColumn("vec", M.embed(F.col("text"), make))
+    path, spark = f"{cfg.cache_dir}/{kind}", texts.sparkSession
+    try:
+        kept = spark.read.schema("key string, vec array<float>").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = spark.createDataFrame([], "key string, vec array<float>")
+    _, fresh = M.embed_cached(texts, kept, make)
+    fresh.select("key", F.col("vec").cast("array<float>").alias("vec")).write.mode("append").parquet(path)
+    now = spark.read.schema("key string, vec array<float>").parquet(path).groupBy("key").agg(F.first("vec").alias("vec"))
+    return texts.withColumn("key", M.cache_key(make().name, F.col("text"))).join(now, "key").drop("key")
+
+
 def feedback(cfg: Config, kw: DataFrame, units: DataFrame) -> DataFrame:
     """Rows (query_id, feedback): titles of the first items by keywords, or titles with their unit's opening."""
     first = S.best_per_item(S.top(kw, 10**9, "score", "chunk_id")).where(F.col("rank") < cfg.prf_k)
@@ -177,7 +258,7 @@ def run(cfg: Config, questions: DataFrame, units: DataFrame, dense: DataFrame, r
     """
     asked = questions.select("query_id", T.ascii_tokens(F.col("text")).alias("terms"))
     scored = units if cfg.bm25_doc_units or "ord" not in units.columns else units.where("ord >= 0")
-    extra = X.expansions(questions, most=cfg.expansion_max, terms=1).select("query_id", F.col("synonym").alias("term")) if cfg.query_expansion in ("keyword", "both") else None
+    extra = X.expansions(questions, most=cfg.expansion_max, terms=1, table=synonyms(questions.sparkSession, cfg.expansion_table) if cfg.expansion_table else None).select("query_id", F.col("synonym").alias("term")) if cfg.query_expansion in ("keyword", "both") else None
     stopwords = KEYWORD_STOPWORDS if cfg.kw_stopwords else ()
     kw = S.unit_bm25(scored, asked, cfg.bm25_title_weight, cfg.bm25_k1, cfg.bm25_b, not cfg.typo_or, cfg.typo_or and cfg.prefix_last, stopwords, extra, cfg.expansion_weight)
     if cfg.idf_boost and "text" in units.columns:
@@ -236,4 +317,4 @@ def synthetic_vault(spark: SparkSession, n: int = 400, seed: int = 1, now: int =
     return spark.createDataFrame(items, schema), spark.createDataFrame(questions, "query_id long, text string, items array<long>, answer string")
 
 
-__all__ = ["Config", "absent_signal", "fuse", "margin", "rare_hits", "report", "run", "synthetic_vault"]
+__all__ = ["Config", "absent_signal", "embedded", "embedders", "fuse", "json_table", "margin", "rare_hits", "report", "run", "synonyms", "synthetic_vault", "units_of"]

@@ -81,21 +81,22 @@ class Pooled:
     """An embedder over a model that gives a vector a token: pools and scales to unit length, in batches of like lengths.
 
     ``model`` takes padded ids and a mask and gives hidden states; ``encode`` gives the ids of a
-    text. Pooling is "cls", "mean" or "output" (the model pools itself). Lengths go up to the
+    text, of which ``most`` count; ``batch`` texts go to the model at once. Pooling is "cls", "mean" or "output" (the model pools itself). Lengths go up to the
     next of BUCKETS, so that few shapes occur. Queries and passages may have a prefix.
     """
 
-    BUCKETS = (32, 64, 128, 256)
+    BUCKETS = (32, 64, 128, 256, 512)
 
-    def __init__(self, name: str, dim: int, encode: Callable[[str], list[int]], model: Callable[[np.ndarray, np.ndarray], np.ndarray], pooling: str = "cls", prefix: str = ""):
+    def __init__(self, name: str, dim: int, encode: Callable[[str], list[int]], model: Callable[[np.ndarray, np.ndarray], np.ndarray], pooling: str = "cls", prefix: str = "", most: int = 256, batch: int = 1 << 30):
         self.name, self.dim, self.encode, self.model, self.pooling, self.prefix = name, dim, encode, model, pooling, prefix
+        self.most, self.batch = min(most, self.BUCKETS[-1]), batch
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        ids = [self.encode(self.prefix + t)[: self.BUCKETS[-1]] for t in texts]
+        ids = [self.encode(self.prefix + t)[: self.most] for t in texts]
         width = np.array([next(b for b in self.BUCKETS if b >= len(x)) for x in ids], int)
         out = np.zeros((len(texts), self.dim))
-        for w in np.unique(width).tolist():
-            rows = np.flatnonzero(width == w)
+        alike = [(w, np.flatnonzero(width == w)) for w in np.unique(width).tolist()]
+        for w, rows in ((w, r) for w, every in alike for r in np.split(every, range(self.batch, len(every), self.batch))):
             padded, mask = np.zeros((len(rows), w), np.int64), np.zeros((len(rows), w), np.int64)
             for k, i in enumerate(rows):
                 padded[k, : len(ids[i])] = ids[i]
@@ -175,9 +176,3 @@ class WordPieces:
     def encode(self, text: str, most: int = MAX_IDS) -> list[int]:
         ids = [i for w in basic_words(text) for i in self.pieces(w)]
         return [self.ids["[CLS]"], *ids[: most - 2], self.ids["[SEP]"]]
-
-
-def prompt(question: str, sources: list[tuple[str, str]], system: str) -> str:
-    """Numbered excerpts with their titles and the question, under a system text, in chat marks."""
-    shown = "".join(f"Excerpt {i} (from {title}):\n{text.strip()}\n\n" for i, (title, text) in enumerate(sources, 1))
-    return f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n{shown}Question: {question.strip()}<|im_end|>\n<|im_start|>assistant\n"
