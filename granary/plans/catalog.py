@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1173,3 +1174,72 @@ def cut_loops(spark, sf_dir):
     """Documents up to the first line that each has for the second time."""
     d = V.spread(V.table(spark, sf_dir, "documents"))
     return P.without_loops(d.select(F.col("doc_id").alias("id"), "text")).select("id", F.coalesce("place", F.lit(-1)).alias("place"), F.sha2("text", 256).alias("sha"))
+
+
+_TIDY = r"""d AS (SELECT doc_id AS id, list_filter(list_transform(string_split(coalesce("text", ''), chr(10)), lambda x: array_to_string(regexp_extract_all(x, '[^\s\p{Z}]+'), ' ')), lambda x: x <> '') AS l FROM documents)"""
+
+
+def _tidy(spark, sf_dir):
+    """The lines of documents (id, l) that are not blank, their words one space apart."""
+    d = V.spread(V.table(spark, sf_dir, "documents"))
+    words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.array_join(F.regexp_extract_all(x, F.lit(r"[^\s\p{Z}]+"), F.lit(0)), " "))
+    return d.select(F.col("doc_id").alias("id"), F.filter(words, lambda x: x != "").alias("l"))
+
+
+def _office(number: int, lines: list[str]) -> bytes:
+    """A document with a table, a workbook with shared strings or a slide with a note, of some lines."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    said = [escape(x) for x in lines]
+    p = lambda x: f"<w:p><w:r><w:t>{x}</w:t></w:r></w:p>"
+    a = lambda x: f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>"
+    if number % 3 == 0:
+        parts = {"word/document.xml": f"<w:body>{''.join(map(p, said))}<w:tbl><w:tr><w:tc>{p(number)}</w:tc><w:tc>{p(len(said))}</w:tc></w:tr></w:tbl></w:body>"}
+    elif number % 3 == 1:
+        cells = "".join(f'<row><c><v>{k + 1}</v></c><c t="s"><v>{k}</v></c><c/></row>' for k in range(len(said)))
+        strings = "".join(f"<si><t>{x}</t></si>" for x in said)
+        parts = {"xl/workbook.xml": '<sheets><sheet name="Data" r:id="r1"/></sheets>', "xl/_rels/workbook.xml.rels": '<Relationship Id="r1" Target="worksheets/first.xml"/>', "xl/worksheets/first.xml": cells, "xl/sharedStrings.xml": strings}
+    else:
+        parts = {"ppt/slides/slide1.xml": "".join(map(a, said)), "ppt/notesSlides/notesSlide1.xml": a(7) + a(f"note of {number}")}
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    return made.getvalue()
+
+
+@query(f"""WITH {_TIDY}
+SELECT id % 3 AS sort, 'doc' || id || list_extract(['.docx', '.xlsx', '.pptx'], (id % 3 + 1)::INT) AS title, sha256(array_to_string(CASE id % 3 WHEN 0 THEN list_append(l, id || ' | ' || len(l))
+  WHEN 1 THEN list_concat(['## Data'], list_transform(range(1, len(l) + 1), lambda k: k || ' | ' || l[k])) ELSE list_append(list_concat(['Slide 1'], l), 'Notes: note of ' || id) END, chr(10))) AS sha FROM d""")
+def office_files(spark, sf_dir):
+    """Documents as office files of three kinds, written by the sink and read again."""
+    from granary.sources import copies, files
+
+    @F.pandas_udf("binary")
+    def packed(number: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([_office(n, list(x)) for n, x in zip(number, lines, strict=True)])
+
+    folder = f"{V.scratch(spark)}/office-{uuid.uuid4().hex}"
+    ext = F.element_at(F.array(F.lit(".docx"), F.lit(".xlsx"), F.lit(".pptx")), (F.col("id") % 3 + 1).cast("int"))
+    copies.write(_tidy(spark, sf_dir).select(F.concat(F.lit("doc"), "id", ext).alias("name"), packed("id", "l").alias("content")), folder)
+    found = files.extract(files.read_folder(spark, folder))
+    return found.select((F.regexp_extract("title", "([0-9]+)", 1).cast("long") % 3).alias("sort"), "title", F.sha2("content", 256).alias("sha"))
+
+
+@query(rf"""WITH {_TIDY}, r AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM d),
+p AS (SELECT id, k // 40 AS page, string_agg(line, chr(10) ORDER BY k) AS said FROM r WHERE regexp_matches(line, '[0-9]|[\p{{L}}\p{{N}}].*[\p{{L}}\p{{N}}]') GROUP BY ALL)
+SELECT id, count(*) AS pages, sha256(string_agg(said, chr(10) || chr(10) ORDER BY page)) AS sha FROM p GROUP BY id""")
+def placed_pages(spark, sf_dir):
+    """Documents set as glyphs on pages of forty lines, on baselines that are not quite even, and laid out as text again."""
+    from granary.sources import layout as L
+
+    lines = _tidy(spark, sf_dir).select(F.col("id").alias("doc"), F.posexplode("l").alias("k", "line"))
+    glyphs = lines.select("doc", "k", F.posexplode(F.split("line", "")).alias("j", "text")).where("text not in ('', ' ')")
+    x = F.col("j") * 6.0 + 10
+    glyphs = glyphs.select("doc", F.floor(F.col("k") / 40).alias("page"), x.alias("x"), (F.col("k") % 40 * 15.0 + 20 + F.col("j") % 3).alias("y"), (x + 5.4).alias("end"), F.lit(10.0).alias("size"), "text")
+    rules = glyphs.select("doc", "page", *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")]).limit(0)
+    pages = L.lay_out_pages(glyphs, rules)
+    full = pages.where("text <> ''").groupBy("doc").agg(F.count("*").alias("pages"))
+    return L.join_pages(pages).join(full, "doc").select(F.col("doc").alias("id"), "pages", F.sha2("text", 256).alias("sha"))
