@@ -1243,3 +1243,85 @@ def placed_pages(spark, sf_dir):
     pages = L.lay_out_pages(glyphs, rules)
     full = pages.where("text <> ''").groupBy("doc").agg(F.count("*").alias("pages"))
     return L.join_pages(pages).join(full, "doc").select(F.col("doc").alias("id"), "pages", F.sha2("text", 256).alias("sha"))
+
+
+def _pdf(number: int, lines: list[str]) -> bytes:
+    """A PDF of some lines, forty a page, in a font of their own characters with a map to Unicode; every fifth has an image."""
+    import zlib
+
+    codes = {c: k for k, c in enumerate(sorted(set("".join(lines))), 1)}
+    coded = lambda t: b"".join(codes[c].to_bytes(2, "big") for c in t)
+    quoted = lambda b: b"(" + b.replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)").replace(b"\r", b"\\r") + b")"
+    stream = lambda head, b: b"<< %s /Length %d /Filter /FlateDecode >>\nstream\n%s\nendstream" % (head, len(z := zlib.compress(b)), z)
+    known = "".join(f"<{k:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, k in codes.items())
+    pages = [lines[k : k + 40] for k in range(0, len(lines), 40)]
+    image = b"/XObject << /I 5 0 R >>" if number % 5 == 0 else b""
+    made = {
+        1: b"<< /Type /Catalog /Pages 2 0 R >>",
+        2: b"<< /Type /Pages /Count %d /MediaBox [0 0 612 700] /Resources << /Font << /F 3 0 R >> %s >> /Kids [%s] >>" % (len(pages), image, b" ".join(b"%d 0 R" % (6 + 2 * k) for k in range(len(pages)))),
+        3: b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [<< /Type /Font /DW 540 >>] /ToUnicode 4 0 R >>",
+        4: stream(b"", f"1 begincodespacerange <0000> <ffff> endcodespacerange\n{len(codes)} beginbfchar\n{known}endbfchar".encode()),
+        5: stream(b"/Subtype /Image /Width 200 /Height 100 /BitsPerComponent 8 /ColorSpace /DeviceGray", bytes([33 + number % 64]) * 20_000),
+    }
+    for k, page in enumerate(pages):
+        said = [b"BT /F 10 Tf 0.6 Tc 15 TL 10 680 Td"]
+        for j, x in enumerate(page):
+            half = coded(x[: len(x) // 2]), coded(x[len(x) // 2 :])
+            shown = (b"%s Tj" % quoted(coded(x)), b"[%s 0 <%s>] TJ" % (quoted(half[0]), half[1].hex().encode()), b"<%s> Tj" % coded(x).hex().encode())
+            said.append(shown[j % 3] + b" T*")
+        made[6 + 2 * k] = b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (7 + 2 * k)
+        made[7 + 2 * k] = stream(b"", b"\n".join([*said, b"ET"]))
+    return b"%PDF-1.7\n" + b"\n".join(b"%d 0 obj\n%s\nendobj" % kv for kv in made.items()) + b"\ntrailer << /Root 1 0 R >>\n%%EOF"
+
+
+@query(rf"""WITH {_TIDY}, r AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM d),
+p AS (SELECT id, k // 40 AS page, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE regexp_matches(line, '[0-9]|[\p{{L}}\p{{N}}].*[\p{{L}}\p{{N}}]')) AS said FROM r GROUP BY ALL)
+SELECT id, count(*) AS pages, sha256(coalesce(string_agg(said, chr(10) || chr(10) ORDER BY page), '')) AS sha, CASE WHEN id % 5 = 0 THEN count(*) ELSE 0 END AS images,
+  CASE WHEN id % 5 = 0 THEN sha256(repeat(chr((33 + id % 64)::INT), 20000)) END AS image FROM p GROUP BY id""")
+def pdf_pages(spark, sf_dir):
+    """Documents as PDF files: pages, what they say when their glyphs are laid out, and the images that may be scans."""
+    from granary.sources import layout as L
+    from granary.sources import pdf
+
+    @F.pandas_udf("binary")
+    def printed(number: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([_pdf(n, list(x)) for n, x in zip(number, lines, strict=True)])
+
+    found = pdf.drawn(_tidy(spark, sf_dir).where("size(l) > 0").select("id", printed("id", "l").alias("content")), "id")
+    found = found.select("doc", "page", "text", F.size("images").alias("n"), F.sha2(F.get("images.data", F.lit(0)), 256).alias("image"))
+    whole = found.groupBy("doc").agg(F.count("page").alias("pages"), F.sum("n").alias("images"), F.min("image").alias("image"), F.sort_array(F.collect_list(F.when(F.col("text") != "", F.struct("page", "text")))).alias("p"))
+    return whole.select(F.col("doc").alias("id"), "pages", F.sha2(F.array_join(F.transform("p", lambda x: x["text"]), "\n\n"), 256).alias("sha"), "images", "image")
+
+
+_KINDS = (".md", ".url", ".pdf", ".bin", ".docx")
+
+
+@query(rf"""WITH {_TIDY}, t AS (SELECT id, l, id % 5 AS sort, 'doc' || id || list_extract({list(_KINDS)}, (id % 5 + 1)::INT) AS title, array_to_string(l, chr(10)) AS said FROM d),
+r AS (SELECT id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS k FROM t WHERE sort = 2),
+p AS (SELECT id, k // 40 AS page, string_agg(line, chr(10) ORDER BY k) AS said FROM r WHERE regexp_matches(line, '[0-9]|[\p{{L}}\p{{N}}].*[\p{{L}}\p{{N}}]') GROUP BY ALL),
+g AS (SELECT id, string_agg(said, chr(10) || chr(10) ORDER BY page) AS laid FROM p GROUP BY id),
+o AS (SELECT t.*, laid, CASE WHEN sort = 1 AND id % 2 = 0 THEN 'no web address in this shortcut' WHEN sort = 2 AND laid IS NULL THEN 'no text in this PDF' END AS wrong FROM t LEFT JOIN g USING (id))
+SELECT 'in' || id % 3 AS folder, title, CASE WHEN wrong IS NULL THEN list_extract(['file', 'web', 'pdf', 'file', 'docx'], (sort + 1)::INT) END AS kind, title || ': ' || wrong AS error,
+  CASE WHEN wrong IS NULL THEN sha256(CASE sort WHEN 0 THEN CASE WHEN said = '' THEN title ELSE said END WHEN 1 THEN 'https://example.org/' || id WHEN 2 THEN laid
+    WHEN 3 THEN title || ' (' || octet_length(encode(said)) || ' bytes)' ELSE array_to_string(list_append(l, 3 * id || ' | ' || len(l)), chr(10)) END) END AS sha,
+  CASE WHEN sort IN (0, 3) THEN octet_length(encode(said)) END AS size, CASE WHEN sort IN (0, 3) THEN sha256(said) END AS bytes_hash FROM o""")
+def folder_items(spark, sf_dir):
+    """Documents as files of five kinds in three folders, written by the sink and read by the data source, errors as rows."""
+    from granary.sources import copies, folder
+
+    def filed(number: int, lines: list[str]) -> bytes:
+        if number % 5 == 1:
+            return f"[InternetShortcut]\nURL={'https://example.org/' if number % 2 else 'somewhere/'}{number}\n".encode()
+        return _pdf(number, lines) if number % 5 == 2 else _office(3 * number, lines) if number % 5 == 4 else "\n".join(lines).encode()
+
+    @F.pandas_udf("binary")
+    def made(number: pd.Series, lines: pd.Series) -> pd.Series:
+        return pd.Series([filed(n, list(x)) for n, x in zip(number, lines, strict=True)])
+
+    path = f"{V.scratch(spark)}/files-{uuid.uuid4().hex}"
+    ext = F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("id") % 5 + 1).cast("int"))
+    copies.write(_tidy(spark, sf_dir).select(F.concat(F.lit("in"), F.col("id") % 3, F.lit("/doc"), "id", ext).alias("name"), made("id", "l").alias("content")), path)
+    # A shortcut's, PDF's or office file's bytes are the writer's own affair.
+    plain = lambda c: F.when(F.col("path").rlike(r"[.](md|bin)$"), F.col(c)).alias(c)
+    there = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder")
+    return folder.read(spark, path).select(there, "title", "kind", "error", F.sha2("content", 256).alias("sha"), plain("size"), plain("bytes_hash"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.text import is_bare_url, text_title
-from granary.sources import html, office
+from granary.sources import html, office, pdf
 
 MAX_TEXT, MAX_PAGE, MAX_COPY = 4 << 20, 5_000_000, 25 << 20
 #: Extensions of files whose bytes are their text.
@@ -53,19 +53,29 @@ def shortcut_address(text: str) -> str | None:
     return None
 
 
+def pdf_text(data: bytes, read: Reader) -> str:
+    """Text of a PDF, none where it cannot be read: its images may still say something."""
+    try:
+        return read(data)
+    except (ValueError, TypeError, IndexError, AttributeError, RecursionError):
+        return ""
+
+
 def read_file(name: str, data: bytes, readers: dict[str, Reader] | None = None) -> tuple[str, str | None, str | None, str | None]:
-    """(title, kind, content, error) of a file. ``readers`` take the bytes of pdf and image files.
+    """(title, kind, content, error) of a file.
 
-    What has no text is findable by its name.
+    ``readers`` take the bytes of files: "image" of images, "ocr" of PDFs with under twenty
+    words (``pdf.read_scans`` makes one), "pdf" of PDFs, in place of ``pdf.text_of``. What has
+    no text is findable by its name.
     """
     readers = readers or {}
     stem, _, ext = name.rpartition(".")
     ext = ext.lower() if stem else ""
     try:
         if ext == "pdf":
-            kind, content = "pdf", readers["pdf"](data) if "pdf" in readers else ""
+            kind, content = "pdf", pdf_text(data, readers.get("pdf", pdf.text_of))
             if len(content.split()) < 20 and "ocr" in readers:
-                content = readers["ocr"](data) or content
+                content = "\n\n".join(t for t in (content, readers["ocr"](data)) if t.strip())
             if not content.strip():
                 raise ValueError("no text in this PDF")
         elif ext in office.KIND_OF:
