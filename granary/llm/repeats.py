@@ -2,8 +2,9 @@
 
 Seeds are winnowed anchors: of the k-word grams inside every window of ``min_words`` words
 the leftmost of the smallest hash. Equal windows have equal anchors, so documents that
-share a window meet at its anchor. Anchors that one document alone holds are dropped
-before any text moves. The others are sent with the words around them, as far as a window
+share a window meet at its anchor. Seeds are sorted by anchor and pass through in that
+order, so that no task holds all of an anchor's; those that one document alone holds are
+dropped before any text moves. The others are sent with the words around them, as far as a window
 can reach, and matches are extended both ways on those words: no word goes because hashes
 agree. Matches that touch make up the maximal repeats, and all but the occurrence in the
 smallest document goes.
@@ -29,6 +30,7 @@ BUCKET_BYTES = 16 << 20
 BLOCK = 2 << 20
 CONTEXT_BYTES = 32 << 20
 HOT, PART = 1_000, 10
+SEEDS = 1 << 19
 _SEED = np.dtype([("anchor", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("at", "<i4")])
 _MARK = np.dtype([("anchor", "<u8"), ("at", "<i4"), ("n", "<u4")])
 _SPAN = np.dtype([("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -84,16 +86,8 @@ def seeds_of(doc: np.ndarray, tag: np.ndarray, data: np.ndarray, offsets: np.nda
     return out
 
 
-def cells(part: np.ndarray, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(key, kind="stable")
-    edges = np.searchsorted(key[order], np.arange(buckets + 1))
-    part = part[order]
-    for k in np.flatnonzero(np.diff(edges)):
-        yield int(k), part[edges[k] : edges[k + 1]].tobytes()
-
-
-def ship_seeds(width: int, gram: int, buckets: int):
-    """mapInArrow: rows (id, tag, text) to cells (bucket, seeds)."""
+def ship_seeds(width: int, gram: int):
+    """mapInArrow: rows (id, tag, text) to seeds (anchor, doc, tag, at)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,31 +95,64 @@ def ship_seeds(width: int, gram: int, buckets: int):
             data, offsets = text_buffers(batch.column(2))
             for a, b in row_blocks(offsets, BLOCK):
                 found = seeds_of(doc[a:b], tag[a:b], data, offsets[a : b + 1], width, gram)
-                dealt = list(cells(found, (found["anchor"] % np.uint64(buckets)).astype(np.int64), buckets))
-                if dealt:
-                    yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in dealt], pa.int32()), pa.array([c[1] for c in dealt], pa.binary())], ["bucket", "seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array(found["anchor"].view(np.int64)), *[pa.array(found[c].copy()) for c in ("doc", "tag", "at")]], list(_SEED.names))
 
     return run
 
 
+def marks_of(seeds: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Seeds, with how many their anchor has, as one row (id, tag, marks) for each text."""
+    order = np.lexsort((seeds["tag"], seeds["doc"]))
+    seeds, n = seeds[order], n[order]
+    marks = np.empty(len(seeds), _MARK)
+    marks["anchor"], marks["at"], marks["n"] = seeds["anchor"], seeds["at"], np.minimum(n, (1 << 32) - 1)
+    first = np.flatnonzero((seeds["doc"] != np.roll(seeds["doc"], 1)) | (seeds["tag"] != np.roll(seeds["tag"], 1)) | (np.arange(len(seeds)) == 0))
+    ends = np.append(first, len(seeds))[1:]
+    return pa.RecordBatch.from_arrays([pa.array(seeds["doc"][first]), pa.array(seeds["tag"][first]), pa.array([marks[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "marks"])
+
+
 def shared_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over cells sorted by bucket: marks (id, tag, marks) of the anchors that two documents hold."""
-    for table in whole_groups(batches, "bucket"):
-        seeds = np.frombuffer(b"".join(table.column("seeds").to_pylist()), _SEED)
-        order = np.argsort(seeds["anchor"], kind="stable")
-        anchor, doc = seeds["anchor"][order], seeds["doc"][order]
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        n = np.diff(np.append(first, len(order)))
-        shared = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
-        kept = np.repeat(shared, n)
-        seeds, n = seeds[order[kept]], np.repeat(n, n)[kept]
-        order = np.lexsort((seeds["tag"], seeds["doc"]))
-        seeds, n = seeds[order], n[order]
-        marks = np.empty(len(seeds), _MARK)
-        marks["anchor"], marks["at"], marks["n"] = seeds["anchor"], seeds["at"], np.minimum(n, (1 << 32) - 1)
-        first = np.flatnonzero((seeds["doc"] != np.roll(seeds["doc"], 1)) | (seeds["tag"] != np.roll(seeds["tag"], 1)) | (np.arange(len(seeds)) == 0))
-        ends = np.append(first, len(seeds))[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(seeds["doc"][first]), pa.array(seeds["tag"][first]), pa.array([marks[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["id", "tag", "marks"])
+    """mapInArrow over seeds sorted by (anchor, doc, tag, at): marks (id, tag, marks) of the anchors that two documents hold.
+
+    Equal seeds, those of repeated rows, are one. An anchor's seeds wait until it is known
+    whether a second document holds it, and whether it is hot; from there on they pass through.
+    """
+    wait, passing = np.zeros(0, _SEED), np.zeros(0, _SEED)  # passing: the last seed handed on of a hot anchor that may go on
+    ready: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def decide(seeds: np.ndarray, whole: bool) -> int:
+        """Hands on the seeds of anchors that are decided; gives how many those were."""
+        first = np.flatnonzero(np.concatenate([[True], seeds["anchor"][1:] != seeds["anchor"][:-1]]))
+        size = np.diff(np.append(first, len(seeds)))
+        n, shared = size.copy(), seeds["doc"][first] < seeds["doc"][first + size - 1]
+        if len(passing) and seeds["anchor"][0] == passing["anchor"][0]:
+            n[0], shared[0] = HOT + 1, True
+        done = len(seeds) if whole or (n[-1] > HOT and shared[-1]) else int(first[-1])
+        kept = np.repeat(shared, size)[:done]
+        ready.append((seeds[:done][kept], np.repeat(n, size)[:done][kept]))
+        return done
+
+    def packed() -> pa.RecordBatch:
+        out = marks_of(*(np.concatenate(c) for c in zip(*ready, strict=True)))
+        ready.clear()
+        return out
+
+    for batch in batches:
+        new = np.empty(batch.num_rows, _SEED)
+        for name, column in zip(_SEED.names, batch.columns, strict=True):
+            new[name] = column.to_numpy().view(_SEED[name])
+        seeds = np.concatenate([passing, wait, new])
+        seeds = seeds[np.concatenate([[True], seeds[1:] != seeds[:-1]])[: len(seeds)]][len(passing) :]
+        if len(seeds) == 0:
+            continue
+        done = decide(seeds, False)
+        wait, passing = seeds[done:], seeds[-1:] if done == len(seeds) else seeds[:0]
+        if sum(len(x) for x, _ in ready) > SEEDS:
+            yield packed()
+    if len(wait):
+        decide(wait, True)
+    if ready:
+        yield packed()
 
 
 def contexts(anchor: int, n: int, words: list[bytes], at: int, width: int, gram: int) -> list[tuple[int, int, bytes]]:
@@ -347,9 +374,9 @@ def remove_repeats(docs: DataFrame, min_words: int = 50, gram: int = 10, id_col:
     buckets = max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, text) // (4 * BUCKET_BYTES)))
     marks = (
         wide.where("id is not null").select("id", "tag", at[text]).where(F.col(at[text]).isNotNull())
-        .mapInArrow(lean(ship_seeds(min_words, gram, buckets)), "bucket int, seeds binary")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("bucket")
+        .mapInArrow(lean(ship_seeds(min_words, gram)), "anchor long, doc long, tag long, at int")
+        .repartition(buckets, "anchor")
+        .sortWithinPartitions("anchor", "doc", "tag", "at")
         .mapInArrow(lean(shared_seeds), "id long, tag long, marks binary")
     )
     marks = marks.groupBy("id", "tag").agg(F.collect_list("marks").alias("marks"))

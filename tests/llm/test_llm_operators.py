@@ -6,9 +6,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -299,6 +301,46 @@ def test_repeats(spark, corpus):
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("step", [1, 2, 7, 1000])
+def test_seeds_pass_through_in_order(monkeypatch, step):
+    """Whatever the batches, all seeds of anchors that two documents hold are handed on once, hot ones as hot."""
+    monkeypatch.setattr(repeats, "HOT", 4)
+    monkeypatch.setattr(repeats, "SEEDS", 5)
+    rng = np.random.default_rng(step)
+    for anchors in (1, 3, 40):
+        rows = np.stack([rng.integers(-anchors, anchors, 200), rng.integers(0, 5, 200), rng.integers(0, 2, 200), rng.integers(0, 3, 200)], axis=1)
+        rows = sorted(tuple(map(int, r)) for r in rows if r[0] % 3 or r[1] == 1)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + step], strict=True), kinds, strict=True)], ["anchor", "doc", "tag", "at"]) for i in range(0, len(rows), step)]
+        empty = pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], ["anchor", "doc", "tag", "at"])
+        got = []
+        for b in repeats.shared_seeds(iter([empty, *batches, empty])):
+            for doc, tag, marks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got += [(int(np.uint64(a).view(np.int64)), doc, tag, at, n > 4) for a, at, n in np.frombuffer(marks, repeats._MARK).tolist()]
+        of = {a: {r for r in rows if r[0] == a} for a, *_ in rows}
+        want = [(*r, len(s) > 4) for s in of.values() if len({r[1] for r in s}) > 1 for r in s]
+        assert sorted(got) == sorted(want)
+
+
+def test_an_anchor_of_very_many_documents_never_gathers():
+    """One anchor of 300 000 documents, and a text repeated 300 000 times: what a task holds stays small."""
+    def batches(documents):
+        for k in range(0, 300_000, 10_000):
+            doc = np.arange(k, k + 10_000) if documents else np.zeros(10_000, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(10_000, 7)), pa.array(doc), pa.array(np.full(10_000, 3)), pa.array(np.full(10_000, 1, "<i4"))], ["anchor", "doc", "tag", "at"])
+
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in repeats.shared_seeds(batches(False)))
+    once = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 0 and once < 4 << 20
+    sizes = []
+    for b in repeats.shared_seeds(batches(True)):
+        sizes.append(b.num_rows)
+        assert all(n > repeats.HOT for m in b.column(2).to_pylist()[::1000] for _, _, n in np.frombuffer(m, repeats._MARK).tolist())
+    assert sum(sizes) == 300_000 and max(sizes) <= repeats.SEEDS + 10_000
+
+
 @pytest.mark.parametrize("hot", [1000, 1])
 def test_repeats_go_by_words_not_by_hashes(spark, corpus, monkeypatch, hot):
     """With the same hash for all windows, what goes is still what an earlier document has, also around hot anchors."""
@@ -319,9 +361,10 @@ def test_repeats_go_by_words_not_by_hashes(spark, corpus, monkeypatch, hot):
     for forced in (False, True):
         monkeypatch.setattr(repeats, "rolling", lambda h, k, *base: real(h, k, *base) * np.uint64(0 if forced and k == 50 else 1))
         ids = list(texts)
-        seeds = [b for part in ([1, 2, 3], [4, 5], [6, 7, 8, 9]) for b in repeats.ship_seeds(50, 10, 1)(iter([pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part)), pa.array([texts[i] for i in part])], ["id", "tag", "text"])]))]
+        seeds = [b for part in ([1, 2, 3], [4, 5], [6, 7, 8, 9]) for b in repeats.ship_seeds(50, 10)(iter([pa.RecordBatch.from_arrays([pa.array(part), pa.array([0] * len(part)), pa.array([texts[i] for i in part])], ["id", "tag", "text"])]))]
         marks = collections.defaultdict(list)
-        for b in repeats.shared_seeds(iter(seeds)):
+        ordered = pa.Table.from_batches(seeds).sort_by([(c, "ascending") for c in ("anchor", "doc", "tag", "at")])
+        for b in repeats.shared_seeds(iter(ordered.to_batches(11))):
             for i, m in zip(b.column("id").to_pylist(), b.column("marks").to_pylist(), strict=True):
                 marks[i].append(m)
         sent = []
