@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from granary.plans.catalog import QUERIES
-from granary.sources import layout
+from granary.sources import layout, pdf
 
 GLYPHS = "doc long, page int, x double, y double, end double, size double, text string"
 RULES = "doc long, page int, x0 double, y0 double, x1 double, y1 double"
@@ -47,3 +47,12 @@ def test_a_page_in_many_parts_is_laid_out_whole(spark):
     rows = [(1, 0, 6.0 * j, 10.0 + 15 * k, 6.0 * j + 5.4, 10.0, c) for k in range(4) for j, c in enumerate("abcd")]
     g = spark.createDataFrame(rows, GLYPHS).repartition(8)
     assert [r.text for r in layout.lay_out_pages(g, spark.createDataFrame([], RULES)).collect()] == ["abcd\nabcd\nabcd\nabcd"]
+
+
+def test_glyphs_are_handed_on_only_if_asked_for(spark):
+    from granary.plans.catalog import _pdf
+
+    files = spark.createDataFrame([(1, bytearray(_pdf(1, ["one line", "and more"])))], "id long, content binary")
+    pages = pdf.drawn(files, "id", placed=False)
+    assert "glyphs" not in pages.columns and [r.text for r in pages.collect()] == ["one line\nand more"]
+    assert pdf.glyphs(pdf.drawn(files, "id")).count() == len("onelineandmore")
