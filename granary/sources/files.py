@@ -117,7 +117,10 @@ def extract(files: DataFrame, readers: dict[str, Reader] | None = None) -> DataF
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    """Binary files (path, modificationTime, length, content) below a folder; names that begin with a dot or an underscore are left out."""
+    from granary.sources import folder
+
+    return folder.contents(spark, path)
 
 
 def route_page(url: Column, content_type: Column, readable_text: Column, body: Column) -> Column:

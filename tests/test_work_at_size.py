@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from granary.operators import grams as R
@@ -32,3 +33,37 @@ def test_frequencies_by_one_pass_equal_the_vocabulary(spark):
     terms = spark.createDataFrame([("one",), ("two",), ("nothing",)], "term string")
     want = {(r.term, r.df) for r in I.of(items).vocabulary.collect() if r.term in ("one", "two")}
     assert {(r.term, r.df) for r in I.frequencies(I.holding(items, terms)).collect()} == want
+
+
+def test_no_list_of_files_reaches_the_driver(spark, tmp_path, monkeypatch):
+    """The sink's messages do not grow with the files of a task, and the driver moves and lists none of them."""
+    import pickle
+
+    from granary.sources import copies, files, folder
+
+    writer = copies.CopiesWriter(str(tmp_path / "own"))
+    staged = [writer.write(iter([Row(name=f"x/{k}.txt", content=b"1") for k in range(n)])) for n in (1, 500)]
+    sizes = [len(pickle.dumps(m)) for m in staged]
+    assert sizes[0] == sizes[1]
+    writer.commit(staged)
+    assert len(list((tmp_path / "own" / "x").iterdir())) == 500 and len(list((tmp_path / "own").iterdir())) == 1
+    names = [f"in{k % 2}/deep/{k}\nx.txt" if k == 3 else f"in{k % 2}/deep/{k}.txt" for k in range(60)]
+    made = spark.createDataFrame([(n, n.encode()) for n in names], "name string, content binary").repartition(3)
+    copies.write(made, str(tmp_path / "all"))
+    assert not list((tmp_path / "all").glob("_*"))
+    (tmp_path / "all" / "_hidden").mkdir()
+    (tmp_path / "all" / "_hidden" / "a.txt").write_bytes(b"no")
+    (tmp_path / "all" / ".b.txt").write_bytes(b"no")
+    monkeypatch.setattr(folder.FolderReader, "listed", lambda *_: 1 / 0)
+    want = {n: n.encode() for n in names}
+    assert {r.path.removeprefix(f"file:{tmp_path}/all/"): bytes(r.content) for r in files.read_folder(spark, str(tmp_path / "all")).collect()} == want
+    assert {r.path for r in files.read_folder(spark, f"file://{tmp_path}/all").select("path").collect()} == {f"file://{tmp_path}/all/{n}" for n in names}
+    assert {r.path.removeprefix(f"{tmp_path}/all/") for r in folder.read(spark, str(tmp_path / "all")).collect()} == set(want)
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from granary.sources import files
+
+    for k in range(400):
+        (tmp_path / f"{k}.txt").write_bytes(b"some words")
+    assert files.read_folder(spark, str(tmp_path)).rdd.getNumPartitions() == 1
