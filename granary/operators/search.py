@@ -370,10 +370,16 @@ def unit_bm25(
     if extra is not None:
         more = extra.select("query_id", F.lit(0).alias("n"), (-1 - F.row_number().over(Window.partitionBy("query_id").orderBy("term"))).alias("j"), "term", F.lit(float(extra_weight)).alias("weight"), F.lit(False).alias("last"))
         asked = asked.unionByName(more)
-    terms = units.select("chunk_id", "item_id", F.explode("tokens").alias("term"), F.lit(1.0).alias("w")).unionByName(units.select("chunk_id", "item_id", F.explode("title_tokens").alias("term"), F.lit(title_weight).alias("w")))
-    size = units.select("chunk_id", (F.size("tokens") + title_weight * F.size("title_tokens")).alias("length"))
+    # Only what was asked for is counted: texts are read once, and of their words those that may match are kept.
+    typed = asked.select("term", "last").collect()
+    begins = [r.term for r in typed if prefix and r.last]
+    begun_by = F.array(*map(F.lit, begins)).cast("array<string>")
+    asks = lambda t: t.isin(sorted({r.term for r in typed})) | F.exists(begun_by, lambda p: t.startswith(p))
+    met_words = F.concat(*[F.transform(F.filter(c, asks), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in (("tokens", 1.0), ("title_tokens", float(title_weight)))])
+    read = checkpoint(units.select("chunk_id", "item_id", (F.size("tokens") + title_weight * F.size("title_tokens")).alias("length"), met_words.alias("met")))
+    terms = read.select("chunk_id", "item_id", F.inline("met"))
+    size = read.select("chunk_id", "length")
     totals = size.agg(F.count("*").alias("units"), F.avg("length").alias("mean"))
-    # only what was asked for is counted
     tf = terms.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("chunk_id", "item_id", "term").agg(F.sum("w").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     met = tf.join(F.broadcast(asked), "term").select("query_id", "n", "j", "term", "weight", "chunk_id", "item_id", "tf")
@@ -391,7 +397,8 @@ def unit_bm25(
 def boost_terms(questions: DataFrame, units: DataFrame, weight: float = 0.08, least: int = 4, most_share: float = 0.34, stopwords: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Rows (query_id, term, weight): longer terms of questions that few items hold, the rarer the heavier."""
     asked = questions.select("query_id", F.explode(F.array_distinct(ascii_tokens(F.col("text")))).alias("term")).where((F.length("term") >= least) & ~F.col("term").isin(list(stopwords) or [""]))
-    said = units.select("item_id", F.explode(F.array_union("tokens", "title_tokens")).alias("term"))
+    typed = F.array(*[F.lit(r.term) for r in asked.select("term").distinct().collect()]).cast("array<string>")
+    said = units.select("item_id", F.explode(F.array_intersect(F.concat("tokens", "title_tokens"), typed)).alias("term"))
     df = said.join(F.broadcast(asked.select("term").distinct()), "term").groupBy("term").agg(F.countDistinct("item_id").alias("df"))
     items = units.agg(F.greatest(F.countDistinct("item_id"), F.lit(1)).alias("items"))
     share = F.coalesce("df", F.lit(0)) / F.col("items")
