@@ -55,10 +55,11 @@ def embed(text: Column, make: Callable[[], Embedder] = HashingEmbedder) -> Colum
 
 
 def embed_chunks(items: DataFrame, chunks: DataFrame, make: Callable[[], Embedder] = HashingEmbedder) -> DataFrame:
-    """Chunks (item_id, ord, text) with vectors: of title and chunk, and of the title alone at ord -1."""
-    titles = items.select(F.col("id").alias("item_id"), "title")
+    """Chunks (item_id, ord, text) with vectors: of title and chunk, and of the title alone at ord -1. Chunks that bring their title are not joined with items."""
+    if "title" not in chunks.columns:
+        chunks = chunks.join(items.select(F.col("id").alias("item_id"), "title"), "item_id")
     said = F.when(F.col("ord") < 0, F.col("title")).otherwise(F.concat("title", F.lit("\n"), "text"))
-    return chunks.join(titles, "item_id").select("item_id", "ord", "text", embed(said, make).alias("vec"))
+    return chunks.select("item_id", "ord", "text", embed(said, make).alias("vec"))
 
 
 def to_blob(vectors: Column) -> Column:

@@ -48,14 +48,44 @@ def prompts(questions: DataFrame, sources: DataFrame, family: str = "chatml", th
     Null titles and texts are empty; a question without sources has no excerpts.
     """
     told = sources.select("query_id", F.struct("place", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")).alias("s"))
-    told = told.groupBy("query_id").agg(F.sort_array(F.collect_list("s")).alias("told"))
-    shown = F.array_join(F.transform("told", lambda s, i: F.concat(F.lit("Excerpt "), i + 1, F.lit(" (from "), s["title"], F.lit("):\n"), _trimmed(s["text"]), F.lit("\n\n"))), "")
-    text = _trimmed(F.coalesce("text", F.lit("")))
-    by_time = asks_for_time(F.col("text")) & F.lit(thinking is not True)
-    user = F.concat(F.coalesce(shown, F.lit("")), F.lit("Question: "), text)
-    made = _filled(family, F.when(F.col("temporal"), F.lit(BY_TIME)).otherwise(F.lit(DIRECT)), user)
-    opened = F.concat(made, F.lit(THINKING[thinking]), F.when(F.col("temporal"), F.lit(TIMELINE)).otherwise(F.lit("")))
-    return questions.join(told, "query_id", "left").withColumn("temporal", by_time).select("query_id", "temporal", opened.alias("prompt"))
+    told = told.groupBy("query_id").agg(F.collect_list("s").alias("told"))
+    return chats(questions.join(told, "query_id", "left"), [(family, thinking)]).drop("family")
+
+
+def chats(questions: DataFrame, kinds: list[tuple[str, bool | None]]) -> DataFrame:
+    """Rows (query_id, family, temporal, prompt), one for each of ``kinds`` (family, thinking), of questions (query_id, text, told), ``told`` an array of (place, title, text) without nulls, or null."""
+    shown = F.array_join(F.transform(F.sort_array("told"), lambda s, i: F.concat(F.lit("Excerpt "), i + 1, F.lit(" (from "), s["title"], F.lit("):\n"), _trimmed(s["text"]), F.lit("\n\n"))), "")
+    user = F.concat(F.coalesce(shown, F.lit("")), F.lit("Question: "), _trimmed(F.coalesce("text", F.lit(""))))
+    asked = questions.select("query_id", user.alias("user"), asks_for_time(F.col("text")).alias("asks"))
+
+    def one(family: str, thinking: bool | None) -> Column:
+        by_time = F.col("asks") & F.lit(thinking is not True)
+        made = _filled(family, F.when(by_time, F.lit(BY_TIME)).otherwise(F.lit(DIRECT)), F.col("user"))
+        return F.struct(F.lit(family).alias("family"), by_time.alias("temporal"), F.concat(made, F.lit(THINKING[thinking]), F.when(by_time, F.lit(TIMELINE)).otherwise(F.lit(""))).alias("prompt"))
+
+    return asked.select("query_id", F.inline(F.array(*[one(*k) for k in kinds])))
+
+
+#: Turns whose excerpts are gathered together.
+TURNS = 64
+
+
+def after_turns(turns: DataFrame, before: int = 3) -> DataFrame:
+    """Questions (query_id, text, told) of users' turns (query_id, role, text), with the turns of the ``before`` numbers ahead of each as excerpts.
+
+    Turns are shuffled once, dealt by runs of numbers; the last of a run are in the next one too. Of questions of
+    one number each is told what all of them are, as a join would.
+    """
+    run = F.floor(F.col("query_id") / TURNS)
+    own = turns.select(run.alias("run"), "query_id", "role", "text", F.lit(True).alias("own"))
+    ahead = turns.where(F.floor((F.col("query_id") + before) / TURNS) > run).select((run + 1).alias("run"), "query_id", "role", "text", F.lit(False).alias("own"))
+    by = Window.partitionBy("run").orderBy("query_id")
+    excerpt = F.struct(F.col("query_id").alias("place"), F.coalesce("role", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
+    told = F.collect_list(excerpt).over(by.rangeBetween(-before, -1))
+    alike = F.count_if(F.col("own") & (F.col("role") == "user")).over(by.rangeBetween(0, 0))
+    met = own.unionByName(ahead).withColumns({"told": told, "alike": alike}).where("own and role = 'user'")
+    each = F.when(F.col("alike") > 1, F.flatten(F.array_repeat("told", F.col("alike").cast("int")))).otherwise(F.col("told"))
+    return met.select("query_id", "text", F.when(F.col("query_id").isNotNull(), each).alias("told"))
 
 
 def prompt(question: str, sources: list[tuple[str, str]], system: str | None = None, family: str = "chatml", thinking: bool | None = None) -> str:
