@@ -375,7 +375,8 @@ def unit_bm25(
     begins = [r.term for r in typed if prefix and r.last]
     begun_by = F.array(*map(F.lit, begins)).cast("array<string>")
     asks = lambda t: t.isin(sorted({r.term for r in typed})) | F.exists(begun_by, lambda p: t.startswith(p))
-    met_words = F.concat(*[F.transform(F.filter(c, asks), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("w"))) for c, w in (("tokens", 1.0), ("title_tokens", float(title_weight)))])
+    weighed = lambda c, w: F.transform(F.filter(c, asks), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+    met_words = F.concat(weighed("tokens", 1.0), weighed("title_tokens", float(title_weight)))
     read = checkpoint(units.select("chunk_id", "item_id", (F.size("tokens") + title_weight * F.size("title_tokens")).alias("length"), met_words.alias("met")))
     terms = read.select("chunk_id", "item_id", F.inline("met"))
     size = read.select("chunk_id", "length")

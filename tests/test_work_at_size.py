@@ -91,6 +91,14 @@ def test_unit_words_are_filtered_before_they_are_rows(spark):
     assert "explode(tokens" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_unit_scores_do_not_follow_the_places_of_words(spark):
+    from granary.operators import search as S
+
+    units = spark.createDataFrame([(1, 1, ["x", "y", "a", "z"], ["b"]), (2, 2, ["a", "y", "x", "z"], ["b"]), (3, 3, ["q"], ["b"])], "chunk_id long, item_id long, tokens array<string>, title_tokens array<string>")
+    got = {r.chunk_id: r.score for r in S.unit_bm25(units, spark.createDataFrame([(1, ["a"])], "query_id long, terms array<string>")).collect()}
+    assert set(got) == {1, 2} and got[1] == got[2]
+
+
 def test_pages_reach_python_in_small_batches(spark):
     from granary.plans.catalog import QUERIES
 
