@@ -46,6 +46,34 @@ def test_ingest_in_batches(spark, tmp_path):
     assert (state["numRowsUpdated"] if isinstance(state, dict) else state.numRowsUpdated) <= 4  # the batch's own keys
 
 
+def judged(batches):
+    """The vault after these batches, judged row by row."""
+    vault = {}
+    for batch in batches:
+        for i, _, _, _, content, h, at, _, error in sorted(batch, key=lambda r: (r[0], r[6])):
+            if error is None and (h not in vault or (vault[h][1] or "") != (content or "")):
+                first, _, _, n = vault.get(h, (i, None, 0, 0))
+                vault[h] = (first, content, at, n + 1)
+    return vault
+
+
+def test_states_of_many_identities_take_few_requests(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BUCKETS", 2, raising=False)
+    inbox, vault = str(tmp_path / "inbox"), str(tmp_path / "vault")
+    first = [item(i, f"h{i}", f"text {i}") for i in range(60)] + [item(900, None, "no hash"), item(901, None, "another")]
+    grown = [item(1000 + i, f"h{i}", f"text {i}" if i % 3 else f"edited {i}", 5) for i in range(800)] + [item(1900, None, "another"), item(1901, "h5", "late", 1, "unreadable")]
+    last = [item(2000, "h3", "the last", 9), item(2001, "h4", "text 4", 9), item(2002, "h799", None, 9)]
+    updated = []
+    for batch in (first, grown, last):
+        send(spark, inbox, batch, ITEM)
+        q = I.start(spark.readStream.schema(ITEM).parquet(inbox), vault)
+        q.awaitTermination()
+        updated.append(q.lastProgress["stateOperators"][0]["numRowsUpdated"])
+    assert {r.hash: (r.id, r.content, r.added_at, r.version) for r in I.current(spark, vault).collect()} == judged((first, grown, last))
+    assert updated[0] <= 8 and updated[1] <= 80  # of 61 and some 760 identities that are new or edited
+    assert updated[2] <= 3  # whatever the vault holds
+
+
 def edit(note, ms, content):
     return (note, datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC) + datetime.timedelta(milliseconds=ms), content)
 
