@@ -6,6 +6,9 @@ what was typed, never by the data.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ def phrase_table(spark: SparkSession, queries: dict[int, str]) -> DataFrame:
 
 #: As many forms of what was typed go to all tasks; more are joined like any table.
 FORMS, PUSHED = 100_000, 2_000
+#: As many ranges of terms become a filter of the index's scan.
+RANGES = 100
 
 
 def typed_forms(parts: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -51,12 +56,28 @@ def narrowed(posted: DataFrame, terms: list[str]) -> DataFrame:
     return posted.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
 
 
+def ranged(posted: DataFrame, forms: DataFrame) -> DataFrame:
+    """Postings of terms from the first to the last form of each typed term: the forms of a prefix follow each other, so no others are among them."""
+    ends = forms.groupBy("query_id", "pos", "j").agg(F.min("term").alias("low"), F.max("term").alias("high")).select("low", "high").distinct()
+    spans: list[tuple[str, str]] = []
+    for low, high in sorted(map(tuple, ends.collect())):  # no more than were typed
+        if spans and low <= spans[-1][1]:
+            spans[-1] = spans[-1][0], max(high, spans[-1][1])
+        else:
+            spans.append((low, high))
+    if not spans or len(spans) > RANGES:
+        return posted
+    return posted.where(reduce(or_, [F.col("term").between(low, high) for low, high in spans]))
+
+
 def matched_terms(posted: DataFrame, forms: DataFrame) -> DataFrame:
-    """Postings of the terms that a query's words meet. Few terms become a filter of the index's scan."""
+    """Postings of the terms that a query's words meet. Few terms become a filter of the index's scan, more a filter by ranges before they are joined."""
     few = forms.limit(FORMS + 1).toArrow()
     if few.num_rows <= FORMS:
         posted = narrowed(posted, few.column("term").unique().to_pylist())
         forms = F.broadcast(posted.sparkSession.createDataFrame(few))
+    else:
+        posted = ranged(posted, forms)
     return posted.join(forms.drop("df"), "term")
 
 
